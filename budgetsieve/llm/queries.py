@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from budgetsieve.llm.common import documents, fresh_path
+from budgetsieve.llm.common import documents, fresh_path, table
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +29,53 @@ def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(media_column(documents(spark, sf_dir)))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from budgetsieve.llm.decontamination import contamination
+
+    return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from budgetsieve.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from budgetsieve.llm.language_id import fit, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return predict(docs, fit(docs))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from budgetsieve.llm.line_dedup import report
+
+    return report(documents(spark, sf_dir))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from budgetsieve.llm.quality import fit, rate
+
+    docs = documents(spark, sf_dir)
+    return rate(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_text": op2_html_text,
     "op3_token_files": op3_token_files,
+    "op5_language_id": op5_language_id,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_quality": op7_quality,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_ogg_media": op9_ogg_media,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _oracles() -> dict[str, str]:
+    from budgetsieve.llm import decontamination, line_dedup
+
+    return {"op6_line_dedup": line_dedup.SQL, "op10_decontamination": decontamination.SQL}
+
+
+ORACLE_SQL: dict[str, str] = _oracles()
