@@ -27,7 +27,7 @@ from budgetsieve.llm.common import chunked, materialise, prepare, text_or_empty
 #: Ids in one block; a longer document has a block of its own.
 BLOCK_IDS = 262_144
 #: Words whose ids a worker remembers, and bytes of text it takes at a time.
-CACHE_ENTRIES, BATCH_BYTES = 1_000_000, 8_000_000
+CACHE_ENTRIES, BATCH_BYTES = 1_500_000, 8_000_000
 
 #: Row c: the four byte lengths that control byte c stands for, first code in the lowest bits.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
@@ -71,33 +71,45 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
-        #: A special token that parts the words of one call; words that hold any aren't parted so.
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.border = self.special[0] if self.special else None
-        self.border_id = self.tokenizer.token_to_id(self.border) if self.special else -1
+        #: Whether runs of a-z and single marks go to the model as they are (lower-cased).
+        plain = [t.id for t in self.tokenizer.model.tokenize("plain")] + [t.id for t in self.tokenizer.model.tokenize(".")]
+        self.plain = self.tokenizer.encode("Plain.", add_special_tokens=False).ids == plain
         self._forget()
 
     def _forget(self) -> None:
         self.rows = _Rows()
+        self.pieces: dict[str, list[int]] = {}
         self.ids, self.first, self.size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.total = 0
 
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece)]
+        return ids
+
     def _learn(self, words: list[str]) -> None:
-        """Appends the ids of words to the table."""
-        for i in range(0, len(words), 8192):
-            some = words[i : i + 8192]
-            if self.border is None or any(s in w for w in some if "<" in w for s in self.special):
-                each = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
-                size, ids = np.array([len(e) for e in each], np.int64), np.concatenate(each)
-            else:
-                ids = np.array(self.tokenizer.encode(self.border.join(some), add_special_tokens=False).ids, np.uint32)
-                borders = np.flatnonzero(ids == self.border_id)
-                size = np.diff(np.concatenate(([-1], borders, [len(ids)]))) - 1
-                ids = np.delete(ids, borders)
-            self.first.append(self.total + np.cumsum(size) - size)
-            self.size.append(size)
-            self.ids.append(ids)
-            self.total += len(ids)
+        """Appends the ids of words to the table: plain words straight from the model, others by the whole tokenizer."""
+        each: list[list[int]] = []
+        others, piece = [], self._piece
+        for word in words:
+            if self.plain and word.isascii():
+                if word.isalpha():
+                    each.append(piece(word.lower()))
+                    continue
+                if word[-1:] in (".", ",") and word[:-1].isalpha():
+                    each.append(piece(word[:-1].lower()) + piece(word[-1]))
+                    continue
+            others.append(len(each))
+            each.append([])
+        for k, e in zip(others, self.tokenizer.encode_batch([words[k] for k in others], add_special_tokens=False)):
+            each[k] = e.ids
+        size = np.array([len(e) for e in each], np.int64)
+        self.first.append(self.total + np.cumsum(size) - size)
+        self.size.append(size)
+        self.ids.append(np.array([i for e in each for i in e], np.uint32))
+        self.total += int(size.sum())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts together, and how many each has."""
