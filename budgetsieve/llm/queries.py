@@ -35,6 +35,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from budgetsieve.llm.ngram_join import link
+
+    return link(documents(spark, sf_dir))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from budgetsieve.llm.html_text import extract
 
@@ -62,6 +68,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_html_text": op2_html_text,
     "op3_token_files": op3_token_files,
     "op5_language_id": op5_language_id,
@@ -73,9 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def _oracles() -> dict[str, str]:
-    from budgetsieve.llm import decontamination, line_dedup
+    from budgetsieve.llm import decontamination, line_dedup, ngram_join
 
-    return {"op6_line_dedup": line_dedup.SQL, "op10_decontamination": decontamination.SQL}
+    return {"op1_ngram_join": ngram_join.SQL, "op6_line_dedup": line_dedup.SQL, "op10_decontamination": decontamination.SQL}
 
 
 ORACLE_SQL: dict[str, str] = _oracles()
