@@ -81,15 +81,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge
     if not languages:
         return Model([], np.zeros((PLACES, 0), np.float32), np.zeros(0))
     rows = rows.sort_values(["lang", "bits"]).reset_index(drop=True)
-    x = np.unpackbits(np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-    x /= np.sqrt(x.sum(axis=1, keepdims=True))
+    bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1)
+
+    def unit(some: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(some, axis=1).astype(np.float32)
+        return x / np.sqrt(x.sum(axis=1, keepdims=True))
+
     share = max(1, landmarks // len(languages))
     picked = np.concatenate([g.index.to_numpy()[np.unique(np.linspace(0, len(g) - 1, share).astype(int))] for _, g in rows.groupby("lang")])
-    marks = x[picked]
+    marks = unit(bits[picked])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    z = (x @ marks.T) @ root
+    # rows are unpacked a few at a time: 128 kB each
+    z = np.vstack([unit(bits[i : i + 256]) @ marks.T for i in range(0, len(bits), 256)]) @ root
     y = np.where(rows["lang"].to_numpy()[:, None] == np.array(languages), 1.0, -1.0)
     # each language's rows weigh as much as the rest
     weight = np.where(y > 0, 0.5 / (y > 0).mean(axis=0), 0.5 / np.maximum((y < 0).mean(axis=0), 1e-9))
