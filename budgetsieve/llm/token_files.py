@@ -8,7 +8,8 @@ ascending doc_id order; a reader looks the lengths up in a 256-row table and
 gathers the codes with numpy.
 
 Null texts count as empty: such a document holds only the end id. Repeated rows stay separate
-documents, in a stable order. Empty tables give empty ones. Extra columns are ignored.
+documents, in a stable order; rows without a doc_id are left out. Empty tables give empty ones.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -164,7 +165,7 @@ def raw_ids(docs: DataFrame, vocabulary: str | None, end_id: int) -> DataFrame:
             start += int(ends[-1])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(F.col("doc_id").isNotNull())
     return picked.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInPandas(run, RAW)
 
 
