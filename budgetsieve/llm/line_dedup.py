@@ -71,13 +71,15 @@ class CuckooFilter:
             fits = nth.any(axis=1)
             self.table[bucket[fits], nth[fits].argmax(axis=1)] = prints[fits]
             prints, bucket = prints[~fits], bucket[~fits]
-            if turn % 2 and len(prints):  # one of each full bucket takes another's place
+            if not turn:
+                bucket = self._other(prints, bucket)
+            elif len(prints):  # one for each full bucket takes another's place, which moves on
                 _, first = np.unique(bucket, return_index=True)
-                slot = (turn // 2 + prints[first]) % 4
+                slot = (turn + prints[first]) % 4
                 out = self.table[bucket[first], slot]
                 self.table[bucket[first], slot] = prints[first]
                 prints[first] = out
-            bucket = self._other(prints, bucket)
+                bucket[first] = self._other(out, bucket[first])
         return False
 
     def contains(self, names: np.ndarray) -> np.ndarray:
