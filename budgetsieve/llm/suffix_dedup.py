@@ -18,8 +18,9 @@ A class of very many cells (a passage that a third of all documents hold) is dea
 themselves, so that no task holds it whole.
 
 Null and empty texts have no bytes; texts under 100 bytes lose nothing. doc_id tells documents apart;
-repeated rows of one doc_id with equal text count as one document and get equal results. Rows without
-a doc_id are left out. Empty tables give empty ones; extra columns are ignored.
+repeated rows of one doc_id with equal text count as one document and get equal results (rows of one
+doc_id with different texts must not be: they would share the ranges of one). Rows without a doc_id are
+left out. Empty tables give empty ones; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -204,12 +205,17 @@ def pieces(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
+        last = None
         for batch in batches:
             rows = []
             for doc_id, text, cells in zip(batch["doc_id"].tolist(), batch["text"], batch["cells"]):
-                raw = text.encode()
+                if doc_id == last:  # a repeated row
+                    continue
+                last, raw = doc_id, text.encode()
                 for cell in sorted(cells, key=lambda c: c["cell"]):
                     first, n = cell["cell"] >> 8, cell["cell"] & 255
+                    if first + n + length - 1 > len(raw):
+                        continue
                     if len(seen) > REMEMBERED:
                         seen.clear()
                     parts = [(first, n, cell["name"])] if not cell["crowded"] else [(first + i, 1, None) for i in range(n)]
@@ -232,6 +238,8 @@ def repeated_runs(segments: DataFrame, length: int = LENGTH) -> DataFrame:
     def judge(keys: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, raw: list[bytes]) -> list[pd.DataFrame]:
         out = []
         order = np.lexsort((at, doc))
+        # segments of repeated rows come twice
+        order = order[(np.diff(doc[order], prepend=doc[order[0]] - 1) != 0) | (np.diff(at[order], prepend=-1) != 0)]
         seen: set[bytes] = set()
         whole = []
         for k in order.tolist():
@@ -241,7 +249,7 @@ def repeated_runs(segments: DataFrame, length: int = LENGTH) -> DataFrame:
                 seen.add(raw[k])
         if whole:
             out.append(pd.DataFrame({"doc_id": doc[whole], "start": at[whole], "n": n[whole]}))
-        left = np.setdiff1d(np.arange(len(raw)), whole)
+        left = np.setdiff1d(order, whole)
         _, inverse, counts = np.unique(keys[left], return_inverse=True, return_counts=True)
         left = left[counts[inverse] > 1]  # within one cell no two strings are equal
         if len(left):
@@ -313,6 +321,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> Dat
                 kept, removed, n = raw, 0, 0
                 if found is not None and len(found):
                     low, high = removed_ranges(np.array([r["start"] for r in found]), np.array([r["n"] for r in found]), length)
+                    low, high = low[high <= len(raw)], high[high <= len(raw)]
                     cuts = np.concatenate(([0], np.stack((low, high), axis=1).reshape(-1), [len(raw)])).tolist()
                     kept = b"".join([raw[i:j] for i, j in zip(cuts[::2], cuts[1::2])])
                     removed, n = int((high - low).sum()), len(low)
