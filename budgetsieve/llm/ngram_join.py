@@ -9,7 +9,8 @@ Links are confirmed on the whole sets, in two steps that together lose no link b
 2. What is left are pairs that share a bucket and lie in different components. Small buckets give
    their pairs directly. Documents of larger ones sign once more with four times as many parts, listed
    from the rarest (counted over these documents) to the most common, so that what a large group
-   has in common isn't what its members are compared by.
+   has in common isn't what its members are compared by. Pairs whose profiles (counts of n-grams in
+   ranges of hashes) already differ too much can't be links and are never made.
 
 Null texts and texts without words have empty sets and are linked with nothing. Repeated rows of one
 doc_id count as one document when their sets are equal. Empty tables give empty ones; extra columns are
@@ -32,27 +33,29 @@ from budgetsieve.llm.ngram_sets import PartEnum, jaccard_at_least, ngrams
 
 #: Members up to which a bucket gives its pairs directly.
 SMALL_BUCKET = 24
+#: Ranges of hashes in a set's profile, as a power of two.
+PROFILE_BITS = 6
 
-SIGNED = "doc_id long, n_shingles long, digest binary, signatures array<long>"
+def set_sizes(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, set size and digest of the set."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [ngrams(t, width) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, "doc_id long, n_shingles long, digest binary")
 
 
-def sign(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, set size, digest of the set and its signatures."""
+def signatures_of(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, signature) of each text (id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scheme = PartEnum(percent / 100)
         for batch in batches:
-            sets = [ngrams(t, width) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n_shingles": [len(s) for s in sets],
-                    "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                    "signatures": [scheme.sign(s).view(np.int64) for s in sets],
-                }
-            )
+            yield pd.DataFrame({"id": batch["id"], "signatures": [scheme.sign(ngrams(t, width)).view(np.int64) for t in batch["text"]]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, SIGNED)
+    return texts.mapInPandas(run, "id long, signatures array<long>").select("id", F.explode("signatures").alias("signature"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -95,11 +98,32 @@ def rare_signatures(texts: DataFrame, width: int, percent: int) -> DataFrame:
     return ranked.where((F.col("place") <= F.col("must")) & F.col("df").isNotNull()).select("signature", "id").distinct()
 
 
-def cross_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket (signature, id, component) that lie in different components."""
-    one = buckets.select("signature", F.col("id").alias("a"), F.col("component").alias("ca"))
-    two = buckets.select("signature", F.col("id").alias("b"), F.col("component").alias("cb"))
-    return one.join(two, "signature").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+def profiled(texts: DataFrame, width: int) -> DataFrame:
+    """Adds a text's set size and how many of its n-grams fall into each of PROFILE ranges of hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [ngrams(t, width) for t in batch["text"]]
+            batch["n"] = [len(s) for s in sets]
+            batch["profile"] = [np.bincount((s >> np.uint64(64 - PROFILE_BITS)).astype(np.int64), minlength=1 << PROFILE_BITS).astype(np.int32) for s in sets]
+            yield batch
+
+    return texts.mapInPandas(run, "id long, text string, n long, profile array<int>")
+
+
+def cross_pairs(buckets: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket (signature, id, component) that lie in different components and may be similar.
+
+    Sets of sizes m and n are similar enough only if they differ in at most (100 - p) / (100 + p) of
+    m + n elements, and they differ in at least the sum of their profiles' differences: pairs beyond
+    that are no links, and the join's condition leaves them out.
+    """
+    each = buckets.select("signature", "id", "component").join(profiles.select("id", "n", "profile"), "id")
+    one = each.select("signature", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("profile").alias("pa"))
+    two = each.select("signature", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    may = (one["signature"] == two["signature"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
+    return one.join(two, may).select("a", "b").distinct()
 
 
 def split_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -112,16 +136,19 @@ def split_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included)."""
     prepare(docs.sparkSession)
-    signed = materialise(sign(docs, width, percent), "signed")
+    signed = materialise(set_sizes(docs, width), "set-sizes")
     classes = materialise(signed.where(F.col("n_shingles") > 0).groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
-    signatures = signed.join(classes.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("id"), F.explode("signatures").alias("signature"))
-    shared = signatures.groupBy("signature").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where(F.col("n") > 1)
-    buckets = materialise(signatures.join(shared.select("signature", "leader"), "signature").distinct(), "buckets")
+    picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.col("text").isNotNull())
+    text = F.first("text").alias("text")  # repeated rows of one doc_id
+    # Signatures move once. A document spreads over a hundred of them and more, so that even a group of a
+    # third of all documents gives none of them more than a few hundredths of a per cent of the rows.
+    by_signature = Window.partitionBy("signature")
+    signatures = signatures_of(picked.join(classes.select("id"), "id", "left_semi"), width, percent)
+    shared = signatures.withColumns({"leader": F.min("id").over(by_signature), "last": F.max("id").over(by_signature)}).where(F.col("leader") < F.col("last"))
+    buckets = materialise(shared.select("signature", "id", "leader").distinct(), "buckets")
 
     members = buckets.select("id").distinct()
-    text = F.first("text").alias("text")  # repeated rows of one doc_id
-    picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.col("text").isNotNull())
-    texts = materialise(picked.join(members, "id", "left_semi").groupBy("id").agg(text), "texts")
+    texts = materialise(profiled(picked.join(members, "id", "left_semi").groupBy("id").agg(text), width), "texts")
 
     most = Window.partitionBy("b").orderBy(F.desc("n"), "a")
     stars = buckets.where(F.col("id") != F.col("leader")).groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n"))
@@ -132,8 +159,8 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     open_buckets = materialise(split_buckets(buckets.select("signature", "id"), labels), "open-buckets")
     small = open_buckets.where(F.col("size") <= SMALL_BUCKET)
     crowded = open_buckets.where(F.col("size") > SMALL_BUCKET).select("id").distinct()
-    fine = split_buckets(rare_signatures(texts.join(crowded, "id", "left_semi"), width, percent), labels)
-    pairs = cross_pairs(small).unionByName(cross_pairs(fine)).distinct()
+    fine = split_buckets(rare_signatures(texts.select("id", "text").join(crowded, "id", "left_semi"), width, percent), labels)
+    pairs = cross_pairs(small, texts, percent).unionByName(cross_pairs(fine, texts, percent)).distinct()
     more = materialise(confirm(pairs, texts, width, percent), "links")
 
     final = components(edges.unionByName(more))
