@@ -14,6 +14,8 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -58,6 +60,15 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return codes
 
 
+#: Letters, then ASCII marks other than the apostrophe: one or two pre-tokens.
+_PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+#: Letters whose lower case depends on what surrounds them, or is longer.
+_SPECIAL_CASE = re.compile("[\u03a3\u0130]")
+#: The usual byte alphabet: visible Latin-1 characters stand for themselves, the others follow from 256 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_VISIBLE))}
+
+
 class WordTokens:
     """Ids of texts by a tokenizer that never joins across white space: each distinct word once.
 
@@ -73,9 +84,9 @@ class WordTokens:
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Whether runs of a-z and single marks go to the model as they are (lower-cased).
-        plain = [t.id for t in self.tokenizer.model.tokenize("plain")] + [t.id for t in self.tokenizer.model.tokenize(".")]
-        self.plain = self.tokenizer.encode("Plain.", add_special_tokens=False).ids == plain
+        #: Whether runs of letters (lower-cased) and of marks go to the model by themselves.
+        plain = [t.id for p in ("pl" + "é".encode().decode("latin-1").translate(_BYTE_CHARS), "!.") for t in self.tokenizer.model.tokenize(p)]
+        self.plain = self.tokenizer.encode("PlÉ!.", add_special_tokens=False).ids == plain
         self._forget()
 
     def _forget(self) -> None:
@@ -94,14 +105,14 @@ class WordTokens:
         """Appends the ids of words to the table: plain words straight from the model, others by the whole tokenizer."""
         each: list[list[int]] = []
         others, piece = [], self._piece
+        match, normal = _PLAIN.fullmatch, unicodedata.is_normalized
         for word in words:
-            if self.plain and word.isascii():
-                if word.isalpha():
-                    each.append(piece(word.lower()))
-                    continue
-                if word[-1:] in (".", ",") and word[:-1].isalpha():
-                    each.append(piece(word[:-1].lower()) + piece(word[-1]))
-                    continue
+            if self.plain and (m := match(word)) and (word.isascii() or (m[1].isalpha() and normal("NFC", word) and not _SPECIAL_CASE.search(word))):
+                core, tail = m[1].lower(), m[2]
+                if not core.isascii():
+                    core = core.encode().decode("latin-1").translate(_BYTE_CHARS)
+                each.append(piece(core) + piece(tail) if tail else piece(core))
+                continue
             others.append(len(each))
             each.append([])
         for k, e in zip(others, self.tokenizer.encode_batch([words[k] for k in others], add_special_tokens=False)):
