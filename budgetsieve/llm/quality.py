@@ -51,7 +51,7 @@ _places = _Places()
 
 
 def features(text: str) -> np.ndarray:
-    """The distinct hashed places of a text's words and of its shape."""
+    """The distinct hashed places of a text's words, their first four and five bytes (for inflected words), and its shape."""
     raw = text.encode()
     words = raw.translate(_WORDS).split()
     n = max(1, len(raw))
@@ -62,7 +62,9 @@ def features(text: str) -> np.ndarray:
         b"\x01length%d" % min(12, len(words).bit_length()),
         b"\x01fresh%d" % (10 * len(set(words)) // max(1, len(words))),
     )
-    return np.unique(np.fromiter(map(_places.__getitem__, {*words, *shape}), np.int32))
+    distinct = set(words)
+    heads = {b"\x02" + w[:4] for w in distinct} | {b"\x03" + w[:5] for w in distinct}
+    return np.unique(np.fromiter(map(_places.__getitem__, {*distinct, *heads, *shape}), np.int32))
 
 
 @dataclass
