@@ -195,7 +195,7 @@ def _(s):
 
 @query("legacy_final", "o", f"{_NOV} SELECT item_id, round(mu - 0.7e0 * zc + 0.1e0 * zn - 0.1e0 * alert, 6) AS final FROM z")
 def _(s):
-    return rounded(final_scores(s.o, "rabvs").select("item_id", "final"), "final")
+    return rounded(final_scores(s.o, "legacy").select("item_id", "final"), "final")
 
 
 @query("acquisition_scores", "o", f"{_NOV} SELECT item_id, round(mu, 6) AS budgeted, round(mu - 0.05e0 * alert, 6) AS clean, round(mu + zc - 0.7e0 * zc - 0.2e0 * alert - 0.1e0 * zc, 6) AS legacy FROM z")

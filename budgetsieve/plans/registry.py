@@ -24,8 +24,8 @@ class Method:
 def _family() -> dict[str, Method]:
     out = {
         "random": Method("random", None, "random"),
-        "rabvs_no_partition_reliable": Method("greedy", None, "risk"),
-        "boba_ucb": Method("budgeted", "ucb", "mu"),
+        "no_partition_reliable": Method("greedy", None, "risk"),
+        "arm_ucb": Method("budgeted", "ucb", "mu"),
     }
     for name in ("greedy_surrogate", "rf_greedy", "et_greedy", "knn_similarity"):
         out[name] = Method("greedy", None, "mu")
@@ -33,8 +33,8 @@ def _family() -> dict[str, Method]:
         out[name] = Method("uncertainty", None, "mu")
     for name in ("rf_ucb", "et_ucb"):
         out[name] = Method("ucb", None, "mu")
-    budgeted = "rabvs_budgeted_"
-    for name in ("boba_risk_final", budgeted + "reliable"):
+    budgeted = "budgeted_"
+    for name in ("arm_risk_final", budgeted + "reliable"):
         out[name] = Method("budgeted", "ucb", "risk")
     out[budgeted + "reliable_random_parts"] = Method("budgeted", "random", "risk")
     out[budgeted + "reliable_clean_acq"] = Method("clean", "ucb", "risk")
@@ -56,14 +56,14 @@ def _family() -> dict[str, Method]:
     for name in R.RRF_WEIGHTS:
         out[f"{budgeted}no_ucb_pareto_rrf" + ("" if name == "default" else f"_{name}")] = Method("budgeted", "no_ucb", "rrf", (("weights", name),))
     for name, w, u, final in (
-        ("rabvs", 0.7, 1.5, "legacy"), ("rabvs_mean_final", 0.7, 1.5, "mu"), ("rabvs_conf03", 0.3, 1.5, "legacy"), ("rabvs_no_conf", 0.0, 1.5, "legacy"),
-        ("rabvs_alloc_u05_mean", 0.3, 0.5, "mu"), ("rabvs_alloc_u0_mean", 0.0, 0.0, "mu"), ("rabvs_hit", 0.0, 0.0, "mu"),
-        ("rabvs_risk_constrained", 0.7, 1.5, "cut"), ("rabvs_alloc_u0_risk", 0.7, 0.0, "cut"), ("rabvs_reliable", 0.0, 0.0, "cut"), ("rabvs_reliable_q90", 0.0, 0.0, "cut"), ("rabvs_reliable_combo", 0.0, 0.0, "combo"),
+        ("legacy", 0.7, 1.5, "legacy"), ("legacy_mean_final", 0.7, 1.5, "mu"), ("legacy_conf03", 0.3, 1.5, "legacy"), ("legacy_no_conf", 0.0, 1.5, "legacy"),
+        ("legacy_alloc_u05_mean", 0.3, 0.5, "mu"), ("legacy_alloc_u0_mean", 0.0, 0.0, "mu"), ("legacy_hit", 0.0, 0.0, "mu"),
+        ("legacy_risk_constrained", 0.7, 1.5, "cut"), ("legacy_alloc_u0_risk", 0.7, 0.0, "cut"), ("legacy_reliable", 0.0, 0.0, "cut"), ("legacy_reliable_q90", 0.0, 0.0, "cut"), ("legacy_reliable_combo", 0.0, 0.0, "combo"),
     ):
         out[name] = Method("legacy", "legacy", final, (("w", w), ("u", u), ("q", 0.9 if name.endswith("q90") else 0.75)))
     out["full_greedy"] = Method("greedy", None, "mu")
     out["true_budgeted_reliable"] = Method("budgeted", "no_ucb", "rrf", (("weights", "no_conf"),))
-    out["true_boba_risk_ranked"] = Method("budgeted", "bandit", "rrf", (("weights", "no_conf"),))
+    out["true_arm_risk_ranked"] = Method("budgeted", "bandit", "rrf", (("weights", "no_conf"),))
     return out
 
 
