@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from budgetsieve.functions.expr import hash_order
-from budgetsieve.operators.ranking import KEYS
+from budgetsieve.operators.ranking import KEYS, range_rank
 
 
 def placed(df: DataFrame, keys: Sequence[str], seed: int, purpose: str, name: str = "place") -> DataFrame:
@@ -60,8 +60,8 @@ def budget_fill(pool: DataFrame, part_ranks: DataFrame, budget: Column | int, re
 
 
 def upsample(pool: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """size rows drawn with replacement by hash."""
+    """size rows drawn with replacement by hash; rows are numbered in range partitions, not in one task."""
     n = pool.count()
-    numbered = pool.withColumn("__i", F.row_number().over(Window.orderBy("item_id")) - 1)
+    numbered = range_rank(pool, [F.col("item_id")], "__i")
     draws = pool.sparkSession.range(size).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("__i"))
     return draws.join(numbered, "__i").drop("__i")

@@ -116,7 +116,8 @@ def test_stratified_split_leaves_one(spark):
     assert got[1] is False and sum(got.values()) == 1
 
 
-def test_samples_are_nested_and_bounded(pool):
+def test_samples_are_nested_and_bounded(spark, pool):
+    sinks.ensure_checkpoint_dir(spark)
     small = {r["item_id"] for r in S.reservoir_fixed(pool, 2).collect()}
     large = {r["item_id"] for r in S.reservoir_fixed(pool, 5).collect()}
     assert small <= large and len(small) == 8 and len(large) == 20
