@@ -24,12 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetsieve.llm.common import chunked, prepare, text_or_empty
+from budgetsieve.llm.common import chunked, own_cache, prepare, text_or_empty
 
 #: Chunks whose ids a Python worker remembers; beyond it the memory starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 #: Bytes of text whose unseen pre-tokens wait in one queue together.
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 4_000_000
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long"
 
@@ -280,6 +280,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
         import public_tokenizers
 
         c = codec(vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
+        own_cache("byte_bpe", c.known)
         for ids_of, texts in chunked(batches, BATCH_BYTES):
             encoded = c.encode(texts)
             decoded = [c.decode(ids) for ids in encoded]

@@ -88,3 +88,18 @@ def chunked(batches, limit: int):
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
+
+
+_caches: dict[str, object] = {}
+
+
+def own_cache(name: str, cache) -> None:
+    """Tells that a worker process now fills this cache: those of other operators are emptied.
+
+    Worker processes live on between stages, and what they remember counts against the executor.
+    """
+    _caches[name] = cache
+    for other, held in list(_caches.items()):
+        if other != name:
+            held.clear()
+            del _caches[other]

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from budgetsieve.llm.common import prepare, text_or_empty
+from budgetsieve.llm.common import own_cache, prepare, text_or_empty
 
 WINDOW = 10
 #: Bytes of benchmark text that one pass sends to the executors.
@@ -130,6 +130,7 @@ def contamination_column(benchmark: DataFrame, text: Column, window: int = WINDO
 
     @F.pandas_udf(RESULT)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own_cache("decontamination", {})
         matchers = [Benchmark(p, window) for p in parts]
         for batch in batches:
             rows = []

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from budgetsieve.llm.common import materialise, prepare, text_or_empty
+from budgetsieve.llm.common import materialise, own_cache, prepare, text_or_empty
 
 LEAST = 10
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -111,6 +111,7 @@ def postings_of(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id and each distinct key of its lines."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_cache("line_dedup", {})
         for batch in batches:
             ids, keys = [], []
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"]):

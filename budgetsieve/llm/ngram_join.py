@@ -27,9 +27,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from budgetsieve.llm.common import materialise, prepare, text_or_empty
+from budgetsieve.llm.common import materialise, own_cache, prepare, text_or_empty
 from budgetsieve.llm.components import components
-from budgetsieve.llm.ngram_sets import PartEnum, jaccard_at_least, ngrams
+from budgetsieve.llm.ngram_sets import PartEnum, word_hashes, jaccard_at_least, ngrams
 
 #: Members up to which a bucket gives its pairs directly.
 SMALL_BUCKET = 24
@@ -40,6 +40,7 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, set size and digest of the set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_cache("ngrams", word_hashes)
         for batch in batches:
             sets = [ngrams(t, width) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]})
@@ -51,6 +52,7 @@ def signatures_of(texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, signature) of each text (id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_cache("ngrams", word_hashes)
         scheme = PartEnum(percent / 100)
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "signatures": [scheme.sign(ngrams(t, width)).view(np.int64) for t in batch["text"]]})
@@ -62,6 +64,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     """The pairs (a, b) whose whole sets are similar enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_cache("ngrams", word_hashes)
         last, held = None, None
         for batch in batches:
             rows = []
@@ -82,6 +85,7 @@ def rare_signatures(texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(signature, id): finer parts, the rarest first, as many as must meet."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_cache("ngrams", word_hashes)
         scheme = PartEnum(percent / 100, spread=4)
         for batch in batches:
             for i, text in zip(batch["id"].tolist(), batch["text"]):
@@ -102,6 +106,7 @@ def profiled(texts: DataFrame, width: int) -> DataFrame:
     """Adds a text's set size and how many of its n-grams fall into each of PROFILE ranges of hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_cache("ngrams", word_hashes)
         for batch in batches:
             sets = [ngrams(t, width) for t in batch["text"]]
             batch["n"] = [len(s) for s in sets]

@@ -19,13 +19,13 @@ class _WordHashes(dict):
     """Words to 64-bit hashes, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_hashes = _WordHashes()
+word_hashes = _WordHashes()
 
 
 def ngrams(text: str | None, width: int) -> np.ndarray:
@@ -37,7 +37,7 @@ def ngrams(text: str | None, width: int) -> np.ndarray:
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
     n = min(width, len(w))
     h = w[: len(w) - n + 1] * _M1
     for i in range(1, n):

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from budgetsieve.llm.common import prepare, text_or_empty
+from budgetsieve.llm.common import own_cache, prepare, text_or_empty
 
 PLACES = 1 << 18
 SAMPLE, LEAST_DOCUMENTS, PENALTY = 8000, 4, 1.0
@@ -41,7 +41,7 @@ class _Places(dict):
     """Words to hashed places, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         place = self[word] = zlib.crc32(word) & (PLACES - 1)
         return place
@@ -160,6 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_cache("quality", _places)
         for batch in batches:
             yield pd.DataFrame({"grade": batch["grade"], "x": [features(t).tobytes() for t in batch["text"]]})
 
@@ -181,6 +182,7 @@ def rating_column(model: Model, text: Column) -> Column:
 
     @F.pandas_udf(RESULT)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own_cache("quality", _places)
         for batch in batches:
             if not len(model.thresholds):
                 tails = np.ones((len(batch), GRADES - 1))

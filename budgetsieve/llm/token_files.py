@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetsieve.llm.common import chunked, materialise, prepare, text_or_empty
+from budgetsieve.llm.common import chunked, materialise, own_cache, prepare, text_or_empty
 
 #: Ids in one block; a longer document has a block of its own.
 BLOCK_IDS = 262_144
@@ -164,6 +164,7 @@ def raw_ids(docs: DataFrame, vocabulary: str | None, end_id: int) -> DataFrame:
         path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
         if path not in _tokens:
             _tokens[path] = WordTokens(path)
+        own_cache("token_files", _tokens)
         wide = "<u2" if max(_tokens[path].tokenizer.get_vocab_size(), end_id) <= 1 << 16 else "<u4"
         part, start = TaskContext.get().partitionId(), 0
         for doc_ids, texts in chunked(batches, BATCH_BYTES):
