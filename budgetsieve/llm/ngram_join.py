@@ -1,7 +1,7 @@
 """N-gram Jaccard join with PartEnum signatures.
 
 Documents with equal sets of word n-grams form classes; the smallest doc_id stands for its class.
-Class representatives sign (see :class:`PartEnum`), and only signatures that two of them share go on.
+Sets are signed (see :class:`PartEnum`), and only signatures that two different sets share go on.
 Links are confirmed on the whole sets, in two steps that together lose no link between components:
 
 1. In every bucket the smallest id leads. Each document is compared with the leader that it shares
@@ -36,6 +36,10 @@ SMALL_BUCKET = 24
 #: Ranges of hashes in a set's profile, as a power of two.
 PROFILE_BITS = 6
 
+def digest_of(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
 def set_sizes(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, set size and digest of the set."""
 
@@ -43,21 +47,22 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
         own_cache("ngrams", word_hashes)
         for batch in batches:
             sets = [ngrams(t, width) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "digest": [digest_of(s) for s in sets]})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, "doc_id long, n_shingles long, digest binary")
 
 
-def signatures_of(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, signature) of each text (id, text)."""
+def signatures_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, signature) of each document; its node is 64 bits of its set's digest, the same for equal sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own_cache("ngrams", word_hashes)
         scheme = PartEnum(percent / 100)
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "signatures": [scheme.sign(ngrams(t, width)).view(np.int64) for t in batch["text"]]})
+            sets = [ngrams(t, width) for t in batch["text"]]
+            yield pd.DataFrame({"node": [int.from_bytes(digest_of(s)[:8], "big", signed=True) for s in sets], "signatures": [scheme.sign(s).view(np.int64) for s in sets]})
 
-    return texts.mapInPandas(run, "id long, signatures array<long>").select("id", F.explode("signatures").alias("signature"))
+    return docs.select(text_or_empty().alias("text")).mapInPandas(run, "node long, signatures array<long>").select("node", F.explode("signatures").alias("signature"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -145,15 +150,17 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     classes = materialise(signed.where(F.col("n_shingles") > 0).groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.col("text").isNotNull())
     text = F.first("text").alias("text")  # repeated rows of one doc_id
-    # Signatures move once. A document spreads over a hundred of them and more, so that even a group of a
-    # third of all documents gives none of them more than a few hundredths of a per cent of the rows.
+    # Signatures move once, and texts don't. A document spreads over a hundred of them and more, so that even
+    # a group of a third of all documents gives none of them more than a few hundredths of a per cent of the
+    # rows. Equal sets have one node; should two different ones share it, both become candidates.
     by_signature = Window.partitionBy("signature")
-    signatures = signatures_of(picked.join(classes.select("id"), "id", "left_semi"), width, percent)
-    shared = signatures.withColumns({"leader": F.min("id").over(by_signature), "last": F.max("id").over(by_signature)}).where(F.col("leader") < F.col("last"))
-    buckets = materialise(shared.select("signature", "id", "leader").distinct(), "buckets")
+    shared = signatures_of(docs, width, percent).withColumns({"low": F.min("node").over(by_signature), "high": F.max("node").over(by_signature)}).where(F.col("low") < F.col("high"))
+    met = materialise(shared.select("signature", "node").distinct(), "met")
+    named = met.join(classes.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("node"), "id"), "node").select("signature", "id")
+    buckets = materialise(named.withColumn("leader", F.min("id").over(by_signature)), "buckets")
 
     members = buckets.select("id").distinct()
-    texts = materialise(profiled(picked.join(members, "id", "left_semi").groupBy("id").agg(text), width), "texts")
+    texts = materialise(profiled(picked.join(members.hint("merge"), "id", "left_semi").groupBy("id").agg(text), width), "texts")
 
     most = Window.partitionBy("b").orderBy(F.desc("n"), "a")
     stars = buckets.where(F.col("id") != F.col("leader")).groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n"))
