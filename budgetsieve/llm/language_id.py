@@ -75,8 +75,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge
             yield pd.DataFrame({"lang": batch["lang"], "bits": [np.packbits(presence(t)).tobytes() for t in batch["text"]]})
 
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}") & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
-    chosen = usable.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
-    rows = chosen.select("lang", "text").mapInPandas(run, "lang string, bits binary").toPandas()
+    # ids are chosen first, so that no task gathers texts; at most ``sample`` ids are joined to them
+    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = usable.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = texts.select("lang", "text").mapInPandas(run, "lang string, bits binary").toPandas()
     languages = sorted(rows["lang"].unique())
     if not languages:
         return Model([], np.zeros((PLACES, 0), np.float32), np.zeros(0))
