@@ -9,7 +9,8 @@ least one half.
 The model is fitted on at most ``sample`` labelled documents (hash order of doc_id); counts of
 words in that sample choose the words that get a weight. Each document is scored on its whole
 text. Null and empty texts have no words and are scored by the thresholds alone. Labels with nulls
-are ignored; repeated labels of one document give its lowest grade. With no usable labels, or with
+are ignored; repeated labels of one document give its lowest grade, and of rows that repeat a doc_id
+the least text is learned from. With no usable labels, or with
 one grade only, every document keeps tail probability 1 and is kept. Repeated rows get equal results; empty tables
 give empty ones; extra columns are ignored by :func:`rate` and kept by :func:`keep_good`.
 """
@@ -167,8 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     graded = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min(grade).alias("grade"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInPandas(run, "grade int, x binary").toPandas()
-    rows = rows.sort_values(["grade", "x"]).head(4 * sample)
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text"))
+    rows = texts.select("grade", "text").mapInPandas(run, "grade int, x binary").toPandas().sort_values(["grade", "x"])
     if not len(rows):
         return Model(np.zeros(PLACES, np.float32), np.zeros(0))
     return fit_ordinal([np.frombuffer(x, np.int32) for x in rows["x"]], rows["grade"].to_numpy())

@@ -467,6 +467,17 @@ def test_quality(spark, sf_dir, odd, empty):
     assert len(quality.fit(odd, nulls).thresholds) == 0
 
 
+def test_quality_learns_from_one_row_of_each_document(spark):
+    rows = [(i, f"{'foul' if i % 2 else 'fair'} words {WORDS[i % 18]}") for i in range(1, 41)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    once = quality.fit(docs, labels, sample=40)
+    # one document of the lowest grade repeated beyond any multiple of the sample
+    again = docs.where("doc_id = 1").crossJoin(spark.range(400)).select("doc_id", "text")
+    often = quality.fit(docs.unionByName(again), labels, sample=40)
+    assert np.isfinite(often.thresholds).all() and np.array_equal(once.weights, often.weights) and np.array_equal(once.thresholds, often.thresholds)
+    assert quality.rate(docs, often).where("keep <> (doc_id % 2 = 0)").count() == 0
+
+
 def test_ordinal_recovers_order():
     rng = np.random.default_rng(0)
     rows, grades = [], []
