@@ -7,7 +7,7 @@ probability P(grade >= 2) select documents; a document is kept where the tail pr
 least one half.
 
 The model is fitted on at most ``sample`` labelled documents (hash order of doc_id); counts of
-words in that sample choose the words that get a weight. Each document is scored on its whole
+words in that sample choose the words that get a weight, and counts by grade how freely. Each document is scored on its whole
 text. Null and empty texts have no words and are scored by the thresholds alone. Labels with nulls
 are ignored; repeated labels of one document give its lowest grade, and of rows that repeat a doc_id
 the least text is learned from. With no usable labels, or with
@@ -30,6 +30,7 @@ from budgetsieve.llm.common import own_cache, prepare, text_or_empty
 
 PLACES = 1 << 18
 SAMPLE, LEAST_DOCUMENTS, PENALTY = 8000, 4, 1.0
+LEAST_EVIDENCE, DOUBT = 6.0, 16.0  # places that tell the grades apart by fewer nats have a penalty so many times larger
 GRADES = 3
 
 _WORDS = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
@@ -52,7 +53,7 @@ _places = _Places()
 
 
 def features(text: str) -> np.ndarray:
-    """The distinct hashed places of a text's words, their first four and five bytes (for inflected words), and its shape."""
+    """The distinct hashed places of a text's words, their first four, six and eight bytes (for inflected words), and its shape."""
     raw = text.encode()
     words = raw.translate(_WORDS).split()
     n = max(1, len(raw))
@@ -64,7 +65,7 @@ def features(text: str) -> np.ndarray:
         b"\x01fresh%d" % (10 * len(set(words)) // max(1, len(words))),
     )
     distinct = set(words)
-    heads = {b"\x02" + w[:4] for w in distinct} | {b"\x03" + w[:5] for w in distinct}
+    heads = {b"\x02" + w[:4] for w in distinct if len(w) >= 4} | {b"\x03" + w[:6] for w in distinct if len(w) >= 6} | {b"\x04" + w[:8] for w in distinct if len(w) >= 8}
     return np.unique(np.fromiter(map(_places.__getitem__, {*distinct, *heads, *shape}), np.int32))
 
 
@@ -111,6 +112,24 @@ def minimise(f, x: np.ndarray, steps: int = 60, memory: int = 8) -> np.ndarray:
     return x
 
 
+def evidence(rows: list[np.ndarray], grades: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Log likelihood ratio of each place's presence against the best cut of the grades into low and high."""
+    best = np.zeros(len(counts))
+    n = len(rows)
+
+    def gain(low: np.ndarray, size: np.ndarray, share: float) -> np.ndarray:
+        q = low / np.maximum(size, 1)
+        some, others = np.where(q > 0, q, 1.0), np.where(q < 1, 1 - q, 1.0)
+        return size * (q * np.log(some / share) + (1 - q) * np.log(others / (1 - share)))
+
+    for cut in np.unique(grades)[:-1]:
+        below = [r for r, g in zip(rows, grades) if g <= cut]
+        low = np.bincount(np.concatenate(below), minlength=len(counts))
+        share = len(below) / n
+        best = np.maximum(best, gain(low, counts, share) + gain(len(below) - low, n - counts, share))
+    return best
+
+
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, penalty: float = PENALTY) -> Model:
     """Weights and ordered thresholds by penalised maximum likelihood."""
     there = np.unique(grades)
@@ -118,6 +137,8 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, penalty: float = PEN
         return Model(np.zeros(PLACES, np.float32), np.zeros(0))
     counts = np.bincount(np.concatenate(rows), minlength=PLACES)
     used = np.flatnonzero((counts >= LEAST_DOCUMENTS) & (counts < len(rows)))
+    # one penalty for all would spread the weight of few telling words over thousands that tell little
+    held = np.where(evidence(rows, grades, counts)[used] >= LEAST_EVIDENCE, penalty, penalty * DOUBT)
     column = np.full(PLACES, -1, np.int64)
     column[used] = np.arange(len(used))
     picked = [c[c >= 0] for c in (column[r] for r in rows)]
@@ -139,10 +160,10 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, penalty: float = PEN
         a, b = np.where(np.isinf(up), 1.0, cdf(up)), np.where(np.isinf(low), 0.0, cdf(low))
         prob = np.maximum(a - b, 1e-12)
         da, db = a * (1 - a) / prob, b * (1 - b) / prob
-        g_w = np.bincount(at, (da - db)[row], minlength=len(w)) + penalty * w
+        g_w = np.bincount(at, (da - db)[row], minlength=len(w)) + held * w
         g_cut = np.array([-(da[y == j].sum() - db[y == j + 1].sum()) for j in range(k)])
         g_p = np.array([g_cut.sum(), *[np.exp(p[-k:][j]) * g_cut[j:].sum() for j in range(1, k)]])
-        return float(-np.log(prob).sum() + penalty * (w @ w) / 2), np.concatenate((g_w, g_p))
+        return float(-np.log(prob).sum() + (held * w) @ w / 2), np.concatenate((g_w, g_p))
 
     share = np.cumsum(np.bincount(y)[:-1]) / len(y)
     start = np.log(share / (1 - share))

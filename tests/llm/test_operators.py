@@ -467,6 +467,18 @@ def test_quality(spark, sf_dir, odd, empty):
     assert len(quality.fit(odd, nulls).thresholds) == 0
 
 
+def test_quality_on_unseen_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    model = quality.fit(docs, labels.where("doc_id % 3 > 0"))
+    held = quality.rate(docs, model).join(labels.where("doc_id % 3 = 0"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    toxic, good = held[held["toxic"] == 1], held[(held["toxic"] == 0) & (held["quality"] == 1)]
+    assert (~toxic["keep"]).mean() > 0.8 and good["keep"].mean() > 0.95
+    assert toxic["expected_grade"].mean() < good["expected_grade"].mean() - 0.8
+    # inflected words of each language are told, not those of the commonest one alone
+    assert (toxic.groupby("lang")["keep"].mean() < 0.2).all()
+
+
 def test_quality_learns_from_one_row_of_each_document(spark):
     rows = [(i, f"{'foul' if i % 2 else 'fair'} words {WORDS[i % 18]}") for i in range(1, 41)]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
