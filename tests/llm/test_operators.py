@@ -413,6 +413,29 @@ def test_html(spark):
     assert html_text.extract(pages).where("n_chars <> char_length(text)").count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_html_templates_and_copies(spark, parts):
+    long = "".join(f"<div>Template line {k} of the whole site, on every page</div>" for k in range(6))
+    body = "<p>A quoted passage that two pages share, longer than what either has of its own</p>"
+    rows = [(k, f"http://a.org/{k}", PAGE.format(f"{long}<p>Own {k}</p>")) for k in range(10, 14)]  # short pages in a long template
+    rows += [(20 + k, "http://b.org/1", PAGE.format("<div>Menu</div><p>A page crawled nine times over</p>")) for k in range(9)]  # copies fill whole parts
+    rows += [(30, "http://b.org/2", PAGE.format("<div>Menu</div><p>Another page of this host</p>"))]
+    rows += [(40, "http://c.org/1", PAGE.format(f"{body}<p>First</p>")), (41, "http://c.org/2", PAGE.format(f"{body}<p>Second</p>"))]  # near copies
+    rows += [(k, f"http://c.org/{k}", PAGE.format(f"<p>Something else {k}</p>")) for k in (42, 43, 44)]
+    rows += [(50, "http://d.org/1", PAGE.format("<main><h1>Heading</h1><article><p>Teaser</p></article><p>Body</p></main><div>Outside</div>"))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    passage = body[3:-4]
+    assert got == {
+        **{k: f"Own {k}" for k in range(10, 14)}, **{20 + k: "A page crawled nine times over" for k in range(9)}, 30: "Another page of this host",
+        40: f"{passage}\nFirst", 41: f"{passage}\nSecond", **{k: f"Something else {k}" for k in (42, 43, 44)}, 50: "Heading\nTeaser\nBody",
+    }
+
+
 def test_common_lines():
     r = random.Random(1)
     for _ in range(60):
