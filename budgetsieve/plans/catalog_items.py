@@ -499,7 +499,7 @@ def _(s):
 
 @query("kmeans_partitions", "", "")
 def _(s):
-    return V.nearest_centroid(s.v.drop("part_id"), V.kmeans(s.v, V.partition_count(500, 16)), "part_id").groupBy("part_id").agg(F.count("*").alias("n"))
+    return V.nearest_centroid(s.v.drop("part_id"), V.kmeans(s.v, V.partition_count(s.v.count())), "part_id").groupBy("part_id").agg(F.count("*").alias("n"))
 
 
 @query("svd_projection", "", "")
@@ -514,7 +514,7 @@ def _(s):
 
 
 def _vector_pool(s):
-    targets = s.spark.range(2).select(F.col("id").cast("int").alias("target"))
+    targets = s.v.select(F.col("class").alias("target")).where("target is not null").distinct()
     return s.v.crossJoin(F.broadcast(targets)).withColumn("label", (F.col("class") == F.col("target")).cast("int")).drop("class")
 
 

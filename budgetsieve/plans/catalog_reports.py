@@ -245,12 +245,12 @@ def _(s):
 
 @query("bootstrap_ci", "", "")
 def _(s):
-    return rounded(T.bootstrap_ci(_deltas(s).select("method", "target", "seed", "delta"), ["method"], draws=200), "mean", "low", "high")
+    return rounded(T.bootstrap_ci(_deltas(s).select("method", "target", "seed", "delta"), ["method"]), "mean", "low", "high")
 
 
 @query("permutation_sampled", "", "")
 def _(s):
-    return rounded(T.permutation_sampled(_deltas(s), ["method"], draws=5000), "p")
+    return rounded(T.permutation_sampled(_deltas(s), ["method"]), "p")
 
 
 @query("matched_protocol_summary", "o", """WITH k AS (SELECT o.*, m.method, row_number() OVER (PARTITION BY target, m.method ORDER BY CASE m.method WHEN 'greedy' THEN mu WHEN 'uncertainty' THEN u_conf WHEN 'clean' THEN mu - 0.05e0 * alert ELSE 0 END DESC, item_id) AS place FROM o, (VALUES ('greedy'), ('uncertainty'), ('clean')) m(method))
