@@ -44,4 +44,5 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("the components did not settle")
     labels = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return labels.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+    labels = labels.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+    return materialise(labels, "components")

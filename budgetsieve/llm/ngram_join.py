@@ -2,15 +2,18 @@
 
 Documents with equal sets of word n-grams form classes; the smallest doc_id stands for its class.
 Sets are signed (see :class:`PartEnum`), and only signatures that two different sets share go on.
-Links are confirmed on the whole sets, in two steps that together lose no link between components:
-
-1. In every bucket the smallest id leads. Each document is compared with the leader that it shares
-   most signatures with; confirmed links give first components.
-2. What is left are pairs that share a bucket and lie in different components. Small buckets give
-   their pairs directly. Documents of larger ones sign once more with four times as many parts, listed
-   from the rarest (counted over these documents) to the most common, so that what a large group
-   has in common isn't what its members are compared by. Pairs whose profiles (counts of n-grams in
-   ranges of hashes) already differ too much can't be links and are never made.
+Links are confirmed on the whole sets, in steps that together lose no link between components:
+
+1. In every bucket one member leads. Each document is compared with the leader that it shares most
+   signatures with; confirmed links give first components.
+2. What is left are pairs that share a bucket and lie in different components. A bucket is crowded where
+   these are more than ``CROSS`` a member. Members of crowded buckets are compared with leaders drawn
+   anew from each of their buckets, which joins a group of near copies in a few rounds of as many pairs as
+   it has members.
+3. All cross pairs of buckets that aren't crowded are compared. Members of those that still are sign once
+   more with finer parts, listed from the rarest (counted over these documents) to the most common, so
+   that what a loose group has in common isn't what its members are compared by. Pairs whose profiles
+   (counts of n-grams in ranges of hashes) already differ too much can't be links and are never made.
 
 Null texts and texts without words have empty sets and are linked with nothing. Repeated rows of one
 doc_id count as one document when their sets are equal. Empty tables give empty ones; extra columns are
@@ -24,45 +27,78 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from budgetsieve.llm.common import materialise, own_cache, prepare, text_or_empty
 from budgetsieve.llm.components import components
-from budgetsieve.llm.ngram_sets import PartEnum, word_hashes, jaccard_at_least, ngrams
+from budgetsieve.llm.ngram_sets import PartEnum, jaccard_at_least, ngrams, word_hashes
 
-#: Members up to which a bucket gives its pairs directly.
-SMALL_BUCKET = 24
+#: Cross pairs a member up to which a bucket gives its pairs directly.
+CROSS = 12
+#: Rounds of drawn leaders, and how many a document is compared with in one.
+ROUNDS, LEADERS = 1, 4
 #: Ranges of hashes in a set's profile, as a power of two.
 PROFILE_BITS = 6
+#: Sets whose signatures a task remembers to have given.
+REMEMBERED = 1_000_000
+
 
 def digest_of(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
-def set_sizes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, set size and digest of the set."""
+def signed_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, set size, digest, node (64 bits of the digest, the same for equal sets) and signatures.
+
+    A task gives the signatures of equal sets once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own_cache("ngrams", word_hashes)
+        scheme, seen = PartEnum(percent / 100), set()
         for batch in batches:
-            sets = [ngrams(t, width) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "digest": [digest_of(s) for s in sets]})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, "doc_id long, n_shingles long, digest binary")
-
+            sizes, digests, nodes, signatures = [], [], [], []
+            for text in batch["text"]:
+                items = ngrams(text, width)
+                digest = digest_of(items)
+                node = int.from_bytes(digest[:8], "big", signed=True)
+                sizes.append(len(items))
+                digests.append(digest)
+                nodes.append(node)
+                signatures.append(None if node in seen else scheme.sign(items).view(np.int64))
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(node)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "digest": digests, "node": nodes, "signatures": signatures})
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return picked.mapInPandas(run, "doc_id long, n_shingles long, digest binary, node long, signatures array<long>")
+
+
+def shared_signatures(signed: DataFrame) -> DataFrame:
+    """Rows (signature, node, leader) of signatures that two nodes share, and one row a document with ``own``.
+
+    Texts are read and signed once: what is known of a document moves along in a row of its own, with
+    its id's hash in place of a signature.
+    """
+    about = F.struct("doc_id", "n_shingles", "digest")
+    # nulls in place of signatures mark a document's own row
+    each = signed.select("node", about.alias("about"), F.explode(F.array_append(F.coalesce("signatures", F.array().cast("array<long>")), F.lit(None).cast("long"))).alias("signature"))
+    each = each.select(F.coalesce("signature", F.xxhash64("about.doc_id")).alias("signature"), "node", F.when(F.col("signature").isNull(), F.col("about")).alias("own"))
+    same = Window.partitionBy("signature")
+    ends = each.withColumns({"low": F.min(F.when(F.col("own").isNull(), F.col("node"))).over(same), "high": F.max(F.when(F.col("own").isNull(), F.col("node"))).over(same)})
+    return ends.where(F.col("own").isNotNull() | (F.col("low") < F.col("high"))).select("signature", "node", F.col("low").alias("leader"), "own")
 
-def signatures_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, signature) of each document; its node is 64 bits of its set's digest, the same for equal sets."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own_cache("ngrams", word_hashes)
-        scheme = PartEnum(percent / 100)
-        for batch in batches:
-            sets = [ngrams(t, width) for t in batch["text"]]
-            yield pd.DataFrame({"node": [int.from_bytes(digest_of(s)[:8], "big", signed=True) for s in sets], "signatures": [scheme.sign(s).view(np.int64) for s in sets]})
+def alike(percent: int) -> Column:
+    """Whether sets with sizes na, nb and profiles pa, pb may be similar enough.
 
-    return docs.select(text_or_empty().alias("text")).mapInPandas(run, "node long, signatures array<long>").select("node", F.explode("signatures").alias("signature"))
+    Sets of sizes m and n are similar enough only if they differ in at most (100 - p) / (100 + p) of
+    m + n elements, and they differ in at least the sum of their profiles' differences.
+    """
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -80,9 +116,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                     rows.append((a, b))
             yield pd.DataFrame(rows, columns=["a", "b"], dtype=np.int64)
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("n").alias("na"), F.col("profile").alias("pa"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
+    joined = pairs.join(left, "a").join(right, "b").where(alike(percent)).select("a", "b", "ta", "tb")
     return joined.sortWithinPartitions("a").mapInPandas(run, "a long, b long")
 
 
@@ -91,19 +127,22 @@ def rare_signatures(texts: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own_cache("ngrams", word_hashes)
-        scheme = PartEnum(percent / 100, spread=4)
+        scheme = PartEnum(percent / 100)
         for batch in batches:
+            rows = []
             for i, text in zip(batch["id"].tolist(), batch["text"]):
                 items = ngrams(text, width)
                 own = scheme.band(len(items))
                 for band in (own, own + 1) if len(items) else ():
-                    names, filled = scheme.parts(items, band)
-                    yield pd.DataFrame({"id": i, "band": band, "must": scheme.shape(band)[1], "signature": names.view(np.int64), "empty": filled == 0})
+                    names, filled, must = scheme.listing(items, band)
+                    rows.append((i, band, must, names.view(np.int64), filled == 0))
+            yield pd.DataFrame(rows, columns=["id", "band", "must", "signature", "empty"])
 
-    parts = materialise(texts.mapInPandas(run, "id long, band int, must int, signature long, empty boolean"), "fine-parts")
+    listed = materialise(texts.mapInPandas(run, "id long, band int, must int, signature array<long>, empty array<boolean>"), "fine-parts")
+    parts = listed.select("id", "band", "must", F.explode(F.arrays_zip("signature", "empty")).alias("part")).select("id", "band", "must", "part.*")
     counts = parts.groupBy("signature").agg(F.count("*").alias("df")).where(F.col("df") > 1)
-    listed = Window.partitionBy("id", "band").orderBy("empty", F.coalesce("df", F.lit(1)), "signature")
-    ranked = parts.join(counts, "signature", "left").withColumn("place", F.row_number().over(listed))
+    order = Window.partitionBy("id", "band").orderBy("empty", F.coalesce("df", F.lit(1)), "signature")
+    ranked = parts.join(counts, "signature", "left").withColumn("place", F.row_number().over(order))
     return ranked.where((F.col("place") <= F.col("must")) & F.col("df").isNotNull()).select("signature", "id").distinct()
 
 
@@ -121,58 +160,74 @@ def profiled(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInPandas(run, "id long, text string, n long, profile array<int>")
 
 
-def cross_pairs(buckets: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket (signature, id, component) that lie in different components and may be similar.
+def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (signature, id) of buckets whose members lie in more than one component, with each member's.
 
-    Sets of sizes m and n are similar enough only if they differ in at most (100 - p) / (100 + p) of
-    m + n elements, and they differ in at least the sum of their profiles' differences: pairs beyond
-    that are no links, and the join's condition leaves them out.
+    Adds the component of most members (main) and the pairs of different components a member (cross).
     """
-    each = buckets.select("signature", "id", "component").join(profiles.select("id", "n", "profile"), "id")
-    one = each.select("signature", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("profile").alias("pa"))
-    two = each.select("signature", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    may = (one["signature"] == two["signature"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
-    return one.join(two, may).select("a", "b").distinct()
+    marked = buckets.select("signature", "id").join(labels.select("id", F.col("component").alias("c")), "id", "left").select("signature", "id", F.coalesce("c", "id").alias("component"))
+    kinds = marked.groupBy("signature", "component").agg(F.count("*").alias("k")).groupBy("signature")
+    kinds = kinds.agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("within"))
+    # written first, so that the join is one that adaptive execution can split
+    kinds = materialise(kinds.where("parts > 1").select("signature", "main", ((F.col("size") * F.col("size") - F.col("within")) / (2 * F.col("size"))).alias("cross")), "bucket-kinds")
+    return marked.join(kinds, "signature")
 
 
-def split_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Buckets with each member's component, without those that lie in one component."""
-    marked = buckets.join(labels.select("id", F.col("component").alias("c")), "id", "left").select("signature", "id", F.coalesce("c", "id").alias("component"))
-    kinds = marked.groupBy("signature").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high"))
-    return marked.join(kinds.select("signature", "size"), "signature")
+def drawn_pairs(buckets: DataFrame, seed: int) -> DataFrame:
+    """Pairs (a, b) of a member and a leader drawn from one of its buckets, in different components."""
+    drawn = buckets.groupBy("signature").agg(F.min(F.struct(F.xxhash64("signature", "id", F.lit(seed)).alias("h"), "id", "component")).alias("drawn"))
+    drawn = materialise(drawn.select("signature", F.col("drawn.id").alias("a"), F.col("drawn.component").alias("ca")), "leaders")
+    met = buckets.join(drawn, "signature").where(F.col("component") != F.col("ca")).groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n"))
+    most = Window.partitionBy("b").orderBy(F.desc("n"), F.xxhash64("a", "b"), "a")
+    return met.withColumn("place", F.row_number().over(most)).where(F.col("place") <= LEADERS).select("a", "b")
+
+
+def cross_pairs(buckets: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of one bucket that lie in different components and may be similar.
+
+    One of them isn't in the bucket's main component; these meet all of its members.
+    """
+    each = buckets.select("signature", "id", "component", "main").join(profiles.select("id", "n", "profile"), "id")
+    one = each.where("component <> main").select("signature", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("na"), F.col("profile").alias("pa"))
+    two = each.select("signature", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("nb"), F.col("profile").alias("pb"), (F.col("component") == F.col("main")).alias("in_main"))
+    may = (one["signature"] == two["signature"]) & (F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & alike(percent)
+    return one.join(two, may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included)."""
     prepare(docs.sparkSession)
-    signed = materialise(set_sizes(docs, width), "set-sizes")
-    classes = materialise(signed.where(F.col("n_shingles") > 0).groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
+    met = materialise(shared_signatures(signed_sets(docs, width, percent)), "met")
+    signed = met.where(F.col("own").isNotNull()).select("node", "own.*")
+    classes = materialise(signed.where(F.col("n_shingles") > 0).groupBy("digest", "node").agg(F.min("doc_id").alias("id")), "classes")
+    shared = met.where(F.col("own").isNull())
+    buckets = materialise(shared.join(classes.select("node", "id"), "node").select("signature", "id").distinct(), "buckets")
+
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.col("text").isNotNull())
     text = F.first("text").alias("text")  # repeated rows of one doc_id
-    # Signatures move once, and texts don't. A document spreads over a hundred of them and more, so that even
-    # a group of a third of all documents gives none of them more than a few hundredths of a per cent of the
-    # rows. Equal sets have one node; should two different ones share it, both become candidates.
-    by_signature = Window.partitionBy("signature")
-    shared = signatures_of(docs, width, percent).withColumns({"low": F.min("node").over(by_signature), "high": F.max("node").over(by_signature)}).where(F.col("low") < F.col("high"))
-    met = materialise(shared.select("signature", "node").distinct(), "met")
-    named = met.join(classes.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("node"), "id"), "node").select("signature", "id")
-    buckets = materialise(named.withColumn("leader", F.min("id").over(by_signature)), "buckets")
-
-    members = buckets.select("id").distinct()
-    texts = materialise(profiled(picked.join(members.hint("merge"), "id", "left_semi").groupBy("id").agg(text), width), "texts")
-
-    most = Window.partitionBy("b").orderBy(F.desc("n"), "a")
-    stars = buckets.where(F.col("id") != F.col("leader")).groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n"))
-    stars = stars.withColumn("place", F.row_number().over(most)).where("place = 1").select("a", "b")
+    texts = materialise(profiled(picked.join(buckets.select("id").distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(text), width), "texts")
+
+    most = Window.partitionBy("node").orderBy(F.desc("n"), "leader")
+    stars = shared.where(F.col("node") != F.col("leader")).groupBy("leader", "node").agg(F.count("*").alias("n"))
+    stars = stars.withColumn("place", F.row_number().over(most)).where("place = 1").select("leader", "node")
+    stars = stars.join(classes.select(F.col("node").alias("leader"), F.col("id").alias("a")), "leader").join(classes.select("node", F.col("id").alias("b")), "node").select("a", "b")
     edges = materialise(confirm(stars, texts, width, percent), "links")
     labels = components(edges)
-
-    open_buckets = materialise(split_buckets(buckets.select("signature", "id"), labels), "open-buckets")
-    small = open_buckets.where(F.col("size") <= SMALL_BUCKET)
-    crowded = open_buckets.where(F.col("size") > SMALL_BUCKET).select("id").distinct()
-    fine = split_buckets(rare_signatures(texts.select("id", "text").join(crowded, "id", "left_semi"), width, percent), labels)
-    pairs = cross_pairs(small, texts, percent).unionByName(cross_pairs(fine, texts, percent)).distinct()
+    left = materialise(open_buckets(buckets, labels), "open-buckets")
+    crowded = left.where(F.col("cross") > CROSS)
+    for seed in range(ROUNDS):
+        if crowded.isEmpty():
+            break
+        edges = edges.unionByName(materialise(confirm(drawn_pairs(crowded, seed), texts, width, percent), "links"))
+        labels = components(edges)
+        left = materialise(open_buckets(left, labels), "open-buckets")
+        crowded = left.where(F.col("cross") > CROSS)
+
+    pairs = cross_pairs(left.where(F.col("cross") <= CROSS), texts, percent)
+    if not crowded.isEmpty():
+        members = texts.select("id", "text").join(crowded.select("id").distinct(), "id", "left_semi")
+        fine = materialise(open_buckets(rare_signatures(members, width, percent), labels), "open-buckets")
+        pairs = pairs.unionByName(cross_pairs(fine, texts, percent)).distinct()
     more = materialise(confirm(pairs, texts, width, percent), "links")
 
     final = components(edges.unionByName(more))

@@ -291,15 +291,20 @@ def test_ngram_sets():
 def test_part_enum_loses_no_pair():
     rng = np.random.default_rng(2)
     for percent in (80, 90):
-        for spread in (1.25, 4):
-            scheme = ngram_sets.PartEnum(percent / 100, spread)
-            for _ in range(150):
-                n = int(rng.integers(1, 300))
-                a = np.unique(rng.integers(0, 2**64, n, np.uint64))
-                b = a[rng.random(len(a)) > rng.random() * 0.25]
-                b = np.unique(np.concatenate((b, rng.integers(0, 2**64, int(rng.integers(0, 1 + n // 10)), np.uint64))))
-                if len(b) and ngram_sets.jaccard_at_least(a, b, percent):
-                    assert np.intersect1d(scheme.sign(a), scheme.sign(b)).size
+        scheme = ngram_sets.PartEnum(percent / 100)
+        for turn in range(600):
+            n = int(rng.integers(1, 300 if turn % 2 else 16))
+            a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            b = a[rng.random(len(a)) > rng.random() * 0.25]
+            b = np.unique(np.concatenate((b, rng.integers(0, 2**64, int(rng.integers(0, 1 + n // 10)), np.uint64))))
+            if len(b) and ngram_sets.jaccard_at_least(a, b, percent):
+                assert np.intersect1d(scheme.sign(a), scheme.sign(b)).size
+                both = scheme.band(max(len(a), len(b)))  # the band of the larger set is one that both list
+                heads = []
+                for items in (a, b):
+                    names, filled, must = scheme.listing(items, both)
+                    heads.append(names[np.lexsort((names, filled == 0))[:must]])
+                assert np.intersect1d(*heads).size
 
 
 def test_links(spark, odd, no_id, empty):
@@ -313,10 +318,11 @@ def test_links(spark, odd, no_id, empty):
         rows.append((100 + k, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for width, percent in ((3, 90), (5, 80)):
-        for crowd in (24, 2):
-            ngram_join.SMALL_BUCKET, kept = crowd, ngram_join.SMALL_BUCKET
+        # all pairs of a bucket at once, or leaders and finer parts
+        for cross in (ngram_join.CROSS, 0):
+            ngram_join.CROSS, kept = cross, ngram_join.CROSS
             got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.link(docs, width, percent).collect()}
-            ngram_join.SMALL_BUCKET = kept
+            ngram_join.CROSS = kept
             assert got == brute_links(rows, width, percent)
     assert ngram_join.link(empty).count() == 0
     assert ngram_join.link(no_id).count() == 19
