@@ -75,19 +75,21 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def chunked(batches, limit: int):
-    """Rows (doc_id, text) of Arrow batches as (ids, texts) of about ``limit`` bytes of text each."""
-    ids, texts, size = [], [], 0
+def chunked(batches, limit: int, columns: tuple[str, ...] = ("doc_id",)):
+    """Rows of Arrow batches as (columns, texts) of about ``limit`` characters of text each; one column comes bare."""
+    held, texts, size = [[] for _ in columns], [], 0
+    give = lambda: (held[0] if len(columns) == 1 else held, texts)
     for batch in batches:
-        for i, text in zip(batch["doc_id"].tolist(), batch["text"]):
-            ids.append(i)
+        for *row, text in zip(*[batch[c].tolist() for c in columns], batch["text"]):
+            for values, value in zip(held, row):
+                values.append(value)
             texts.append(text)
             size += len(text)
             if size >= limit:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+                yield give()
+                held, texts, size = [[] for _ in columns], [], 0
+    if texts:
+        yield give()
 
 
 _caches: dict[str, object] = {}

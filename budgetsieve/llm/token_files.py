@@ -1,14 +1,15 @@
 """Token ids as files: frequency-ranked codes, byte-aligned lengths, separate control bytes.
 
-Every text is encoded once and its raw ids are written to the shared folder. The corpus-wide count
-of each id gives its code: the most frequent id gets code 0, ties go to the smaller id, so that
-common ids take one byte. A block of documents is a row of three byte strings: the documents'
+Every text is encoded once, where it is read, and its raw ids are written to the shared folder, with each
+task's counts of ids behind them. The corpus-wide count of each id gives its code: the most frequent id
+gets code 0, ties go to the smaller id, so that common ids take one byte. Raw ids, not texts, are then
+dealt in ranges of doc_id. A block of documents is a row of three byte strings: the documents'
 lengths, control bytes (four 2-bit lengths each) and the codes' bytes. Blocks are written in
 ascending doc_id order; a reader looks the lengths up in a 256-row table and
 gathers the codes with numpy.
 
-Null texts count as empty: such a document holds only the end id. Repeated rows stay separate
-documents, in a stable order; rows without a doc_id are left out. Empty tables give empty ones.
+Null texts count as empty: such a document holds only the end id. Repeated rows stay separate documents,
+in the order of their lengths and ids; documents without a doc_id come first. Empty tables give empty ones.
 Extra columns are ignored.
 """
 
@@ -18,6 +19,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -29,39 +31,48 @@ from budgetsieve.llm.common import chunked, materialise, own_cache, prepare, tex
 
 #: Ids in one block; a longer document has a block of its own.
 BLOCK_IDS = 262_144
-#: Words whose ids a worker remembers, and bytes of text it takes at a time.
-CACHE_ENTRIES, BATCH_BYTES = 1_500_000, 8_000_000
+#: Words whose ids a worker remembers and their characters, and characters of text it takes at a time.
+CACHE_ENTRIES, CACHE_BYTES, BATCH_BYTES = 1_500_000, 24_000_000, 8_000_000
+#: Longer words go through the whole tokenizer, so that no piece of them is remembered.
+LONGEST = 64
 
 #: Row c: the four byte lengths that control byte c stands for, first code in the lowest bits.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
 
-RAW = "part int, start long, doc_id long, n_tokens long, ids binary"
-BLOCKS = "part int, first_id long, n_ids long, doc_ids binary, lengths binary, control binary, data binary"
+#: A document's raw ids, two or four bytes each; a task's counts of ids come in a row with n_tokens -1.
+RAW = "known boolean, doc_id long, n_tokens long, ids binary"
+COUNTS = np.dtype([("id", "<u4"), ("n", "<i8")])
+#: The first n_unknown documents of a block have no doc_id.
+BLOCKS = "part int, first_id long, n_ids long, n_unknown long, doc_ids binary, lengths binary, control binary, data binary"
 
 
 def pack(codes: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit codes."""
-    codes = codes.astype("<u4")
-    length = 1 + (codes > 0xFF).astype(np.int64) + (codes > 0xFFFF) + (codes > 0xFFFFFF)
-    padded = np.concatenate((length - 1, np.zeros(-len(codes) % 4, np.int64))).reshape(-1, 4)
-    control = (padded << np.array([0, 2, 4, 6])).sum(axis=1).astype(np.uint8)
-    return control.tobytes(), codes.view(np.uint8).reshape(-1, 4)[np.arange(4) < length[:, None]].tobytes()
+    codes = codes.astype("<u4", copy=False)
+    more = np.zeros(len(codes) + -len(codes) % 4, np.uint8)
+    width = 4 if int(codes.max(initial=0)) > 0xFFFF else 2
+    for low in (0xFF, 0xFFFF, 0xFFFFFF)[: width - 1]:
+        more[: len(codes)] += codes > low
+    four = more.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    raw = codes.astype(f"<u{width}").view(np.uint8).reshape(-1, width)
+    return control.tobytes(), raw[np.arange(width, dtype=np.uint8) <= more[: len(codes), None]].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The first n codes."""
     length = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    at = np.cumsum(length) - length
-    raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(3, np.uint8))).astype(np.uint32)
-    codes = raw[at]
+    at = np.cumsum(length, dtype=np.int64) - length
+    raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)))
+    codes = raw[at].astype(np.uint32)
     for i in range(1, int(length.max(initial=1))):
-        longer = length > i
-        codes[longer] |= raw[at[longer] + i] << np.uint32(8 * i)
+        longer = np.flatnonzero(length > i)
+        codes[longer] |= raw[at[longer] + i].astype(np.uint32) << np.uint32(8 * i)
     return codes
 
 
-#: Letters, then ASCII marks other than the apostrophe: one or two pre-tokens.
-_PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+#: ASCII marks other than the apostrophe. Letters with marks behind them are one or two pre-tokens.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters whose lower case depends on what surrounds them, or is longer.
 _SPECIAL_CASE = re.compile("[\u03a3\u0130]")
 #: The usual byte alphabet: visible Latin-1 characters stand for themselves, the others follow from 256 on.
@@ -91,47 +102,57 @@ class WordTokens:
 
     def _forget(self) -> None:
         self.rows = _Rows()
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, list[int]] = {"": []}
         self.ids, self.first, self.size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        self.total = 0
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece)]
-        return ids
+        self.total = self.held = 0
 
     def _learn(self, words: list[str]) -> None:
         """Appends the ids of words to the table: plain words straight from the model, others by the whole tokenizer."""
         each: list[list[int]] = []
-        others, piece = [], self._piece
-        match, normal = _PLAIN.fullmatch, unicodedata.is_normalized
+        others, pieces, model = [], self.pieces, self.tokenizer.model.tokenize
+        normal, special = unicodedata.is_normalized, _SPECIAL_CASE.search
         for word in words:
-            if self.plain and (m := match(word)) and (word.isascii() or (m[1].isalpha() and normal("NFC", word) and not _SPECIAL_CASE.search(word))):
-                core, tail = m[1].lower(), m[2]
-                if not core.isascii():
-                    core = core.encode().decode("latin-1").translate(_BYTE_CHARS)
-                each.append(piece(core) + piece(tail) if tail else piece(core))
+            core = word.rstrip(_MARKS)
+            if not core.isalpha() or not self.plain or len(word) > LONGEST:
+                others.append(len(each))
+                each.append([])
                 continue
-            others.append(len(each))
-            each.append([])
+            low = core.lower()
+            if not core.isascii():
+                if special(core) or not normal("NFC", core):
+                    others.append(len(each))
+                    each.append([])
+                    continue
+                low = low.encode().decode("latin-1").translate(_BYTE_CHARS)
+            ids = pieces.get(low)
+            if ids is None:
+                ids = pieces[low] = [t.id for t in model(low)]
+            if len(word) > len(core):
+                tail = word[len(core) :]
+                after = pieces.get(tail)
+                if after is None:
+                    after = pieces[tail] = [t.id for t in model(tail)]
+                ids = ids + after
+            each.append(ids)
         for k, e in zip(others, self.tokenizer.encode_batch([words[k] for k in others], add_special_tokens=False)):
             each[k] = e.ids
-        size = np.array([len(e) for e in each], np.int64)
+        size = np.fromiter(map(len, each), np.int64, len(each))
         self.first.append(self.total + np.cumsum(size) - size)
         self.size.append(size)
-        self.ids.append(np.array([i for e in each for i in e], np.uint32))
         self.total += int(size.sum())
+        self.ids.append(np.fromiter(chain.from_iterable(each), np.uint32, int(size.sum())))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts together, and how many each has."""
-        if len(self.rows) > self.cache:
+        if len(self.rows) > self.cache or self.held > CACHE_BYTES:
             self._forget()
         known = len(self.rows)
         rows = self.rows
         each = [np.fromiter(map(rows.__getitem__, t.replace("\n", " ").split(" ")), np.int64) for t in texts]
         if len(rows) > known:
-            self._learn(list(rows)[known:])
+            new = list(islice(rows, known, None))
+            self.held += sum(map(len, new))
+            self._learn(new)
             self.ids, self.first, self.size = [np.concatenate(self.ids)], [np.concatenate(self.first)], [np.concatenate(self.size)]
         at = np.concatenate(each)
         size = self.size[0][at]
@@ -153,10 +174,7 @@ _tokens: dict[str, WordTokens] = {}
 
 
 def raw_ids(docs: DataFrame, vocabulary: str | None, end_id: int) -> DataFrame:
-    """Documents in ascending order, each with its ids (end id included) and its start within its part.
-
-    The texts are range-partitioned by doc_id first, so that nothing is dealt anew afterwards.
-    """
+    """Each document's ids (end id included), in any order, and a row of counts from each task. No shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
@@ -165,20 +183,23 @@ def raw_ids(docs: DataFrame, vocabulary: str | None, end_id: int) -> DataFrame:
         if path not in _tokens:
             _tokens[path] = WordTokens(path)
         own_cache("token_files", _tokens)
-        wide = "<u2" if max(_tokens[path].tokenizer.get_vocab_size(), end_id) <= 1 << 16 else "<u4"
-        part, start = TaskContext.get().partitionId(), 0
-        for doc_ids, texts in chunked(batches, BATCH_BYTES):
+        most = max(_tokens[path].tokenizer.get_vocab_size(), end_id + 1)
+        wide = "<u2" if most <= 1 << 16 else "<u4"
+        total = np.zeros(most, np.int64)
+        for rows, texts in chunked(batches, BATCH_BYTES, ("known", "doc_id")):
             ids, counts = _tokens[path].encode(texts)
-            ends = np.cumsum(counts)
-            ids = np.insert(ids, ends, end_id).astype(wide)
+            ids = np.insert(ids.astype(wide), np.cumsum(counts), end_id)
+            total += np.bincount(ids, minlength=most)
             n = counts + 1
-            ends = np.cumsum(n)
-            yield pd.DataFrame({"part": part, "start": start + ends - n, "doc_id": doc_ids, "n_tokens": n, "ids": [x.tobytes() for x in np.split(ids, ends[:-1])]})
-            start += int(ends[-1])
+            raw, ends = ids.tobytes(), (np.cumsum(n) * ids.itemsize).tolist()
+            yield pd.DataFrame({"known": rows[0], "doc_id": rows[1], "n_tokens": n, "ids": [raw[i:j] for i, j in zip([0, *ends], ends)]})
+        there = np.flatnonzero(total)
+        found = np.empty(len(there), COUNTS)
+        found["id"], found["n"] = there, total[there]
+        yield pd.DataFrame({"known": [False], "doc_id": [0], "n_tokens": [-1], "ids": [found.tobytes()]})
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(F.col("doc_id").isNotNull())
-    return picked.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInPandas(run, RAW)
+    picked = docs.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), text_or_empty().alias("text"))
+    return picked.mapInPandas(run, RAW)
 
 
 def as_ids(each: list[bytes], counts: np.ndarray) -> np.ndarray:
@@ -188,25 +209,22 @@ def as_ids(each: list[bytes], counts: np.ndarray) -> np.ndarray:
 
 
 def id_counts(raw: DataFrame) -> DataFrame:
-    """id and n over all documents: counted in each task, then summed."""
+    """id and n over all documents: the tasks' counts, summed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1, np.int64)
         for batch in batches:
-            counts = np.bincount(as_ids(batch["ids"].tolist(), batch["n_tokens"].to_numpy()))
-            if len(counts) > len(total):
-                counts, total = total, counts
-            total[: len(counts)] += counts
-        there = np.flatnonzero(total)
-        yield pd.DataFrame({"id": there, "n": total[there]})
+            for row in batch["ids"]:
+                counts = np.frombuffer(row, COUNTS)
+                yield pd.DataFrame({"id": counts["id"].astype(np.int64), "n": counts["n"]})
 
-    return raw.select("n_tokens", "ids").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return raw.where("n_tokens < 0").select("ids").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2) -> np.ndarray:
     """Writes the blocks under path and returns the ids in the order of their codes.
 
-    What reaches the driver is bounded by the vocabulary: one count an id.
+    What reaches the driver is bounded by the vocabulary: one count an id. Equal doc_ids are dealt by
+    their lengths and ids, and equal rows by chance, so that no doc_id fills a task.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -216,24 +234,30 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     code_of = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
     code_of[order] = np.arange(len(order))
 
-    def block(rows: list[tuple]) -> dict:
-        counts = np.array([r[3] for r in rows], "<i8")
-        control, data = pack(code_of[as_ids([r[4] for r in rows], counts)])
-        return {"part": rows[0][0], "first_id": rows[0][1], "n_ids": int(counts.sum()), "doc_ids": np.array([r[2] for r in rows], "<i8").tobytes(), "lengths": counts.tobytes(), "control": control, "data": data}
+    def block(rows: list[tuple], part: int, first: int) -> dict:
+        counts = np.array([r[2] for r in rows], "<i8")
+        control, data = pack(code_of[as_ids([r[3] for r in rows], counts)])
+        unknown = sum(not r[0] for r in rows)
+        return {"part": part, "first_id": first, "n_ids": int(counts.sum()), "n_unknown": unknown, "doc_ids": np.array([r[1] for r in rows], "<i8").tobytes(), "lengths": counts.tobytes(), "control": control, "data": data}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, first = TaskContext.get().partitionId(), 0
         held, size = [], 0
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                if held and (size >= BLOCK_IDS or held[-1][0] != row.part or held[-1][1] + held[-1][3] != row.start):
-                    yield pd.DataFrame([block(held)])
-                    held, size = [], 0
-                held.append(tuple(row))
-                size += row.n_tokens
+            for row in zip(batch["known"].tolist(), batch["doc_id"].tolist(), batch["n_tokens"].tolist(), batch["ids"]):
+                if held and size >= BLOCK_IDS:
+                    yield pd.DataFrame([block(held, part, first)])
+                    held, first, size = [], first + size, 0
+                held.append(row)
+                size += row[2]
         if held:
-            yield pd.DataFrame([block(held)])
+            yield pd.DataFrame([block(held, part, first)])
 
-    raw.select("part", "start", "doc_id", "n_tokens", "ids").mapInPandas(run, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["known", "doc_id", "n_tokens", "h", "chance"]
+    rows = raw.where("n_tokens >= 0").withColumns({"h": F.xxhash64("ids"), "chance": F.rand(0)})
+    rows = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("known", "doc_id", "n_tokens", "ids")
+    rows.mapInPandas(run, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
     spark.createDataFrame([(order.astype("<u4").tobytes(), int(end_id))], "order binary, end_id int").coalesce(1).write.parquet(f"{path}/codes")
     return order
 
@@ -255,13 +279,15 @@ def read_token_files(spark, path: str, keep_ids: bool = False) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 lengths = np.frombuffer(row.lengths, "<i8")
-                ids = order[unpack(row.control, row.data, int(row.n_ids))].astype("<u4")
+                raw = memoryview(order[unpack(row.control, row.data, int(row.n_ids))]).cast("B")
                 cuts = np.concatenate(([0], np.cumsum(lengths)))
-                raw = ids.tobytes()
-                each = [raw[4 * i : 4 * j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-                out = pd.DataFrame({"doc_id": np.frombuffer(row.doc_ids, "<i8"), "start": before[row.part] + row.first_id + cuts[:-1], "n_tokens": lengths, "ids_crc32": [zlib.crc32(x) for x in each]})
+                at = (4 * cuts).tolist()
+                each = [raw[i:j] for i, j in zip(at, at[1:])]
+                doc_ids = pd.array(np.frombuffer(row.doc_ids, "<i8"), "Int64")
+                doc_ids[: int(row.n_unknown)] = pd.NA
+                out = pd.DataFrame({"doc_id": doc_ids, "start": before[row.part] + row.first_id + cuts[:-1], "n_tokens": lengths, "ids_crc32": [zlib.crc32(x) for x in each]})
                 if keep_ids:
-                    out["ids"] = each
+                    out["ids"] = [bytes(x) for x in each]
                 yield out
 
     return blocks.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if keep_ids else ""))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -85,6 +86,29 @@ def test_byte_bpe_long_pretoken_and_lower_ranks():
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [[ranks[p]] if p in ranks else slow(p) for p in pieces]
 
 
+def test_what_workers_remember_is_bounded_in_bytes():
+    import public_tokenizers as P
+
+    # texts without spaces: each chunk is a document
+    texts = ["".join(chr(0x4E00 + random.Random(k).randrange(3000) + i % 7) for i in range(30_000)) for k in range(40)]
+    c = byte_bpe.Codec(byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    byte_bpe.CACHE_BYTES, kept = 100_000, byte_bpe.CACHE_BYTES
+    for i in range(0, 40, 4):
+        c.encode(["x " + t for t in texts[i : i + 4]])
+        assert sum(map(len, c.known)) <= 100_000 + 4 * 30_010
+    byte_bpe.CACHE_BYTES = kept
+    w = token_files.WordTokens(P.path("word_bpe_49k.json"))
+    token_files.CACHE_BYTES, kept = 100_000, token_files.CACHE_BYTES
+    for i in range(0, 40, 4):
+        w.encode(texts[i : i + 4])
+        assert sum(map(len, w.rows)) <= 100_000 + 4 * 30_010
+    token_files.CACHE_BYTES = kept
+    for cache in (ngram_sets.word_hashes, quality._places):
+        cache.clear()
+        cache[b"x" * 1000], cache[b"short"]
+        assert list(cache) == [b"short"]
+
+
 def test_rank_queue_order():
     q = byte_bpe.RankQueue(300_000)
     r = random.Random(0)
@@ -110,9 +134,10 @@ def test_token_files_round_trip(spark, odd, no_id, empty):
     token_files.write_token_files(no_id, path)
     got = token_files.read_token_files(spark, path, keep_ids=True).orderBy("start").collect()
     rows = sorted(plain(odd), key=lambda r: r[0])
-    assert [r["doc_id"] for r in got] == [i for i, _ in rows]
+    # a document without an id comes first
+    assert [r["doc_id"] for r in got] == [None, *(i for i, _ in rows)]
     start = 0
-    texts = dict(rows)
+    texts = dict(rows) | {None: text_of(1)}
     for r in got:
         ids = t.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [2]
         assert np.frombuffer(r["ids"], "<u4").tolist() == ids
@@ -124,6 +149,20 @@ def test_token_files_round_trip(spark, odd, no_id, empty):
     assert token_files.read_token_files(spark, path).count() == 0
 
 
+def test_words_of_all_kinds():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, own = Tokenizer.from_file(path), token_files.WordTokens(path, cache=300)
+    r = random.Random(11)
+    letters = ["a", "B", "Ñ", "ö", "İ", "Σ", "ß", "漢", "ａ", "e\u0301", "½", "Ⅷ", "7", "'", "'s", "-", "...", "$", "\t", "\u00a0", "\x00", "🙂", "ǅ", "ª", "\u200b"]
+    texts = ["".join(r.choice(letters + [" ", "\n"] * 4 + ["word", "Ende"]) for _ in range(r.randrange(80))) for _ in range(600)] + ["x" * 500 + " " + "漢字" * 400]
+    for i in range(0, len(texts), 40):  # what is remembered is forgotten between some of them
+        ids, counts = own.encode(texts[i : i + 40])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts[i : i + 40]]
+
+
 def test_control_bytes():
     codes = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], np.uint32)
     control, data = token_files.pack(codes)
@@ -196,6 +235,20 @@ def test_contamination(spark, odd, empty):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in got if not r[5])
 
 
+def test_contamination_in_passes(spark, odd, monkeypatch):
+    """A benchmark of many blocks gives what one block gives."""
+    words = text_of(1).split()
+    items = [(k, " ".join(words[k : k + 12])) for k in range(0, 40, 3)] + [(100, "short"), (101, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(tuple(r) for r in decontamination.contamination(odd, bench).collect())
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 400)
+    assert decontamination.blocks(bench) > 2
+    assert sorted(tuple(r) for r in decontamination.contamination(odd, bench).collect()) == whole
+    assert whole == brute_contamination(plain(odd), dict(items).items())
+    kept = decontamination.drop_contaminated(odd, bench)
+    assert kept.columns == odd.columns and kept.count() == sum(not r[5] for r in whole)
+
+
 def test_wu_manber_random():
     r = random.Random(5)
     for length in (1, 2, 3, 5):
@@ -442,6 +495,17 @@ def test_html_templates_and_copies(spark, parts):
     }
 
 
+def test_html_of_any_kind_in_linear_time():
+    bad = ["<b x " * 200_000, "<b x " * 200_000 + '"', "<div>" * 150_000 + "</x>" * 150_000, "<p><div>" + "<b>" * 80_000 + "<div></div>" * 80_000, "</script " * 90_000 + "<script>" + "</script " * 90_000, "<a \"' " * 100_000]
+    for page in bad:
+        began = time.process_time()
+        html_text.blocks_of(page)
+        assert time.process_time() - began < 5
+    assert html_text.blocks_of('<a title="x > y">one</a> < two <b class=\'q">\'>three</b>') == [("one < two three", 0)]
+    assert html_text.blocks_of('<div class="layout no-sidebar"><p>Text</p></div><div class="left-sidebar">gone</div>') == [("Text", 0)]
+    assert html_text.blocks_of("a<!-- gone <p>b") == [("a", 0)] and html_text.blocks_of("a <p title='b") == [("a <p title='b", 0)]
+
+
 def test_common_lines():
     r = random.Random(1)
     for _ in range(60):
@@ -465,11 +529,17 @@ def test_language(spark, sf_dir, odd, empty):
     held = got[got["held_out"]]
     assert (held["lang"] == held["lang_pred"]).mean() > 0.95 and got["score"].between(0, 1).all()
     found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(odd, model).collect()}
+    assert {f for f in language_id.Model(["en"], np.zeros((language_id.PLACES, 1), np.float32), np.zeros(1)).score(["½ ² Ⅷ ① 7", "%"])} == {("und", 0.0)}
     assert found[1] == found[2] == found[9] == found[15] == ("und", 0.0) and found[3][0] in set(got["lang"])
     assert language_id.predict(empty, model).count() == 0
     nothing = language_id.fit(empty)
     assert {r["lang_pred"] for r in language_id.predict(odd, nothing).collect()} == {"und"}
     assert language_id.fit(odd.where("doc_id in (3, 6)")).languages in ([], ["en"])
+    # rows that repeat a doc_id are one document, and a rare language is learned
+    rare = docs.where("lang = 'de'").limit(8).select("doc_id", "text", F.lit("xx").alias("lang"))
+    often = docs.unionByName(docs.where("doc_id = 3").crossJoin(spark.range(300)).select("doc_id", "text", "lang"))
+    assert np.array_equal(language_id.fit(often).weights, model.weights)
+    assert "xx" in language_id.fit(docs.join(rare.select("doc_id"), "doc_id", "left_anti").unionByName(rare), sample=40).languages
 
 
 # ---- 7
