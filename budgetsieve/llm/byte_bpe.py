@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from budgetsieve.llm.common import chunked, own_cache, prepare, text_or_empty
 
-#: Chunks whose ids a Python worker remembers; beyond it the memory starts anew.
-CACHE_ENTRIES = 400_000
+#: Chunks whose ids a Python worker remembers, and their characters; beyond them the memory starts anew.
+CACHE_ENTRIES, CACHE_BYTES = 400_000, 16_000_000
 #: Bytes of text whose unseen pre-tokens wait in one queue together.
 BATCH_BYTES = 4_000_000
 
@@ -202,7 +202,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE_ENTRIES):
         self.encoder = Encoder(ranks)
         self.find = regex.compile(pattern).findall
-        self.cache, self.known = cache, {}
+        self.cache, self.known, self.held = cache, {}, 0
         self.table = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.table[rank] = token
@@ -227,11 +227,13 @@ class Codec:
         known = self.known
         words = set().union(*cut)
         unseen = words - known.keys()
-        if len(known) + len(unseen) > self.cache:
+        if len(known) + len(unseen) > self.cache or self.held > CACHE_BYTES:
             known.clear()
+            self.held = 0
             unseen = words
         if unseen:
             self._learn(unseen)
+            self.held += sum(map(len, unseen))
         starts = list({chunks[0] for chunks in cut})
         heads = dict(zip(starts, self._whole(starts)))
         get = known.__getitem__

@@ -4,7 +4,8 @@ Each benchmark item gives its windows of ten consecutive words; an item of fewer
 window. Windows of equal length form one matcher: a shift table over blocks of two words says how
 far the search may jump, blocks that end a window select its bucket, the window's first block
 narrows the bucket, and direct comparison confirms. The benchmark is a stated query set: it is
-taken in blocks of bounded size, each block against all documents.
+taken in blocks of bounded size, each block in a pass of its own against all documents; between passes
+the documents' hits so far are written to the shared folder.
 
 Null and empty texts have no words; such items have no windows. Repeated items with one item_id
 count once. Repeated documents stay separate rows. Empty tables give empty results (no items: no
@@ -18,15 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetsieve.llm.common import own_cache, prepare, text_or_empty
+from budgetsieve.llm.common import materialise, own_cache, prepare, text_or_empty
 
 WINDOW = 10
 #: Bytes of benchmark text that one pass sends to the executors.
 BLOCK_BYTES = 16 << 20
-MAX_PASSES = 64
 
 #: Bytes to word characters: A-Z lower-cased, other ASCII that isn't a letter or digit to a space.
 _TABLE = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
@@ -110,52 +110,93 @@ class Benchmark:
         return np.cumsum(edges[:-1]) > 0, {self.names[k] for k in items}
 
 
-def blocks(benchmark: DataFrame) -> list[list[tuple]]:
-    """The items in blocks of bounded size; more than MAX_PASSES blocks are an error, not a cut."""
+def blocks(benchmark: DataFrame) -> int:
+    """How many blocks of bounded size the items make."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = size // BLOCK_BYTES + 1
-    if n > MAX_PASSES:
-        raise ValueError(f"{size} bytes of benchmark are more than a query set of {MAX_PASSES} blocks; split it")
+    return size // BLOCK_BYTES + 1
+
+
+def items_of(benchmark: DataFrame, block: int, n: int) -> list[tuple]:
+    """The items of one block."""
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    return [[tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()] for k in range(n)]
+    return [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block).collect()]
 
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+#: Words hit so far, a bit each, and the items.
+HITS = "hit binary, items array<string>"
+
+
+def _summary(n_words: int, hit: np.ndarray, items: set[str]) -> tuple:
+    n = int(hit.sum())
+    return n_words, n, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n > 0
 
 
-def contamination_column(benchmark: DataFrame, text: Column, window: int = WINDOW) -> Column:
-    """A struct of RESULT for a text column."""
-    prepare(benchmark.sparkSession)
-    parts = blocks(benchmark)
+def _scan(spark, items: list[tuple], window: int):
+    """The result of one block that is the whole benchmark."""
+    sent = spark.sparkContext.broadcast(items)
 
     @F.pandas_udf(RESULT)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own_cache("decontamination", {})
-        matchers = [Benchmark(p, window) for p in parts]
+        matcher = Benchmark(sent.value, window)
         for batch in batches:
+            each = [words_of(t) for t in batch]
+            yield pd.DataFrame([_summary(len(w), *matcher.search(w)) for w in each], columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    return scan
+
+
+def _scan_more(spark, items: list[tuple], window: int):
+    """The hits of a block beside those of the blocks before."""
+    sent = spark.sparkContext.broadcast(items)
+
+    @F.pandas_udf(HITS)
+    def scan(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        own_cache("decontamination", {})
+        matcher = Benchmark(sent.value, window)
+        for texts, hits, names in batches:
             rows = []
-            for t in batch:
+            for t, h, before in zip(texts, hits, names):
                 words = words_of(t)
-                hit, items = np.zeros(len(words), bool), set()
-                for m in matchers:
-                    now, names = m.search(words)
-                    hit |= now
-                    items |= names
-                n = int(hit.sum())
-                rows.append((len(words), n, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n > 0))
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                hit, found = matcher.search(words)
+                hit |= np.unpackbits(np.frombuffer(h, np.uint8))[: len(words)].astype(bool) if h else False
+                rows.append((np.packbits(hit).tobytes(), sorted(found | set(before))))
+            yield pd.DataFrame(rows, columns=["hit", "items"])
+
+    return scan
+
+
+def _summed_up(texts: pd.Series, hits: pd.Series, names: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t, h, items in zip(texts, hits, names):
+        n = len(words_of(t))
+        rows.append(_summary(n, np.unpackbits(np.frombuffer(h, np.uint8))[:n], set(items)))
+    return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
 
-    return scan(text)
+def judged(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WINDOW) -> DataFrame:
+    """The documents with a struct of RESULT under a name. No shuffle; one pass for each block."""
+    spark = docs.sparkSession
+    prepare(spark)
+    n = blocks(benchmark)
+    if n == 1:
+        return docs.withColumn(name, _scan(spark, items_of(benchmark, 0, 1), window)(text_or_empty()))
+    state = docs.withColumn(name, F.struct(F.lit(b"").alias("hit"), F.array().cast("array<string>").alias("items")))
+    for block in range(n):
+        scan = _scan_more(spark, items_of(benchmark, block, n), window)
+        state = materialise(state.withColumn(name, scan(text_or_empty(), F.col(name)["hit"], F.col(name)["items"])), "hits")
+    return state.withColumn(name, F.pandas_udf(_summed_up, RESULT)(text_or_empty(), F.col(name)["hit"], F.col(name)["items"]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document its words, its words inside occurrences and the items that occur. No shuffle."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), contamination_column(benchmark, text_or_empty(), window).alias("r")).select("doc_id", "r.*")
+    """Per document its words, its words inside occurrences and the items that occur."""
+    return judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, "__r", window).select("doc_id", "__r.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that hold no window of the benchmark, with all their columns."""
-    return docs.where(~contamination_column(benchmark, text_or_empty(), window)["contaminated"])
+    return judged(docs, benchmark, "__r", window).where(~F.col("__r")["contaminated"]).select(*docs.columns)
 
 
 #: The same result in SQL, for small tables.

@@ -6,29 +6,30 @@ Nyström landmarks stand for the corpus, and one ridge regression a language (on
 is fitted on the landmark features. As the kernel is linear in the presence vectors, landmarks and
 weights fold into one matrix, and a batch of texts is scored by one matrix product.
 
-The classifier is fitted on at most ``sample`` labelled rows (hash order of doc_id); what reaches
-the driver is 4 kB a sampled row. Only text and non-null lang are used, and only of documents whose
-crc32(doc_id) mod 4 isn't 2. Texts that are null or hold no letter are `und` with score 0; so is
+The classifier is fitted on at most ``sample`` labelled documents, as many of each language as there are
+(in hash order of doc_id), so that rare languages are learned on large tables as well; what reaches
+the driver is 4 kB a sampled document. Only text and non-null lang are used, and only of documents whose
+crc32(doc_id) mod 4 isn't 2; of rows that repeat a doc_id one is learned from. Texts that are null or hold no letter are `und` with score 0; so is
 everything when there is nothing to learn from. Ties go to the language that sorts first. Repeated
 rows get equal results, empty tables give empty ones, extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from budgetsieve.llm.common import prepare, text_or_empty
 
 PLACES = 1 << 15
 SAMPLE, LANDMARKS, RIDGE = 4000, 256, 1e-2
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def presence(text: str) -> np.ndarray:
@@ -75,9 +76,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge
             yield pd.DataFrame({"lang": batch["lang"], "bits": [np.packbits(presence(t)).tobytes() for t in batch["text"]]})
 
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}") & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
-    # ids are chosen first, so that no task gathers texts; at most ``sample`` ids are joined to them
-    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = usable.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").join(F.broadcast(chosen), "doc_id")
+    # ids are chosen first, so that no task gathers texts; at most ``sample`` ids are joined to them. Of each
+    # language so many rows at most leave a task
+    usable = usable.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = usable.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("place", place).where(F.col("place") <= sample)
+    chosen = ids.orderBy("place", F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "lang")
+    texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("text").alias("text"))
     rows = texts.select("lang", "text").mapInPandas(run, "lang string, bits binary").toPandas()
     languages = sorted(rows["lang"].unique())
     if not languages:

@@ -40,12 +40,14 @@ _NOT_SYMBOL = bytes(i for i in range(256) if i >= 128 or chr(i).isalnum() or chr
 
 
 class _Places(dict):
-    """Words to hashed places, remembered up to a bound."""
+    """Words to hashed places, remembered up to a bound; long words aren't, so that the bound holds in bytes."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        place = self[word] = zlib.crc32(word) & (PLACES - 1)
+        place = zlib.crc32(word) & (PLACES - 1)
+        if len(word) <= 64:
+            if len(self) > 100_000:
+                self.clear()
+            self[word] = place
         return place
 
 
