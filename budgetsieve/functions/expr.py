@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPSILON = 1e-8
@@ -14,22 +12,6 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def over(keys: Sequence[str]) -> WindowSpec:
-    """All rows of the keys; with no keys, all rows (one task: give keys for large inputs)."""
-    return Window.partitionBy(*keys) if keys else Window.partitionBy()
-
-
-def zscore(x: Column | str, keys: Sequence[str], eps: float = EPSILON) -> Column:
-    """(x - mean) / (population deviation + eps) within the keys, which say what the scope is."""
-    x, w = col(x), over(keys)
-    return (x - F.avg(x).over(w)) / (F.stddev_pop(x).over(w) + F.lit(eps))
-
-
-def novelty(group: str, keys: Sequence[str]) -> Column:
-    """One over the number of rows that share the group, in the present scope."""
-    return F.lit(1.0) / F.count("*").over(Window.partitionBy(*keys, group))
-
-
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from budgetsieve.functions.expr import hash_order, ucb_bonus, zscore
-from budgetsieve.operators.ranking import KEYS
+from budgetsieve.functions.expr import hash_order, ucb_bonus
+from budgetsieve.operators.ranking import KEYS, zscored
+from budgetsieve.sources.sinks import small
 
 
 def topmean(rows: DataFrame, q: float, value: str = "mu", keys: Sequence[str] = (*KEYS, "part_id"), name: str = "topmean") -> DataFrame:
@@ -28,6 +29,7 @@ def utility(rows: DataFrame, pulls: DataFrame, round_number: int, explore: str =
     """Utility of a partition: top mean, a bonus for few pulls, a tenth of its diversity.
 
     explore: ucb, no_ucb, decay (bonus over the root of the round), late (bonus in the first two rounds).
+    pulls: labelled items of each partition.
     """
     both = topmean(rows, q, keys=keys).join(diversity(rows, keys), list(keys)).join(pulls, list(keys), "left")
     bonus = ucb_bonus(F.lit(max(2, round_number + 2)), F.coalesce("pulls", F.lit(0)))
@@ -35,14 +37,16 @@ def utility(rows: DataFrame, pulls: DataFrame, round_number: int, explore: str =
     return both.withColumn("utility", F.col("topmean") + F.lit(factor) * bonus + F.lit(0.1) * F.col("diversity"))
 
 
-def utility_legacy(rows: DataFrame, uncertainty: float = 1.5, keys: Sequence[str] = (*KEYS, "part_id"), scope: Sequence[str] = KEYS) -> DataFrame:
-    """Top mean, weighed mean uncertainty and diversity minus the share of alerts.
+def utility_legacy(rows: DataFrame, pulls: DataFrame, round_number: int, uncertainty: float = 1.5, keys: Sequence[str] = (*KEYS, "part_id"), scope: Sequence[str] = KEYS) -> DataFrame:
+    """Top mean, weighed mean uncertainty, bonus and diversity, minus a quarter of the share of alerts.
 
-    The published formula also averages a z-score over its own scope, which is always zero; it is left out.
+    The published risk also averages a z-score over its own scope, which is always zero; it is left out.
     """
-    scored = rows.withColumn("z_epi", zscore("u_conf", scope))
-    both = topmean(scored, 0.05, keys=keys).join(diversity(scored, keys), list(keys)).join(scored.groupBy(*keys).agg(F.avg("z_epi").alias("u"), F.avg("alert").alias("risk")), list(keys))
-    return both.withColumn("utility", F.col("topmean") + F.lit(uncertainty) * F.lit(0.1) * F.col("u") + F.lit(0.1) * F.col("diversity") - F.lit(0.2) * F.col("risk"))
+    scored = zscored(rows, ["u_epi", "u_conf"], scope).withColumn("__doubt", F.col("z_u_epi") + F.col("z_u_conf"))
+    doubt = scored.groupBy(*keys).agg(F.avg("__doubt").alias("doubt"), F.avg("alert").alias("risk"))
+    both = topmean(scored, 0.05, keys=keys).join(diversity(scored, keys), list(keys)).join(doubt, list(keys)).join(pulls, list(keys), "left")
+    bonus = ucb_bonus(F.lit(max(2, round_number + 2)), F.coalesce("pulls", F.lit(0)))
+    return both.withColumn("utility", F.col("topmean") + F.lit(uncertainty) * F.col("doubt") + bonus + F.lit(0.1) * F.col("diversity") - F.lit(0.25) * F.col("risk"))
 
 
 def select_partitions(utilities: DataFrame, p: int, keys: Sequence[str] = KEYS, score: str = "utility") -> DataFrame:
@@ -51,11 +55,11 @@ def select_partitions(utilities: DataFrame, p: int, keys: Sequence[str] = KEYS,
     return ranked.where(F.col("part_rank") < p)
 
 
-def bandit_init(labeled: DataFrame, parts: DataFrame, prior_pulls: float = 1.0, prior_rate: float = 0.01, keys: Sequence[str] = KEYS) -> DataFrame:
+def bandit_init(labeled: DataFrame, parts: DataFrame, prior_pulls: float = 1.0, prior_rate: float = 0.0, keys: Sequence[str] = KEYS) -> DataFrame:
     """(reward_sum, pull_count) of every arm: a pseudo-pull at the base rate, and one pull where labels are."""
     seen = labeled.groupBy(*keys, "part_id").agg(F.avg("label").alias("rate"))
     base = labeled.groupBy(*keys).agg(F.avg("label").alias("base"))
-    out = parts.join(F.broadcast(base), list(keys), "left").join(seen, [*keys, "part_id"], "left")
+    out = parts.join(small(base), list(keys), "left").join(seen, [*keys, "part_id"], "left")
     prior = F.coalesce("base", F.lit(prior_rate)) * F.lit(prior_pulls)
     return out.select(*keys, "part_id", (prior + F.coalesce("rate", F.lit(0.0))).alias("reward_sum"), (F.lit(prior_pulls) + F.col("rate").isNotNull().cast("double")).alias("pull_count"))
 
@@ -63,7 +67,7 @@ def bandit_init(labeled: DataFrame, parts: DataFrame, prior_pulls: float = 1.0,
 def bandit_select(arms: DataFrame, utilities: DataFrame, p: int, step: int, coefficient: float = 0.5, keys: Sequence[str] = KEYS) -> DataFrame:
     """The p arms with the highest upper bound; arms never pulled come first, by utility."""
     joined = arms.join(utilities.select(*keys, "part_id", "utility"), [*keys, "part_id"], "left")
-    bound = F.col("reward_sum") / F.col("pull_count") + F.lit(coefficient) * F.sqrt(F.lit(2.0) * F.log(F.lit(float(max(2, step)))) / F.greatest(F.col("pull_count"), F.lit(1.0))) + F.lit(0.1) * F.coalesce("utility", F.lit(0.0))
+    bound = F.col("reward_sum") / F.col("pull_count") + F.lit(coefficient) * F.sqrt(F.lit(2.0) * F.log(F.lit(float(max(2, step)))) / F.greatest(F.col("pull_count"), F.lit(1.0)))
     value = F.when(F.col("pull_count") <= 0, F.lit(1e6) + F.coalesce("utility", F.lit(0.0))).otherwise(bound)
     return select_partitions(joined.withColumn("bound", value), p, keys, "bound")
 
@@ -93,15 +97,23 @@ def allocation_routes(reservoir: DataFrame, seed: int = 0, keys: Sequence[str] =
     return long.withColumn("part_rank", F.row_number().over(Window.partitionBy(*keys, "route").orderBy(F.col("score").desc(), "part_id")) - 1)
 
 
-def acquisition(rows: DataFrame, kind: str = "budgeted", w_conf: float = 0.7, keys: Sequence[str] = KEYS) -> Column:
-    """An item's score when a batch is chosen; z-scores are over the candidates at hand."""
-    if kind == "budgeted":
-        return F.col("mu")
+def acquired(rows: DataFrame, kind: str = "budgeted", w_conf: float = 0.7, keys: Sequence[str] = KEYS, name: str = "acquisition", seed: int = 0) -> DataFrame:
+    """Adds an item's score when a batch is chosen; z-scores are over the candidates at hand."""
+    if kind in ("budgeted", "greedy"):
+        return rows.withColumn(name, F.col("mu"))
     if kind == "clean":
-        return F.col("mu") - F.lit(0.05) * F.col("alert")
-    z = zscore("u_conf", keys)
-    # the density penalty is the same number as the conformal uncertainty
-    return F.col("mu") + zscore("u_epi", keys) - F.lit(w_conf) * z - F.lit(0.2) * F.col("alert") - F.lit(0.1) * z
+        return rows.withColumn(name, F.col("mu") - F.lit(0.05) * F.col("alert"))
+    if kind == "random":
+        return rows.withColumn(name, F.conv(F.substring(hash_order("item_id", seed, "acquire"), 1, 12), 16, 10).cast("double"))
+    out = zscored(rows, ["u_epi", "u_conf"], keys)
+    doubt = F.col("z_u_epi") + F.col("z_u_conf")
+    if kind == "uncertainty":
+        score = doubt
+    elif kind == "ucb":
+        score = F.col("mu") + F.lit(0.5) * F.col("z_u_epi")
+    else:  # legacy; the density penalty is the same number as the conformal uncertainty
+        score = F.col("mu") + F.col("z_u_epi") - F.lit(w_conf) * F.col("z_u_conf") - F.lit(0.2) * F.col("alert") - F.lit(0.1) * F.col("z_u_conf")
+    return out.withColumn(name, score).drop("z_u_epi", "z_u_conf")
 
 
 def candidate_cap(candidates: DataFrame, others: DataFrame, query: int, multiple: int, seed: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -109,16 +121,12 @@ def candidate_cap(candidates: DataFrame, others: DataFrame, query: int, multiple
     both = candidates.withColumn("filled", F.lit(False)).unionByName(others.withColumn("filled", F.lit(True)))
     cap = max(query, multiple * query)
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("filled", hash_order("item_id", seed, "cap"), "item_id"))
-    n = F.count_if(~F.col("filled")).over(Window.partitionBy(*keys))
-    return both.withColumns({"place": first, "own": n}).where(F.when(F.col("filled"), F.col("place") <= query).otherwise(F.col("place") <= cap)).drop("own")
+    # the cap first, as of each key so many rows at most leave a task
+    return both.withColumn("place", first).where(F.col("place") <= cap).where(~F.col("filled") | (F.col("place") <= query))
 
 
 def select_batch(rows: DataFrame, selected: DataFrame, query: int, score: Column, seed: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
     """The query best rows of the selected partitions; others by hash order where these are too few."""
-    marked = rows.join(F.broadcast(selected.select(*keys, "part_id", F.lit(True).alias("inside"))), [*keys, "part_id"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    marked = rows.join(small(selected.select(*keys, "part_id", F.lit(True).alias("inside"))), [*keys, "part_id"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
     order = Window.partitionBy(*keys).orderBy(F.col("inside").desc(), F.when(F.col("inside"), score).desc_nulls_last(), hash_order("item_id", seed, "batch"), "item_id")
     return marked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= query)
-
-
-def most_partitions(query: int) -> int:
-    return max(1, min(32, query // 8))

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from budgetsieve.functions.expr import clip, half_even, hash_order, l2_normalize
-from budgetsieve.operators.ranking import KEYS, quantile_of, rank_desc, top_per
+from budgetsieve.operators import ranking as R
+from budgetsieve.operators.ranking import KEYS, joined, quantile_of, top_per
+from budgetsieve.sources.sinks import small
 
 
 def ranked(pool: DataFrame, score: str = "mu", keys: Sequence[str] = KEYS) -> DataFrame:
-    return pool.withColumn("rank", rank_desc(score, keys))
+    return R.ranked(pool, F.col(score).desc(), "rank", keys)
 
 
 def at_k(rows: DataFrame, ks: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
@@ -30,17 +32,17 @@ def at_k(rows: DataFrame, ks: Sequence[int], keys: Sequence[str] = KEYS) -> Data
 
 def enrichment(rows: DataFrame, fraction: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """Rate of labels in the top fraction over the base rate; halves round to even."""
-    sized = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("label").alias("base"))
+    sized = small(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("label").alias("base")))
     cut = F.greatest(F.lit(1), half_even(F.col("n") * F.lit(fraction)))
-    top = rows.join(F.broadcast(sized), list(keys)).where(F.col("rank") < cut)
+    top = joined(rows, sized, keys, "inner").where(F.col("rank") < cut)
     return top.groupBy(*keys).agg((F.avg("label") / F.greatest(F.first("base"), F.lit(1e-12))).alias("enrichment"))
 
 
 def bedroc(rows: DataFrame, alpha: float = 20.0, keys: Sequence[str] = KEYS) -> DataFrame:
     """Boltzmann-enhanced discrimination, in [0, 1]; null without labels."""
-    sized = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("label").alias("a"))
-    joined = rows.join(F.broadcast(sized), list(keys))
-    s = joined.groupBy(*keys).agg(F.sum(F.when(F.col("label") == 1, F.exp(-F.lit(alpha) * (F.col("rank") + 1) / F.col("n"))).otherwise(0.0)).alias("s"), F.first("n").alias("n"), F.first("a").alias("a"))
+    sized = small(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("label").alias("a")))
+    each = joined(rows, sized, keys, "inner")
+    s = each.groupBy(*keys).agg(F.sum(F.when(F.col("label") == 1, F.exp(-F.lit(alpha) * (F.col("rank") + 1) / F.col("n"))).otherwise(0.0)).alias("s"), F.first("n").alias("n"), F.first("a").alias("a"))
     ratio = F.col("a") / F.col("n")
     rie = F.col("s") / (ratio * (F.lit(1.0) - F.exp(F.lit(-alpha))) / (F.exp(F.lit(alpha) / F.col("n")) - F.lit(1.0)))
     low = (F.lit(1.0) - F.exp(F.lit(alpha) * ratio)) / (ratio * (F.lit(1.0) - F.exp(F.lit(alpha))))
@@ -67,19 +69,20 @@ def aubc_legacy(log: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return area.select(*keys, (F.col("area") / (F.col("last_x") * F.greatest(F.col("last_y"), F.lit(1.0)))).alias("aubc"))
 
 
-def aubc_recall(log: DataFrame, initial_hits: int, positives: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Area under recall, from the initial hits at 0 on."""
+def aubc_recall(log: DataFrame, initial_hits: int, positives: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Area under recall, from the initial hits at 0 on; positives has one row (keys, positives) a key."""
     points = cumulative(log, keys).select(*keys, F.col("round").cast("double").alias("x"), (F.col("cumulative_hits") + initial_hits).cast("double").alias("y"))
     start = log.select(*keys).distinct().select(*keys, F.lit(0.0).alias("x"), F.lit(float(initial_hits)).alias("y"))
-    area = trapezoid(points.unionByName(start), "x", "y", keys)
-    return area.select(*keys, (F.col("area") / (F.col("last_x") * F.lit(float(max(1, positives))))).alias("aubc"))
+    area = trapezoid(points.unionByName(start), "x", "y", keys).join(positives, list(keys))
+    return area.select(*keys, (F.col("area") / (F.col("last_x") * F.greatest(F.lit(1), F.col("positives")))).alias("aubc"))
 
 
 def ece(rows: DataFrame, p: str = "mu", bins: int = 10, keys: Sequence[str] = KEYS) -> DataFrame:
     """Expected calibration error over bins [low, high); a prediction of exactly 1 is in no bin."""
-    sized = rows.withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
-    binned = sized.where((F.col(p) >= 0) & (F.col(p) < 1)).groupBy(*keys, F.floor(F.col(p) * bins).alias("bin")).agg((F.count("*") / F.first("__n") * F.abs(F.avg("label") - F.avg(p))).alias("part"))
-    return binned.groupBy(*keys).agg(F.sum("part").alias("ece"))
+    inside = (F.col(p) >= 0) & (F.col(p) < 1)
+    bin_ = F.when(inside, F.floor(F.col(p) * bins)).otherwise(-1)
+    each = rows.groupBy(*keys, bin_.alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg("label") - F.avg(p)).alias("gap"))
+    return each.groupBy(*keys).agg((F.sum(F.when(F.col("bin") >= 0, F.col("n") * F.col("gap"))) / F.sum("n")).alias("ece"))
 
 
 def brier(p: str = "mu") -> Column:
@@ -100,26 +103,35 @@ def reliability(rows: DataFrame, p: str = "mu", bins: int = 10, keys: Sequence[s
 
 def conformal_threshold(rows: DataFrame, alpha: float = 0.1, p: str = "mu", keys: Sequence[str] = KEYS) -> DataFrame:
     """The residual at place ceil((n + 1)(1 - alpha)), at most the last."""
-    residual = rows.withColumn("residual", F.abs(F.col("label") - F.col(p)))
-    placed = residual.withColumns({"place": F.row_number().over(Window.partitionBy(*keys).orderBy("residual", "item_id")), "n": F.count("*").over(Window.partitionBy(*keys))})
-    want = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil((F.col("n") + 1) * F.lit(1 - alpha)).cast("long")))
-    return placed.where(F.col("place") == want).select(*keys, F.col("residual").alias("threshold"))
+    residual = rows.select(*keys, "item_id", F.abs(F.col("label") - F.col(p)).alias("residual"))
+    placed = R.ranked(residual, F.col("residual").asc(), "place", keys)
+    n = F.count("*")
+    want = small(placed.groupBy(*keys).agg(F.greatest(F.lit(1), F.least(n, F.ceil((n + 1) * F.lit(1 - alpha)).cast("long"))).alias("want")))
+    return joined(placed, want, keys, "inner").where(F.col("place") + 1 == F.col("want")).select(*keys, F.col("residual").alias("threshold"))
 
 
 def conformal_coverage(rows: DataFrame, thresholds: DataFrame, p: str = "mu", keys: Sequence[str] = KEYS) -> DataFrame:
-    joined = rows.join(F.broadcast(thresholds), list(keys))
-    return joined.groupBy(*keys).agg(F.avg((F.abs(F.col("label") - F.col(p)) <= F.col("threshold")).cast("double")).alias("coverage"))
+    each = joined(rows, small(thresholds), keys, "inner")
+    return each.groupBy(*keys).agg(F.avg((F.abs(F.col("label") - F.col(p)) <= F.col("threshold")).cast("double")).alias("coverage"))
 
 
 def risk_coverage(rows: DataFrame, p: str = "mu", u: str = "u_conf", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Area under mean residual against coverage, from the most certain on, over twenty coverages."""
-    w = Window.partitionBy(*keys).orderBy(u, "item_id")
-    residual = F.abs(F.col("label") - F.col(p))
-    running = rows.withColumns({"place": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(*keys)), "risk": F.avg(residual).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    """Area under mean residual against coverage, from the most certain on, over twenty coverages.
+
+    Residuals are summed along ranges of the order; a range's sums start from those of the ranges before.
+    """
+    residual = rows.select(*keys, "item_id", u, F.abs(F.col("label") - F.col(p)).alias("residual"))
+    parts = R.range_parts(residual, [F.col(u).asc(), F.col("item_id").asc()], keys)
+    each = parts.groupBy(*keys, "__part").agg(F.count("*").alias("n"), F.sum("residual").alias("sum"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = small(each.select(*keys, "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("sum").over(before), F.lit(0.0)).alias("sum_before")))
+    within = Window.partitionBy(*keys, "__part").orderBy("__pos")
+    along = parts.withColumns({"place": F.row_number().over(within), "sum": F.sum("residual").over(within.rowsBetween(Window.unboundedPreceding, 0))})
+    running = joined(along, shifts, [*keys, "__part"], "inner").select(*keys, (F.col("place") + F.col("n_before")).alias("place"), ((F.col("sum") + F.col("sum_before")) / (F.col("place") + F.col("n_before"))).alias("risk"))
     grid = F.explode(F.sequence(F.lit(0), F.lit(19)))
-    sizes = running.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, "n", grid.alias("i")).withColumn("c", F.lit(0.05) + F.lit(0.95) * F.col("i") / F.lit(19))
-    points = sizes.withColumn("place", F.ceil(F.col("c") * F.col("n")).cast("long")).select(*keys, "place", "c").join(running.select(*keys, "place", "risk"), [*keys, "place"])
-    return trapezoid(points, "c", "risk", keys).select(*keys, (F.col("area") / F.lit(0.95)).alias("aurc"))
+    points = parts.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, "n", grid.alias("i")).withColumn("c", F.lit(0.05) + F.lit(0.95) * F.col("i") / F.lit(19))
+    points = small(points.select(*keys, F.ceil(F.col("c") * F.col("n")).cast("long").alias("place"), "c"))  # twenty rows a key
+    return trapezoid(joined(running, points, [*keys, "place"], "inner"), "c", "risk", keys).select(*keys, (F.col("area") / F.lit(0.95)).alias("aurc"))
 
 
 def stratified_split(rows: DataFrame, fraction: float = 0.2, seed: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:

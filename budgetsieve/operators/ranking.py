@@ -1,4 +1,9 @@
-"""Rankings, rank fusion and final scores. Ranks are positional from 0; ties go to the smaller item_id."""
+"""Rankings, rank fusion and final scores. Ranks are positional from 0; ties go to the smaller item_id.
+
+Targets are few and one may hold most rows, so that nothing here gathers a target in a task: ranks come
+from range partitions (:func:`range_rank`), z-scores and quantiles from aggregates that are joined back,
+and lists of a fixed length from windows that keep so many rows before the shuffle.
+"""
 
 from __future__ import annotations
 
@@ -7,38 +12,67 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from budgetsieve.functions.expr import col, novelty, rrf_term, zscore
+from budgetsieve.functions.expr import EPSILON, col, rrf_term
+from budgetsieve.sources.sinks import small, written
 
 KEYS = ("target",)
 
 
+def joined(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Joins a table with one row a key; null keys are keys as well."""
+    if not keys:
+        return df.crossJoin(other)
+    named = other.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"__{k}"))
+        on = same if on is None else on & same
+    return df.join(named, on, how).drop(*[f"__{k}" for k in keys])
+
+
 def rank(score: Column, keys: Sequence[str] = KEYS) -> Column:
-    """Position from 0 in the given order, then by item_id."""
+    """Position from 0 in the given order, then by item_id; each key's rows meet in one task, so for small keys."""
     return F.row_number().over(Window.partitionBy(*keys).orderBy(score, F.col("item_id"))) - 1
 
 
-def rank_desc(score: Column | str, keys: Sequence[str] = KEYS) -> Column:
-    return rank(col(score).desc(), keys)
+def range_parts(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
+    """Rows dealt in ranges of (keys, order) and written in order, with their part and position."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(k) for k in keys], *order]
+    cut = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__pos", F.monotonically_increasing_id())
+    return written(cut, "ranges").withColumn("__part", F.shiftright("__pos", 33))
 
 
-def rank_asc(score: Column | str, keys: Sequence[str] = KEYS) -> Column:
-    return rank(col(score).asc(), keys)
+def range_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
+    """The position from 0 within the keys, for keys too large for one task.
 
+    Rows are dealt in ranges, where their positions are known; these are shifted by the key's rows in
+    the parts before (one row a part, and one a key within a part).
+    """
+    cut = range_parts(df, order, keys)
+    sizes = cut.groupBy(*keys, "__part").agg(F.min("__pos").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = small(sizes.select(*keys, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift")), "shifts")
+    return joined(cut, shifts, [*keys, "__part"], "inner").withColumn(name, F.col("__pos") + F.col("__shift")).drop("__part", "__pos", "__shift")
 
-def range_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """A global rank for pools too large for one task.
 
-    Rows are range-partitioned by the order, ranked within each part, and shifted by the sizes of the
-    parts before (one row a part). The parts are checkpointed, so that both steps see the same ones.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
-    sizes = cut.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return cut.withColumn("__rank", within).join(F.broadcast(shifts), "__part").withColumn(name, F.col("__rank") + F.col("__shift")).drop("__part", "__rank", "__shift")
+def ranked(df: DataFrame, score: Column, name: str = "rank", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Adds the rank by score, then by item_id."""
+    return range_rank(df, [score, F.col("item_id").asc()], name, keys)
+
+
+def zscored(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS, eps: float = EPSILON) -> DataFrame:
+    """Adds z_<column>: (x - mean) / (population deviation + eps) within the keys."""
+    stats = df.groupBy(*keys).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    out = joined(df, small(stats, "moments"), keys)
+    out = out.withColumns({f"z_{c}": (F.col(c) - F.col(f"__mean_{c}")) / (F.col(f"__sd_{c}") + F.lit(eps)) for c in columns})
+    return out.drop(*[f"__{n}_{c}" for c in columns for n in ("mean", "sd")])
+
+
+def with_novelty(df: DataFrame, name: str = "novelty", keys: Sequence[str] = KEYS, group: str = "scaffold") -> DataFrame:
+    """Adds one over the number of rows that share the group; groups are counted and joined back."""
+    sizes = df.groupBy(*keys, group).agg((F.lit(1.0) / F.count("*")).alias(name))
+    return joined(df, sizes, [*keys, group])
 
 
 #: Weights of cleanliness, confidence and novelty beside the weight 1 of the main score. Fixed values.
@@ -54,10 +88,16 @@ RRF_WEIGHTS = {
 }
 
 
-def rrf_ranks(pool: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The four ranks that fusion draws on: score, few alerts, low uncertainty, novelty."""
-    with_novelty = pool.withColumn("novelty", novelty("scaffold", keys))
-    return with_novelty.withColumns({"mu_rank": rank_desc("mu", keys), "clean_rank": rank_asc("alert", keys), "conf_rank": rank_asc("u_conf", keys), "novel_rank": rank_desc("novelty", keys)})
+def rrf_ranks(pool: DataFrame, keys: Sequence[str] = KEYS, wanted: Sequence[str] = ("clean_rank", "conf_rank", "novel_rank")) -> DataFrame:
+    """The ranks that fusion draws on: score, and as wanted few alerts, low uncertainty, novelty."""
+    out = ranked(pool, F.col("mu").desc(), "mu_rank", keys)
+    if "clean_rank" in wanted:
+        out = ranked(out, F.col("alert").asc(), "clean_rank", keys)
+    if "conf_rank" in wanted:
+        out = ranked(out, F.col("u_conf").asc(), "conf_rank", keys)
+    if "novel_rank" in wanted:
+        out = ranked(with_novelty(out, keys=keys), F.col("novelty").desc(), "novel_rank", keys)
+    return out
 
 
 def rrf_score(clean: float, conf: float, novel: float) -> Column:
@@ -68,17 +108,16 @@ def rrf_score(clean: float, conf: float, novel: float) -> Column:
     return score
 
 
-def rrf(pool: DataFrame, weights: str = "default", keys: Sequence[str] = KEYS) -> DataFrame:
-    """The pool with its fused score and final rank; only ranks with a weight are computed."""
+def fused(pool: DataFrame, weights: str = "default", keys: Sequence[str] = KEYS) -> DataFrame:
+    """The pool with its fused score; only ranks with a weight are computed."""
     clean, conf, novel = RRF_WEIGHTS[weights]
-    out = pool.withColumn("mu_rank", rank_desc("mu", keys))
-    if clean:
-        out = out.withColumn("clean_rank", rank_asc("alert", keys))
-    if conf:
-        out = out.withColumn("conf_rank", rank_asc("u_conf", keys))
-    if novel:
-        out = out.withColumn("novelty", novelty("scaffold", keys)).withColumn("novel_rank", rank_desc("novelty", keys))
-    return out.withColumn("rrf", rrf_score(clean, conf, novel)).withColumn("rank", rank_desc("rrf", keys))
+    wanted = [name for weight, name in ((clean, "clean_rank"), (conf, "conf_rank"), (novel, "novel_rank")) if weight]
+    return rrf_ranks(pool, keys, wanted).withColumn("rrf", rrf_score(clean, conf, novel))
+
+
+def rrf(pool: DataFrame, weights: str = "default", keys: Sequence[str] = KEYS) -> DataFrame:
+    """The pool with its fused score and final rank."""
+    return ranked(fused(pool, weights, keys), F.col("rrf").desc(), "rank", keys)
 
 
 def scaffold_repeat(pool: DataFrame, score: str = "mu", penalty: float = 0.025, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -87,28 +126,40 @@ def scaffold_repeat(pool: DataFrame, score: str = "mu", penalty: float = 0.025,
     return pool.withColumn("final", F.col(score) - F.lit(penalty) * F.log1p(earlier.cast("double")))
 
 
+def quantiles(pool: DataFrame, value: str, q: float, keys: Sequence[str] = KEYS, name: str = "cut") -> DataFrame:
+    """(keys, name): linearly interpolated quantiles, from the order statistics on both sides of the place."""
+    values = pool.where(F.col(value).isNotNull()).select(*keys, value).withColumn("__chance", F.rand(0))  # parts equal values
+    placed = range_rank(values, [F.col(value).asc(), F.col("__chance").asc()], "__place", keys)
+    sizes = small(placed.groupBy(*keys).agg(((F.count("*") - 1) * F.lit(q)).alias("__at")), "sizes")
+    near = joined(placed, sizes, keys, "inner").where((F.col("__place") >= F.floor("__at")) & (F.col("__place") <= F.ceil("__at")))
+    ends = near.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.first("__at").alias("at"))
+    return ends.select(*keys, (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias(name))
+
+
 def quantile_of(pool: DataFrame, value: str, q: float, name: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The pool with a linearly interpolated quantile of its keys (one broadcast row a key)."""
-    cuts = pool.groupBy(*keys).agg(F.percentile(value, q).alias(name))
-    return pool.join(F.broadcast(cuts), list(keys))
+    """The pool with a linearly interpolated quantile of its keys."""
+    return joined(pool, small(quantiles(pool, value, q, keys, name), "quantiles"), keys)
+
+
+# The weights of the final scores below are the published ones. Fixed values.
 
 
 def risk_constrained(pool: DataFrame, q: float = 0.75, keys: Sequence[str] = KEYS, alert: float = 0.1, novel: float = 0.05) -> DataFrame:
     """Score with novelty and alerts; items above the uncertainty quantile fall by one."""
-    base = F.col("mu") + F.lit(novel) * zscore("nov", keys) - F.lit(alert) * F.col("alert")
-    out = quantile_of(pool.withColumn("nov", novelty("scaffold", keys)), "u_conf", q, "cut", keys).withColumn("base", base)
-    return out.withColumn("final", F.when(F.col("u_conf") <= F.col("cut"), F.col("base")).otherwise(F.col("base") - 1.0))
+    out = zscored(with_novelty(quantile_of(pool, "u_conf", q, "cut", keys), "nov", keys), ["nov"], keys)
+    base = F.col("mu") + F.lit(novel) * F.col("z_nov") - F.lit(alert) * F.col("alert")
+    return out.withColumn("base", base).withColumn("final", F.when(F.col("u_conf") <= F.col("cut"), F.col("base")).otherwise(F.col("base") - 1.0))
 
 
 def soft_reliable(pool: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    out = pool.withColumn("nov", novelty("scaffold", keys))
-    return out.withColumn("final", F.col("mu") + F.lit(0.02) * zscore("nov", keys) - F.lit(0.05) * F.col("alert") - F.lit(0.03) * zscore("u_conf", keys))
+    out = zscored(with_novelty(pool, "nov", keys), ["nov", "u_conf"], keys)
+    return out.withColumn("final", F.col("mu") + F.lit(0.02) * F.col("z_nov") - F.lit(0.05) * F.col("alert") - F.lit(0.03) * F.col("z_u_conf"))
 
 
 def hit_guard(pool: DataFrame, q: float = 0.9, keys: Sequence[str] = KEYS) -> DataFrame:
     """The best tenth keeps its score almost untouched; the rest is weighed."""
-    out = quantile_of(pool.withColumn("nov", novelty("scaffold", keys)), "mu", q, "cut", keys)
-    rest = F.col("mu") + F.lit(0.03) * zscore("nov", keys) - F.lit(0.08) * F.col("alert") - F.lit(0.02) * zscore("u_conf", keys)
+    out = zscored(with_novelty(quantile_of(pool, "mu", q, "cut", keys), "nov", keys), ["nov", "u_conf"], keys)
+    rest = F.col("mu") + F.lit(0.03) * F.col("z_nov") - F.lit(0.08) * F.col("alert") - F.lit(0.02) * F.col("z_u_conf")
     return out.withColumn("final", F.when(F.col("mu") >= F.col("cut"), F.col("mu") - F.lit(0.01) * F.col("alert")).otherwise(rest))
 
 
@@ -126,9 +177,9 @@ def top_per(pool: DataFrame, score: Column, k: Column | int, keys: Sequence[str]
 def rrf_weight_grid(pool: DataFrame, grid: DataFrame, k: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Hits in the top k for each pair of weights (w_clean, w_novel); ranks are computed once.
 
-    The grid is a small fixed table.
+    The grid is a small fixed table; of each cell every task keeps k rows before the shuffle.
     """
-    each = rrf_ranks(pool, keys).crossJoin(F.broadcast(grid))
+    each = written(rrf_ranks(pool, keys, ("clean_rank", "novel_rank")), "ranks").crossJoin(F.broadcast(grid))
     score = F.lit(1.0) / (F.lit(60.0) + F.col("mu_rank")) + F.col("w_clean") / (F.lit(60.0) + F.col("clean_rank")) + F.col("w_novel") / (F.lit(60.0) + F.col("novel_rank"))
     cells = [*keys, "w_clean", "w_novel"]
     return top_per(each.withColumn("rrf", score), F.col("rrf").desc(), k, cells).groupBy(*cells).agg(F.sum("label").alias("hits"), F.avg("alert").alias("alerts"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from budgetsieve.functions.expr import hash_order
 from budgetsieve.operators.ranking import KEYS, range_rank
+from budgetsieve.sources.sinks import small
 
 
 def placed(df: DataFrame, keys: Sequence[str], seed: int, purpose: str, name: str = "place") -> DataFrame:
@@ -54,7 +55,7 @@ def quota_fill(pool: DataFrame, quota: int, total: int, score: str = "mu", keys:
 def budget_fill(pool: DataFrame, part_ranks: DataFrame, budget: Column | int, reservoir: int, seed: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
     """Reservoir rows first, then partitions in order of rank, until the budget is used."""
     rows = placed(pool, [*keys, "part_id"], seed, "reservoir").withColumn("probed", F.col("place") <= reservoir)
-    ranked = rows.join(F.broadcast(part_ranks), [*keys, "part_id"])
+    ranked = rows.join(small(part_ranks), [*keys, "part_id"])
     order = Window.partitionBy(*keys).orderBy(F.col("probed").desc(), F.when(F.col("probed"), F.lit(0)).otherwise(F.col("part_rank")), hash_order("item_id", seed, "fill"), "item_id")
     return ranked.withColumn("spent", F.row_number().over(order)).where(F.col("spent") <= budget)
 
@@ -63,5 +64,5 @@ def upsample(pool: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """size rows drawn with replacement by hash; rows are numbered in range partitions, not in one task."""
     n = pool.count()
     numbered = range_rank(pool, [F.col("item_id")], "__i")
-    draws = pool.sparkSession.range(size).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("__i"))
+    draws = pool.sparkSession.range(size).select(F.col("id").alias("draw"), F.pmod(F.conv(F.substring(hash_order("id", seed, "draw"), 1, 15), 16, 10).cast("long"), F.lit(n)).alias("__i"))
     return draws.join(numbered, "__i").drop("__i")

@@ -2,41 +2,84 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from math import comb, erf, sqrt
+from collections.abc import Iterator, Sequence
+from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_EXACT = 16
+#: Deltas up to which a key's sign patterns are all listed.
+MOST_EXACT = 20
+#: Draws whose partial sums go in one row.
+CHUNK = 1000
+
+
+def finite(deltas: DataFrame, value: str) -> DataFrame:
+    """Rows whose value is a finite number."""
+    return deltas.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))))
 
 
 def permutation_exact(deltas: DataFrame, keys: Sequence[str], value: str = "delta") -> DataFrame:
-    """Two-sided sign-flip test on the mean over all 2^n sign patterns, n <= MOST_EXACT, in SQL functions."""
-    lists = deltas.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("d"), F.count("*").alias("n")).where((F.col("n") > 0) & (F.col("n") <= MOST_EXACT))
+    """Two-sided sign-flip test on the mean over all 2^n sign patterns, in SQL functions.
+
+    Keys of more than MOST_EXACT deltas are tested by drawn signs (see :func:`permutation_sampled`).
+    """
+    rows = finite(deltas, value)
+    rows = rows.drop(*[c for c in ("n", "d", "p") if c not in keys and c != value])
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    few = rows.join(sizes.where(F.col("n") <= MOST_EXACT), list(keys))
+    lists = few.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(value)).alias("d"))
     flips = lists.withColumn("pattern", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2.0), "n") - 1).cast("int"))))
     mean = F.aggregate(F.transform("d", lambda x, i: x * (F.lit(1) - F.lit(2) * (F.floor(F.col("pattern") / F.pow(F.lit(2.0), i)) % 2))), F.lit(0.0), lambda s, x: s + x) / F.col("n")
     observed = F.abs(F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.col("n"))
-    return flips.groupBy(*keys).agg(F.avg((F.abs(mean) >= observed - F.lit(1e-12)).cast("double")).alias("p"), F.first("n").alias("n"))
+    exact = flips.groupBy(*keys).agg(F.avg((F.abs(mean) >= observed - F.lit(1e-12)).cast("double")).alias("p"), F.first("n").alias("n"))
+    many = sizes.where(F.col("n") > MOST_EXACT)
+    drawn = permutation_sampled(rows.join(many.drop("n"), list(keys), "left_semi"), keys, value).join(many, list(keys))
+    return exact.unionByName(drawn.select(*keys, "p", "n"))
+
+
+def drawn_sums(rows: DataFrame, keys: Sequence[str], value: str, draws: int, weigh) -> DataFrame:
+    """(keys, draw, total, weight): sums over a key's rows of value times each draw's weight of the row.
+
+    A row's weights come from a generator seeded by its content (rows should differ in some column), so
+    that any task may draw them. Tasks send partial sums, whatever the size of a key.
+    """
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "chunk int, total array<double>, weight array<double>"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for key, seed, x in zip(batch[list(keys)].itertuples(index=False, name=None), batch["__seed"].tolist(), batch[value].tolist()):
+                w = weigh(np.random.default_rng(seed), draws)
+                if key not in held:
+                    held[key] = np.zeros((2, draws))
+                held[key] += (w * x, w)
+                if len(held) * draws >= 2_000_000:  # bounded memory, many keys
+                    yield give(held)
+                    held = {}
+        if held:
+            yield give(held)
+
+    def give(held: dict[tuple, np.ndarray]) -> pd.DataFrame:
+        out = [(*key, c, sums[0, c * CHUNK : (c + 1) * CHUNK], sums[1, c * CHUNK : (c + 1) * CHUNK]) for key, sums in held.items() for c in range(-(-draws // CHUNK))]
+        return pd.DataFrame(out, columns=[*keys, "chunk", "total", "weight"])
+
+    seeded = rows.select(*keys, F.col(value).cast("double").alias(value), F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(1 << 62)).alias("__seed"))
+    parts = seeded.mapInPandas(run, schema)
+    each = parts.select(*keys, "chunk", F.posexplode(F.arrays_zip("total", "weight")).alias("i", "s")).select(*keys, (F.col("chunk") * CHUNK + F.col("i")).alias("draw"), "s.*")
+    return each.groupBy(*keys, "draw").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
 
 
 def permutation_sampled(deltas: DataFrame, keys: Sequence[str], value: str = "delta", draws: int = 100_000, seed: int = 0) -> DataFrame:
-    """The same test by seeded draws of signs, for larger n (a key's deltas are a small result set)."""
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = np.sort(pdf[value].to_numpy())
-        rng, hits, left = np.random.default_rng(seed), 0, draws
-        while left:
-            m = min(left, 4096)
-            means = (d * rng.choice([-1.0, 1.0], size=(m, len(d)))).mean(axis=1)
-            hits += int((np.abs(means) >= abs(d.mean()) - 1e-12).sum())
-            left -= m
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "p": [(hits + 1) / (draws + 1)]})
-
-    kinds = dict(deltas.dtypes)
-    return deltas.groupBy(*keys).applyInPandas(test, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "p double"]))
+    """The same test by seeded draws of signs, for larger n: the share of draws that are as far from 0."""
+    rows = finite(deltas, value).withColumn("__draws", F.lit(seed))
+    sums = drawn_sums(rows, keys, value, draws, lambda rng, n: np.unpackbits(np.frombuffer(rng.bytes(-(-n // 8)), np.uint8))[:n] * 2.0 - 1.0)
+    observed = rows.groupBy(*keys).agg(F.sum(value).alias("observed"), F.count("*").alias("n"))
+    far = F.abs(F.col("total") / F.col("n")) >= F.abs(F.col("observed") / F.col("n")) - F.lit(1e-12)
+    return sums.join(F.broadcast(observed), list(keys)).groupBy(*keys).agg(F.avg(far.cast("double")).alias("p"))
 
 
 def mid_rank(value: Column, keys: Sequence[str]) -> Column:
@@ -55,13 +98,15 @@ def wilcoxon(deltas: DataFrame, keys: Sequence[str], value: str = "delta") -> Da
 
 
 def normal_p(z: Column, two_sided: bool = True) -> Column:
-    """p-value of a normal deviate (a small result table)."""
-
-    @F.pandas_udf("double")
-    def p(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None or v != v else 1 - erf(abs(v) / sqrt(2)) if two_sided else (1 + erf(v / sqrt(2))) / 2)
+    """p-value of a normal deviate: two-sided, or that of so low a one.
 
-    return p(z)
+    The error function's series of positive terms, 200 of them, which is exact to rounding up to |z| = 10.
+    """
+    x = F.least(F.abs(z), F.lit(10.0)) / F.lit(2**0.5)
+    start = F.struct(x.alias("term"), x.alias("sum"))
+    step = lambda s, n: F.struct((s["term"] * F.lit(2.0) * x * x / (F.lit(2.0) * n + 1)).alias("term"), (s["sum"] + s["term"] * F.lit(2.0) * x * x / (F.lit(2.0) * n + 1)).alias("sum"))
+    erf = F.lit(2 / np.pi**0.5) * F.exp(-x * x) * F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, step)["sum"]
+    return F.greatest(F.lit(0.0), F.lit(1.0) - erf) if two_sided else (F.lit(1.0) + F.signum(z) * erf) / F.lit(2.0)
 
 
 def sign_p(wins: int, n: int) -> float:
@@ -94,11 +139,10 @@ def mann_whitney(rows: DataFrame, keys: Sequence[str], value: str, group: str, f
     return sums.withColumn("u", u).withColumn("p_lower", F.lit(1.0) - F.col("u") / (n * m)).withColumn("z", (F.col("u") - n * m / 2 + 0.5) / F.sqrt(n * m * (n + m + 1) / 12)).drop("r1")
 
 
-def bootstrap_ci(deltas: DataFrame, keys: Sequence[str], value: str = "delta", draws: int = 1000) -> DataFrame:
-    """Mean with a 95 % interval from hash-seeded resamples, without leaving SQL: each row's weight in each draw is Poisson(1)."""
-    each = deltas.withColumn("__id", F.xxhash64(*[F.col(c) for c in deltas.columns])).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.pmod(F.xxhash64("__id", "draw"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    cuts = np.cumsum([np.exp(-1) / np.prod(range(1, k + 1)) for k in range(7)])
-    weight = sum((F.when(u >= F.lit(float(c)), F.lit(1.0)).otherwise(0.0) for c in cuts), F.lit(0.0))
-    means = each.withColumn("w", weight).groupBy(*keys, "draw").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
-    return means.groupBy(*keys).agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+def bootstrap_ci(deltas: DataFrame, keys: Sequence[str], value: str = "delta", draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """Mean with a 95 % interval of resampled means; a row's weight in each draw is Poisson(1), drawn where the row is."""
+    rows = finite(deltas, value).withColumn("__draws", F.lit(seed))
+    sums = drawn_sums(rows, keys, value, draws, lambda rng, n: rng.poisson(1.0, n).astype(np.float64))
+    means = sums.where(F.col("weight") > 0).withColumn("__m", F.col("total") / F.col("weight"))
+    spread = means.groupBy(*keys).agg(F.percentile("__m", 0.025).alias("low"), F.percentile("__m", 0.975).alias("high"))
+    return rows.groupBy(*keys).agg(F.avg(value).alias("mean")).join(spread, list(keys))

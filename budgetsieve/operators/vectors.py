@@ -9,48 +9,64 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from budgetsieve.functions.expr import squared_distance
+from budgetsieve.functions.expr import dot, sigmoid, squared_distance
+from budgetsieve.sources.sinks import small
 
-#: Reference vectors that are sent to every executor; beyond it the reference side is taken in blocks.
-BLOCK_ROWS = 4096
+#: Reference vectors of one block, and pool rows of one group that meets it.
+BLOCK_ROWS, GROUP_ROWS = 4096, 8192
 
 
-def _blocks(reference: DataFrame) -> list[np.ndarray]:
-    n = reference.count()
-    size = -(-n // BLOCK_ROWS) or 1
-    if size > 256:
-        raise ValueError(f"{n} reference vectors are no query set; sample or index them")
-    block = F.pmod(F.xxhash64("item_id"), F.lit(size))
-    return [np.array(reference.where(block == k).orderBy("item_id").select("x").toPandas()["x"].tolist(), np.float64) for k in range(size)]
+def nearest(pool: DataFrame, reference: DataFrame, k: int, keys: Sequence[str] = (), name: str = "nearest") -> DataFrame:
+    """(keys, item_id, name): the distances of each row's x to its k nearest reference vectors, in order.
 
-
-def knn_mean_distance(pool: DataFrame, reference: DataFrame, k: int, name: str = "distance") -> DataFrame:
-    """Mean Euclidean distance of each row's x to its k nearest reference vectors.
-
-    The reference is a labelled query set of bounded size, checked and sent in blocks; the pool is
-    scanned once and never shuffled. Distances are exact: differences are summed, not expanded.
+    The reference is a query set that may be of any size: it is cut into blocks, the pool into groups, and
+    each group meets each block of its key in a task of its own; the k nearest of each are merged by an
+    aggregation. Distances are exact: differences are summed, not expanded. Rows of a key without
+    reference vectors are left out.
     """
-    blocks = [b for b in _blocks(reference) if len(b)]
-    schema = f"item_id long, {name} double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array(batch["x"].tolist(), np.float64)
-            best = np.full((len(x), 0), np.inf)
-            for b in blocks:
-                for i in range(0, len(b), 256):
-                    d = np.sqrt(((x[:, None, :] - b[None, i : i + 256, :]) ** 2).sum(axis=2))
-                    best = np.sort(np.hstack([best, d]), axis=1)[:, :k]
-            yield pd.DataFrame({"item_id": batch["item_id"], name: best.mean(axis=1) if best.shape[1] else np.nan})
-
-    return pool.select("item_id", "x").mapInPandas(run, schema)
-
-
-def knn_margin(pool: DataFrame, labeled: DataFrame, k: int = 5) -> DataFrame:
+    blocks = reference.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("__blocks"))
+    groups = pool.groupBy(*keys).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("__groups"))
+    sizes = small((blocks.join(groups, list(keys)) if keys else blocks.crossJoin(groups)).where("__blocks > 0 and __groups > 0"), "block-sizes")
+    mine, all_of = F.pmod(F.xxhash64("item_id"), F.lit(1 << 30)), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    with_sizes = lambda df: df.join(sizes, list(keys)) if keys else df.crossJoin(sizes)
+    left = with_sizes(pool.select(*keys, "item_id", "x")).select(*keys, (mine % F.col("__groups")).cast("int").alias("__group"), all_of("__blocks").alias("__block"), "item_id", "x")
+    right = with_sizes(reference.select(*keys, "item_id", "x")).select(*[F.col(c).alias(f"__ref_{c}") for c in keys], all_of("__groups").alias("__ref_group"), (mine % F.col("__blocks")).cast("int").alias("__ref_block"), F.col("item_id").alias("__ref"), F.col("x").alias("__y"))
+    cells, others = [*keys, "__group", "__block"], [*[f"__ref_{c}" for c in keys], "__ref_group", "__ref_block"]
+    kinds = dict(pool.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), f"item_id {kinds['item_id']}, {name} array<double>"])
+
+    def meet(rows: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(refs):
+            return pd.DataFrame({c: [] for c in (*keys, "item_id", name)})
+        refs = refs.sort_values("__ref")
+        x, b = np.array(rows["x"].tolist(), np.float64), np.array(refs["__y"].tolist(), np.float64)
+        out = []
+        for i in range(0, len(x), 64):
+            best = np.full((len(x[i : i + 64]), 0), np.inf)
+            for j in range(0, len(b), 256):
+                d = np.sqrt(((x[i : i + 64, None, :] - b[None, j : j + 256, :]) ** 2).sum(axis=2))
+                best = np.sort(np.hstack([best, d]), axis=1)[:, :k]
+            out.append(best)
+        return pd.DataFrame({**{c: rows[c].to_numpy() for c in (*keys, "item_id")}, name: list(np.vstack(out))})
+
+    met = left.groupBy(*cells).cogroup(right.groupBy(*others)).applyInPandas(meet, schema)
+    return met.groupBy(*keys, "item_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(name))), 1, k).alias(name))
+
+
+def _mean(values: str):
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+
+
+def knn_mean_distance(pool: DataFrame, reference: DataFrame, k: int, name: str = "distance", keys: Sequence[str] = ()) -> DataFrame:
+    """Mean Euclidean distance of each row's x to its k nearest reference vectors."""
+    return nearest(pool, reference, k, keys, "__near").select(*keys, "item_id", _mean("__near").alias(name))
+
+
+def knn_margin(pool: DataFrame, labeled: DataFrame, k: int = 5, keys: Sequence[str] = ()) -> DataFrame:
     """Mean distance to the k nearest negatives minus that to the k nearest positives."""
-    far = knn_mean_distance(pool, labeled.where("label = 0"), k, "to_negative")
-    near = knn_mean_distance(pool, labeled.where("label = 1"), k, "to_positive")
-    return near.join(far, "item_id").withColumn("margin", F.col("to_negative") - F.col("to_positive"))
+    far = knn_mean_distance(pool, labeled.where("label = 0"), k, "to_negative", keys)
+    near = knn_mean_distance(pool, labeled.where("label = 1"), k, "to_positive", keys)
+    return near.join(far, [*keys, "item_id"]).withColumn("margin", F.col("to_negative") - F.col("to_positive"))
 
 
 def class_centroids(pool: DataFrame, group: str = "class") -> DataFrame:
@@ -68,10 +84,10 @@ def nearest_centroid(pool: DataFrame, centroids: DataFrame, group: str = "class"
     return each.withColumn("__best", F.array_min(d)).withColumn(name, F.col("__best")["g"]).drop("table", "__best")
 
 
-def partition_spread(pool: DataFrame, part: str = "part_id") -> DataFrame:
+def partition_spread(pool: DataFrame, part: Sequence[str] = ("part_id",)) -> DataFrame:
     """Mean over dimensions of the population deviation within each partition."""
-    each = pool.select(part, F.posexplode("x").alias("dim", "value"))
-    return each.groupBy(part, "dim").agg(F.stddev_pop("value").alias("s")).groupBy(part).agg(F.avg("s").alias("spread"))
+    each = pool.select(*part, F.posexplode("x").alias("dim", "value"))
+    return each.groupBy(*part, "dim").agg(F.stddev_pop("value").alias("s")).groupBy(*part).agg(F.avg("s").alias("spread"))
 
 
 def hash_table(bits: int, dims: int) -> list[tuple[int, int, int]]:
@@ -83,12 +99,25 @@ def hash_table(bits: int, dims: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def signed_hash_projection(rows: DataFrame, bits: int = 2048, dims: int = 32) -> DataFrame:
-    """Long form (item_id, dim, value) of the L2-normalised signed sums of on-bits; the table is fixed and small."""
-    table = rows.sparkSession.createDataFrame(hash_table(bits, dims), "bit int, dim int, sign int")
-    sums = rows.select("item_id", F.explode("bits").alias("bit")).join(F.broadcast(table), "bit").groupBy("item_id", "dim").agg(F.sum("sign").cast("double").alias("s"))
-    n = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("item_id")))
-    return sums.select("item_id", "dim", (F.col("s") / F.greatest(n, F.lit(1e-12))).alias("value"))
+def signed_hash_projection(rows: DataFrame, bits: int = 2048, dims: int = 96) -> DataFrame:
+    """Long form (item_id, dim, value) of the L2-normalised signed sums of on-bits, for dimensions with bits.
+
+    One row in, its dimensions out: a batch is one product with the fixed table, and nothing is shuffled.
+    """
+    table = np.zeros((bits, dims), np.float64)
+    for b, d, sign in hash_table(bits, dims):
+        table[b, d] = sign
+
+    @F.pandas_udf("array<double>")
+    def times(on: pd.Series) -> pd.Series:
+        out = []
+        for x in on:
+            picked = table[np.asarray(x, np.int64)]
+            sums = picked.sum(axis=0)
+            out.append(np.where((picked != 0).any(axis=0), sums / max(float(np.sqrt((sums * sums).sum())), 1e-12), np.nan))
+        return pd.Series(out)
+
+    return rows.select("item_id", F.posexplode(times("bits")).alias("dim", "value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def shingle_bits(rows: DataFrame, text: str = "text", bits: int = 2048) -> DataFrame:
@@ -171,26 +200,46 @@ def logistic_ensemble(labeled: DataFrame, members: int = 5, seed: int = 0, penal
 
 
 def score_linear(pool: DataFrame, coefficients: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Mean (mu) and population variance (u_epi) of the members' probabilities; coefficients are a small table."""
-    from budgetsieve.functions.expr import dot, sigmoid
+    """Adds the mean (mu) and population variance (u_epi) of the members' probabilities; rows aren't shuffled.
+
+    A key's members are one row of a small table, whose size is checked before it is broadcast.
+    """
+    members = coefficients.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("member", "w", "b"))).alias("__members"))
+    members = small(members, "coefficients")
+    each = pool.join(members, list(keys)) if keys else pool.crossJoin(members)
+    each = each.withColumn("__p", F.transform("__members", lambda m: sigmoid(dot(F.col("x"), m["w"]) + m["b"])))
+    each = each.withColumn("mu", _mean("__p"))
+    spread = F.aggregate("__p", F.lit(0.0), lambda s, p: s + (p - F.col("mu")) * (p - F.col("mu"))) / F.size("__p")
+    return each.withColumn("u_epi", spread).drop("__members", "__p")
+
+
+def score_neighbours(pool: DataFrame, labeled: DataFrame, k: int = 5, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds mu and u_epi from distances to labelled rows: similarity to positives less that to negatives."""
+    from budgetsieve.operators.ranking import joined, zscored
 
-    each = pool.join(F.broadcast(coefficients), list(keys)) if keys else pool.crossJoin(F.broadcast(coefficients))
-    return each.withColumn("p", sigmoid(dot("x", "w") + F.col("b"))).groupBy(*keys, "item_id").agg(F.avg("p").alias("mu"), F.var_pop("p").alias("u_epi"))
+    margins = knn_margin(pool, labeled, k, keys)
+    near = margins.select(*keys, "item_id", (-F.col("to_positive")).alias("__pos"), (-F.col("to_negative")).alias("__neg"))
+    raw = zscored(near, ["__pos", "__neg"], keys).withColumn("__raw", F.col("z___pos") - F.col("z___neg"))
+    scores = raw.select(*keys, "item_id", sigmoid(F.col("__raw")).alias("mu"), (F.lit(1.0) / (F.abs("__raw") + F.lit(1e-3))).alias("u_epi"))
+    return joined(pool, scores, [*keys, "item_id"], "inner")
 
 
-def forest_scores(pool: DataFrame, labeled: DataFrame, trees: int = 32, seed: int = 0, extra: bool = False) -> DataFrame:
-    """Mean probability of a random forest and the variance p (1 - p) of one tree's vote.
+def forest_scores(pool: DataFrame, labeled: DataFrame, trees: int = 80, seed: int = 0, depth: int = 12) -> DataFrame:
+    """Adds the mean (mu) and variance (u_epi) of a random forest's trees; classes weigh the same.
 
-    ``extra`` stands for extremely randomised trees, which Spark lacks: features are drawn per split.
+    Spark grows no extremely randomised trees; they are left out.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    data = labeled.select(F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
-    model = RandomForestClassifier(numTrees=trees, maxDepth=6, seed=seed, featureSubsetStrategy="sqrt" if extra else "auto").fit(data)
-    scored = pool.withColumn("features", array_to_vector("x"))
-    out = model.transform(scored).withColumn("mu", vector_to_array("probability")[1])
-    return out.select("item_id", "mu", (F.col("mu") * (F.lit(1.0) - F.col("mu"))).alias("u_epi"))
+    total = F.count("*").over(Window.partitionBy())  # labelled rows are as many as the budget
+    weight = total / (F.lit(2.0) * F.count("*").over(Window.partitionBy("label")))
+    data = labeled.select(F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"), weight.alias("weight"))
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight").fit(data)
+    scored = pool.withColumn("__features", array_to_vector("x"))
+    out = model.setFeaturesCol("__features").setRawPredictionCol("__raw").setProbabilityCol("__probability").setPredictionCol("__prediction").transform(scored)
+    out = out.withColumn("mu", vector_to_array("__probability")[1]).withColumn("u_epi", F.col("mu") * (F.lit(1.0) - F.col("mu")))
+    return out.drop("__features", "__raw", "__probability", "__prediction")
 
 
 def kmeans(pool: DataFrame, k: int, seed: int = 0) -> DataFrame:

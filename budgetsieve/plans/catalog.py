@@ -33,7 +33,8 @@ def query(name: str, pools: str = "", sql: str = ""):
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), places) for c in columns})
+    """Columns as rounded doubles; the zero added turns -0 into 0."""
+    return df.withColumns({c: F.round(F.col(c).cast("double"), places) + F.lit(0.0) for c in columns})
 
 
 def load() -> None:

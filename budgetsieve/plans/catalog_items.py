@@ -14,7 +14,7 @@ from budgetsieve.plans import loops
 from budgetsieve.plans.catalog import query, rounded
 from budgetsieve.plans.registry import METHODS, final_scores
 from budgetsieve.sources.readers import vector_check
-from budgetsieve.sources.sinks import ensure_checkpoint_dir
+from budgetsieve.sources.sinks import small, written
 
 KT = ["target"]
 KP = ["target", "part_id"]
@@ -30,12 +30,12 @@ def _(s):
 
 @query("zscore_partition", "p", "SELECT item_id, round((mu - avg(mu) OVER w) / (stddev_pop(mu) OVER w + 1e-8), 6) AS z FROM p WINDOW w AS (PARTITION BY target, part_id)")
 def _(s):
-    return rounded(s.p.select("item_id", E.zscore("mu", KP).alias("z")), "z")
+    return rounded(R.zscored(s.p, ["mu"], KP).select("item_id", F.col("z_mu").alias("z")), "z")
 
 
 @query("novelty", "o", "SELECT item_id, round(1.0e0 / count(*) OVER (PARTITION BY target, scaffold), 6) AS novelty FROM o")
 def _(s):
-    return rounded(s.o.select("item_id", E.novelty("scaffold", KT).alias("novelty")), "novelty")
+    return rounded(R.with_novelty(s.o).select("item_id", "novelty"), "novelty")
 
 
 @query("sigmoid_clip", "p", "SELECT item_id, round(1 / (1 + exp(-(mu * 4 - 2))), 6) AS s, round(greatest(least(mu, 0.9e0), 0.1e0), 6) AS c FROM p")
@@ -43,7 +43,7 @@ def _(s):
     return rounded(s.p.select("item_id", E.sigmoid(F.col("mu") * 4 - 2).alias("s"), E.clip("mu", 0.1, 0.9).alias("c")), "s", "c")
 
 
-@query("l2_normalize", "v", "SELECT item_id, unnest(generate_series(0, len(x) - 1))::INT AS dim, round(unnest(list_transform(x, lambda a: a / greatest(sqrt(list_sum(list_transform(x, lambda b: b * b))), 1e-12))), 5) AS value FROM v")
+@query("l2_normalize", "v", "SELECT item_id, unnest(generate_series(0, len(x) - 1))::INT AS dim, round(unnest(list_transform(x, lambda a: a / greatest(sqrt(list_sum(list_transform(x, lambda b: b * b))), 1e-12))), 5) + 0.0e0 AS value FROM v")
 def _(s):
     return rounded(s.v.select("item_id", F.posexplode(E.l2_normalize("x")).alias("dim", "value")), "value", places=5)
 
@@ -58,9 +58,9 @@ def _(s):
     return s.table("nation").select("n_name", E.string_offset("n_name").alias("seed_offset"))
 
 
-@query("metric_names", "", "SELECT p_partkey, replace(replace(replace(p_brand || '@' || p_retailprice, '@', '_at_'), '/', '_'), '.', 'p') AS name FROM part WHERE p_retailprice IS NOT NULL AND p_size < 0 UNION ALL SELECT p_partkey, replace(replace(replace(p_brand || '@1/2.5', '@', '_at_'), '/', '_'), '.', 'p') FROM part")
+@query("metric_names", "", "SELECT p_partkey, replace(replace(replace(p_brand || '@' || p_size || '/2.5', '@', '_at_'), '/', '_'), '.', 'p') AS name FROM part")
 def _(s):
-    return s.table("part").select("p_partkey", E.metric_name(F.concat("p_brand", F.lit("@1/2.5"))).alias("name"))
+    return s.table("part").select("p_partkey", E.metric_name(F.concat("p_brand", F.lit("@"), F.col("p_size").cast("string"), F.lit("/2.5"))).alias("name"))
 
 
 @query("ucb_bonus", "p", "SELECT target, part_id, round(sqrt(2 * ln(greatest(2, 5)) / greatest(1, count(*))), 6) AS bonus FROM p GROUP BY ALL")
@@ -68,9 +68,9 @@ def _(s):
     return rounded(s.p.groupBy(*KP).agg(F.count("*").alias("n")).select(*KP, E.ucb_bonus(F.lit(5), F.col("n")).alias("bonus")), "bonus")
 
 
-@query("hash_order", "o", "SELECT item_id, md5('7:demo:' || item_id) AS h FROM o ORDER BY h, item_id LIMIT 100")
+@query("hash_order", "o", "SELECT item_id, md5('7:demo:' || item_id) AS h FROM o")
 def _(s):
-    return s.o.select("item_id", E.hash_order("item_id", 7, "demo").alias("h")).orderBy("h", "item_id").limit(100)
+    return s.o.select("item_id", E.hash_order("item_id", 7, "demo").alias("h"))
 
 
 @query("bounding_box", "v", "SELECT class, round(avg(x[1]), 6) AS cx, round(avg(x[2]), 6) AS cy, round(avg(x[3]), 6) AS cz, round(greatest(max(x[1]) - min(x[1]) + 0.5e0, 0.8e0), 6) AS sx, round(greatest(max(x[2]) - min(x[2]) + 0.5e0, 0.8e0), 6) AS sy, round(greatest(max(x[3]) - min(x[3]) + 0.5e0, 0.8e0), 6) AS sz FROM v GROUP BY class")
@@ -121,10 +121,13 @@ def _(s):
     return rounded(vector_check(s.v), "mean_norm", places=5)
 
 
-@query("upsample", "o", "SELECT count(*) AS n FROM range(20000)")
+_DRAWS = 20000
+
+
+@query("upsample", "o", f"""WITH n AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM o)
+SELECT draw, item_id FROM range({_DRAWS}) t(draw) JOIN n ON i = ('0x' || substr(md5('0:draw:' || draw), 1, 15))::BIGINT % n""")
 def _(s):
-    ensure_checkpoint_dir(s.spark)
-    return S.upsample(s.o.select("item_id"), 20000).agg(F.count("*").alias("n"))
+    return S.upsample(s.o.select("item_id"), _DRAWS).select("draw", "item_id")
 
 
 # ---- ranks and fusion
@@ -132,17 +135,16 @@ def _(s):
 
 @query("rank_desc", "o", "SELECT item_id, target, row_number() OVER (PARTITION BY target ORDER BY mu DESC, item_id) - 1 AS rank FROM o")
 def _(s):
-    return s.o.select("item_id", "target", R.rank_desc("mu").cast("long").alias("rank"))
+    return R.ranked(s.o.select("item_id", "target", "mu"), F.col("mu").desc()).select("item_id", "target", "rank")
 
 
 @query("rank_asc", "o", "SELECT item_id, target, row_number() OVER (PARTITION BY target ORDER BY alert, item_id) - 1 AS rank FROM o")
 def _(s):
-    return s.o.select("item_id", "target", R.rank_asc("alert").cast("long").alias("rank"))
+    return R.ranked(s.o.select("item_id", "target", "alert"), F.col("alert").asc()).select("item_id", "target", "rank")
 
 
 @query("rank_global", "p", "SELECT item_id, row_number() OVER (ORDER BY mu DESC, item_id) - 1 AS rank FROM p")
 def _(s):
-    ensure_checkpoint_dir(s.spark)
     return R.range_rank(s.p.select("item_id", "mu"), [F.col("mu").desc(), F.col("item_id").asc()]).select("item_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -158,7 +160,7 @@ SELECT item_id, target, round(rrf, 9) AS rrf, row_number() OVER (PARTITION BY ta
 def _register_rrf(name: str, weights: tuple[float, float, float]) -> None:
     @query(f"rrf_{name}", "o", _rrf_sql(*weights))
     def _(s):
-        return rounded(R.rrf(s.o, name).select("item_id", "target", "rrf", F.col("rank").cast("long").alias("rank")), "rrf", places=9)
+        return rounded(R.rrf(s.o, name).select("item_id", "target", "rrf", "rank"), "rrf", places=9)
 
 
 for _name, _weights in R.RRF_WEIGHTS.items():
@@ -201,17 +203,58 @@ def _(s):
 @query("acquisition_scores", "o", f"{_NOV} SELECT item_id, round(mu, 6) AS budgeted, round(mu - 0.05e0 * alert, 6) AS clean, round(mu + zc - 0.7e0 * zc - 0.2e0 * alert - 0.1e0 * zc, 6) AS legacy FROM z")
 def _(s):
     o = s.o.withColumn("u_epi", F.col("u_conf"))
-    return rounded(o.select("item_id", *[A.acquisition(o, k).alias(k) for k in ("budgeted", "clean", "legacy")]), "budgeted", "clean", "legacy")
+    for k in ("budgeted", "clean", "legacy"):
+        o = A.acquired(o, k, name=k)
+    return rounded(o.select("item_id", "budgeted", "clean", "legacy"), "budgeted", "clean", "legacy")
+
+
+def _final_sql(final: str, o: dict) -> str:
+    """A method's final score over the columns of f below."""
+    if final == "rrf":
+        clean, conf, novel = R.RRF_WEIGHTS[o["weights"]]
+        return f"1.0e0 / (60 + mr) + {clean}e0 / (60 + cr) + {conf}e0 / (60 + ur) + {novel}e0 / (60 + nr)"
+    if final == "risk":
+        cut = "" if o.get("q") == 1.0 else f" - CASE WHEN u_conf <= q{int(100 * o.get('q', 0.75))} THEN 0 ELSE 1 END"
+        return f"mu + {o.get('novel', 0.05)}e0 * zn - {o.get('alert', 0.1)}e0 * alert{cut}"
+    return {
+        "soft": "mu + 0.02e0 * zn - 0.05e0 * alert - 0.03e0 * zc",
+        "guard": "CASE WHEN mu >= m90 THEN mu - 0.01e0 * alert ELSE mu + 0.03e0 * zn - 0.08e0 * alert - 0.02e0 * zc END",
+        "repeat": "base - 0.025e0 * ln(1 + earlier)",
+        "legacy": f"mu - {o.get('w')}e0 * zc + 0.1e0 * zn - 0.1e0 * alert",
+        "cut": f"CASE WHEN u_conf <= q{int(100 * o.get('q', 0.75))} THEN mu ELSE mu - 1 END",
+        "combo": "CASE WHEN 2 * zc <= d75 THEN mu ELSE mu - 1 END",
+        "random": "('0x' || substr(md5('0:random:' || item_id), 1, 12))::BIGINT::DOUBLE",
+        "mu": "mu",
+    }[final]
+
+
+def _kinds() -> dict[str, list[str]]:
+    """Methods by what their final score is."""
+    out: dict[str, list[str]] = {}
+    for name in sorted(METHODS):
+        out.setdefault(_final_sql(METHODS[name].final, dict(METHODS[name].options)), []).append(name)
+    return out
 
 
-@query("method_registry", "", "")
+_FINALS = f"""{_NOV}, r AS (SELECT *, 2 * zc AS d, mu + 0.02e0 * zn - 0.04e0 * alert AS base FROM z),
+f AS (SELECT *, row_number() OVER (t ORDER BY mu DESC, item_id) - 1 AS mr, row_number() OVER (t ORDER BY alert, item_id) - 1 AS cr, row_number() OVER (t ORDER BY u_conf, item_id) - 1 AS ur, row_number() OVER (t ORDER BY nov DESC, item_id) - 1 AS nr,
+  row_number() OVER (PARTITION BY target, scaffold ORDER BY base DESC, item_id) - 1 AS earlier, quantile_cont(u_conf, 0.5e0) OVER t AS q50, quantile_cont(u_conf, 0.75e0) OVER t AS q75, quantile_cont(u_conf, 0.9e0) OVER t AS q90,
+  quantile_cont(mu, 0.9e0) OVER t AS m90, quantile_cont(d, 0.75e0) OVER t AS d75 FROM r WINDOW t AS (PARTITION BY target)),
+s AS ({" UNION ALL ".join(f"SELECT '{names[0]}' AS kind, target, item_id, label, {score} AS final FROM f" for score, names in _kinds().items())}),
+h AS (SELECT kind, target, sum(label)::BIGINT AS hits FROM (SELECT *, row_number() OVER (PARTITION BY kind, target ORDER BY final DESC, item_id) AS k FROM s) WHERE k <= 20 GROUP BY ALL),
+m(kind, method) AS (VALUES {", ".join(f"('{names[0]}', '{n}')" for names in _kinds().values() for n in names)})
+SELECT method, target, hits FROM h JOIN m USING (kind)"""
+
+
+@query("method_registry", "o", _FINALS)
 def _(s):
-    o = s.o.withColumn("u_epi", F.col("u_conf"))
+    o = written(s.o.withColumn("u_epi", F.col("u_conf")), "pool")
     out = None
-    for name in sorted(METHODS):
-        part = R.top_per(final_scores(o, name), F.col("final").desc(), 20).groupBy("target").agg(F.sum("label").alias("hits")).withColumn("method", F.lit(name))
+    for names in _kinds().values():  # methods with one final score share its plan
+        top = R.top_per(final_scores(o, names[0]), F.col("final").desc(), 20).groupBy("target").agg(F.sum("label").alias("hits"))
+        part = top.withColumn("method", F.explode(F.array(*[F.lit(n) for n in names])))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.select("method", "target", "hits")
 
 
 @query("greedy_topk", "o", "SELECT item_id, round(mu, 6) AS mu FROM o ORDER BY o.mu DESC, item_id LIMIT 50")
@@ -257,10 +300,10 @@ def _(s):
     return rounded(V.partition_spread(s.v), "spread")
 
 
-@query("partition_semi_join", "o", "SELECT item_id FROM o WHERE part_id IN (SELECT part_id FROM o GROUP BY part_id HAVING avg(mu) > (SELECT avg(mu) FROM o)) AND part_id < 32")
+@query("partition_semi_join", "o", "SELECT item_id FROM o WHERE part_id IN (SELECT part_id FROM o GROUP BY part_id HAVING avg(mu) > (SELECT avg(mu) FROM o))")
 def _(s):
     mean = s.o.agg(F.avg("mu").alias("all"))
-    chosen = s.o.groupBy("part_id").agg(F.avg("mu").alias("m")).crossJoin(F.broadcast(mean)).where("m > all and part_id < 32").select("part_id")
+    chosen = s.o.groupBy("part_id").agg(F.avg("mu").alias("m")).crossJoin(F.broadcast(mean)).where("m > all").select("part_id")
     return s.o.join(F.broadcast(chosen), "part_id", "left_semi").select("item_id")
 
 
@@ -305,10 +348,11 @@ for _kind, _factor in (("ucb", "1.0e0"), ("no_ucb", "0.0e0"), ("decay", "0.5e0")
     _register_utility(_kind, _factor)
 
 
-@query("partition_utility_legacy", "o", f"""{_UTILITY.format(q=0.05)}, u AS (SELECT target, part_id, avg(z) AS u FROM (SELECT *, (u_conf - avg(u_conf) OVER (PARTITION BY target)) / (stddev_pop(u_conf) OVER (PARTITION BY target) + 1e-8) AS z FROM o) GROUP BY ALL)
-SELECT target, part_id, round(topmean + 1.5e0 * 0.1e0 * u + 0.1e0 * diversity - 0.2e0 * risk, 6) AS utility FROM t JOIN d USING (target, part_id) JOIN u USING (target, part_id)""")
+@query("partition_utility_legacy", "o", f"""{_UTILITY.format(q=0.05)}, u AS (SELECT target, part_id, avg(z) AS u FROM (SELECT *, (u_conf - avg(u_conf) OVER (PARTITION BY target)) / (stddev_pop(u_conf) OVER (PARTITION BY target) + 1e-8) + (mu - avg(mu) OVER (PARTITION BY target)) / (stddev_pop(mu) OVER (PARTITION BY target) + 1e-8) AS z FROM o) GROUP BY ALL)
+SELECT target, part_id, round(topmean + 1.5e0 * u + sqrt(2 * ln(5.0e0) / greatest(1, pulls)) + 0.1e0 * diversity - 0.25e0 * risk, 6) AS utility FROM t JOIN d USING (target, part_id) JOIN u USING (target, part_id)""")
 def _(s):
-    return rounded(A.utility_legacy(s.o).select(*KP, "utility"), "utility")
+    pulls = s.o.groupBy(*KP).agg(F.sum("label").alias("pulls"))
+    return rounded(A.utility_legacy(s.o.withColumn("u_epi", F.col("mu")), pulls, 3).select(*KP, "utility"), "utility")
 
 
 _SELECTED = f"{_UTILITY.format(q=0.25)}, r AS (SELECT target, part_id, topmean + 0.1e0 * diversity AS utility, row_number() OVER (PARTITION BY target ORDER BY topmean + 0.1e0 * diversity DESC, part_id) - 1 AS part_rank FROM t JOIN d USING (target, part_id))"
@@ -333,10 +377,8 @@ def _(s):
 
 @query("budgeted_ranking", "o", """SELECT item_id, target, row_number() OVER (PARTITION BY target ORDER BY (md5('0:reservoir:' || item_id) < '4') DESC, mu DESC, item_id) - 1 AS rank FROM o""")
 def _(s):
-    scored = E.hash_order("item_id", 0, "reservoir") < F.lit("4")
-    from pyspark.sql import Window
-
-    return s.o.select("item_id", "target", (F.row_number().over(Window.partitionBy("target").orderBy(scored.desc(), F.col("mu").desc(), "item_id")) - 1).cast("long").alias("rank"))
+    o = s.o.select("item_id", "target", "mu", (E.hash_order("item_id", 0, "reservoir") < F.lit("4")).alias("scored"))
+    return R.range_rank(o, [F.col("scored").desc(), F.col("mu").desc(), F.col("item_id").asc()], keys=KT).select("item_id", "target", "rank")
 
 
 @query("allocation_routes", "o", """WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target, part_id ORDER BY md5('0:reservoir:' || item_id), item_id) AS place FROM o) WHERE place <= 16),
@@ -350,7 +392,7 @@ def _(s):
 
 
 _BANDIT = """WITH l AS (SELECT * FROM o WHERE md5('1:lab:' || item_id) < '1'), base AS (SELECT target, avg(label) AS base FROM l GROUP BY target), seen AS (SELECT target, part_id, avg(label) AS rate FROM l GROUP BY ALL),
-arms AS (SELECT target, part_id, coalesce(base, 0.01e0) + coalesce(rate, 0) AS reward_sum, 1.0e0 + (rate IS NOT NULL)::INT AS pull_count FROM (SELECT DISTINCT target, part_id FROM o) LEFT JOIN base USING (target) LEFT JOIN seen USING (target, part_id))"""
+arms AS (SELECT target, part_id, coalesce(base, 0) + coalesce(rate, 0) AS reward_sum, 1.0e0 + (rate IS NOT NULL)::INT AS pull_count FROM (SELECT DISTINCT target, part_id FROM o) LEFT JOIN base USING (target) LEFT JOIN seen USING (target, part_id))"""
 
 
 def _arms(s):
@@ -395,18 +437,31 @@ def _(s):
     return A.select_batch(s.o, A.select_partitions(_utilities(s.o), 4), 64, F.col("mu")).select("item_id", "target", "place")
 
 
-_SCALE = """WITH pr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target, part_id ORDER BY md5('0:reservoir:' || item_id), item_id) AS place FROM o) WHERE place <= {r}),
-pm AS (SELECT *, row_number() OVER (PARTITION BY target, part_id ORDER BY mu DESC, item_id) AS pl, count(*) OVER (PARTITION BY target, part_id) AS n FROM pr),
-ut AS (SELECT target, part_id, avg(CASE WHEN pl <= greatest(1, ceil(n * 0.25e0)) THEN mu END) + 0.1e0 * (count(DISTINCT scaffold) / count(*)) AS utility FROM pm GROUP BY ALL),
-ch AS (SELECT target, part_id FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY utility DESC, part_id) AS k FROM ut) WHERE k <= {p}),
-sv AS (SELECT o.*, 1.0e0 / count(*) OVER (PARTITION BY o.target, scaffold) AS novelty FROM o JOIN ch ON ch.target = o.target AND ch.part_id = o.part_id),
-fu AS (SELECT *, 1.0e0 / (60 + row_number() OVER (PARTITION BY target ORDER BY mu DESC, item_id) - 1) + 0.18e0 / (60 + row_number() OVER (PARTITION BY target ORDER BY alert, item_id) - 1) + 0.25e0 / (60 + row_number() OVER (PARTITION BY target ORDER BY novelty DESC, item_id) - 1) AS rrf FROM sv),
-fr AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY rrf DESC, item_id) - 1 AS rank FROM fu)"""
+_SCALE = """WITH e AS (SELECT class, unnest(generate_series(1, len(x))) AS dim, unnest(x) AS value FROM v), c AS (SELECT class, list(m ORDER BY dim) AS w FROM (SELECT class, dim, avg(value) AS m FROM e GROUP BY ALL) GROUP BY class),
+pl AS (SELECT v.item_id, v.part_id, v.x, c.class AS target, (v.class = c.class)::INT AS label, 1 / (1 + exp(-list_sum(list_transform(list_zip(v.x, c.w), lambda t: t[1] * t[2])))) AS mu FROM v, c WHERE c.class IS NOT NULL),
+pr AS (SELECT *, row_number() OVER (PARTITION BY target, part_id ORDER BY mu DESC, item_id) AS pl, count(*) OVER (PARTITION BY target, part_id) AS n FROM pl QUALIFY row_number() OVER (PARTITION BY target, part_id ORDER BY md5('0:reservoir:' || item_id), item_id) <= 16),
+pt AS (SELECT *, row_number() OVER (PARTITION BY target, part_id ORDER BY mu DESC, item_id) AS place, count(*) OVER (PARTITION BY target, part_id) AS size FROM pr),
+tm AS (SELECT target, part_id, avg(mu) AS topmean FROM pt WHERE place <= greatest(1, ceil(size * 0.25e0)) GROUP BY ALL),
+sp AS (SELECT target, part_id, avg(s) AS spread FROM (SELECT target, part_id, dim, stddev_pop(value) AS s FROM (SELECT target, part_id, unnest(generate_series(1, len(x))) AS dim, unnest(x) AS value FROM pr) GROUP BY ALL) GROUP BY ALL),
+ch AS (SELECT target, part_id FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY topmean + 0.1e0 * spread DESC, part_id) AS k, count(*) OVER (PARTITION BY target) AS n FROM tm JOIN sp USING (target, part_id)) WHERE k <= greatest(1, ceil(0.1e0 * n))),
+lo AS (SELECT item_id, target, label, mu, true AS probed FROM pr UNION ALL SELECT item_id, target, label, mu, false FROM (SELECT pl.* FROM pl SEMI JOIN ch USING (target, part_id)) f ANTI JOIN pr USING (target, item_id)),
+lr AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY mu DESC, item_id) - 1 AS rank FROM lo)"""
+
 
+def _centroid_models(s):
+    return V.class_centroids(s.v.where("class is not null")).select(F.col("class").alias("target"), F.lit(0).alias("member"), F.col("centroid").alias("w"), F.lit(0.0).alias("b"))
 
-@query("scale_query", "o", f"{_SCALE.format(r=16, p=8)} SELECT item_id, target, label, rank, round(rrf, 9) AS rrf FROM fr WHERE rank < 100")
+
+@query("scale_query", "v", f"{_SCALE} SELECT item_id, target, label, rank, round(mu, 6) AS mu FROM lr WHERE rank < 100")
 def _(s):
-    return rounded(loops.scale_query(s.o, 16, 8, 100).select("item_id", "target", "label", F.col("rank").cast("long").alias("rank"), "rrf"), "rrf", places=9)
+    return rounded(loops.scale_query(_vector_pool(s), _centroid_models(s), 16, 0.1, 100).select("item_id", "target", "label", F.col("rank").cast("long").alias("rank"), "mu"), "mu")
+
+
+@query("scale_summary", "v", f"""{_SCALE}, fr AS (SELECT target, item_id FROM pl QUALIFY row_number() OVER (PARTITION BY target ORDER BY mu DESC, item_id) <= 100),
+ov AS (SELECT target, count(fr.item_id) / count(*) AS topk_overlap FROM (SELECT target, item_id FROM lr WHERE rank < 100) t LEFT JOIN fr USING (target, item_id) GROUP BY target)
+SELECT target, (SELECT count(*) FROM v) AS library_size, count(*) AS locally_scored, count(*) FILTER (probed) AS reservoir_scored, round(1 - count(*) / (SELECT count(*) FROM v), 6) AS scores_avoided, round(max(topk_overlap), 6) AS topk_overlap FROM lo JOIN ov USING (target) GROUP BY target""")
+def _(s):
+    return rounded(loops.scale_summary(_vector_pool(s), _centroid_models(s), 16, 0.1, 100), "scores_avoided", "topk_overlap")
 
 
 @query("score_reuse_union", "o", "SELECT item_id, target, CASE WHEN place <= 4 THEN 'reservoir' ELSE 'candidate' END AS origin FROM (SELECT *, row_number() OVER (PARTITION BY target, part_id ORDER BY md5('0:reservoir:' || item_id), item_id) AS place FROM o) WHERE place <= 4 OR part_id < 8")
@@ -418,7 +473,7 @@ def _(s):
 
 @query("export_candidates", "o", "SELECT target, item_id, scaffold, label, (row_number() OVER (PARTITION BY target ORDER BY mu DESC, item_id))::INT AS rank, round(mu, 6) AS mu, (md5('1:lab:' || item_id) < '1') AS was_queried FROM o QUALIFY row_number() OVER (PARTITION BY target ORDER BY o.mu DESC, item_id) <= 50")
 def _(s):
-    top = R.top_per(s.o, F.col("mu").desc(), 50).withColumn("rank", (R.rank_desc("mu") + 1).cast("int"))
+    top = R.top_per(s.o, F.col("mu").desc(), 50).withColumn("rank", (R.rank(F.col("mu").desc()) + 1).cast("int"))  # of fifty a target
     return rounded(top.select("target", "item_id", "scaffold", "label", "rank", "mu", (E.hash_order("item_id", 1, "lab") < F.lit("1")).alias("was_queried")), "mu")
 
 
@@ -466,35 +521,32 @@ def _(s):
     return V.nearest_centroid(s.v.drop("part_id"), V.class_centroids(s.v)).select("item_id", "part_id")
 
 
-_TABLE = ", ".join(f"({b}, {d}, {g})" for b, d, g in V.hash_table(256, 16))
-
-
-@query("signed_hash_projection", "d", f"""WITH tab AS (SELECT * FROM (VALUES {_TABLE}) t(bit, dim, sign)),
-b AS (SELECT DISTINCT item_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 256)::INT AS bit FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS w FROM d)),
+@query("signed_hash_projection", "d", """WITH tab AS (SELECT b::INT AS bit, (h % 96)::INT AS dim, CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END AS sign FROM (SELECT b, (b * 2654435761 + 104729) % 4294967296 AS h FROM range(2048) t(b))),
+b AS (SELECT DISTINCT item_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 2048)::INT AS bit FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS w FROM d)),
 s AS (SELECT item_id, dim, sum(sign)::DOUBLE AS s FROM b JOIN tab USING (bit) GROUP BY ALL)
-SELECT item_id, dim, round(s / greatest(sqrt(sum(s * s) OVER (PARTITION BY item_id)), 1e-12), 6) AS value FROM s""")
+SELECT item_id, dim, round(s / greatest(sqrt(sum(s * s) OVER (PARTITION BY item_id)), 1e-12), 6) + 0.0e0 AS value FROM s""")
 def _(s):
-    return rounded(V.signed_hash_projection(V.shingle_bits(s.d, bits=256), 256, 16), "value")
+    return rounded(V.signed_hash_projection(V.shingle_bits(s.d)), "value")
 
 
 @query("ensemble_mean_var", "o", "SELECT item_id, round(avg(p), 6) AS mu, round(var_pop(p), 6) AS u_epi FROM (SELECT item_id, 1 / (1 + exp(-(w * mu + b))) AS p FROM o, (VALUES (1.0e0, -0.5e0), (2.0e0, -1.0e0), (3.0e0, -1.2e0), (0.5e0, 0.1e0)) t(w, b)) GROUP BY item_id")
 def _(s):
     coefficients = s.spark.createDataFrame([(0, [1.0], -0.5), (1, [2.0], -1.0), (2, [3.0], -1.2), (3, [0.5], 0.1)], "member int, w array<double>, b double")
-    return rounded(V.score_linear(s.o.withColumn("x", F.array("mu")), coefficients), "mu", "u_epi")
+    return rounded(V.score_linear(s.o.select("item_id", F.array("mu").alias("x")), coefficients).select("item_id", "mu", "u_epi"), "mu", "u_epi")
 
 
 @query("cross_pool_scoring", "v", """WITH e AS (SELECT class, unnest(generate_series(1, len(x))) AS dim, unnest(x) AS value FROM v WHERE item_id % 2 = 0), c AS (SELECT class, list(m ORDER BY dim) AS w FROM (SELECT class, dim, avg(value) AS m FROM e GROUP BY ALL) GROUP BY class)
-SELECT v.item_id, c.class AS target, round(1 / (1 + exp(-list_sum(list_transform(list_zip(v.x, c.w), lambda t: t[1] * t[2])))), 6) AS mu FROM v, c WHERE v.item_id % 2 = 1 AND c.class < 3""")
+SELECT v.item_id, c.class AS target, round(1 / (1 + exp(-list_sum(list_transform(list_zip(v.x, c.w), lambda t: t[1] * t[2])))), 6) AS mu FROM v, c WHERE v.item_id % 2 = 1""")
 def _(s):
-    fitted = V.class_centroids(s.v.where("item_id % 2 = 0")).where("class < 3").select(F.col("class").alias("target"), F.lit(0).alias("member"), F.col("centroid").alias("w"), F.lit(0.0).alias("b"))
-    library = s.v.where("item_id % 2 = 1").select("item_id", "x").crossJoin(F.broadcast(fitted.select("target")))
+    fitted = small(V.class_centroids(s.v.where("item_id % 2 = 0")).select(F.col("class").alias("target"), F.lit(0).alias("member"), F.col("centroid").alias("w"), F.lit(0.0).alias("b")))
+    library = s.v.where("item_id % 2 = 1").select("item_id", "x").crossJoin(fitted.select("target"))
     return rounded(V.score_linear(library, fitted, KT).select("item_id", "target", "mu"), "mu")
 
 
 @query("logistic_ensemble", "", "")
 def _(s):
     labeled = _ref(s).withColumn("label", (F.col("class") == 3).cast("int"))
-    return rounded(V.score_linear(s.v.select("item_id", "x"), V.logistic_ensemble(labeled, 5)), "mu", "u_epi")
+    return rounded(V.score_linear(s.v.select("item_id", "x"), V.logistic_ensemble(labeled, 5)).select("item_id", "mu", "u_epi"), "mu", "u_epi")
 
 
 @query("kmeans_partitions", "", "")
@@ -510,7 +562,7 @@ def _(s):
 @query("forest_scores", "", "")
 def _(s):
     labeled = _ref(s).withColumn("label", (F.col("class") == 3).cast("int"))
-    return rounded(V.forest_scores(s.v, labeled), "mu", "u_epi")
+    return rounded(V.forest_scores(s.v, labeled).select("item_id", "mu", "u_epi"), "mu", "u_epi")
 
 
 def _vector_pool(s):
@@ -518,15 +570,29 @@ def _vector_pool(s):
     return s.v.crossJoin(F.broadcast(targets)).withColumn("label", (F.col("class") == F.col("target")).cast("int")).drop("class")
 
 
+def _protocol(s):
+    return loops.Protocol.fitted(s.v.count(), selected=4)  # of sixteen partitions
+
+
+def _listed(final):
+    return rounded(final.where("rank < 1000").select("target", "item_id", "label", "rank", "final"), "final")
+
+
+@query("full_pool_loop", "", "")
+def _(s):
+    return _listed(loops.full_pool(_vector_pool(s), "budgeted_decay_ucb", _protocol(s))[0])
+
+
+@query("greedy_loop", "", "")
+def _(s):
+    return _listed(loops.full_pool(_vector_pool(s), "full_greedy", _protocol(s))[0])
+
+
 @query("true_budget_loop", "", "")
 def _(s):
-    ensure_checkpoint_dir(s.spark)
-    final, _ = loops.true_budget(_vector_pool(s), loops.Protocol(rounds=2))
-    return rounded(final.where("rank < 50").select("target", "item_id", "label", "rank", "rrf"), "rrf")
+    return _listed(loops.true_budget(_vector_pool(s), protocol=_protocol(s))[0])
 
 
 @query("arm_bandit_loop", "", "")
 def _(s):
-    ensure_checkpoint_dir(s.spark)
-    _, arms, _ = loops.arm_bandit(_vector_pool(s), loops.Protocol(rounds=2))
-    return rounded(arms, "reward_sum")
+    return _listed(loops.arm_bandit(_vector_pool(s), protocol=_protocol(s))[0])

@@ -10,6 +10,7 @@ from budgetsieve.operators import ranking as R
 from budgetsieve.operators import sampling as S
 from budgetsieve.operators import vectors as V
 from budgetsieve.plans.catalog import query, rounded
+from budgetsieve.sources.sinks import small
 
 KT = ["target"]
 KS = (100, 500, 1000)
@@ -71,9 +72,10 @@ def _(s):
     return rounded(M.aubc_legacy(s.q), "aubc")
 
 
-@query("aubc_recall", "q", f"{_CUM}, a AS (SELECT target, round::DOUBLE AS x, h + 2.0e0 AS y FROM c UNION ALL SELECT DISTINCT target, 0.0e0, 2.0e0 FROM q), s AS (SELECT *, (y + lag(y) OVER w) / 2.0e0 * (x - lag(x) OVER w) AS step FROM a WINDOW w AS (PARTITION BY target ORDER BY x)) SELECT target, round(sum(step) / (max(x) * 40.0e0), 6) AS aubc FROM s GROUP BY target")
+@query("aubc_recall", "q", f"{_CUM}, a AS (SELECT target, round::DOUBLE AS x, h + 2.0e0 AS y FROM c UNION ALL SELECT DISTINCT target, 0.0e0, 2.0e0 FROM q), s AS (SELECT *, (y + lag(y) OVER w) / 2.0e0 * (x - lag(x) OVER w) AS step FROM a WINDOW w AS (PARTITION BY target ORDER BY x)), n AS (SELECT target, sum(hits) + 2 AS positives FROM q GROUP BY target) SELECT target, round(sum(step) / (max(x) * max(positives)), 6) AS aubc FROM s JOIN n USING (target) GROUP BY target")
 def _(s):
-    return rounded(M.aubc_recall(s.q, 2, 40), "aubc")
+    positives = s.q.groupBy("target").agg((F.sum("hits") + 2).alias("positives"))  # a target's own: all that were found, and the two at the start
+    return rounded(M.aubc_recall(s.q, 2, positives), "aubc")
 
 
 @query("ece", "p", "WITH n AS (SELECT *, count(*) OVER (PARTITION BY target) AS n FROM p), b AS (SELECT target, floor(mu * 10) AS bin, count(*) / max(n) * abs(avg(label) - avg(mu)) AS part FROM n WHERE mu >= 0 AND mu < 1 GROUP BY ALL) SELECT target, round(sum(part), 6) AS ece FROM b GROUP BY target")
@@ -131,7 +133,7 @@ SELECT target, count(*) AS n_test, round(max(threshold), 6) AS threshold, round(
 def _(s):
     split = M.stratified_split(s.p)
     t = M.conformal_threshold(split.where("calibration"))
-    test = split.where(~F.col("calibration")).join(F.broadcast(t), "target")
+    test = split.where(~F.col("calibration")).join(small(t), "target")
     out = test.groupBy("target").agg(F.count("*").alias("n_test"), F.max("threshold").alias("threshold"), F.avg((F.abs(F.col("label") - F.col("mu")) <= F.col("threshold")).cast("double")).alias("coverage"), M.brier().alias("brier"))
     return rounded(out, "threshold", "coverage", "brier")
 
@@ -189,15 +191,15 @@ def _(s):
 b AS (SELECT r.*, t.ratio, row_number() OVER (PARTITION BY target, ratio ORDER BY mu DESC, item_id) - 1 AS rank FROM r, (VALUES (0.05e0), (0.1e0), (0.25e0), (0.5e0), (1.0e0)) t(ratio) WHERE spent <= least(n, greatest(least(100, n), ceil(ratio * n))))
 SELECT target, ratio, count(*) AS scored, sum(label) FILTER (rank < 100)::BIGINT AS hits, round(count(*) FILTER (rank < 100 AND full_rank < 100) / 100, 6) AS overlap FROM b GROUP BY ALL""")
 def _(s):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("target")
-    marked = s.o.withColumns({"full_rank": R.rank_desc("mu"), "spent": F.row_number().over(w.orderBy(E.hash_order("item_id", 0, "fill"), "item_id")), "n": F.count("*").over(w)})
-    each = marked.withColumn("ratio", F.explode(F.array(*[F.lit(x) for x in (0.05, 0.1, 0.25, 0.5, 1.0)])))
-    inside = each.where(F.col("spent") <= F.least(F.col("n"), F.greatest(F.least(F.lit(100), F.col("n")), F.ceil(F.col("ratio") * F.col("n")))))
-    ranked = inside.withColumn("rank", R.rank_desc("mu", ["target", "ratio"]))
-    out = ranked.groupBy("target", "ratio").agg(F.count("*").alias("scored"), F.sum(F.when(F.col("rank") < 100, F.col("label"))).alias("hits"), (F.count_if((F.col("rank") < 100) & (F.col("full_rank") < 100)) / 100).alias("overlap"))
-    return rounded(out, "overlap")
+    rows = R.ranked(s.o.select("item_id", "target", "mu", "label"), F.col("mu").desc(), "full_rank").withColumn("h", E.hash_order("item_id", 0, "fill"))
+    spent = R.range_rank(rows, [F.col("h").asc(), F.col("item_id").asc()], "spent", KT)
+    sized = R.joined(spent, small(s.o.groupBy("target").agg(F.count("*").alias("n"))), KT)
+    each = sized.withColumn("ratio", F.explode(F.array(*[F.lit(x) for x in (0.05, 0.1, 0.25, 0.5, 1.0)])))
+    inside = each.where(F.col("spent") < F.least(F.col("n"), F.greatest(F.least(F.lit(100), F.col("n")), F.ceil(F.col("ratio") * F.col("n")))))
+    scored = inside.groupBy("target", "ratio").agg(F.count("*").alias("scored"))
+    top = R.top_per(inside, F.col("mu").desc(), 100, ["target", "ratio"])
+    found = top.groupBy("target", "ratio").agg(F.sum("label").alias("hits"), (F.count_if(F.col("full_rank") < 100) / 100).alias("overlap"))
+    return rounded(scored.join(found, ["target", "ratio"]), "overlap")
 
 
 @query("topk_overlap", "o", f"""WITH a AS (SELECT item_id, target FROM o QUALIFY row_number() OVER (PARTITION BY target ORDER BY mu DESC, item_id) <= 100), b AS (SELECT item_id, target FROM o QUALIFY row_number() OVER (PARTITION BY target ORDER BY mu - 0.1e0 * u_conf DESC, item_id) <= 100)

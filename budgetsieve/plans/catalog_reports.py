@@ -45,13 +45,15 @@ def _(s):
     return a.join(b, keys)
 
 
-@query("candidate_left_join", "", """WITH t AS (SELECT o_custkey, o_orderkey, o_totalprice, (row_number() OVER (ORDER BY o_custkey, o_totalprice DESC, o_orderkey) - 1)::INT AS dock_id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey < 200)
-SELECT dock_id, o_orderkey, c_name, coalesce(n_name, '') AS n_name FROM t LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 12) ON n_nationkey = c_nationkey""")
+@query("candidate_left_join", "", """WITH t AS (SELECT o_custkey, o_orderkey, o_totalprice, (row_number() OVER (ORDER BY o_custkey, o_totalprice DESC, o_orderkey) - 1)::INT AS dock_id FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT dock_id, o_orderkey, c_name, coalesce(n_name, '') AS n_name FROM t LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT nation.* FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name <> 'ASIA') ON n_nationkey = c_nationkey""")
 def _(s):
-    chosen = s.table("orders").where("o_orderpriority = '1-URGENT' and o_custkey < 200")
-    ids = chosen.withColumn("dock_id", F.row_number().over(Window.orderBy("o_custkey", F.desc("o_totalprice"), "o_orderkey")) - 1)
-    named = ids.join(s.table("customer"), F.col("c_custkey") == F.col("o_custkey"), "left").join(s.table("nation").where("n_nationkey < 12"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    return named.select("dock_id", "o_orderkey", "c_name", F.coalesce("n_name", F.lit("")).alias("n_name"))
+    chosen = s.table("orders").where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_totalprice", "o_orderkey")
+    ids = R.range_rank(chosen, [F.col("o_custkey").asc(), F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], "dock_id")
+    # unmatched nations are what the left join is for
+    nations = s.table("nation").join(s.table("region").where("r_name <> 'ASIA'"), F.col("r_regionkey") == F.col("n_regionkey"))
+    named = ids.join(s.table("customer"), F.col("c_custkey") == F.col("o_custkey"), "left").join(nations, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    return named.select(F.col("dock_id").cast("int").alias("dock_id"), "o_orderkey", "c_name", F.coalesce("n_name", F.lit("")).alias("n_name"))
 
 
 @query("candidate_dock_ids", "o", "SELECT item_id, target, (row_number() OVER (PARTITION BY target ORDER BY alert, mu DESC, item_id) - 1)::INT AS dock_id FROM o QUALIFY dock_id < 200")
@@ -196,20 +198,19 @@ def _(s):
     return rounded(out, "hits_per_1000", "saved", "retained")
 
 
-_SMALL = f"{_DELTA}, e AS (SELECT method, target % 15 AS grp, target, delta FROM d WHERE seed = 0 AND delta IS NOT NULL AND method <> 'view' AND target < 150)"
+# groups of three targets over all seeds, so that all sign patterns of a group can be listed
+_SMALL = f"{_DELTA}, e AS (SELECT method, target // 3 AS grp, target, delta FROM d WHERE delta IS NOT NULL AND method <> 'view')"
 
 
 def _small(s):
-    return _deltas(s).where("seed = 0 and method <> 'view' and target < 150").withColumn("grp", F.col("target") % 15)
+    return _deltas(s).where("method <> 'view'").withColumn("grp", F.floor(F.col("target") / 3))
 
 
-@query("paired_permutation_exact", "r", f"""WITH {_SMALL}, l AS (SELECT method, grp, list(delta ORDER BY delta) AS d, count(*) AS n, avg(delta) AS m FROM e GROUP BY ALL HAVING count(*) <= 12),
+@query("paired_permutation_exact", "r", f"""WITH {_SMALL}, l AS (SELECT method, grp, list(delta ORDER BY delta) AS d, count(*) AS n, avg(delta) AS m FROM e GROUP BY ALL),
 f AS (SELECT method, grp, n, m, list_sum(list_transform(d, lambda x, i: x * (1 - 2 * ((pattern >> (i - 1)) & 1)))) / n AS fm FROM (SELECT *, unnest(range(1 << n::INT)) AS pattern FROM l))
 SELECT method, grp, round(avg((abs(fm) >= abs(m) - 1e-12)::INT), 6) AS p, max(n) AS n FROM f GROUP BY ALL""")
 def _(s):
-    small = _small(s)
-    sizes = small.groupBy("method", "grp").agg(F.count("*").alias("k")).where("k <= 12")
-    return rounded(T.permutation_exact(small.join(sizes, ["method", "grp"]), ["method", "grp"]), "p")
+    return rounded(T.permutation_exact(_small(s), ["method", "grp"]), "p")
 
 
 @query("wilcoxon_statistic", "r", f"""WITH {_DELTA}, e AS (SELECT method, delta, abs(delta) AS a FROM d WHERE abs(delta) > 1e-12), k AS (SELECT *, rank() OVER (PARTITION BY method ORDER BY a) + (count(*) OVER (PARTITION BY method, a) - 1) / 2.0e0 AS rk FROM e)
@@ -218,7 +219,13 @@ def _(s):
     return T.wilcoxon(_deltas(s), ["method"]).select("method", "w_plus", "w_minus", "n")
 
 
-@query("wilcoxon_p", "", "")
+#: The error function at |z| / sqrt(2) by a series of positive terms.
+_ERF = "(2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(200), lambda n: exp(2 * n * ln(2.0e0) + (2 * n + 1) * ln(greatest(abs(z), 1e-300) / sqrt(2.0e0)) + lgamma(n + 1.0e0) - lgamma(2 * n + 2.0e0)))))"
+
+
+@query("wilcoxon_p", "r", f"""WITH {_DELTA}, e AS (SELECT method, delta, abs(delta) AS a FROM d WHERE abs(delta) > 1e-12), k AS (SELECT *, rank() OVER (PARTITION BY method ORDER BY a) + (count(*) OVER (PARTITION BY method, a) - 1) / 2.0e0 AS rk, count(*) OVER (PARTITION BY method, a) AS t FROM e),
+w AS (SELECT method, sum(CASE WHEN delta > 0 THEN rk ELSE 0 END) AS w_plus, sum(CASE WHEN delta < 0 THEN rk ELSE 0 END) AS w_minus, count(*)::DOUBLE AS n, sum(t * t - 1) AS ties FROM k GROUP BY method),
+z AS (SELECT *, (w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM w) SELECT method, w_plus, w_minus, n::BIGINT AS n, round(z, 6) AS z, round(greatest(0, 1 - {_ERF}), 6) AS p FROM z""")
 def _(s):
     return rounded(T.wilcoxon(_deltas(s), ["method"]).withColumn("p", T.normal_p(F.col("z"))), "z", "p")
 
@@ -236,11 +243,11 @@ def _(s):
     return rounded(T.sign_test(_small(s), ["method", "grp"], ties="improved"), "p", places=10)
 
 
-@query("mann_whitney_u", "r", """WITH k AS (SELECT *, rank() OVER (PARTITION BY seed ORDER BY metric) + (count(*) OVER (PARTITION BY seed, metric) - 1) / 2.0e0 AS rk FROM r WHERE method IN ('click', 'view')),
+@query("mann_whitney_u", "r", f"""WITH k AS (SELECT *, rank() OVER (PARTITION BY seed ORDER BY metric) + (count(*) OVER (PARTITION BY seed, metric) - 1) / 2.0e0 AS rk FROM r WHERE method IN ('click', 'view')),
 u AS (SELECT seed, sum(rk) FILTER (method = 'click') - count(*) FILTER (method = 'click') * (count(*) FILTER (method = 'click') + 1) / 2.0e0 AS u, count(*) FILTER (method = 'click') AS n, count(*) FILTER (method = 'view') AS m FROM k GROUP BY seed)
-SELECT seed, u, n, m, round(1 - u / (n * m), 6) AS p_lower, round((u - n * m / 2.0e0 + 0.5e0) / sqrt(n * m * (n + m + 1) / 12.0e0), 6) AS z FROM u""")
+SELECT seed, u, n, m, round(1 - u / (n * m), 6) AS p_lower, round(z, 6) AS z, round((1 + sign(z) * {_ERF}) / 2, 6) AS p FROM (SELECT *, (u - n * m / 2.0e0 + 0.5e0) / sqrt(n * m * (n + m + 1) / 12.0e0) AS z FROM u)""")
 def _(s):
-    return rounded(T.mann_whitney(s.r, ["seed"], "metric", "method", "click", "view").select("seed", "u", "n", "m", "p_lower", "z"), "p_lower", "z")
+    return rounded(T.mann_whitney(s.r, ["seed"], "metric", "method", "click", "view").withColumn("p", T.normal_p(F.col("z"), two_sided=False)).select("seed", "u", "n", "m", "p_lower", "z", "p"), "p_lower", "z", "p")
 
 
 @query("bootstrap_ci", "", "")
@@ -269,7 +276,10 @@ def _(s):
     return rounded(one.unionByName(two).select("comparison", "name", F.col("t").try_cast("double").alias("value")), "value", places=4)
 
 
-@query("status_case", "r", "SELECT target, CASE WHEN count(*) / 15.0e0 >= 0.99e0 THEN 'done' WHEN count(*) > 0 THEN 'partial' ELSE 'missing' END AS status FROM r GROUP BY target")
+@query("status_case", "r", "WITH t AS (SELECT DISTINCT target FROM r), m AS (SELECT DISTINCT method, seed FROM r) SELECT t.target, m.method, CASE WHEN count(r.seed) * 2 >= count(*) THEN 'done' WHEN count(r.seed) > 0 THEN 'partial' ELSE 'missing' END AS status FROM t CROSS JOIN m LEFT JOIN r ON r.target = t.target AND r.method = m.method AND r.seed = m.seed GROUP BY ALL")
 def _(s):
-    share = F.count("*") / F.lit(15.0)
-    return s.r.groupBy("target").agg(share.alias("share")).select("target", P.status(F.when(F.col("share") >= 0.99, F.lit(0.5)).otherwise(F.col("share") / 10)).alias("status"))
+    # what was planned: each method's seeds, a small table, for every target
+    planned = s.r.groupBy("method").agg(F.count_distinct("seed").alias("planned"))
+    found = s.r.groupBy("target", "method").agg(F.count("*").alias("found"))
+    wanted = s.r.select("target").distinct().crossJoin(F.broadcast(planned))
+    return wanted.join(found, ["target", "method"], "left").select("target", "method", P.status(F.coalesce("found", F.lit(0)) / F.col("planned")).alias("status"))

@@ -1,14 +1,16 @@
 """Driver loops: rounds of scoring, choosing and labelling, for all targets at once.
 
-A round's state (labelled ids, scored ids, arms) is one table each, checkpointed once a round; what is
-in the pool is never collected. Scores come from the neighbour margin, which is deterministic.
+A round's state (labelled items, scored items, arms) is one table each, written once a round; what is in
+the pool is never collected, and every step joins on the target, so that plans don't grow with targets.
+A :class:`Method` says which model scores, how partitions are explored, how a batch is acquired and how
+the final list is ranked.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from budgetsieve.functions.expr import hash_order
@@ -16,117 +18,206 @@ from budgetsieve.operators import allocation as A
 from budgetsieve.operators import ranking as R
 from budgetsieve.operators import sampling as S
 from budgetsieve.operators import vectors as V
+from budgetsieve.plans.registry import METHODS, Method, final_scores
+from budgetsieve.sources.sinks import small, written
+
+KEYS = list(R.KEYS)
+ITEM = [*KEYS, "item_id"]
+PART = [*KEYS, "part_id"]
 
 
 @dataclass
 class Protocol:
-    """Sizes of a run; the published ones are 512, 8, 256, 256, 32 and 1000."""
-
-    initial: int = 32
-    rounds: int = 3
-    query: int = 16
-    reservoir: int = 4
-    selected: int = 4
-    final_k: int = 50
-    neighbours: int = 3
-    explore: str = "no_ucb"
-    weights: str = "no_conf"
+    """Sizes of a run; the defaults are the published ones."""
+
+    initial: int = 512
+    rounds: int = 8
+    query: int = 256
+    reservoir_fraction: float = 0.05
+    reservoir: int = 256
+    selected: int = 32
+    candidates: int = 4
+    members: int = 5
+    neighbours: int = 5
     seed: int = 0
     refresh: bool = False
-    log: list = field(default_factory=list)
+
+    @classmethod
+    def fitted(cls, items: int, **more) -> Protocol:
+        """The published sizes, with labels and batches in proportion for targets of fewer items than 16 times the budget."""
+        return cls(initial=max(32, min(512, items // 16)), query=max(16, min(256, items // 32)), **more)
+
+
+def shared_pool(pool: DataFrame, labels: dict[str, Column]) -> DataFrame:
+    """One pool under several labels: a target for each, so that a loop serves all of them."""
+    marked = F.explode(F.array(*[F.struct(F.lit(name).alias("target"), value.cast("int").alias("label")) for name, value in labels.items()]))
+    return pool.withColumn("__l", marked).select(*pool.columns, "__l.target", "__l.label")
+
+
+def scored_by(method: Method, rows: DataFrame, labeled: DataFrame, p: Protocol, seed: int, doubt: bool) -> DataFrame:
+    """Adds mu and u_epi by the method's model, fitted on each target's labels; with doubt also u_conf."""
+    if method.model == "knn":
+        out = V.score_neighbours(rows, labeled, p.neighbours, KEYS)
+    elif method.model == "forest":  # one fit a target: Spark grows a forest as a job of its own
+        out = None
+        for (target,) in labeled.select("target").distinct().orderBy("target").collect():
+            part = V.forest_scores(rows.where(F.col("target") == F.lit(target)), labeled.where(F.col("target") == F.lit(target)), seed=seed)
+            out = part if out is None else out.unionByName(part)
+    else:
+        out = V.score_linear(rows, V.logistic_ensemble(labeled, p.members, seed, keys=KEYS), KEYS)
+    if not doubt:
+        return out.withColumn("u_conf", F.lit(0.0))
+    near = V.knn_mean_distance(rows, labeled, p.neighbours, "u_conf", KEYS)
+    return R.joined(out, near, ITEM, "inner")
+
+
+def _doubts(method: Method) -> bool:
+    """Whether a batch or a partition is chosen by uncertainty."""
+    return method.acquire in ("uncertainty", "legacy") or method.explore == "legacy"
 
 
-def _score(rows: DataFrame, labeled: DataFrame, k: int) -> DataFrame:
-    """mu from neighbours and u_conf = mean distance to labelled rows; labelled rows see themselves."""
-    margin = V.knn_margin(rows.select("item_id", "x"), labeled, k).select("item_id", F.col("margin").alias("mu"))
-    near = V.knn_mean_distance(rows.select("item_id", "x"), labeled, k, "u_conf")
-    return rows.join(margin, "item_id").join(near, "item_id")
+def chosen_partitions(method: Method, rows: DataFrame, labeled: DataFrame, round_number: int, p: Protocol, most: int) -> DataFrame:
+    """The partitions that a round looks into, from the rows scored so far."""
+    pulls = labeled.groupBy(*PART).agg(F.count("*").alias("pulls"))
+    if method.explore == "random":
+        dice = F.md5(F.concat(F.lit(f"{p.seed}:parts:{round_number}:"), F.col("part_id").cast("string")))
+        return A.select_partitions(rows.select(*PART).distinct().withColumn("utility", dice), most)
+    if method.explore == "legacy":
+        return A.select_partitions(A.utility_legacy(rows, pulls, round_number, method.option("u", 1.5)), most)
+    return A.select_partitions(A.utility(rows, pulls, round_number, method.explore or "no_ucb", method.option("topmean", 0.05)), most)
 
 
-def true_budget(pool: DataFrame, protocol: Protocol | None = None, full: bool = False) -> tuple[DataFrame, list[dict]]:
-    """Probes reservoirs, picks partitions, scores only their candidates, labels the best; then ranks what was scored.
+def _batch(method: Method, rows: DataFrame, p: Protocol, round_number: int) -> DataFrame:
+    scored = A.acquired(rows, method.acquire, method.option("w", 0.7), KEYS, seed=p.seed + round_number)
+    return R.top_per(scored, F.col("acquisition").desc(), p.query)
 
-    pool: target, item_id, label, alert, scaffold, part_id, x. With ``full`` every round scores the whole
-    pool (the greedy reference). Returns the final ranking and a log of costs and hits a round.
+
+def _logged(log: list[dict], round_number: int, labeled: DataFrame, **more: int) -> None:
+    """Appends a row a target: labelled items and hits, and what the round cost (as many rows as targets)."""
+    for r in labeled.groupBy(*KEYS).agg(F.count("*").alias("labeled"), F.sum("label").alias("hits")).orderBy(*KEYS).collect():
+        log.append({"round": round_number, "target": r["target"], "labeled": r["labeled"], "hits": int(r["hits"]), **more})
+
+
+def final_list(method: Method, rows: DataFrame, name: str) -> DataFrame:
+    return R.ranked(final_scores(rows, name), F.col("final").desc())
+
+
+def full_pool(pool: DataFrame, name: str, protocol: Protocol | None = None, final: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """The full-pool loop: each round scores all open items, and labels a batch of the whole pool or of chosen partitions.
+
+    pool: target, item_id, label, alert, scaffold, part_id, x. Ranks the whole pool at the end by the method's
+    final score, or by another method's (final). Returns the ranking and a log.
     """
-    p = protocol or Protocol()
-    keys = list(R.KEYS)
-    labeled = S.initial_labels(pool, p.initial, seed=p.seed).select(*pool.columns).checkpoint()
-    probed = S.reservoir_fixed(pool, p.reservoir, p.seed).select(*pool.columns).checkpoint()
-    scored = labeled.select(*keys, "item_id")
-    log = []
+    p, method = protocol or Protocol(), METHODS[name]
+    most = max(1, min(32, p.query // 8))
+    labeled = written(S.initial_labels(pool, p.initial, seed=p.seed).select(*pool.columns), "labeled")
+    log: list[dict] = []
     for r in range(p.rounds):
-        if p.refresh:
-            probed = S.reservoir_fixed(pool, p.reservoir, p.seed + r).select(*pool.columns).checkpoint()
-        # a target's items share x over targets, so that each target is scored against its own labels
-        known = labeled.select(*keys, "item_id")
-        open_items = pool.join(known, [*keys, "item_id"], "left_anti")
-        if full:
-            candidates, selected = open_items, None
+        open_items = pool.join(labeled.select(*ITEM), ITEM, "left_anti")
+        scored = scored_by(method, open_items, labeled, p, p.seed + r, _doubts(method))
+        if method.explore is None:
+            batch = _batch(method, scored, p, r)
         else:
-            probe = _by_target(probed, labeled, p)
-            utilities = A.utility(probe, pool.select(*keys, "part_id").distinct().withColumn("pulls", F.lit(0)), r, p.explore)
-            selected = A.select_partitions(utilities, p.selected)
-            candidates = open_items.join(F.broadcast(selected.select(*keys, "part_id")), [*keys, "part_id"], "left_semi")
-        chosen = _by_target(candidates, labeled, p).checkpoint()
-        batch = R.top_per(chosen, F.col("mu").desc(), p.query).select(*pool.columns)
-        scored = scored.unionByName(chosen.select(*keys, "item_id")).unionByName(probed.select(*keys, "item_id")).distinct().checkpoint()
-        labeled = labeled.unionByName(batch).checkpoint()
-        n = chosen.count()
-        hits = labeled.agg(F.sum("label"), F.count("*")).first()
-        log.append({"round": r, "candidate_inferences": n, "scored": scored.count(), "labeled": hits[1], "hits": int(hits[0] or 0)})
-    subset = pool.join(scored, [*keys, "item_id"], "left_semi")
-    final = R.rrf(_by_target(subset, labeled, p), p.weights)
-    return final, log
-
-
-def _by_target(rows: DataFrame, labeled: DataFrame, p: Protocol) -> DataFrame:
-    """Scores rows of every target against that target's labels; targets are few and stated by the labels."""
-    out = None
-    for (target,) in labeled.select("target").distinct().orderBy("target").collect():
-        part = _score(rows.where(F.col("target") == F.lit(target)), labeled.where(F.col("target") == F.lit(target)), p.neighbours)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def arm_bandit(pool: DataFrame, protocol: Protocol | None = None, compat: bool = False) -> tuple[DataFrame, DataFrame, list[dict]]:
+            scored = written(scored, "scored")
+            chosen = chosen_partitions(method, scored, labeled, r, p, most)
+            acquired = A.acquired(scored, method.acquire, method.option("w", 0.7), KEYS, seed=p.seed + r)
+            batch = A.select_batch(acquired, chosen, p.query, F.col("acquisition"), p.seed + r)
+        labeled = written(labeled.unionByName(batch.select(*pool.columns)), "labeled")
+        _logged(log, r, labeled)
+    rows = scored_by(METHODS[final or name], pool, labeled, p, p.seed + p.rounds, True)
+    return final_list(method, written(rows, "scored"), final or name), log
+
+
+def true_budget(pool: DataFrame, name: str = "true_budgeted_reliable", protocol: Protocol | None = None) -> tuple[DataFrame, list[dict]]:
+    """Probes reservoirs, picks partitions, scores only their candidates, labels the best; then ranks what was scored."""
+    p, method = protocol or Protocol(), METHODS[name]
+    probe = lambda seed: written(S.reservoir_fraction(pool, p.reservoir_fraction, p.reservoir, seed).select(*pool.columns), "probed")
+    labeled = written(S.initial_labels(pool, p.initial, seed=p.seed).select(*pool.columns), "labeled")
+    probed = probe(p.seed)
+    seen = labeled.select(*ITEM)
+    log: list[dict] = []
+    inferences = 0
+    for r in range(p.rounds):
+        if p.refresh and r:
+            probed = probe(p.seed + r)
+        reservoir = written(scored_by(method, probed, labeled, p, p.seed + r, _doubts(method)), "scored")
+        chosen = small(chosen_partitions(method, reservoir, labeled, r, p, p.selected).select(*PART), "chosen")
+        open_items = pool.join(labeled.select(*ITEM), ITEM, "left_anti").join(chosen.withColumn("__in", F.lit(True)), PART, "left")
+        inside, others = open_items.where("__in").drop("__in"), open_items.where("__in is null").drop("__in")
+        candidates = written(A.candidate_cap(inside, others, p.query, p.candidates, p.seed + r).select(*pool.columns), "candidates")
+        fresh = candidates.join(reservoir.select(*ITEM), ITEM, "left_anti")
+        known = reservoir.join(candidates.select(*ITEM), ITEM, "left_semi")  # scored already
+        scored = written(scored_by(method, fresh, labeled, p, p.seed + r, _doubts(method)).unionByName(known), "scored")
+        batch = _batch(method, scored, p, r)
+        seen = written(seen.unionByName(scored.select(*ITEM)).unionByName(probed.select(*ITEM)).distinct(), "seen")
+        labeled = written(labeled.unionByName(batch.select(*pool.columns)), "labeled")
+        inferences += probed.count() + fresh.count()
+        _logged(log, r, labeled, inferences=inferences)
+    subset = pool.join(seen, ITEM, "left_semi")
+    rows = written(scored_by(method, subset, labeled, p, p.seed + p.rounds, True), "scored")
+    return final_list(method, rows, name), log
+
+
+def arm_bandit(pool: DataFrame, name: str = "true_arm_risk_ranked", protocol: Protocol | None = None, compat: bool = False) -> tuple[DataFrame, DataFrame, list[dict]]:
     """Arms are partitions: bounds pick arms, each arm yields its best items, mean labels are the rewards.
 
     With ``compat`` a batch that is too large loses its largest ids instead of its lowest scores.
-    Returns labelled items, arms and a log.
+    Returns the final ranking of what was scored, the arms and a log.
     """
-    p = protocol or Protocol()
-    keys = list(R.KEYS)
-    labeled = S.initial_labels(pool, p.initial, seed=p.seed).select(*pool.columns).checkpoint()
-    parts = pool.select(*keys, "part_id").distinct()
-    arms = A.bandit_init(labeled, parts).checkpoint()
-    log = []
+    p, method = protocol or Protocol(), METHODS[name]
+    labeled = written(S.initial_labels(pool, p.initial, seed=p.seed).select(*pool.columns), "labeled")
+    arms = written(A.bandit_init(labeled, pool.select(*PART).distinct()), "arms")
+    seen = labeled.select(*ITEM)
+    log: list[dict] = []
     for r in range(p.rounds):
-        open_items = pool.join(labeled.select(*keys, "item_id"), [*keys, "item_id"], "left_anti")
-        selected = A.bandit_select(arms, arms.withColumn("utility", F.lit(0.0)), p.selected, r + 2)
-        inside = open_items.join(F.broadcast(selected.select(*keys, "part_id")), [*keys, "part_id"], "left_semi")
-        scored = _by_target(inside, labeled, p).checkpoint()
-        quota = -(-p.query // p.selected)
-        each = R.top_per(scored, F.col("mu").desc(), quota, [*keys, "part_id"])
-        order = F.col("item_id").asc() if compat else F.col("mu").desc()
-        batch = R.top_per(each, order, p.query)
-        arms = A.bandit_update(arms, selected, batch).checkpoint()
-        labeled = labeled.unionByName(batch.select(*pool.columns)).checkpoint()
-        log.append({"round": r, "labeled": labeled.count(), "inferences": scored.count()})
-    return labeled, arms, log
-
-
-def scale_query(pool: DataFrame, reservoir: int, selected: int, k: int, keys=R.KEYS, seed: int = 0) -> DataFrame:
-    """One lazy plan: probe, utility, chosen partitions, survivors' scores, fused ranks, top k.
-
-    The pool brings its score expression as mu; it is computed after the semi-join, so that only
-    survivors pay. Partition choice is a predicate on a rank, not a limit.
+        open_items = pool.join(labeled.select(*ITEM), ITEM, "left_anti")
+        selected = written(A.bandit_select(arms, arms.withColumn("utility", F.lit(0.0)), p.selected, r + 2), "chosen")
+        inside = open_items.join(small(selected.select(*PART)), PART, "left_semi")
+        scored = written(scored_by(method, inside, labeled, p, p.seed + r, False), "scored")
+        each = R.top_per(scored, F.col("mu").desc(), -(-p.query // p.selected), PART)
+        batch = written(R.top_per(each, F.col("item_id").asc() if compat else F.col("mu").desc(), p.query), "batch")
+        arms = written(A.bandit_update(arms, selected, batch), "arms")
+        labeled = written(labeled.unionByName(batch.select(*pool.columns)), "labeled")
+        seen = written(seen.unionByName(scored.select(*ITEM)).distinct(), "seen")
+        _logged(log, r, labeled)
+    rows = written(scored_by(method, pool.join(seen, ITEM, "left_semi"), labeled, p, p.seed + p.rounds, True), "scored")
+    return final_list(method, rows, name), arms, log
+
+
+def local_scores(pool: DataFrame, coefficients: DataFrame, reservoir: int, fraction: float, keys=R.KEYS, seed: int = 0) -> DataFrame:
+    """The one-shot scale query: what a pruned query scores, with mu and whether it was probed.
+
+    Partitions are probed, ranked by the mean of their best quarter and a tenth of their vectors' spread, and
+    a share of them is chosen. Only candidates are scored after the semi-join; probed rows keep their scores.
     """
-    probe = S.reservoir_fixed(pool, reservoir, seed)
-    best = A.topmean(probe, 0.25).join(A.diversity(probe), [*keys, "part_id"]).withColumn("utility", F.col("topmean") + F.lit(0.1) * F.col("diversity"))
-    chosen = A.select_partitions(best, selected)
-    survivors = pool.join(F.broadcast(chosen.select(*keys, "part_id")), [*keys, "part_id"], "left_semi")
-    return R.rrf(survivors, "no_conf", keys).where(F.col("rank") < k)
+    part = [*keys, "part_id"]
+    probed = written(V.score_linear(S.reservoir_fixed(pool, reservoir, seed).drop("place"), coefficients, keys), "probed")
+    spread = V.partition_spread(probed, part)
+    useful = A.topmean(probed, 0.25).join(spread, part).withColumn("utility", F.col("topmean") + F.lit(0.1) * F.col("spread"))
+    useful = useful.withColumn("__most", F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.count("*").over(Window.partitionBy(*keys)))))  # one row a partition
+    chosen = small(A.select_partitions(useful, F.col("__most")).select(*part), "chosen")
+    fresh = pool.join(chosen, part, "left_semi").join(probed.select(*keys, "item_id"), [*keys, "item_id"], "left_anti")
+    columns = [*pool.columns, "mu"]
+    scored = V.score_linear(fresh, coefficients, keys).select(*columns, F.lit(False).alias("probed"))
+    return probed.select(*columns, F.lit(True).alias("probed")).unionByName(scored)
+
+
+def scale_query(pool: DataFrame, coefficients: DataFrame, reservoir: int, fraction: float, k: int, keys=R.KEYS) -> DataFrame:
+    """The k best of each target among what a pruned query scores, with their rank from 0."""
+    top = R.top_per(local_scores(pool, coefficients, reservoir, fraction, keys), F.col("mu").desc(), k, keys)
+    return top.withColumn("rank", R.rank(F.col("mu").desc(), keys))  # k rows a target
+
+
+def scale_summary(pool: DataFrame, coefficients: DataFrame, reservoir: int, fraction: float, k: int, keys=R.KEYS) -> DataFrame:
+    """What the pruned query saves and keeps: scores avoided, and its k best against those of the whole pool."""
+    local = written(local_scores(pool, coefficients, reservoir, fraction, keys), "scored")
+    counted = local.groupBy(*keys).agg(F.count("*").alias("locally_scored"), F.count_if("probed").alias("reservoir_scored"))
+    sizes = pool.groupBy(*keys).agg(F.count("*").alias("library_size"))
+    mine = R.top_per(local, F.col("mu").desc(), k, keys).select(*keys, "item_id")
+    full = R.top_per(V.score_linear(pool, coefficients, keys), F.col("mu").desc(), k, keys).select(*keys, "item_id", F.lit(1).alias("__full"))
+    shared = mine.join(full, [*keys, "item_id"], "left").groupBy(*keys).agg((F.count("__full") / F.count("*")).alias("topk_overlap"))
+    out = sizes.join(counted, list(keys)).join(shared, list(keys))
+    return out.withColumn("scores_avoided", F.lit(1.0) - F.col("locally_scored") / F.col("library_size"))
 
 
 def random_controls(pool: DataFrame, n: int, seed: int = 0, keys=R.KEYS) -> DataFrame:

@@ -7,18 +7,26 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetsieve.functions.expr import hash_order, novelty, zscore
+from budgetsieve.functions.expr import hash_order
 from budgetsieve.operators import ranking as R
 
 
 @dataclass(frozen=True)
 class Method:
-    """acquire: budgeted, clean, legacy, greedy, uncertainty, ucb or random; explore: as utility() knows it, or None."""
+    """acquire: as acquired() knows it; explore: as utility() knows it, legacy, random, bandit, or None for the whole pool.
+
+    model: linear, forest or knn. Options: q, alert and novel (final score), weights (fusion), w (weight of the
+    uncertainty in legacy scores), u (in the legacy utility), topmean (share of a partition's best).
+    """
 
     acquire: str
     explore: str | None
     final: str
     options: tuple = ()
+    model: str = "linear"
+
+    def option(self, name: str, default):
+        return dict(self.options).get(name, default)
 
 
 def _family() -> dict[str, Method]:
@@ -27,12 +35,11 @@ def _family() -> dict[str, Method]:
         "no_partition_reliable": Method("greedy", None, "risk"),
         "arm_ucb": Method("budgeted", "ucb", "mu"),
     }
-    for name in ("greedy_surrogate", "rf_greedy", "et_greedy", "knn_similarity"):
-        out[name] = Method("greedy", None, "mu")
-    for name in ("uncertainty_sampling", "rf_uncertainty", "et_uncertainty"):
-        out[name] = Method("uncertainty", None, "mu")
-    for name in ("rf_ucb", "et_ucb"):
-        out[name] = Method("ucb", None, "mu")
+    out["greedy_surrogate"] = Method("greedy", None, "mu")
+    out["uncertainty_sampling"] = Method("uncertainty", None, "mu")
+    out["knn_similarity"] = Method("greedy", None, "mu", model="knn")
+    for name in ("greedy", "uncertainty", "ucb"):
+        out[f"rf_{name}"] = Method(name, None, "mu", model="forest")
     budgeted = "budgeted_"
     for name in ("arm_risk_final", budgeted + "reliable"):
         out[name] = Method("budgeted", "ucb", "risk")
@@ -78,19 +85,21 @@ def final_scores(pool: DataFrame, method: str, keys=R.KEYS, seed: int = 0) -> Da
         return R.rrf(pool, o["weights"], keys).withColumn("final", F.col("rrf"))
     if m.final == "risk":
         if o.get("q") == 1.0:
-            return pool.withColumn("nov", novelty("scaffold", keys)).withColumn("final", F.col("mu") + F.lit(0.05) * zscore("nov", keys) - F.lit(0.1) * F.col("alert"))
+            out = R.zscored(R.with_novelty(pool, "nov", keys), ["nov"], keys)
+            return out.withColumn("final", F.col("mu") + F.lit(0.05) * F.col("z_nov") - F.lit(0.1) * F.col("alert"))
         return R.risk_constrained(pool, o.get("q", 0.75), keys, o.get("alert", 0.1), o.get("novel", 0.05))
     if m.final == "soft":
         return R.soft_reliable(pool, keys)
     if m.final == "guard":
         return R.hit_guard(pool, keys=keys)
     if m.final == "repeat":
-        with_base = pool.withColumn("nov", novelty("scaffold", keys)).withColumn("base", F.col("mu") + F.lit(0.02) * zscore("nov", keys) - F.lit(0.04) * F.col("alert"))
-        return R.scaffold_repeat(with_base, "base", keys=keys)
+        out = R.zscored(R.with_novelty(pool, "nov", keys), ["nov"], keys)
+        return R.scaffold_repeat(out.withColumn("base", F.col("mu") + F.lit(0.02) * F.col("z_nov") - F.lit(0.04) * F.col("alert")), "base", keys=keys)
     if m.final == "legacy":
-        return pool.withColumn("nov", novelty("scaffold", keys)).withColumn("final", F.col("mu") - F.lit(o["w"]) * zscore("u_conf", keys) + F.lit(0.1) * zscore("nov", keys) - F.lit(0.1) * F.col("alert"))
+        out = R.zscored(R.with_novelty(pool, "nov", keys), ["nov", "u_conf"], keys)
+        return out.withColumn("final", F.col("mu") - F.lit(o["w"]) * F.col("z_u_conf") + F.lit(0.1) * F.col("z_nov") - F.lit(0.1) * F.col("alert"))
     if m.final in ("cut", "combo"):
-        risky = pool.withColumn("risk", F.col("u_conf") if m.final == "cut" else zscore("u_conf", keys) + zscore("u_epi", keys))
+        risky = pool.withColumn("risk", F.col("u_conf")) if m.final == "cut" else R.zscored(pool, ["u_conf", "u_epi"], keys).withColumn("risk", F.col("z_u_conf") + F.col("z_u_epi"))
         cut = R.quantile_of(risky, "risk", o["q"], "cut", keys)
         return cut.withColumn("final", F.when(F.col("risk") <= F.col("cut"), F.col("mu")).otherwise(F.col("mu") - 1.0))
     if m.final == "random":

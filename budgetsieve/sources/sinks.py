@@ -4,17 +4,35 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the session's spark.checkpoint.dir; sets a temporary folder only where it is unset (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="budgetsieve-checkpoint-"))
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a temporary folder only where it is unset and all runs on one machine (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_budgetsieve_tables", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = spark.sparkContext._budgetsieve_tables = "file://" + tempfile.mkdtemp(prefix="budgetsieve-tables-")
+    return shared.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read back: cuts lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, name: str = "small") -> DataFrame:
+    """A table that should have few rows, written first: its size is then known when the join is planned.
+
+    Spark broadcasts it if that is under spark.sql.autoBroadcastJoinThreshold, and joins by key otherwise.
+    """
+    return written(df, name)
 
 
 def write_json(path: str, value: dict) -> None:

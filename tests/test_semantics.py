@@ -28,19 +28,19 @@ def pool(spark):
 
 def test_ranks_are_positional(spark):
     rows = spark.createDataFrame([(0, i, 0.5) for i in (3, 1, 2)], "target int, item_id long, mu double")
-    got = {r["item_id"]: r["r"] for r in rows.withColumn("r", R.rank_desc("mu")).collect()}
+    got = {r["item_id"]: r["r"] for r in rows.withColumn("r", R.rank(F.col("mu").desc())).collect()}
     assert got == {1: 0, 2: 1, 3: 2}
 
 
 def test_range_rank_equals_window_rank(spark, pool):
-    sinks.ensure_checkpoint_dir(spark)
-    ranked = R.range_rank(pool, [F.col("mu").desc(), F.col("item_id").asc()]).withColumn("w", R.rank_desc("mu"))
+    ranked = R.range_rank(pool, [F.col("mu").desc(), F.col("item_id").asc()]).withColumn("w", R.rank(F.col("mu").desc()))
     assert ranked.where("rank <> w").count() == 0
     assert ranked.count() == 50
 
 
 def test_every_method_orders_the_pool(pool):
-    for name in METHODS:
+    kinds = {(m.final, m.options): name for name, m in METHODS.items()}  # one method of each final score
+    for name in kinds.values():
         out = final_scores(pool, name)
         assert out.count() == 50
         assert out.where("final is null or isnan(final)").count() == 0
@@ -117,7 +117,6 @@ def test_stratified_split_leaves_one(spark):
 
 
 def test_samples_are_nested_and_bounded(spark, pool):
-    sinks.ensure_checkpoint_dir(spark)
     small = {r["item_id"] for r in S.reservoir_fixed(pool, 2).collect()}
     large = {r["item_id"] for r in S.reservoir_fixed(pool, 5).collect()}
     assert small <= large and len(small) == 8 and len(large) == 20
@@ -181,27 +180,94 @@ def vector_pool(spark, n=120):
 
 
 def test_true_budget_loop(spark):
-    sinks.ensure_checkpoint_dir(spark)
     pool = vector_pool(spark)
-    final, log = loops.true_budget(pool, loops.Protocol(initial=16, rounds=2, query=8, reservoir=3, selected=2))
+    protocol = loops.Protocol(initial=16, rounds=2, query=8, reservoir=3, reservoir_fraction=1.0, selected=2)
+    final, log = loops.true_budget(pool, protocol=protocol)
     assert [x["labeled"] for x in log] == [24, 32]
-    assert log[0]["scored"] <= log[1]["scored"] <= 120
+    # each round pays for its six reservoirs of three rows and at most four batches of candidates
+    assert 18 < log[0]["inferences"] < log[1]["inferences"] <= 2 * (18 + 32)
     ranks = [r["rank"] for r in final.collect()]
-    assert sorted(ranks) == list(range(len(ranks))) and len(ranks) == log[1]["scored"]
-    _, full = loops.true_budget(pool, loops.Protocol(initial=16, rounds=1, query=8), full=True)
-    assert full[0]["candidate_inferences"] == 104
+    assert sorted(ranks) == list(range(len(ranks))) and len(ranks) < 120
+    assert all(x["hits"] <= y["hits"] for x, y in zip(log, log[1:]))
+
+
+@pytest.mark.parametrize("name", ["full_greedy", "uncertainty_sampling", "random", "budgeted_decay_ucb", "budgeted_reliable_random_parts", "legacy", "knn_similarity", "rf_ucb"])
+def test_full_pool_loop(spark, name):
+    pool = vector_pool(spark)
+    final, log = loops.full_pool(pool, name, loops.Protocol(initial=16, rounds=1, query=8))
+    assert [x["labeled"] for x in log] == [24]
+    rows = final.collect()
+    assert sorted(r["rank"] for r in rows) == list(range(120))
+    if name != "random":
+        means = [np.mean([r["mu"] for r in rows if r["label"] == y]) for y in (0, 1)]
+        assert means[1] > means[0]
+
+
+def test_methods_differ(spark):
+    """Exploration and its options change what is chosen."""
+    pool = vector_pool(spark).withColumns({"mu": F.element_at("x", 1), "u_epi": F.abs(F.element_at("x", 2)), "u_conf": F.abs(F.element_at("x", 3))})
+    labeled = pool.where("part_id < 4 and item_id < 60")
+    p = loops.Protocol()
+
+    def utilities(name, r=0):
+        found = loops.chosen_partitions(METHODS[name], pool, labeled, r, p, 6).collect()
+        return {x["part_id"]: x["utility"] for x in found}
+
+    ucb, no_ucb, elite = utilities("budgeted_reliable"), utilities("budgeted_no_ucb"), utilities("budgeted_elite_decay")
+    # partitions without labels have the larger bonus
+    assert ucb[4] - no_ucb[4] > ucb[0] - no_ucb[0] > 0
+    assert utilities("budgeted_late_exploit", 3) == no_ucb and utilities("budgeted_late_exploit", 1) != no_ucb
+    assert utilities("budgeted_decay_ucb", 8)[4] - no_ucb[4] < (ucb[4] - no_ucb[4])
+    assert any(elite[k] > utilities("budgeted_decay_ucb")[k] - 1e-9 for k in elite)
+    assert utilities("legacy") != utilities("legacy_alloc_u0_mean")
 
 
 def test_arm_bandit_loop(spark):
-    sinks.ensure_checkpoint_dir(spark)
-    labeled, arms, log = loops.arm_bandit(vector_pool(spark), loops.Protocol(initial=16, rounds=2, query=8, selected=2))
-    assert labeled.count() == 32 and labeled.select("item_id").distinct().count() == 32
+    final, arms, log = loops.arm_bandit(vector_pool(spark), protocol=loops.Protocol(initial=16, rounds=2, query=8, selected=2))
+    assert [x["labeled"] for x in log] == [24, 32]
     assert arms.agg(F.sum("pull_count")).first()[0] >= 10
+    assert sorted(r["rank"] for r in final.collect()) == list(range(final.count()))
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Blocks and groups of any size give the distances of the whole."""
+    pool = vector_pool(spark)
+    reference = pool.where("item_id % 2 = 0")
+    x = {r["item_id"]: np.array(r["x"]) for r in pool.collect()}
+    monkeypatch.setattr(V, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(V, "GROUP_ROWS", 11)
+    got = {r["item_id"]: r["distance"] for r in V.knn_mean_distance(pool, reference, 3, keys=["target"]).collect()}
+    for i, v in x.items():
+        assert abs(got[i] - np.mean(sorted(np.linalg.norm(v - x[j]) for j in x if j % 2 == 0)[:3])) < 1e-9
+    assert V.knn_mean_distance(pool, pool.where("item_id < 0"), 3).count() == 0
+
+
+def test_range_ranks_by_key(spark):
+    rows = spark.createDataFrame([(k, i, float(i % 3)) for k in ("a", "b", None) for i in range(40)], "target string, item_id long, mu double")
+    got = {(r["target"], r["item_id"]): r["rank"] for r in R.ranked(rows, F.col("mu").desc()).collect()}
+    order = sorted(range(40), key=lambda i: (-(i % 3), i))
+    assert len(got) == 120 and all(got[k, i] == place for k in ("a", "b", None) for place, i in enumerate(order))
+    cut = {r["target"]: r["cut"] for r in R.quantiles(rows, "mu", 0.9).collect()}
+    assert cut == {"a": 2.0, "b": 2.0, None: 2.0}
+
+
+def test_sampled_tests(spark):
+    d = spark.createDataFrame([("a", float(v), i) for i, v in enumerate([0.4, -0.1, 0.3, 0.2, 0.5, -0.2, 0.1, 0.25])] + [("b", 0.0, i) for i in range(30)] + [("b", float("nan"), 99)], "m string, delta double, i int")
+    exact = {r["m"]: (r["p"], r["n"]) for r in T.permutation_exact(d, ["m"]).collect()}
+    drawn = {r["m"]: r["p"] for r in T.permutation_sampled(d, ["m"], draws=20_000).collect()}
+    assert exact["b"] == (1.0, 30) and drawn["b"] == 1.0  # too many deltas to list their signs: drawn
+    assert abs(exact["a"][0] - drawn["a"]) < 0.02
+    r = {x["m"]: x for x in T.bootstrap_ci(d, ["m"], draws=2000).collect()}["a"]
+    assert r["low"] < r["mean"] < r["high"] and abs(r["mean"] - 0.18125) < 1e-9 and 0.2 < r["high"] - r["low"] < 0.5
+    z = spark.createDataFrame([(0.0,), (1.959963984540054,), (-1.959963984540054,), (8.0,)], "z double")
+    p = [round(x[0], 9) for x in z.select(T.normal_p(F.col("z"))).collect()]
+    assert p == [1.0, 0.05, 0.05, 0.0]
+    assert [round(x[0], 9) for x in z.select(T.normal_p(F.col("z"), False)).collect()] == [0.5, 0.975, 0.025, 1.0]
 
 
 def test_models(spark):
     pool = vector_pool(spark)
-    scored = V.score_linear(pool.select("item_id", "x"), V.logistic_ensemble(pool.where("item_id < 80"), 3)).join(pool, "item_id")
+    scored = V.score_linear(pool, V.logistic_ensemble(pool.where("item_id < 80"), 3))
     means = {r["label"]: r["m"] for r in scored.groupBy("label").agg(F.avg("mu").alias("m")).collect()}
     assert means[1] > means[0] + 0.3
     single = V.logistic_ensemble(pool.where("label = 0"), 2)
