@@ -35,11 +35,13 @@ from budgetsieve.llm.components import components
 from budgetsieve.llm.ngram_sets import PartEnum, jaccard_at_least, ngrams, word_hashes
 
 #: Cross pairs a member up to which a bucket gives its pairs directly.
-CROSS = 12
-#: Rounds of drawn leaders, and how many a document is compared with in one.
-ROUNDS, LEADERS = 1, 4
-#: Ranges of hashes in a set's profile, as a power of two.
-PROFILE_BITS = 6
+CROSS = 3
+#: Rounds of drawn leaders, how many a bucket has in one, and how many a document is compared with.
+ROUNDS, LEADERS, COMPARED = 2, 3, 8
+#: Ranges of hashes in a set's profile, as a power of two; counts fit a byte.
+PROFILE_BITS, MOST = 7, 127
+#: Finer parts for each one that must meet.
+SPREAD = 2
 #: Sets whose signatures a task remembers to have given.
 REMEMBERED = 1_000_000
 
@@ -48,54 +50,60 @@ def digest_of(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
-def signed_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, set size, digest, node (64 bits of the digest, the same for equal sets) and signatures.
+def node_of(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
 
-    A task gives the signatures of equal sets once.
-    """
+
+def set_sizes(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, set size, digest of the set and node: 64 bits of the digest, the same for equal sets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_cache("ngrams", word_hashes)
+        for batch in batches:
+            sets = [ngrams(t, width) for t in batch["text"]]
+            digests = [digest_of(s) for s in sets]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "digest": digests, "node": [node_of(d) for d in digests]})
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return picked.mapInPandas(run, "doc_id long, n_shingles long, digest binary, node long")
+
+
+def signatures_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(signature, node) of each set; a task gives those of equal sets once, so that copies don't crowd the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own_cache("ngrams", word_hashes)
         scheme, seen = PartEnum(percent / 100), set()
         for batch in batches:
-            sizes, digests, nodes, signatures = [], [], [], []
+            nodes, signatures = [], []
             for text in batch["text"]:
                 items = ngrams(text, width)
-                digest = digest_of(items)
-                node = int.from_bytes(digest[:8], "big", signed=True)
-                sizes.append(len(items))
-                digests.append(digest)
-                nodes.append(node)
-                signatures.append(None if node in seen else scheme.sign(items).view(np.int64))
+                node = node_of(digest_of(items))
+                if node in seen:
+                    continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(node)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "digest": digests, "node": nodes, "signatures": signatures})
-
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return picked.mapInPandas(run, "doc_id long, n_shingles long, digest binary, node long, signatures array<long>")
+                nodes.append(node)
+                signatures.append(scheme.sign(items).view(np.int64))
+            yield pd.DataFrame({"node": nodes, "signatures": signatures})
 
+    return docs.select(text_or_empty().alias("text")).mapInPandas(run, "node long, signatures array<long>").select(F.explode("signatures").alias("signature"), "node")
 
-def shared_signatures(signed: DataFrame) -> DataFrame:
-    """Rows (signature, node, leader) of signatures that two nodes share, and one row a document with ``own``.
 
-    Texts are read and signed once: what is known of a document moves along in a row of its own, with
-    its id's hash in place of a signature.
-    """
-    about = F.struct("doc_id", "n_shingles", "digest")
-    # nulls in place of signatures mark a document's own row
-    each = signed.select("node", about.alias("about"), F.explode(F.array_append(F.coalesce("signatures", F.array().cast("array<long>")), F.lit(None).cast("long"))).alias("signature"))
-    each = each.select(F.coalesce("signature", F.xxhash64("about.doc_id")).alias("signature"), "node", F.when(F.col("signature").isNull(), F.col("about")).alias("own"))
+def shared_signatures(each: DataFrame) -> DataFrame:
+    """Rows (signature, node, leader) of signatures that two nodes share; the smallest node leads."""
     same = Window.partitionBy("signature")
-    ends = each.withColumns({"low": F.min(F.when(F.col("own").isNull(), F.col("node"))).over(same), "high": F.max(F.when(F.col("own").isNull(), F.col("node"))).over(same)})
-    return ends.where(F.col("own").isNotNull() | (F.col("low") < F.col("high"))).select("signature", "node", F.col("low").alias("leader"), "own")
+    ends = each.withColumns({"leader": F.min("node").over(same), "high": F.max("node").over(same)})
+    return ends.where(F.col("leader") < F.col("high")).select("signature", "node", "leader")
 
 
 def alike(percent: int) -> Column:
     """Whether sets with sizes na, nb and profiles pa, pb may be similar enough.
 
     Sets of sizes m and n are similar enough only if they differ in at most (100 - p) / (100 + p) of
-    m + n elements, and they differ in at least the sum of their profiles' differences.
+    m + n elements, and they differ in at least the sum of their profiles' differences (counts that were
+    cut off differ by less).
     """
     apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
@@ -134,7 +142,7 @@ def rare_signatures(texts: DataFrame, width: int, percent: int) -> DataFrame:
                 items = ngrams(text, width)
                 own = scheme.band(len(items))
                 for band in (own, own + 1) if len(items) else ():
-                    names, filled, must = scheme.listing(items, band)
+                    names, filled, must = scheme.listing(items, band, SPREAD)
                     rows.append((i, band, must, names.view(np.int64), filled == 0))
             yield pd.DataFrame(rows, columns=["id", "band", "must", "signature", "empty"])
 
@@ -147,17 +155,17 @@ def rare_signatures(texts: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def profiled(texts: DataFrame, width: int) -> DataFrame:
-    """Adds a text's set size and how many of its n-grams fall into each of PROFILE ranges of hashes."""
+    """Adds a text's set size and how many of its n-grams fall into each range of hashes, MOST at most."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own_cache("ngrams", word_hashes)
         for batch in batches:
             sets = [ngrams(t, width) for t in batch["text"]]
             batch["n"] = [len(s) for s in sets]
-            batch["profile"] = [np.bincount((s >> np.uint64(64 - PROFILE_BITS)).astype(np.int64), minlength=1 << PROFILE_BITS).astype(np.int32) for s in sets]
+            batch["profile"] = [np.minimum(np.bincount((s >> np.uint64(64 - PROFILE_BITS)).astype(np.int64), minlength=1 << PROFILE_BITS), MOST).astype(np.int8) for s in sets]
             yield batch
 
-    return texts.mapInPandas(run, "id long, text string, n long, profile array<int>")
+    return texts.mapInPandas(run, "id long, text string, n long, profile array<tinyint>")
 
 
 def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -174,12 +182,19 @@ def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drawn_pairs(buckets: DataFrame, seed: int) -> DataFrame:
-    """Pairs (a, b) of a member and a leader drawn from one of its buckets, in different components."""
-    drawn = buckets.groupBy("signature").agg(F.min(F.struct(F.xxhash64("signature", "id", F.lit(seed)).alias("h"), "id", "component")).alias("drawn"))
-    drawn = materialise(drawn.select("signature", F.col("drawn.id").alias("a"), F.col("drawn.component").alias("ca")), "leaders")
+    """Pairs (a, b) of a member and a leader of its buckets, in different components.
+
+    Leaders come first in one drawn order of all ids, so that a document meets some of them often; it is
+    compared with those that it shares most signatures with.
+    """
+    order = F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "component")
+    # the first by aggregation, which keeps so many rows of a bucket in each task
+    drawn = buckets.groupBy("signature").agg(*[F.min(F.when(F.pmod(F.xxhash64("id", F.lit(-1 - seed)), F.lit(LEADERS)) == k, order)).alias(f"l{k}") for k in range(LEADERS)])
+    drawn = drawn.select("signature", F.explode(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("l")).where(F.col("l").isNotNull())
+    drawn = materialise(drawn.select("signature", F.col("l.id").alias("a"), F.col("l.component").alias("ca")), "leaders")
     met = buckets.join(drawn, "signature").where(F.col("component") != F.col("ca")).groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n"))
     most = Window.partitionBy("b").orderBy(F.desc("n"), F.xxhash64("a", "b"), "a")
-    return met.withColumn("place", F.row_number().over(most)).where(F.col("place") <= LEADERS).select("a", "b")
+    return met.withColumn("place", F.row_number().over(most)).where(F.col("place") <= COMPARED).select("a", "b")
 
 
 def cross_pairs(buckets: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
@@ -197,10 +212,9 @@ def cross_pairs(buckets: DataFrame, profiles: DataFrame, percent: int) -> DataFr
 def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included)."""
     prepare(docs.sparkSession)
-    met = materialise(shared_signatures(signed_sets(docs, width, percent)), "met")
-    signed = met.where(F.col("own").isNotNull()).select("node", "own.*")
+    signed = materialise(set_sizes(docs, width), "set-sizes")
+    shared = materialise(shared_signatures(signatures_of(docs, width, percent)), "met")
     classes = materialise(signed.where(F.col("n_shingles") > 0).groupBy("digest", "node").agg(F.min("doc_id").alias("id")), "classes")
-    shared = met.where(F.col("own").isNull())
     buckets = materialise(shared.join(classes.select("node", "id"), "node").select("signature", "id").distinct(), "buckets")
 
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.col("text").isNotNull())

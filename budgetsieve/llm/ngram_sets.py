@@ -134,7 +134,7 @@ class PartEnum:
         own, total = self.band(len(items)), self.running(items)
         return np.concatenate([self._enumerate(items, total, band) for band in (own, own + 1)])
 
-    def listing(self, items: np.ndarray, band: int, spread: int = 4) -> tuple[np.ndarray, np.ndarray, int]:
+    def listing(self, items: np.ndarray, band: int, spread: int = 2) -> tuple[np.ndarray, np.ndarray, int]:
         """One level only: each part's signature, its elements, and how many listed parts must meet.
 
         With p = spread (k + 1) parts similar sets have at least p - k in common. If all sets list their parts
