@@ -91,6 +91,7 @@ def demultiplex(media: bytes) -> dict[int, list[tuple[bytes, int | None]]]:
     streams: dict[int, list[tuple[bytes, int | None]]] = {}
     open_parts: dict[int, list[bytes]] = {}
     next_page: dict[int, int] = {}
+    ended: dict[int, bool] = {}
     at = 0
     while at < len(media):
         if len(media) < at + 27 or media[at : at + 5] != b"OggS\0":
@@ -107,8 +108,11 @@ def demultiplex(media: bytes) -> dict[int, list[tuple[bytes, int | None]]]:
             raise BadMedia(f"page {sequence} of stream {serial:08x} is out of order")
         if bool(flags & CONTINUED) != bool(open_parts.get(serial)):
             raise BadMedia(f"page {sequence} of stream {serial:08x} continues no packet, or fails to")
-        next_page[serial] = sequence + 1
+        if ended.get(serial):
+            raise BadMedia(f"stream {serial:08x} goes on behind its end")
+        next_page[serial], ended[serial] = sequence + 1, bool(flags & LAST)
         packets, parts, size = streams.setdefault(serial, []), open_parts.pop(serial, []), 0
+        before = len(packets)
         for value in lacing:
             size += value
             if value < 255:
@@ -119,18 +123,18 @@ def demultiplex(media: bytes) -> dict[int, list[tuple[bytes, int | None]]]:
         if size or (n and lacing[-1] == 255):
             parts.append(media[body_at : body_at + size])
             open_parts[serial] = parts
-        if granule != NO_PACKET_ENDS and packets:
+        if granule != NO_PACKET_ENDS and len(packets) > before:
             packets[-1] = (packets[-1][0], granule)
         at = end
-    if open_parts:
-        raise BadMedia("a packet has no end")
+    if open_parts or not all(ended.values()):
+        raise BadMedia("a packet or a stream has no end")
     return streams
 
 
 def read_back(media: bytes) -> tuple[bytes, str]:
     """The payload and its features: seconds, timestamps, level, zero crossings, spectrum of byte classes."""
     streams = demultiplex(media)
-    sound = next((p for p in streams.values() if p[0][0][:8] == b"PCM     "), None)
+    sound = next((p for p in streams.values() if p and p[0][0][:8] == b"PCM     "), None)
     if sound is None:
         raise BadMedia("no stream of samples")
     _, rate, _, _, total = struct.unpack("<8sIHHQ", sound[0][0])
@@ -141,7 +145,7 @@ def read_back(media: bytes) -> tuple[bytes, str]:
     x = np.frombuffer(payload, np.uint8).astype(np.int16) - 128
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
     level = int(np.dot(x.astype(np.int64), x.astype(np.int64)))
-    about = next((p[0][0][8:].decode() for p in streams.values() if p[0][0][:8] == b"TEXT    "), "")
+    about = next((p[0][0][8:].decode() for p in streams.values() if p and p[0][0][:8] == b"TEXT    "), "")
     return payload, f"seconds={total / rate:.6f};pages={len(stamps)};last_stamp={stamps[-1]:.6f};rms={(level / total) ** 0.5:.4f};crossings={crossings};peak={int(np.abs(x).max())};{about}"
 
 
@@ -158,15 +162,22 @@ def media_column(docs: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Reads a media column back; a file that breaks the container's rules stops the job."""
+    """Reads a media column back; a file that is null or breaks the container's rules says so in ``error``, with no values."""
     prepare(media.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, n_bytes, media in zip(batch["doc_id"].tolist(), batch["n_bytes"].tolist(), batch["media"]):
-                payload, feature = read_back(media)
-                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+                try:
+                    if media is None:
+                        raise BadMedia("no media")
+                    payload, feature = read_back(media)
+                except (BadMedia, struct.error) as e:
+                    rows.append((doc_id, n_bytes, None, None, None, None, None, None, str(e)))
+                    continue
+                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, None))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"])
+            yield out.astype({c: "Int64" for c in ("payload_bytes", "tail_crc32", "media_bytes")})
+
+    return media.select("doc_id", "n_bytes", "media").mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")

@@ -180,6 +180,10 @@ def test_ogg_media(odd, empty):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-16:])
     assert ogg_media.media_features(ogg_media.media_column(empty)).count() == 0
+    bad = ogg_media.media_column(odd).withColumn("media", F.when(F.col("doc_id") == 1, F.lit(None)).when(F.col("doc_id") == 2, F.lit(b"OggS")).otherwise(F.col("media")))
+    found = {r["doc_id"]: r for r in ogg_media.media_features(bad).collect()}
+    assert found[1]["error"] == "no media" and found[2]["error"] and found[2]["payload_bytes"] is None
+    assert all(r["error"] is None and r["feature"] for i, r in found.items() if i > 2)
 
 
 def test_ogg_rules():
