@@ -141,6 +141,21 @@ class LineIndex:
         new.postings, new.references = postings, references
         return new
 
+    def save(self, path: str) -> None:
+        """Writes the three tables under a path that another session may open."""
+        for name in ("postings", "references", "filters"):
+            getattr(self, name).withColumn("shards", F.lit(self.shards)).write.parquet(f"{path}/{name}")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> LineIndex:
+        """The state that was saved under a path."""
+        tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "references", "filters")}
+        first = tables["references"].select("shards").first()
+        index = cls(spark, first["shards"] if first else None)
+        for name, table in tables.items():
+            setattr(index, name, table.drop("shards"))
+        return index
+
     def insert(self, docs: DataFrame, least: int = LEAST) -> LineIndex:
         """The state with further documents; documents already there count once."""
         added = postings_of(docs, least)

@@ -287,9 +287,11 @@ def test_lines(odd, no_id, empty):
     assert line_dedup.drop_lines(odd).columns == odd.columns
 
 
-def test_line_index_is_reversible(spark, odd):
+def test_line_index_is_reversible(spark, odd, tmp_path):
     one, two = odd.where("doc_id <= 8"), odd.where("doc_id > 8")
-    state = line_dedup.LineIndex(spark, 3).insert(one)
+    line_dedup.LineIndex(spark, 3).insert(one).save(str(tmp_path / "index"))
+    state = line_dedup.LineIndex.open(spark, str(tmp_path / "index"))
+    assert state.shards == 3
     both = state.insert(two)
     assert sorted(tuple(r) for r in line_dedup.report(odd, both).collect()) == brute_lines(plain(odd))
     again = both.insert(two)
