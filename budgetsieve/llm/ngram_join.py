@@ -86,7 +86,8 @@ def signatures_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 seen.add(node)
                 nodes.append(node)
                 signatures.append(scheme.sign(items).view(np.int64))
-            yield pd.DataFrame({"node": nodes, "signatures": signatures})
+            if nodes:  # a batch may hold copies alone
+                yield pd.DataFrame({"node": nodes, "signatures": signatures})
 
     return docs.select(text_or_empty().alias("text")).mapInPandas(run, "node long, signatures array<long>").select(F.explode("signatures").alias("signature"), "node")
 

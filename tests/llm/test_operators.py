@@ -390,6 +390,12 @@ def test_links(spark, odd, no_id, empty):
     assert {x["doc_id"] for x in one.collect()} == {i for i, (_, c) in brute_links(plain(odd), 3, 90).items() if i == c}
 
 
+def test_batches_of_copies(spark):
+    docs = spark.range(0, 900, 1, 1).select(F.col("id").alias("doc_id"), F.lit(text_of(3)).alias("text"))
+    assert ngram_join.signatures_of(docs, 3, 90).select("node").distinct().count() == 1
+    assert ngram_join.signatures_of(docs.limit(0), 3, 90).count() == 0
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(10, 60)] + [(100, 5), (5, 7), (7, 100), (200, 200)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
