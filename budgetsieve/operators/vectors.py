@@ -37,7 +37,7 @@ def nearest(pool: DataFrame, reference: DataFrame, k: int, keys: Sequence[str] =
 
     def meet(rows: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(refs):
-            return pd.DataFrame({c: [] for c in (*keys, "item_id", name)})
+            return pd.DataFrame([], columns=[*keys, "item_id", name], dtype=object)
         refs = refs.sort_values("__ref")
         x, b = np.array(rows["x"].tolist(), np.float64), np.array(refs["__y"].tolist(), np.float64)
         out = []

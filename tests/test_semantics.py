@@ -240,6 +240,8 @@ def test_nearest_in_blocks(spark, monkeypatch):
     for i, v in x.items():
         assert abs(got[i] - np.mean(sorted(np.linalg.norm(v - x[j]) for j in x if j % 2 == 0)[:3])) < 1e-9
     assert V.knn_mean_distance(pool, pool.where("item_id < 0"), 3).count() == 0
+    monkeypatch.setattr(V, "BLOCK_ROWS", 1)  # some blocks are empty
+    assert V.knn_mean_distance(pool, reference, 3).count() == 120
 
 
 def test_range_ranks_by_key(spark):
