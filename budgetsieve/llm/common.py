@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -9,6 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,10 +100,13 @@ _caches: dict[str, object] = {}
 def own_cache(name: str, cache) -> None:
     """Tells that a worker process now fills this cache: those of other operators are emptied.
 
-    Worker processes live on between stages, and what they remember counts against the executor.
+    Worker processes live on between stages, and what they remember counts against the executor; what
+    Arrow holds of earlier batches is given back as well.
     """
     _caches[name] = cache
-    for other, held in list(_caches.items()):
-        if other != name:
-            held.clear()
-            del _caches[other]
+    others = [other for other in _caches if other != name]
+    for other in others:
+        _caches.pop(other).clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
