@@ -94,6 +94,17 @@ def chunked(batches, limit: int, columns: tuple[str, ...] = ("doc_id",)):
         yield give()
 
 
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned crc32 of a short text of digits and ASCII signs, four bits at a time."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    halves = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT & 15, ascii(c)::BIGINT >> 4]))"
+    return f"xor(list_reduce({halves}, lambda c, x: xor(c >> 4, ({table}::BIGINT[])[(xor(c, x) & 15) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
 _caches: dict[str, object] = {}
 
 

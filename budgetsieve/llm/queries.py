@@ -73,6 +73,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from budgetsieve.llm.periodic_runs import report, with_planted_runs
+
+    return report(with_planted_runs(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_html_text": op2_html_text,
@@ -84,12 +90,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_ogg_media": op9_ogg_media,
     "op10_decontamination": op10_decontamination,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 def _oracles() -> dict[str, str]:
-    from budgetsieve.llm import decontamination, line_dedup, ngram_join
+    from budgetsieve.llm import decontamination, line_dedup, ngram_join, periodic_runs
 
-    return {"op1_ngram_join": ngram_join.SQL, "op6_line_dedup": line_dedup.SQL, "op10_decontamination": decontamination.SQL}
+    return {"op1_ngram_join": ngram_join.SQL, "op6_line_dedup": line_dedup.SQL, "op10_decontamination": decontamination.SQL, "op12_periodic_runs": periodic_runs.SQL}
 
 
 ORACLE_SQL: dict[str, str] = _oracles()
