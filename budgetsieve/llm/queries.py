@@ -73,6 +73,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from budgetsieve.llm.license_scan import report
+
+    return report(documents(spark, sf_dir))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from budgetsieve.llm.periodic_runs import report, with_planted_runs
 
@@ -90,13 +96,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_ogg_media": op9_ogg_media,
     "op10_decontamination": op10_decontamination,
+    "op11_license_scan": op11_license_scan,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
 def _oracles() -> dict[str, str]:
-    from budgetsieve.llm import decontamination, line_dedup, ngram_join, periodic_runs
+    from budgetsieve.llm import decontamination, license_scan, line_dedup, ngram_join, periodic_runs
 
-    return {"op1_ngram_join": ngram_join.SQL, "op6_line_dedup": line_dedup.SQL, "op10_decontamination": decontamination.SQL, "op12_periodic_runs": periodic_runs.SQL}
+    return {"op1_ngram_join": ngram_join.SQL, "op6_line_dedup": line_dedup.SQL, "op10_decontamination": decontamination.SQL, "op11_license_scan": license_scan.SQL, "op12_periodic_runs": periodic_runs.SQL}
 
 
 ORACLE_SQL: dict[str, str] = _oracles()
