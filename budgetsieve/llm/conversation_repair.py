@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from budgetsieve.llm.common import materialise, prepare
+from budgetsieve.llm.common import crc32_sql, materialise, prepare
 
 ROLES = {"s": "system", "u": "user", "a": "assistant"}
 #: The state that a turn's initial leads to, by the state before it: 0 nothing, 1 system, 2 user, 3 assistant.
@@ -420,3 +420,33 @@ def report(conversations: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     out = out.join(told, F.col("conv_id").eqNullSafe(F.col("__conv")), "left").join(shas, F.col("conv_id").eqNullSafe(F.col("__other")), "left")
     numbers = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"))
+
+
+def _sql() -> str:
+    classes = list(product(INITIALS, KINDS))
+    moves = ", ".join(f"('{classes[c][0]}', '{classes[c][1]}', {s}, '{e}', '{audit_of(e)}', {y}, {COST[c, s, t, y]})" for (c, s, t, y), e in EDITS.items())
+    ends = ", ".join(f"({s}, {END_COST[s]}, '{TAIL[s]}')" for s in range(4))
+    lines = lambda roles: f"list_transform(list_filter(string_split({roles}, ''), lambda c: c IN ('u', 'a')), lambda c: if(c = 'u', 'user:', 'assistant:'))"
+    return f"""
+WITH RECURSIVE moves(initial, kind, s, edits, audit, y, paid) AS (VALUES {moves}), ends(s, cost, roles) AS (VALUES {ends}),
+keyed AS (SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations),
+damaged AS (SELECT k, turn, if(h = 4, 'user', role) AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(if(h = 3, [0, 1], [0])) AS time FROM keyed WHERE h <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 AS again FROM placed),
+told AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, if(role[1] IN ('s', 'u', 'a'), role[1], 'o') AS initial FROM seen),
+coded AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' WHEN fault = 'truncated' THEN 't' ELSE 'k' END AS kind, lag(initial) OVER (PARTITION BY k ORDER BY i) || initial AS pair FROM told),
+best AS (SELECT k, max(i) + 1 AS i, s, cost, repeat('I', length(roles)) AS audit, {lines("roles")} AS lines FROM coded, ends GROUP BY k, s, cost, roles
+    UNION ALL
+    SELECT c.k, c.i, m.s, min(m.paid + b.cost), arg_min(m.audit || b.audit, {{'c': m.paid + b.cost, 'a': m.audit || b.audit}}),
+        arg_min({lines("m.edits")} || CASE right(m.edits, 1) WHEN 'D' THEN [] WHEN 'K' THEN [c.role || ':' || c.text] WHEN 'U' THEN ['user:' || c.text] ELSE ['assistant:' || c.text] END || b.lines, {{'c': m.paid + b.cost, 'a': m.audit || b.audit}})
+    FROM best b JOIN coded c ON c.k = b.k AND c.i = b.i - 1 JOIN moves m ON m.initial = c.initial AND m.kind = c.kind AND m.y = b.s GROUP BY c.k, c.i, m.s),
+counts AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM coded GROUP BY k)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+    coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, k FROM keyed) o LEFT JOIN counts USING (k) LEFT JOIN best b ON b.k = o.k AND b.i = 1 AND b.s = 0
+"""
+
+
+#: The same result in SQL, turn by turn from the end.
+SQL = _sql()

@@ -108,9 +108,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def _oracles() -> dict[str, str]:
-    from budgetsieve.llm import decontamination, license_scan, line_dedup, ngram_join, periodic_runs
+    from budgetsieve.llm import conversation_repair, decontamination, license_scan, line_dedup, ngram_join, periodic_runs
 
-    return {"op1_ngram_join": ngram_join.SQL, "op6_line_dedup": line_dedup.SQL, "op10_decontamination": decontamination.SQL, "op11_license_scan": license_scan.SQL, "op12_periodic_runs": periodic_runs.SQL}
+    own = {"op1_ngram_join": ngram_join.SQL, "op6_line_dedup": line_dedup.SQL, "op10_decontamination": decontamination.SQL}
+    return own | {"op11_license_scan": license_scan.SQL, "op12_periodic_runs": periodic_runs.SQL, "op13_conversation_repair": conversation_repair.SQL}
 
 
 ORACLE_SQL: dict[str, str] = _oracles()
