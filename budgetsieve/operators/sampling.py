@@ -44,11 +44,15 @@ def nested_prefix(pool: DataFrame, sizes: Sequence[int], seed: int = 0) -> DataF
     return most.withColumn("prefix_rank", rank).select("item_id", "prefix_rank", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size")).where(F.col("prefix_rank") <= F.col("size"))
 
 
-def quota_fill(pool: DataFrame, quota: int, total: int, score: str = "mu", keys: Sequence[str] = KEYS) -> DataFrame:
-    """The best of each partition up to a quota, then the best of the rest, to a total."""
+def quota_fill(pool: DataFrame, quota: Column | int, total: int, score: str = "mu", keys: Sequence[str] = KEYS, by_id: bool = False) -> DataFrame:
+    """The best of each partition up to a quota, then the best of the rest, to a total.
+
+    Where the quotas alone exceed the total the lowest scores go, or with ``by_id`` the largest ids.
+    """
     each = pool.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "part_id").orderBy(F.col(score).desc(), "item_id")))
     each = each.withColumn("filled", F.col("place") > quota)
-    order = Window.partitionBy(*keys).orderBy("filled", F.col(score).desc(), "item_id")
+    first = [F.when(~F.col("filled"), F.col("item_id"))] if by_id else []
+    order = Window.partitionBy(*keys).orderBy("filled", *first, F.col(score).desc(), "item_id")
     return each.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= total)
 
 

@@ -6,53 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from budgetsieve.functions.expr import dot, sigmoid, squared_distance
+from budgetsieve.operators.lists import nearest
+from budgetsieve.operators.trees import extra_trees, forest, score_trees
 from budgetsieve.sources.sinks import small
 
-#: Reference vectors of one block, and pool rows of one group that meets it.
-BLOCK_ROWS, GROUP_ROWS = 4096, 8192
-
-
-def nearest(pool: DataFrame, reference: DataFrame, k: int, keys: Sequence[str] = (), name: str = "nearest") -> DataFrame:
-    """(keys, item_id, name): the distances of each row's x to its k nearest reference vectors, in order.
-
-    The reference is a query set that may be of any size: it is cut into blocks, the pool into groups, and
-    each group meets each block of its key in a task of its own; the k nearest of each are merged by an
-    aggregation. Distances are exact: differences are summed, not expanded. Rows of a key without
-    reference vectors are left out.
-    """
-    blocks = reference.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("__blocks"))
-    groups = pool.groupBy(*keys).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("__groups"))
-    sizes = small((blocks.join(groups, list(keys)) if keys else blocks.crossJoin(groups)).where("__blocks > 0 and __groups > 0"), "block-sizes")
-    mine, all_of = F.pmod(F.xxhash64("item_id"), F.lit(1 << 30)), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    with_sizes = lambda df: df.join(sizes, list(keys)) if keys else df.crossJoin(sizes)
-    left = with_sizes(pool.select(*keys, "item_id", "x")).select(*keys, (mine % F.col("__groups")).cast("int").alias("__group"), all_of("__blocks").alias("__block"), "item_id", "x")
-    right = with_sizes(reference.select(*keys, "item_id", "x")).select(*[F.col(c).alias(f"__ref_{c}") for c in keys], all_of("__groups").alias("__ref_group"), (mine % F.col("__blocks")).cast("int").alias("__ref_block"), F.col("item_id").alias("__ref"), F.col("x").alias("__y"))
-    cells, others = [*keys, "__group", "__block"], [*[f"__ref_{c}" for c in keys], "__ref_group", "__ref_block"]
-    kinds = dict(pool.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), f"item_id {kinds['item_id']}, {name} array<double>"])
-
-    def meet(rows: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(refs):
-            return pd.DataFrame([], columns=[*keys, "item_id", name], dtype=object)
-        refs = refs.sort_values("__ref")
-        x, b = np.array(rows["x"].tolist(), np.float64), np.array(refs["__y"].tolist(), np.float64)
-        out = []
-        for i in range(0, len(x), 64):
-            best = np.full((len(x[i : i + 64]), 0), np.inf)
-            for j in range(0, len(b), 256):
-                d = np.sqrt(((x[i : i + 64, None, :] - b[None, j : j + 256, :]) ** 2).sum(axis=2))
-                best = np.sort(np.hstack([best, d]), axis=1)[:, :k]
-            out.append(best)
-        return pd.DataFrame({**{c: rows[c].to_numpy() for c in (*keys, "item_id")}, name: list(np.vstack(out))})
-
-    met = left.groupBy(*cells).cogroup(right.groupBy(*others)).applyInPandas(meet, schema)
-    return met.groupBy(*keys, "item_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(name))), 1, k).alias(name))
-
-
 def _mean(values: str):
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
 
@@ -225,21 +186,13 @@ def score_neighbours(pool: DataFrame, labeled: DataFrame, k: int = 5, keys: Sequ
 
 
 def forest_scores(pool: DataFrame, labeled: DataFrame, trees: int = 80, seed: int = 0, depth: int = 12) -> DataFrame:
-    """Adds the mean (mu) and variance (u_epi) of a random forest's trees; classes weigh the same.
+    """Adds the mean (mu) and variance (u_epi) of the votes of a random forest's trees; classes weigh the same."""
+    return score_trees(pool, forest(labeled, trees, seed, depth))
 
-    Spark grows no extremely randomised trees; they are left out.
-    """
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    total = F.count("*").over(Window.partitionBy())  # labelled rows are as many as the budget
-    weight = total / (F.lit(2.0) * F.count("*").over(Window.partitionBy("label")))
-    data = labeled.select(F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"), weight.alias("weight"))
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight").fit(data)
-    scored = pool.withColumn("__features", array_to_vector("x"))
-    out = model.setFeaturesCol("__features").setRawPredictionCol("__raw").setProbabilityCol("__probability").setPredictionCol("__prediction").transform(scored)
-    out = out.withColumn("mu", vector_to_array("__probability")[1]).withColumn("u_epi", F.col("mu") * (F.lit(1.0) - F.col("mu")))
-    return out.drop("__features", "__raw", "__probability", "__prediction")
+
+def extra_tree_scores(pool: DataFrame, labeled: DataFrame, trees: int = 80, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds the mean (mu) and variance (u_epi) of the votes of extremely randomised trees, for all keys at once."""
+    return score_trees(pool, extra_trees(labeled, trees, seed, keys), keys)
 
 
 def kmeans(pool: DataFrame, k: int, seed: int = 0) -> DataFrame:

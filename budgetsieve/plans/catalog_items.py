@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from budgetsieve.functions import expr as E
 from budgetsieve.operators import allocation as A
+from budgetsieve.operators import lists as N
 from budgetsieve.operators import ranking as R
 from budgetsieve.operators import reporting as P
 from budgetsieve.operators import sampling as S
@@ -121,13 +122,12 @@ def _(s):
     return rounded(vector_check(s.v), "mean_norm", places=5)
 
 
-_DRAWS = 20000
-
-
-@query("upsample", "o", f"""WITH n AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM o)
-SELECT draw, item_id FROM range({_DRAWS}) t(draw) JOIN n ON i = ('0x' || substr(md5('0:draw:' || draw), 1, 15))::BIGINT % n""")
+@query("upsample", "o", """WITH n AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i FROM o),
+d AS (SELECT draw, ('0x' || substr(md5('0:draw:' || draw), 1, 15))::BIGINT % (SELECT count(*) FROM o) AS i FROM range(2 * (SELECT count(*) FROM o)) t(draw))
+SELECT draw, item_id FROM d JOIN n USING (i)""")
 def _(s):
-    return S.upsample(s.o.select("item_id"), _DRAWS).select("draw", "item_id")
+    rows = s.o.select("item_id")
+    return S.upsample(rows, 2 * rows.count()).select("draw", "item_id")
 
 
 # ---- ranks and fusion
@@ -502,6 +502,13 @@ def _(s):
     return rounded(V.knn_margin(s.v, labeled, 3).select("item_id", "margin"), "margin", places=5)
 
 
+@query("knn_in_lists", "v", f"{_REF} SELECT item_id, round(avg(dd), 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dd, rid) AS k FROM dist) WHERE k <= 3 GROUP BY item_id")
+def _(s):
+    """The same distances by inverted lists, as for a reference of any size."""
+    near = N.Lists(_ref(s)).nearest(s.v, 3)
+    return rounded(near.select("item_id", (F.aggregate("nearest", F.lit(0.0), lambda a, b: a + b) / F.size("nearest")).alias("distance")), "distance", places=5)
+
+
 @query("retrieval_blend", "v", f"""{_REF}, m AS (SELECT item_id, min(dd) FILTER (class = 3) AS dp, min(dd) FILTER (class <> 3) AS dn FROM dist GROUP BY item_id), b AS (SELECT item_id, x[1] AS mu, dp, dn FROM m JOIN v USING (item_id)),
 z AS (SELECT item_id, (mu - avg(mu) OVER ()) / (stddev_pop(mu) OVER () + 1e-8) AS zm, (-dp - avg(-dp) OVER ()) / (stddev_pop(-dp) OVER () + 1e-8) AS zp, (-dn - avg(-dn) OVER ()) / (stddev_pop(-dn) OVER () + 1e-8) AS zn FROM b)
 SELECT item_id, round(1 / (1 + exp(-(zm + 0.5e0 * (zp - 0.5e0 * zn)))), 5) AS blended FROM z""")
@@ -549,6 +556,20 @@ def _(s):
     return rounded(V.score_linear(s.v.select("item_id", "x"), V.logistic_ensemble(labeled, 5)).select("item_id", "mu", "u_epi"), "mu", "u_epi")
 
 
+@query("assign_to_centres", "v", """WITH c AS (SELECT row_number() OVER (ORDER BY md5('0:centre:' || item_id), item_id) - 1 AS centre, x FROM v QUALIFY centre < (SELECT least(256, greatest(2, count(*) // 25)) FROM v)),
+t AS (SELECT v.item_id, c.centre, sqrt(list_sum(list_transform(list_zip(v.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS d FROM v, c)
+SELECT item_id, centre::INT AS part_id, round(d, 5) AS d FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(d, 9), centre) AS nth FROM t) WHERE nth = 1""")
+def _(s):
+    centres = N.centres_by_hash(s.v, V.partition_count(s.v.count()))
+    return rounded(N.assign(s.v.drop("part_id"), centres, "part_id", "d").select("item_id", "part_id", "d"), "d", places=5)
+
+
+@query("minibatch_partitions", "", "")
+def _(s):
+    centres = N.minibatch_kmeans(s.v, V.partition_count(s.v.count()))
+    return N.assign(s.v.drop("part_id"), centres).groupBy("part_id").agg(F.count("*").alias("n"))
+
+
 @query("kmeans_partitions", "", "")
 def _(s):
     return V.nearest_centroid(s.v.drop("part_id"), V.kmeans(s.v, V.partition_count(s.v.count())), "part_id").groupBy("part_id").agg(F.count("*").alias("n"))
@@ -559,6 +580,12 @@ def _(s):
     return rounded(V.project(s.v.select("item_id", "x"), V.truncated_svd(s.v, 8)).select("item_id", F.posexplode("z").alias("dim", "value")), "value", places=5)
 
 
+@query("extra_tree_scores", "", "")
+def _(s):
+    labeled = _ref(s).withColumn("label", (F.col("class") == 3).cast("int"))
+    return rounded(V.extra_tree_scores(s.v, labeled).select("item_id", "mu", "u_epi"), "mu", "u_epi")
+
+
 @query("forest_scores", "", "")
 def _(s):
     labeled = _ref(s).withColumn("label", (F.col("class") == 3).cast("int"))

@@ -58,10 +58,12 @@ def scored_by(method: Method, rows: DataFrame, labeled: DataFrame, p: Protocol,
     """Adds mu and u_epi by the method's model, fitted on each target's labels; with doubt also u_conf."""
     if method.model == "knn":
         out = V.score_neighbours(rows, labeled, p.neighbours, KEYS)
+    elif method.model == "extra":
+        out = V.extra_tree_scores(rows, labeled, max(64, 16 * p.members), seed, KEYS)
     elif method.model == "forest":  # one fit a target: Spark grows a forest as a job of its own
         out = None
         for (target,) in labeled.select("target").distinct().orderBy("target").collect():
-            part = V.forest_scores(rows.where(F.col("target") == F.lit(target)), labeled.where(F.col("target") == F.lit(target)), seed=seed)
+            part = V.forest_scores(rows.where(F.col("target") == F.lit(target)), labeled.where(F.col("target") == F.lit(target)), max(32, 16 * p.members), seed)
             out = part if out is None else out.unionByName(part)
     else:
         out = V.score_linear(rows, V.logistic_ensemble(labeled, p.members, seed, keys=KEYS), KEYS)
@@ -161,7 +163,8 @@ def true_budget(pool: DataFrame, name: str = "true_budgeted_reliable", protocol:
 def arm_bandit(pool: DataFrame, name: str = "true_arm_risk_ranked", protocol: Protocol | None = None, compat: bool = False) -> tuple[DataFrame, DataFrame, list[dict]]:
     """Arms are partitions: bounds pick arms, each arm yields its best items, mean labels are the rewards.
 
-    With ``compat`` a batch that is too large loses its largest ids instead of its lowest scores.
+    Each arm gives its best items up to an equal quota, and the best of the others fill the batch where arms
+    are short. With ``compat`` a batch that is too large loses its largest ids instead of its lowest scores.
     Returns the final ranking of what was scored, the arms and a log.
     """
     p, method = protocol or Protocol(), METHODS[name]
@@ -174,8 +177,9 @@ def arm_bandit(pool: DataFrame, name: str = "true_arm_risk_ranked", protocol: Pr
         selected = written(A.bandit_select(arms, arms.withColumn("utility", F.lit(0.0)), p.selected, r + 2), "chosen")
         inside = open_items.join(small(selected.select(*PART)), PART, "left_semi")
         scored = written(scored_by(method, inside, labeled, p, p.seed + r, False), "scored")
-        each = R.top_per(scored, F.col("mu").desc(), -(-p.query // p.selected), PART)
-        batch = written(R.top_per(each, F.col("item_id").asc() if compat else F.col("mu").desc(), p.query), "batch")
+        each = R.top_per(scored, F.col("mu").desc(), p.query, PART)  # no arm gives more
+        arms_at_hand = selected.groupBy(*KEYS).agg(F.ceil(F.lit(p.query) / F.count("*")).alias("__quota"))
+        batch = written(S.quota_fill(R.joined(each, arms_at_hand, KEYS, "inner"), F.col("__quota"), p.query, by_id=compat), "batch")
         arms = written(A.bandit_update(arms, selected, batch), "arms")
         labeled = written(labeled.unionByName(batch.select(*pool.columns)), "labeled")
         seen = written(seen.unionByName(scored.select(*ITEM)).distinct(), "seen")

@@ -15,7 +15,7 @@ from budgetsieve.operators import ranking as R
 class Method:
     """acquire: as acquired() knows it; explore: as utility() knows it, legacy, random, bandit, or None for the whole pool.
 
-    model: linear, forest or knn. Options: q, alert and novel (final score), weights (fusion), w (weight of the
+    model: linear, forest, extra (extremely randomised trees) or knn. Options: q, alert and novel (final score), weights (fusion), w (weight of the
     uncertainty in legacy scores), u (in the legacy utility), topmean (share of a partition's best).
     """
 
@@ -40,6 +40,7 @@ def _family() -> dict[str, Method]:
     out["knn_similarity"] = Method("greedy", None, "mu", model="knn")
     for name in ("greedy", "uncertainty", "ucb"):
         out[f"rf_{name}"] = Method(name, None, "mu", model="forest")
+        out[f"et_{name}"] = Method(name, None, "mu", model="extra")
     budgeted = "budgeted_"
     for name in ("arm_risk_final", budgeted + "reliable"):
         out[name] = Method("budgeted", "ucb", "risk")
@@ -69,7 +70,7 @@ def _family() -> dict[str, Method]:
     ):
         out[name] = Method("legacy", "legacy", final, (("w", w), ("u", u), ("q", 0.9 if name.endswith("q90") else 0.75)))
     out["full_greedy"] = Method("greedy", None, "mu")
-    out["true_budgeted_reliable"] = Method("budgeted", "no_ucb", "rrf", (("weights", "no_conf"),))
+    out["true_budgeted_reliable"] = Method("budgeted", "ucb", "rrf", (("weights", "no_conf"),))
     out["true_arm_risk_ranked"] = Method("budgeted", "bandit", "rrf", (("weights", "no_conf"),))
     return out
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from budgetsieve.functions import expr as E
 from budgetsieve.operators import allocation as A
+from budgetsieve.operators import lists as N
 from budgetsieve.operators import metrics as M
 from budgetsieve.operators import ranking as R
 from budgetsieve.operators import reporting as P
@@ -234,13 +235,13 @@ def test_nearest_in_blocks(spark, monkeypatch):
     pool = vector_pool(spark)
     reference = pool.where("item_id % 2 = 0")
     x = {r["item_id"]: np.array(r["x"]) for r in pool.collect()}
-    monkeypatch.setattr(V, "BLOCK_ROWS", 7)
-    monkeypatch.setattr(V, "GROUP_ROWS", 11)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(N, "GROUP_ROWS", 11)
     got = {r["item_id"]: r["distance"] for r in V.knn_mean_distance(pool, reference, 3, keys=["target"]).collect()}
     for i, v in x.items():
         assert abs(got[i] - np.mean(sorted(np.linalg.norm(v - x[j]) for j in x if j % 2 == 0)[:3])) < 1e-9
     assert V.knn_mean_distance(pool, pool.where("item_id < 0"), 3).count() == 0
-    monkeypatch.setattr(V, "BLOCK_ROWS", 1)  # some blocks are empty
+    monkeypatch.setattr(N, "BLOCK_ROWS", 1)  # some blocks are empty
     assert V.knn_mean_distance(pool, reference, 3).count() == 120
 
 
