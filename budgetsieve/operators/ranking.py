@@ -89,15 +89,19 @@ RRF_WEIGHTS = {
 
 
 def rrf_ranks(pool: DataFrame, keys: Sequence[str] = KEYS, wanted: Sequence[str] = ("clean_rank", "conf_rank", "novel_rank")) -> DataFrame:
-    """The ranks that fusion draws on: score, and as wanted few alerts, low uncertainty, novelty."""
-    out = ranked(pool, F.col("mu").desc(), "mu_rank", keys)
-    if "clean_rank" in wanted:
-        out = ranked(out, F.col("alert").asc(), "clean_rank", keys)
-    if "conf_rank" in wanted:
-        out = ranked(out, F.col("u_conf").asc(), "conf_rank", keys)
-    if "novel_rank" in wanted:
-        out = ranked(with_novelty(out, keys=keys), F.col("novelty").desc(), "novel_rank", keys)
-    return out
+    """The ranks that fusion draws on: score, and as wanted few alerts, low uncertainty, novelty.
+
+    All lists are ranked in one pass over (list, value, item) rows and joined to the pool once.
+    """
+    orders = {"mu_rank": -F.col("mu"), "clean_rank": F.col("alert"), "conf_rank": F.col("u_conf"), "novel_rank": -F.col("novelty")}
+    orders = {name: order for name, order in orders.items() if name == "mu_rank" or name in wanted}
+    if "novel_rank" in orders:
+        pool = with_novelty(pool, keys=keys)
+    lists = F.explode(F.array(*[F.struct(F.lit(name).alias("__list"), order.cast("double").alias("__value")) for name, order in orders.items()]))
+    rows = pool.select(*keys, "item_id", lists.alias("__l")).select(*keys, "item_id", "__l.*")
+    each = range_rank(rows, [F.col("__value").asc(), F.col("item_id").asc()], "__rank", [*keys, "__list"])
+    ranks = each.groupBy(*keys, "item_id").agg(*[F.max(F.when(F.col("__list") == name, F.col("__rank"))).alias(name) for name in orders])
+    return joined(pool, ranks, [*keys, "item_id"], "inner")
 
 
 def rrf_score(clean: float, conf: float, novel: float) -> Column:
@@ -126,13 +130,46 @@ def scaffold_repeat(pool: DataFrame, score: str = "mu", penalty: float = 0.025,
     return pool.withColumn("final", F.col(score) - F.lit(penalty) * F.log1p(earlier.cast("double")))
 
 
+#: Rows of a key from which a quantile is searched between bounds, the share on each side of it that these leave
+#: (over the error of the sketch that gives them), and rows between bounds from which these are drawn closer.
+ROUGH, MARGIN, ACCURACY, REFINE = 10_000, 3e-4, 10_000, 1_000_000
+
+
 def quantiles(pool: DataFrame, value: str, q: float, keys: Sequence[str] = KEYS, name: str = "cut") -> DataFrame:
-    """(keys, name): linearly interpolated quantiles, from the order statistics on both sides of the place."""
-    values = pool.where(F.col(value).isNotNull()).select(*keys, value).withColumn("__chance", F.rand(0))  # parts equal values
-    placed = range_rank(values, [F.col(value).asc(), F.col("__chance").asc()], "__place", keys)
-    sizes = small(placed.groupBy(*keys).agg(((F.count("*") - 1) * F.lit(q)).alias("__at")), "sizes")
-    near = joined(placed, sizes, keys, "inner").where((F.col("__place") >= F.floor("__at")) & (F.col("__place") <= F.ceil("__at")))
-    ends = near.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.first("__at").alias("at"))
+    """(keys, name): linearly interpolated quantiles, from the order statistics on both sides of the place.
+
+    A sketch gives bounds around the place, rows under them are counted, and only the distinct values between
+    them are summed up in order; where these are many, a sketch of them draws the bounds closer. Nothing of the
+    pool is sorted or written.
+    """
+    values = pool.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    sizes = values.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.percentile_approx("__v", [max(0.0, q - MARGIN), min(1.0, q + MARGIN)], ACCURACY).alias("__b"))
+    large = F.col("__n") > ROUGH
+    bounds = small(sizes.select(*keys, ((F.col("__n") - 1) * F.lit(q)).alias("__at"), F.when(large, F.get("__b", F.lit(0))).otherwise(F.col("__low")).alias("__low"), F.when(large, F.get("__b", F.lit(1))).otherwise(F.col("__high")).alias("__high")), "bounds")
+    inside = F.col("__v").between(F.col("__low"), F.col("__high"))
+    while True:
+        near = joined(values, bounds, keys, "inner")
+        held = near.where(F.col("__v") <= F.col("__high")).groupBy(*keys, F.when(inside, F.col("__v")).alias("__v")).agg(F.count("*").alias("__n"), F.first("__at").alias("__at"))
+        held = held.withColumn("__under", F.when(F.col("__v").isNull(), F.col("__n")).otherwise(0))
+        most = (bounds.agg(F.max("__at")).first()[0] or 0) * 4 * MARGIN
+        if most <= REFINE:
+            break
+        closer = joined(near.where(inside), small(held.groupBy(*keys).agg(F.sum("__under").alias("__under"), F.sum("__n").alias("__all")), "under"), keys, "inner")
+        share = (F.first("__at") - F.first("__under")) / F.greatest(F.first("__all") - F.first("__under"), F.lit(1))
+        cuts = closer.groupBy(*keys).agg(F.first("__at").alias("__at"), F.count("*").alias("__m"), share.alias("__share"), F.percentile_approx("__v", [i / 512 for i in range(513)], ACCURACY).alias("__b"))
+        place = lambda d: F.greatest(F.lit(0), F.least(F.lit(512), F.floor(F.col("__share") * 512).cast("int") + d))
+        tighter = small(cuts.select(*keys, "__at", F.get("__b", place(-1)).alias("__low"), F.get("__b", place(2)).alias("__high"), "__m"), "bounds")
+        done = tighter.agg(F.max("__m")).first()[0] <= 512 * REFINE
+        bounds = tighter.drop("__m")
+        if done:
+            near = joined(values, bounds, keys, "inner")
+            held = near.where(F.col("__v") <= F.col("__high")).groupBy(*keys, F.when(inside, F.col("__v")).alias("__v")).agg(F.count("*").alias("__n"), F.first("__at").alias("__at"))
+            break
+    # distinct values between the bounds, which are few
+    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()))
+    found = held.select(*keys, "__v", "__at", upto.alias("__upto")).where(F.col("__v").isNotNull())
+    at_least = lambda place: F.min(F.when(F.col("__upto") > place, F.col("__v")))
+    ends = found.groupBy(*keys).agg(at_least(F.floor("__at")).alias("low"), at_least(F.ceil("__at")).alias("high"), F.first("__at").alias("at"))
     return ends.select(*keys, (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias(name))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from budgetsieve.functions.expr import dot, sigmoid, squared_distance
+from budgetsieve.operators.landmarks import gram_times, leading
 from budgetsieve.operators.lists import nearest
 from budgetsieve.operators.trees import extra_trees, forest, score_trees
 from budgetsieve.sources.sinks import small
@@ -88,27 +89,9 @@ def shingle_bits(rows: DataFrame, text: str = "text", bits: int = 2048) -> DataF
 
 
 def truncated_svd(pool: DataFrame, k: int) -> np.ndarray:
-    """The k leading right singular vectors of x (not centred), columns; signs make the largest entry positive.
-
-    Tasks send partial Gram matrices of bounded size (dims x dims).
-    """
-
-    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for batch in batches:
-            x = np.array(batch["x"].tolist(), np.float64)
-            total = x.T @ x + (0 if total is None else total)
-        if total is not None:
-            r, c = np.indices(total.shape)
-            yield pd.DataFrame({"r": r.ravel(), "c": c.ravel(), "v": total.ravel()})
-
-    rows = pool.select("x").mapInPandas(gram, "r int, c int, v double").groupBy("r", "c").agg(F.sum("v").alias("v")).toPandas()
-    n = int(rows["r"].max()) + 1
-    g = np.zeros((n, n))
-    g[rows["r"], rows["c"]] = rows["v"]
-    _, vectors = np.linalg.eigh(g)
-    basis = vectors[:, ::-1][:, :k]
-    return basis * np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(k)])
+    """The k leading right singular vectors of x (not centred), columns; signs make the largest entry positive."""
+    dims = pool.select(F.size("x")).first()[0]
+    return leading(gram_times(pool, "x", dims), dims, k)
 
 
 def project(pool: DataFrame, basis: np.ndarray, name: str = "z") -> DataFrame:

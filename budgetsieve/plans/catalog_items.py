@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from budgetsieve.functions import expr as E
 from budgetsieve.operators import allocation as A
+from budgetsieve.operators import landmarks as B
 from budgetsieve.operators import lists as N
 from budgetsieve.operators import ranking as R
 from budgetsieve.operators import reporting as P
@@ -14,6 +15,7 @@ from budgetsieve.operators import vectors as V
 from budgetsieve.plans import loops
 from budgetsieve.plans.catalog import query, rounded
 from budgetsieve.plans.registry import METHODS, final_scores
+from budgetsieve.sources.mixture import mixture_pool, mixture_sql
 from budgetsieve.sources.readers import vector_check
 from budgetsieve.sources.sinks import small, written
 
@@ -122,6 +124,12 @@ def _(s):
     return rounded(vector_check(s.v), "mean_norm", places=5)
 
 
+@query("mixture_pool", "o", f"WITH {mixture_sql('o')} SELECT target, item_id, label, alert, scaffold, part_id, round(logit, 5) + 0.0e0 AS logit FROM mixture")
+def _(s):
+    """A seeded pool with an item for each order."""
+    return rounded(mixture_pool(s.o.select("item_id")).drop("x"), "logit", places=5)
+
+
 @query("upsample", "o", """WITH n AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i FROM o),
 d AS (SELECT draw, ('0x' || substr(md5('0:draw:' || draw), 1, 15))::BIGINT % (SELECT count(*) FROM o) AS i FROM range(2 * (SELECT count(*) FROM o)) t(draw))
 SELECT draw, item_id FROM d JOIN n USING (i)""")
@@ -580,6 +588,12 @@ def _(s):
     return rounded(V.project(s.v.select("item_id", "x"), V.truncated_svd(s.v, 8)).select("item_id", F.posexplode("z").alias("dim", "value")), "value", places=5)
 
 
+@query("landmark_projection", "", "")
+def _(s):
+    rows = V.shingle_bits(s.d).select("item_id", "bits")
+    return rounded(B.project(rows, B.fit_basis(rows)).select("item_id", F.posexplode("z").alias("dim", "value")), "value")
+
+
 @query("extra_tree_scores", "", "")
 def _(s):
     labeled = _ref(s).withColumn("label", (F.col("class") == 3).cast("int"))

@@ -27,12 +27,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes up to which a small table is held in the plan.
+SMALL_ROWS, SMALL_BYTES = 10_000, 4 << 20
+
+
 def small(df: DataFrame, name: str = "small") -> DataFrame:
-    """A table that should have few rows, written first: its size is then known when the join is planned.
+    """A table that should have few rows, made first: its size is then known when the join is planned.
 
-    Spark broadcasts it if that is under spark.sql.autoBroadcastJoinThreshold, and joins by key otherwise.
+    Up to ``SMALL_ROWS`` rows are held in the plan, larger tables are written. Spark broadcasts it if it is under
+    spark.sql.autoBroadcastJoinThreshold, and joins by key otherwise.
     """
-    return written(df, name)
+    table = df.limit(SMALL_ROWS + 1).toArrow()
+    if table.num_rows > SMALL_ROWS or table.nbytes > SMALL_BYTES:
+        return written(df, name)
+    return df.sparkSession.createDataFrame(table, df.schema)
 
 
 def write_json(path: str, value: dict) -> None:
