@@ -168,6 +168,21 @@ def score_neighbours(pool: DataFrame, labeled: DataFrame, k: int = 5, keys: Sequ
     return joined(pool, scores, [*keys, "item_id"], "inner")
 
 
+def blended(pool: DataFrame, labeled: DataFrame, blend: float, keys: Sequence[str] = ()) -> DataFrame:
+    """mu blended with retrieval: the z-score of mu plus blend times that of nearness to a positive, less half that to a negative.
+
+    Keys that lack positives or negatives keep their mu.
+    """
+    from budgetsieve.operators.ranking import joined, zscored
+
+    first = lambda label, name: nearest(pool, labeled.where(F.col("label") == label), 1, keys, name)
+    near = joined(first(1, "__p"), first(0, "__n"), [*keys, "item_id"], "inner")
+    near = near.select(*keys, "item_id", (-F.get("__p", F.lit(0))).alias("__pos"), (-F.get("__n", F.lit(0))).alias("__neg"))
+    both = zscored(joined(pool.select(*keys, "item_id", "mu"), near, [*keys, "item_id"], "inner"), ["mu", "__pos", "__neg"], keys)
+    score = F.col("z_mu") + F.lit(float(blend)) * (F.col("z___pos") - F.lit(0.5) * F.col("z___neg"))
+    return joined(pool, both.select(*keys, "item_id", sigmoid(score).alias("__mu")), [*keys, "item_id"]).withColumn("mu", F.coalesce("__mu", "mu")).drop("__mu")
+
+
 def forest_scores(pool: DataFrame, labeled: DataFrame, trees: int = 80, seed: int = 0, depth: int = 12) -> DataFrame:
     """Adds the mean (mu) and variance (u_epi) of the votes of a random forest's trees; classes weigh the same."""
     return score_trees(pool, forest(labeled, trees, seed, depth))

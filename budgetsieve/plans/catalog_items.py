@@ -13,6 +13,7 @@ from budgetsieve.operators import reporting as P
 from budgetsieve.operators import sampling as S
 from budgetsieve.operators import vectors as V
 from budgetsieve.plans import loops
+from budgetsieve.plans import protocols as PR
 from budgetsieve.plans.catalog import query, rounded
 from budgetsieve.plans.registry import METHODS, final_scores
 from budgetsieve.sources.mixture import mixture_pool, mixture_sql
@@ -629,6 +630,23 @@ def _(s):
     return _listed(loops.full_pool(_vector_pool(s), "full_greedy", _protocol(s))[0])
 
 
+@query("matched_protocol", "", "")
+def _(s):
+    """Four acquisitions from the same labels, eight rounds, one final fusion."""
+    p = _protocol(s)
+    p.final_blend = 0.5
+    return rounded(PR.matched(_vector_pool(s), protocol=p)[0], "bedroc", "alert_free")
+
+
+@query("encoding_control", "", "")
+def _(s):
+    """The pruned query under whole vectors and under their projection on eight landmark dimensions."""
+    basis = B.fit_basis(s.v, 8, 64, "x", bits=False)
+    rows = B.project(_vector_pool(s).select("item_id", "target", "label", "x"), basis, "x", bits=False)
+    both = PR.encodings(rows, {"whole": F.col("x"), "landmark": F.col("z")}, V.partition_count(s.v.count()), 0.25, 8, 100)
+    return rounded(both, "scores_avoided", "topk_overlap", "agreement")
+
+
 @query("true_budget_loop", "", "")
 def _(s):
     return _listed(loops.true_budget(_vector_pool(s), protocol=_protocol(s))[0])

@@ -9,6 +9,7 @@ from budgetsieve.operators import metrics as M
 from budgetsieve.operators import ranking as R
 from budgetsieve.operators import sampling as S
 from budgetsieve.operators import vectors as V
+from budgetsieve.plans import protocols as PR
 from budgetsieve.plans.catalog import query, rounded
 from budgetsieve.sources.sinks import small
 
@@ -202,6 +203,50 @@ def _(s):
     return rounded(scored.join(found, ["target", "ratio"]), "overlap")
 
 
+def _cells(ratios, routes) -> str:
+    """budget_cells over the pool o, by windows."""
+    return f"""WITH ratios(ratio) AS (VALUES {", ".join(f"({x!r}::DOUBLE)" for x in ratios)}), pulls AS (SELECT target, part_id, count(*) AS pulls FROM o WHERE md5('1:lab:' || item_id) < '1' GROUP BY ALL),
+m AS (SELECT *, row_number() OVER (PARTITION BY target, part_id ORDER BY md5('0:reservoir:' || item_id), item_id) <= 4 AS probed FROM o),
+g AS (SELECT *, row_number() OVER (PARTITION BY target, part_id ORDER BY mu DESC, item_id) AS pm, row_number() OVER (PARTITION BY target, part_id ORDER BY u_conf DESC, item_id) AS pu, count(*) OVER (PARTITION BY target, part_id) AS n FROM m WHERE probed),
+a AS (SELECT target, part_id, avg(mu) AS mean, avg(mu) FILTER (pm <= greatest(1, ceil(n * 0.25e0))) + 0.1e0 * (count(DISTINCT scaffold) / count(*)) AS useful, avg(u_conf) FILTER (pu <= greatest(1, ceil(n * 0.5e0))) AS doubt FROM g GROUP BY ALL),
+l AS (SELECT target, part_id, route, round(CASE route WHEN 'partitioned' THEN useful WHEN 'partitioned_ucb' THEN useful + 0.5e0 * sqrt(2.0e0 * ln(2.0e0) / greatest(coalesce(pulls, 0), 1)) WHEN 'mean_greedy' THEN mean WHEN 'random' THEN ('0x' || substr(md5('0:route:' || part_id), 1, 8))::BIGINT::DOUBLE ELSE doubt END, 9) AS score
+  FROM a LEFT JOIN pulls USING (target, part_id), (VALUES {", ".join(f"('{r}')" for r in routes)}) t(route)),
+r AS (SELECT *, row_number() OVER (PARTITION BY target, route ORDER BY score DESC, part_id) - 1 AS part_rank FROM l),
+s AS (SELECT m.*, route, row_number() OVER (PARTITION BY target, route ORDER BY CASE WHEN probed THEN -1 ELSE part_rank END, md5('0:fill:' || item_id), item_id) - 1 AS spent, count(*) OVER (PARTITION BY target, route) AS n, count(*) FILTER (probed) OVER (PARTITION BY target, route) AS probes FROM m JOIN r USING (target, part_id)),
+e AS (SELECT *, spent < least(n, greatest(least(1000, n), ceil(ratio * n), probes)) AS scored FROM s, ratios),
+v AS (SELECT *, 1.0e0 / count(*) OVER (PARTITION BY target, route, ratio, scaffold) AS novelty FROM e WHERE scored),
+k AS (SELECT *, 1.0e0 / (60 + row_number() OVER (PARTITION BY target, route, ratio ORDER BY mu DESC, item_id) - 1) + 0.18e0 / (60 + row_number() OVER (PARTITION BY target, route, ratio ORDER BY alert, item_id) - 1) + 0.25e0 / (60 + row_number() OVER (PARTITION BY target, route, ratio ORDER BY novelty DESC, item_id) - 1) AS rrf FROM v),
+f AS (SELECT e.target, e.route, e.ratio, e.item_id, e.label, e.alert, e.scaffold, e.scored, row_number() OVER (PARTITION BY e.target, e.route, e.ratio ORDER BY k.rrf DESC NULLS LAST, e.item_id) - 1 AS rank FROM e LEFT JOIN k USING (target, route, ratio, item_id)),
+w AS (SELECT *, 1.0e0 / count(*) OVER (PARTITION BY target, scaffold) AS novelty FROM o),
+x AS (SELECT *, 1.0e0 / (60 + row_number() OVER (PARTITION BY target ORDER BY mu DESC, item_id) - 1) + 0.18e0 / (60 + row_number() OVER (PARTITION BY target ORDER BY alert, item_id) - 1) + 0.25e0 / (60 + row_number() OVER (PARTITION BY target ORDER BY novelty DESC, item_id) - 1) AS rrf FROM w),
+y AS (SELECT target, item_id, label FROM x QUALIFY row_number() OVER (PARTITION BY target ORDER BY rrf DESC, item_id) <= 1000), h AS (SELECT target, sum(label) AS full_hits, count(*) AS full_n FROM y GROUP BY target),
+z AS (SELECT f.target, route, ratio, count(*) FILTER (scored) AS scored, count(*) AS n, sum(f.label) AS a, sum(f.label) FILTER (rank < 1000) AS hits, 1 - avg(alert) FILTER (rank < 1000) AS alert_free, count(DISTINCT scaffold) FILTER (rank < 1000) AS groups, count(y.item_id) FILTER (rank < 1000) AS shared FROM f LEFT JOIN y ON y.target = f.target AND y.item_id = f.item_id GROUP BY ALL),
+b AS (SELECT f.target, f.route, f.ratio, sum(CASE WHEN label = 1 THEN exp(-20.0e0 * (rank + 1) / n) ELSE 0 END) AS s FROM f JOIN z ON z.target = f.target AND z.route = f.route AND z.ratio = f.ratio GROUP BY ALL),
+c AS (SELECT *, a / n AS q, s / ((a / n) * (1 - exp(-20.0e0)) / (exp(20.0e0 / n) - 1)) AS rie FROM z JOIN b USING (target, route, ratio) JOIN h USING (target))
+SELECT target, route, ratio, scored, round(scored / n, 6) AS realized, hits::BIGINT AS hits, round(hits / greatest(full_hits, 1), 6) AS retention,
+  round(greatest(0, least(1, (rie - (1 - exp(20.0e0 * q)) / (q * (1 - exp(20.0e0)))) / ((1 - exp(-20.0e0 * q)) / (q * (1 - exp(-20.0e0))) - (1 - exp(20.0e0 * q)) / (q * (1 - exp(20.0e0)))))), 6) AS bedroc,
+  round(hits / greatest(scored, 1) * 1000.0e0, 6) AS per_1000, round(shared / full_n, 6) AS overlap, round(alert_free, 6) AS alert_free, groups FROM c"""
+
+
+_CELL_VALUES = ("realized", "retention", "bedroc", "per_1000", "overlap", "alert_free")
+
+
+def _pulls(s):
+    return s.o.where(E.hash_order("item_id", 1, "lab") < F.lit("1")).groupBy("target", "part_id").agg(F.count("*").alias("pulls"))
+
+
+@query("budget_cells", "o", _cells(PR.RATIOS, PR.ROUTES))
+def _(s):
+    """Six budgets by five routes, each ranked by the same fusion."""
+    return rounded(PR.budget_cells(s.o, _pulls(s)), *_CELL_VALUES)
+
+
+@query("allocation_control", "o", _cells((0.1,), PR.ROUTES[:4]))
+def _(s):
+    """Four routes under one budget."""
+    return rounded(PR.budget_cells(s.o, _pulls(s), (0.1,), PR.ROUTES[:4]), *_CELL_VALUES)
+
+
 @query("topk_overlap", "o", f"""WITH a AS (SELECT item_id, target FROM o QUALIFY row_number() OVER (PARTITION BY target ORDER BY mu DESC, item_id) <= 100), b AS (SELECT item_id, target FROM o QUALIFY row_number() OVER (PARTITION BY target ORDER BY mu - 0.1e0 * u_conf DESC, item_id) <= 100)
 SELECT target, count(*) AS overlap FROM a JOIN b USING (item_id, target) GROUP BY target""")
 def _(s):

@@ -8,6 +8,7 @@ the final list is ranked.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from budgetsieve.functions.expr import hash_order
 from budgetsieve.operators import allocation as A
+from budgetsieve.operators import metrics as M
 from budgetsieve.operators import ranking as R
 from budgetsieve.operators import sampling as S
 from budgetsieve.operators import vectors as V
@@ -41,6 +43,8 @@ class Protocol:
     neighbours: int = 5
     seed: int = 0
     refresh: bool = False
+    round_blend: float = 0.0
+    final_blend: float = 0.0
 
     @classmethod
     def fitted(cls, items: int, **more) -> Protocol:
@@ -54,8 +58,8 @@ def shared_pool(pool: DataFrame, labels: dict[str, Column]) -> DataFrame:
     return pool.withColumn("__l", marked).select(*pool.columns, "__l.target", "__l.label")
 
 
-def scored_by(method: Method, rows: DataFrame, labeled: DataFrame, p: Protocol, seed: int, doubt: bool) -> DataFrame:
-    """Adds mu and u_epi by the method's model, fitted on each target's labels; with doubt also u_conf."""
+def scored_by(method: Method, rows: DataFrame, labeled: DataFrame, p: Protocol, seed: int, doubt: bool, blend: float = 0.0) -> DataFrame:
+    """Adds mu and u_epi by the method's model, fitted on each target's labels; with doubt also u_conf. blend: weight of retrieval."""
     if method.model == "knn":
         out = V.score_neighbours(rows, labeled, p.neighbours, KEYS)
     elif method.model == "extra":
@@ -67,6 +71,8 @@ def scored_by(method: Method, rows: DataFrame, labeled: DataFrame, p: Protocol,
             out = part if out is None else out.unionByName(part)
     else:
         out = V.score_linear(rows, V.logistic_ensemble(labeled, p.members, seed, keys=KEYS), KEYS)
+    if blend:
+        out = V.blended(out, labeled, blend, KEYS)
     if not doubt:
         return out.withColumn("u_conf", F.lit(0.0))
     near = V.knn_mean_distance(rows, labeled, p.neighbours, "u_conf", KEYS)
@@ -116,7 +122,7 @@ def full_pool(pool: DataFrame, name: str, protocol: Protocol | None = None, fina
     log: list[dict] = []
     for r in range(p.rounds):
         open_items = pool.join(labeled.select(*ITEM), ITEM, "left_anti")
-        scored = scored_by(method, open_items, labeled, p, p.seed + r, _doubts(method))
+        scored = scored_by(method, open_items, labeled, p, p.seed + r, _doubts(method), p.round_blend)
         if method.explore is None:
             batch = _batch(method, scored, p, r)
         else:
@@ -126,10 +132,20 @@ def full_pool(pool: DataFrame, name: str, protocol: Protocol | None = None, fina
             batch = A.select_batch(acquired, chosen, p.query, F.col("acquisition"), p.seed + r)
         labeled = written(labeled.unionByName(batch.select(*pool.columns)), "labeled")
         _logged(log, r, labeled)
-    rows = scored_by(METHODS[final or name], pool, labeled, p, p.seed + p.rounds, True)
+    rows = scored_by(METHODS[final or name], pool, labeled, p, p.seed + p.rounds, True, p.final_blend)
     return final_list(method, written(rows, "scored"), final or name), log
 
 
+def run_metrics(final: DataFrame, log: list[dict], ks: Sequence[int] = (100, 500, 1000), fraction: float = 0.01) -> DataFrame:
+    """A run's row a target: labelled items and hits, then hits, groups and clean share of the top, enrichment and early recognition."""
+    spark = final.sparkSession
+    last = {x["target"]: x for x in log}
+    kind = final.schema["target"].dataType.simpleString()
+    queried = spark.createDataFrame([(t, x["labeled"], x["hits"]) for t, x in last.items()], f"target {kind}, queried long, queried_hits long")
+    wide = M.at_k(final, ks).groupBy(*KEYS).pivot("k", list(ks)).agg(F.first("hits").alias("hits"), F.first("recall").alias("recall"), F.first("groups").alias("groups"), F.first("alert_free").alias("alert_free"))
+    return R.joined(R.joined(R.joined(queried, wide, KEYS), M.enrichment(final, fraction), KEYS), M.bedroc(final), KEYS)
+
+
 def true_budget(pool: DataFrame, name: str = "true_budgeted_reliable", protocol: Protocol | None = None) -> tuple[DataFrame, list[dict]]:
     """Probes reservoirs, picks partitions, scores only their candidates, labels the best; then ranks what was scored."""
     p, method = protocol or Protocol(), METHODS[name]
@@ -197,9 +213,9 @@ def local_scores(pool: DataFrame, coefficients: DataFrame, reservoir: int, fract
     part = [*keys, "part_id"]
     probed = written(V.score_linear(S.reservoir_fixed(pool, reservoir, seed).drop("place"), coefficients, keys), "probed")
     spread = V.partition_spread(probed, part)
-    useful = A.topmean(probed, 0.25).join(spread, part).withColumn("utility", F.col("topmean") + F.lit(0.1) * F.col("spread"))
+    useful = A.topmean(probed, 0.25, keys=part).join(spread, part).withColumn("utility", F.col("topmean") + F.lit(0.1) * F.col("spread"))
     useful = useful.withColumn("__most", F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.count("*").over(Window.partitionBy(*keys)))))  # one row a partition
-    chosen = small(A.select_partitions(useful, F.col("__most")).select(*part), "chosen")
+    chosen = small(A.select_partitions(useful, F.col("__most"), keys).select(*part), "chosen")
     fresh = pool.join(chosen, part, "left_semi").join(probed.select(*keys, "item_id"), [*keys, "item_id"], "left_anti")
     columns = [*pool.columns, "mu"]
     scored = V.score_linear(fresh, coefficients, keys).select(*columns, F.lit(False).alias("probed"))
