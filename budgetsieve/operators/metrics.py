@@ -102,12 +102,10 @@ def reliability(rows: DataFrame, p: str = "mu", bins: int = 10, keys: Sequence[s
 
 
 def conformal_threshold(rows: DataFrame, alpha: float = 0.1, p: str = "mu", keys: Sequence[str] = KEYS) -> DataFrame:
-    """The residual at place ceil((n + 1)(1 - alpha)), at most the last."""
-    residual = rows.select(*keys, "item_id", F.abs(F.col("label") - F.col(p)).alias("residual"))
-    placed = R.ranked(residual, F.col("residual").asc(), "place", keys)
-    n = F.count("*")
-    want = small(placed.groupBy(*keys).agg(F.greatest(F.lit(1), F.least(n, F.ceil((n + 1) * F.lit(1 - alpha)).cast("long"))).alias("want")))
-    return joined(placed, want, keys, "inner").where(F.col("place") + 1 == F.col("want")).select(*keys, F.col("residual").alias("threshold"))
+    """The residual at place ceil((n + 1)(1 - alpha)), at most the last; found by counts, without a sort."""
+    residual = rows.select(*keys, F.abs(F.col("label") - F.col(p)).cast("double").alias("residual"))
+    place = lambda n: F.greatest(F.lit(1), F.least(n, F.ceil((n + 1) * F.lit(1 - alpha)).cast("long"))) - 1
+    return R.quantiles(residual, "residual", 1 - alpha, keys, "threshold", place)
 
 
 def conformal_coverage(rows: DataFrame, thresholds: DataFrame, p: str = "mu", keys: Sequence[str] = KEYS) -> DataFrame:

@@ -7,7 +7,7 @@ and lists of a fixed length from windows that keep so many rows before the shuff
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,6 +56,17 @@ def range_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", keys:
     return joined(cut, shifts, [*keys, "__part"], "inner").withColumn(name, F.col("__pos") + F.col("__shift")).drop("__part", "__pos", "__shift")
 
 
+def running(counts: DataFrame, order: str, amount: str, keys: Sequence[str] = (), name: str = "before") -> DataFrame:
+    """Adds the sum of the amounts of a key's rows that come before in the order, in ranges."""
+    cut = range_parts(counts, [F.col(order).asc()], keys)
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*keys, "__part").agg(F.sum(amount).alias("__sum"))
+    shifts = small(sums.select(*keys, "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__shift")), "shifts")
+    within = Window.partitionBy(*keys, "__part").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
+    along = cut.withColumn("__within", F.coalesce(F.sum(amount).over(within), F.lit(0)))
+    return joined(along, shifts, [*keys, "__part"], "inner").withColumn(name, F.col("__within") + F.col("__shift")).drop("__within", "__shift", "__part", "__pos")
+
+
 def ranked(df: DataFrame, score: Column, name: str = "rank", keys: Sequence[str] = KEYS) -> DataFrame:
     """Adds the rank by score, then by item_id."""
     return range_rank(df, [score, F.col("item_id").asc()], name, keys)
@@ -132,12 +143,14 @@ def scaffold_repeat(pool: DataFrame, score: str = "mu", penalty: float = 0.025,
 
 #: Rows of a key from which a quantile is searched between bounds, the share on each side of it that these leave
 #: (over the error of the sketch that gives them), and rows between bounds from which these are drawn closer.
-ROUGH, MARGIN, ACCURACY, REFINE = 10_000, 3e-4, 10_000, 1_000_000
+ROUGH, MARGIN, ACCURACY, REFINE = 50_000, 3e-4, 10_000, 1_000_000
 
 
-def quantiles(pool: DataFrame, value: str, q: float, keys: Sequence[str] = KEYS, name: str = "cut") -> DataFrame:
+def quantiles(pool: DataFrame, value: str, q: float, keys: Sequence[str] = KEYS, name: str = "cut", place: Callable[[Column], Column] | None = None) -> DataFrame:
     """(keys, name): linearly interpolated quantiles, from the order statistics on both sides of the place.
 
+    place: the place from 0 in the order by the number of rows, if it isn't (n - 1) * q but next to it.
+
     A sketch gives bounds around the place, rows under them are counted, and only the distinct values between
     them are summed up in order; where these are many, a sketch of them draws the bounds closer. Nothing of the
     pool is sorted or written.
@@ -145,7 +158,8 @@ def quantiles(pool: DataFrame, value: str, q: float, keys: Sequence[str] = KEYS,
     values = pool.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
     sizes = values.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.percentile_approx("__v", [max(0.0, q - MARGIN), min(1.0, q + MARGIN)], ACCURACY).alias("__b"))
     large = F.col("__n") > ROUGH
-    bounds = small(sizes.select(*keys, ((F.col("__n") - 1) * F.lit(q)).alias("__at"), F.when(large, F.get("__b", F.lit(0))).otherwise(F.col("__low")).alias("__low"), F.when(large, F.get("__b", F.lit(1))).otherwise(F.col("__high")).alias("__high")), "bounds")
+    at = place(F.col("__n")) if place else (F.col("__n") - 1) * F.lit(q)
+    bounds = small(sizes.select(*keys, at.cast("double").alias("__at"), F.when(large, F.get("__b", F.lit(0))).otherwise(F.col("__low")).alias("__low"), F.when(large, F.get("__b", F.lit(1))).otherwise(F.col("__high")).alias("__high")), "bounds")
     inside = F.col("__v").between(F.col("__low"), F.col("__high"))
     while True:
         near = joined(values, bounds, keys, "inner")

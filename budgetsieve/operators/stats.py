@@ -7,9 +7,11 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from budgetsieve.operators.ranking import running
+
 #: Deltas up to which a key's sign patterns are all listed.
 MOST_EXACT = 20
 #: Draws whose partial sums go in one row.
@@ -82,16 +84,21 @@ def permutation_sampled(deltas: DataFrame, keys: Sequence[str], value: str = "de
     return sums.join(F.broadcast(observed), list(keys)).groupBy(*keys).agg(F.avg(far.cast("double")).alias("p"))
 
 
-def mid_rank(value: Column, keys: Sequence[str]) -> Column:
-    """Average rank from 1 with ties."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / F.lit(2.0)
+def value_ranks(rows: DataFrame, keys: Sequence[str], value: Column, **counts: Column) -> DataFrame:
+    """(keys, v, n, counts, r): each distinct value with its rows and their average rank from 1.
+
+    Rows are counted by value, and counts are summed along ranges of values: no key is gathered.
+    """
+    by_value = rows.groupBy(*keys, value.alias("v")).agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in counts.items()])
+    return running(by_value, "v", "n", keys).withColumn("r", F.col("before") + (F.col("n") + 1) / F.lit(2.0)).drop("before")
 
 
 def wilcoxon(deltas: DataFrame, keys: Sequence[str], value: str = "delta") -> DataFrame:
-    """Signed-rank sums over non-zero deltas with the normal approximation (ties corrected)."""
-    rows = deltas.where(F.abs(value) > 1e-12).withColumn("__abs", F.abs(value))
-    ranked = rows.withColumn("r", mid_rank(F.col("__abs"), keys)).withColumn("t", F.count("*").over(Window.partitionBy(*keys, "__abs")))
-    sums = ranked.groupBy(*keys).agg(F.sum(F.when(F.col(value) > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(value) < 0, F.col("r")).otherwise(0.0)).alias("w_minus"), F.count("*").alias("n"), F.sum((F.col("t") * F.col("t") - 1).cast("double")).alias("ties"))
+    """Signed-rank sums over finite deltas that aren't zero with the normal approximation (ties corrected)."""
+    rows = finite(deltas, value).where(F.abs(value) > 1e-12)
+    ranked = value_ranks(rows, keys, F.abs(value), up=F.col(value) > 0, down=F.col(value) < 0)
+    t = F.col("n").cast("double")
+    sums = ranked.groupBy(*keys).agg(F.sum(F.col("up") * F.col("r")).alias("w_plus"), F.sum(F.col("down") * F.col("r")).alias("w_minus"), F.sum("n").alias("n"), F.sum(t * (t * t - 1)).alias("ties"))
     n = F.col("n").cast("double")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     return sums.withColumn("z", F.when(variance > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(variance))).drop("ties")
@@ -132,8 +139,8 @@ def sign_test(deltas: DataFrame, keys: Sequence[str], value: str = "delta", ties
 
 def mann_whitney(rows: DataFrame, keys: Sequence[str], value: str, group: str, first, second) -> DataFrame:
     """U of the first group against the second, P(first lower) and z with continuity (alternative: lower)."""
-    both = rows.where(F.col(group).isin(first, second)).withColumn("r", mid_rank(F.col(value), keys))
-    sums = both.groupBy(*keys).agg(F.sum(F.when(F.col(group) == first, F.col("r"))).alias("r1"), F.count_if(F.col(group) == first).alias("n"), F.count_if(F.col(group) == second).alias("m")).where("n > 0 and m > 0")
+    ranked = value_ranks(finite(rows, value).where(F.col(group).isin(first, second)), keys, F.col(value), one=F.col(group) == first, two=F.col(group) == second)
+    sums = ranked.groupBy(*keys).agg(F.sum(F.col("one") * F.col("r")).alias("r1"), F.sum("one").alias("n"), F.sum("two").alias("m")).where("n > 0 and m > 0")
     n, m = F.col("n").cast("double"), F.col("m").cast("double")
     u = F.col("r1") - n * (n + 1) / 2
     return sums.withColumn("u", u).withColumn("p_lower", F.lit(1.0) - F.col("u") / (n * m)).withColumn("z", (F.col("u") - n * m / 2 + 0.5) / F.sqrt(n * m * (n + m + 1) / 12)).drop("r1")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from budgetsieve.functions import expr as E
 from budgetsieve.operators import allocation as A
 from budgetsieve.operators import landmarks as B
 from budgetsieve.operators import lists as N
+from budgetsieve.operators import members as L
 from budgetsieve.operators import ranking as R
 from budgetsieve.operators import reporting as P
 from budgetsieve.operators import sampling as S
@@ -16,9 +19,10 @@ from budgetsieve.plans import loops
 from budgetsieve.plans import protocols as PR
 from budgetsieve.plans.catalog import query, rounded
 from budgetsieve.plans.registry import METHODS, final_scores
+from budgetsieve.sources import readers
 from budgetsieve.sources.mixture import mixture_pool, mixture_sql
 from budgetsieve.sources.readers import vector_check
-from budgetsieve.sources.sinks import small, written
+from budgetsieve.sources.sinks import shared_dir, small, written
 
 KT = ["target"]
 KP = ["target", "part_id"]
@@ -114,6 +118,48 @@ def _(s):
     return R.quantile_of(s.o, "mu", 0.955, "cut").select("item_id", "target", (F.col("mu") >= F.col("cut")).cast("int").alias("label"))
 
 
+def _text(s, lines, name):
+    """Lines of text written to the shared folder, as an outside source would leave them."""
+    path = f"{shared_dir(s.spark)}/{name}-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path
+
+
+@query("ism_round_trip", "", "SELECT 'C' || p_partkey AS smiles, p_partkey || '_' || p_size AS mol_id, 1 AS label FROM part")
+def _(s):
+    lines = s.table("part").select(F.concat_ws(" ", F.concat(F.lit("C"), "p_partkey"), "p_partkey", "p_size"))
+    return readers.read_ism(s.spark, _text(s, lines, "ism"), 1)
+
+
+@query("smi_round_trip", "", "SELECT 'C' || p_partkey AS smiles, p_partkey::VARCHAR AS mol_id, 0 AS label FROM part")
+def _(s):
+    lines = s.table("part").select(F.concat_ws("\t", F.concat(F.lit("C"), "p_partkey"), "p_partkey", "p_size"))
+    return readers.read_smi(s.spark, _text(s, lines, "smi"), 0)
+
+
+@query("name_list", "", "SELECT lower(n_name) AS name FROM nation")
+def _(s):
+    return readers.read_list(s.spark, _text(s, s.table("nation").select(F.concat(F.lit("  "), "n_name", F.lit("\n"))), "names")).select("name")
+
+
+@query("tsv_aliases", "", "SELECT p_partkey::VARCHAR AS mol_id, p_brand AS smiles FROM part")
+def _(s):
+    path = f"{shared_dir(s.spark)}/tsv-{uuid.uuid4().hex}"
+    s.table("part").select(F.col("p_partkey").alias("ChEMBL_ID"), F.col("p_brand").alias("Canonical_Smiles"), "p_size").write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
+    return readers.read_tsv(s.spark, path, {"mol_id": ["molecule_chembl_id", "chembl_id"], "smiles": ["canonical_smiles", "smiles"]})
+
+
+@query("tagged_results", "r", "SELECT target, method, seed::INT AS seed, round(metric, 6) AS metric FROM r")
+def _(s):
+    """Results of each seed in files of their own, read back with their seed; rows differ in seed and keys."""
+    specs = []
+    for seed in range(3):
+        path = f"{shared_dir(s.spark)}/seed{seed}-{uuid.uuid4().hex}"
+        s.r.where(F.col("seed") == seed).select("target", "method", "metric").write.option("header", True).csv(path)
+        specs.append(f"{seed}:{path}")
+    return rounded(readers.read_tagged(s.spark, specs, "target long, method string, metric double", ["target", "method"]), "metric")
+
+
 @query("dataset_overview", "d", "SELECT target, sum(label)::BIGINT AS active, (count(*) - sum(label))::BIGINT AS decoy, count(*) AS library_size, round(sum(label) / count(*), 6) AS active_ratio FROM d GROUP BY target")
 def _(s):
     out = s.d.groupBy("target").agg(F.sum("label").alias("active"), (F.count("*") - F.sum("label")).alias("decoy"), F.count("*").alias("library_size"), F.avg("label").alias("active_ratio"))
@@ -309,6 +355,19 @@ def _(s):
     return rounded(V.partition_spread(s.v), "spread")
 
 
+@query("member_offsets", "o", "SELECT target, part_id, sum(n) OVER (PARTITION BY target ORDER BY part_id)::BIGINT - n AS start, n FROM (SELECT target, part_id, count(*) AS n FROM o GROUP BY ALL)")
+def _(s):
+    return L.member_lists(s.o).offsets
+
+
+@query("member_slices", "o", """WITH n AS (SELECT target, part_id, item_id, row_number() OVER (PARTITION BY target ORDER BY part_id, item_id) - 1 AS place, row_number() OVER (PARTITION BY target, part_id ORDER BY item_id) AS nth FROM o)
+SELECT target, part_id, item_id, place FROM n WHERE part_id % 8 = 3 AND nth <= 20""")
+def _(s):
+    """The first twenty members of some partitions."""
+    lists = L.member_lists(s.o)
+    return lists.slice_of(lists.offsets.where("part_id % 8 = 3"), 20).select("target", "part_id", "item_id", "place")
+
+
 @query("partition_semi_join", "o", "SELECT item_id FROM o WHERE part_id IN (SELECT part_id FROM o GROUP BY part_id HAVING avg(mu) > (SELECT avg(mu) FROM o))")
 def _(s):
     mean = s.o.agg(F.avg("mu").alias("all"))
@@ -630,6 +689,13 @@ def _(s):
     return _listed(loops.full_pool(_vector_pool(s), "full_greedy", _protocol(s))[0])
 
 
+@query("calibration_refit", "", "")
+def _(s):
+    p, pool = _protocol(s), _vector_pool(s)
+    labeled = written(S.initial_labels(pool, 4 * p.initial, 4, p.seed).drop("place"), "labeled")
+    return rounded(loops.calibrated(pool, labeled, p), "threshold", "coverage", "brier", "nll", "ece", "aurc")
+
+
 @query("matched_protocol", "", "")
 def _(s):
     """Four acquisitions from the same labels, eight rounds, one final fusion."""

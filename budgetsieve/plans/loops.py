@@ -146,6 +146,26 @@ def run_metrics(final: DataFrame, log: list[dict], ks: Sequence[int] = (100, 500
     return R.joined(R.joined(R.joined(queried, wide, KEYS), M.enrichment(final, fraction), KEYS), M.bedroc(final), KEYS)
 
 
+def calibrated(pool: DataFrame, labeled: DataFrame, p: Protocol, alpha: float = 0.1) -> DataFrame:
+    """A nested fit on the labels: one row a target with the conformal threshold and what it covers.
+
+    A stratified share of the labelled items is held out; the ensemble is fitted again on the others, the held-out
+    residuals give the threshold, and all items without a label test it.
+    """
+    split = written(M.stratified_split(labeled, seed=p.seed), "split")
+    train, held = split.where("NOT calibration").drop("calibration"), split.where("calibration").drop("calibration")
+    coefficients = written(V.logistic_ensemble(train, p.members, p.seed, keys=KEYS), "coefficients")
+    thresholds = M.conformal_threshold(V.score_linear(held, coefficients, KEYS), alpha)
+    test = R.joined(pool, labeled.select(*ITEM, F.lit(True).alias("__seen")), ITEM).where("__seen IS NULL").drop("__seen")
+    scored = written(V.score_linear(test, coefficients, KEYS).withColumn("u_conf", F.col("u_epi")), "tested")
+    sizes = split.groupBy(*KEYS).agg(F.count_if(~F.col("calibration")).alias("n_train"), F.count_if("calibration").alias("n_calibration"))
+    found = scored.groupBy(*KEYS).agg(F.count("*").alias("n_test"), M.brier().alias("brier"), M.nll().alias("nll"))
+    out = R.joined(sizes, found, KEYS)
+    for part in (thresholds, M.conformal_coverage(scored, thresholds), M.ece(scored), M.risk_coverage(scored)):
+        out = R.joined(out, part, KEYS)
+    return out
+
+
 def true_budget(pool: DataFrame, name: str = "true_budgeted_reliable", protocol: Protocol | None = None) -> tuple[DataFrame, list[dict]]:
     """Probes reservoirs, picks partitions, scores only their candidates, labels the best; then ranks what was scored."""
     p, method = protocol or Protocol(), METHODS[name]
