@@ -142,8 +142,8 @@ def scaffold_repeat(pool: DataFrame, score: str = "mu", penalty: float = 0.025,
 
 
 #: Rows of a key from which a quantile is searched between bounds, the share on each side of it that these leave
-#: (over the error of the sketch that gives them), and rows between bounds from which these are drawn closer.
-ROUGH, MARGIN, ACCURACY, REFINE = 50_000, 3e-4, 10_000, 1_000_000
+#: (over the error of the sketch that gives them), and values between bounds up to which a key's are summed in a task.
+ROUGH, MARGIN, ACCURACY, IN_TASK = 50_000, 3e-4, 10_000, 1_000_000
 
 
 def quantiles(pool: DataFrame, value: str, q: float, keys: Sequence[str] = KEYS, name: str = "cut", place: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -152,38 +152,27 @@ def quantiles(pool: DataFrame, value: str, q: float, keys: Sequence[str] = KEYS,
     place: the place from 0 in the order by the number of rows, if it isn't (n - 1) * q but next to it.
 
     A sketch gives bounds around the place, rows under them are counted, and only the distinct values between
-    them are summed up in order; where these are many, a sketch of them draws the bounds closer. Nothing of the
-    pool is sorted or written.
+    them are counted and summed up in order: by a window where they are few, in ranges otherwise. The pool is
+    neither sorted nor written.
     """
     values = pool.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    sizes = values.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.percentile_approx("__v", [max(0.0, q - MARGIN), min(1.0, q + MARGIN)], ACCURACY).alias("__b"))
+    sketch = F.percentile_approx("__v", [max(0.0, q - MARGIN), min(1.0, q + MARGIN)], ACCURACY)
+    sizes = values.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"), sketch.alias("__b"))
     large = F.col("__n") > ROUGH
     at = place(F.col("__n")) if place else (F.col("__n") - 1) * F.lit(q)
-    bounds = small(sizes.select(*keys, at.cast("double").alias("__at"), F.when(large, F.get("__b", F.lit(0))).otherwise(F.col("__low")).alias("__low"), F.when(large, F.get("__b", F.lit(1))).otherwise(F.col("__high")).alias("__high")), "bounds")
-    inside = F.col("__v").between(F.col("__low"), F.col("__high"))
-    while True:
-        near = joined(values, bounds, keys, "inner")
-        held = near.where(F.col("__v") <= F.col("__high")).groupBy(*keys, F.when(inside, F.col("__v")).alias("__v")).agg(F.count("*").alias("__n"), F.first("__at").alias("__at"))
-        held = held.withColumn("__under", F.when(F.col("__v").isNull(), F.col("__n")).otherwise(0))
-        most = (bounds.agg(F.max("__at")).first()[0] or 0) * 4 * MARGIN
-        if most <= REFINE:
-            break
-        closer = joined(near.where(inside), small(held.groupBy(*keys).agg(F.sum("__under").alias("__under"), F.sum("__n").alias("__all")), "under"), keys, "inner")
-        share = (F.first("__at") - F.first("__under")) / F.greatest(F.first("__all") - F.first("__under"), F.lit(1))
-        cuts = closer.groupBy(*keys).agg(F.first("__at").alias("__at"), F.count("*").alias("__m"), share.alias("__share"), F.percentile_approx("__v", [i / 512 for i in range(513)], ACCURACY).alias("__b"))
-        place = lambda d: F.greatest(F.lit(0), F.least(F.lit(512), F.floor(F.col("__share") * 512).cast("int") + d))
-        tighter = small(cuts.select(*keys, "__at", F.get("__b", place(-1)).alias("__low"), F.get("__b", place(2)).alias("__high"), "__m"), "bounds")
-        done = tighter.agg(F.max("__m")).first()[0] <= 512 * REFINE
-        bounds = tighter.drop("__m")
-        if done:
-            near = joined(values, bounds, keys, "inner")
-            held = near.where(F.col("__v") <= F.col("__high")).groupBy(*keys, F.when(inside, F.col("__v")).alias("__v")).agg(F.count("*").alias("__n"), F.first("__at").alias("__at"))
-            break
-    # distinct values between the bounds, which are few
-    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()))
-    found = held.select(*keys, "__v", "__at", upto.alias("__upto")).where(F.col("__v").isNotNull())
+    low, high = F.when(large, F.get("__b", F.lit(0))).otherwise(F.col("__least")), F.when(large, F.get("__b", F.lit(1))).otherwise(F.col("__most"))
+    bounds = small(sizes.select(*keys, at.cast("double").alias("__at"), low.alias("__low"), high.alias("__high")), "bounds")
+    near = joined(values, bounds, keys, "inner").where(F.col("__v") <= F.col("__high"))
+    inside = F.when(F.col("__v") >= F.col("__low"), F.col("__v"))  # null: counted as a whole
+    held = near.groupBy(*keys, inside.alias("__v")).agg(F.count("*").alias("__n"), F.first("__at").alias("__at"))
+    most = (bounds.agg(F.max("__at")).first()[0] or 0) * 4 * MARGIN
+    if most <= IN_TASK:
+        upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()))
+        summed = held.select(*keys, "__v", "__at", upto.alias("__upto"))
+    else:
+        summed = running(held, "__v", "__n", keys, "__before").select(*keys, "__v", "__at", (F.col("__before") + F.col("__n")).alias("__upto"))
     at_least = lambda place: F.min(F.when(F.col("__upto") > place, F.col("__v")))
-    ends = found.groupBy(*keys).agg(at_least(F.floor("__at")).alias("low"), at_least(F.ceil("__at")).alias("high"), F.first("__at").alias("at"))
+    ends = summed.where(F.col("__v").isNotNull()).groupBy(*keys).agg(at_least(F.floor("__at")).alias("low"), at_least(F.ceil("__at")).alias("high"), F.first("__at").alias("at"))
     return ends.select(*keys, (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias(name))
 
 
