@@ -5,13 +5,14 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from budgetsieve.llm import conversation_repair, license_scan, periodic_runs, queries
+from budgetsieve.llm import conversation_repair, html_text, license_scan, periodic_runs, queries
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -245,3 +246,44 @@ def test_repair_of_nothing(spark):
     lost = next(t for t in range(100) if zlib.crc32(f"5:{t}".encode()) % 20 == 0)
     one = conversation_repair.report(spark.createDataFrame([(5, lost, "user", "a.")], "conv_id long, turn long, role string, text string")).select(COLUMNS).collect()
     assert [tuple(r) for r in one] == [(5, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
+
+
+# pages
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><p>See <a href="/hidden-gems">Hidden gems</a> here</p></article>', ["See Hidden gems here"]),
+        ('<p title="the hidden cost">cost text</p>', ["cost text"]),
+        ('<p data-id="comment">body</p>', ["body"]),
+        ('<article><h2 id="related-work">Related work</h2><section id="comment-on-method">x y</section></article>', ["Related work", "x y"]),
+        ('<main><div class="share-price">12</div><div class="comments">bad</div><div id="ads">buy</div></main>', ["12"]),
+        ("<div hidden>q</div><div class=ad>z</div><div aria-hidden = 'true'>w</div>ok", ["ok"]),
+        ("<p class='a \"hidden\" b'>kept</p><p title=\"'\" hidden>gone</p>", ["kept"]),
+    ],
+)
+def test_attributes_are_names_outside_quotes(page, text):
+    assert [t for t, _ in html_text.blocks_of(page)] == text
+
+
+@pytest.mark.parametrize("bits", [1 << 29, 40])
+def test_common_lines_against_table(monkeypatch, bits):
+    monkeypatch.setattr(html_text, "ALIGNED_BITS", bits)
+    r = random.Random(bits)
+    for _ in range(500):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 18))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        found = html_text.common_lines(a, b)
+        rest = iter(b)
+        assert len(found) == best[-1][-1] and all(a[k] in rest for k in sorted(found))
+
+
+def test_pages_in_linear_time():
+    began = time.time()
+    html_text.common_lines(["x"] * 30_000 + ["q"], ["y"] + ["x"] * 30_000)
+    assert html_text.blocks_of("<script></script>x " * 60_000) == [("x", 0)] * 60_000
+    assert time.time() - began < 10
