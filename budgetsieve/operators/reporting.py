@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from budgetsieve.operators.ranking import joined, range_rank
+
 PAIR = ("target", "seed")
 
 
@@ -106,6 +108,21 @@ def first_seen(log: DataFrame, item: str = "item_id", keys: Sequence[str] = ())
     return log.groupBy(*keys, item).agg(F.min("round").alias("first_round"))
 
 
+def dense_ids(rows: DataFrame, value: str, name: str = "dense_id", order: str = "item_id") -> DataFrame:
+    """Numbers a column's values from 0 by their first appearance in the order; nulls share a number as well."""
+    first = rows.groupBy(value).agg(F.min(order).alias("__first"))
+    numbered = range_rank(first, [F.col("__first").asc()], name).drop("__first")
+    return joined(rows, numbered, [value], "inner")
+
+
+def first_valid(rows: DataFrame, valid: Column, n: int, order: str) -> DataFrame:
+    """The first n valid rows in the order; an error if there are fewer."""
+    kept = rows.where(valid).orderBy(order).limit(n)
+    if (found := kept.count()) < n:
+        raise ValueError(f"{found} valid rows of {n}")
+    return kept
+
+
 def status(ratio: Column) -> Column:
     return F.when(ratio >= 0.5, "done").when(ratio > 0, "partial").otherwise("missing")
 

@@ -160,6 +160,38 @@ def _(s):
     return rounded(readers.read_tagged(s.spark, specs, "target long, method string, metric double", ["target", "method"]), "metric")
 
 
+@query("dense_group_ids", "o", "SELECT item_id, scaffold, dense_rank() OVER (ORDER BY first) - 1 AS dense_id FROM (SELECT item_id, scaffold, min(item_id) OVER (PARTITION BY scaffold) AS first FROM o)")
+def _(s):
+    """Groups numbered by their first appearance."""
+    return P.dense_ids(s.o.select("item_id", "scaffold"), "scaffold")
+
+
+@query("first_valid_rows", "", "SELECT p_partkey, p_size FROM part WHERE p_size >= 10 ORDER BY p_partkey LIMIT 100")
+def _(s):
+    return P.first_valid(s.table("part").select("p_partkey", "p_size"), F.col("p_size") >= 10, 100, "p_partkey")
+
+
+@query("stable_seeds", "", "SELECT p_partkey, ('0x' || substr(md5(p_name), 1, 15))::BIGINT % 2147483000 + 1 AS seed FROM part")
+def _(s):
+    return s.table("part").select("p_partkey", E.stable_seed("p_name").alias("seed"))
+
+
+@query("prefix_files", "v", "SELECT item_id, prefix_rank FROM (SELECT item_id, row_number() OVER (ORDER BY md5('0:prefix:' || item_id), item_id) AS prefix_rank FROM v) WHERE prefix_rank <= 150")
+def _(s):
+    """Vectors stored in the order of a nested sample, of which a prefix is read."""
+    path = f"{shared_dir(s.spark)}/prefix-{uuid.uuid4().hex}"
+    order = [E.hash_order("item_id", 0, "prefix").asc(), F.col("item_id").asc()]
+    readers.write_vectors(R.range_rank(s.v.select("item_id", "x"), order, "__place").withColumn("prefix_rank", F.col("__place") + 1).drop("__place"), path)
+    return readers.read_prefix(s.spark, path, 150).select("item_id", "prefix_rank")
+
+
+@query("shared_pool", "v", "SELECT item_id, 'alert' AS target, alert AS label FROM v UNION ALL SELECT item_id, 'third', coalesce((class = 3)::INT, 0) FROM v")
+def _(s):
+    """One pool under two labels, as loops take it."""
+    both = loops.shared_pool(s.v.select("item_id", "alert", "class"), {"alert": F.col("alert"), "third": F.coalesce(F.col("class") == 3, F.lit(False))})
+    return both.select("item_id", "target", "label")
+
+
 @query("dataset_overview", "d", "SELECT target, sum(label)::BIGINT AS active, (count(*) - sum(label))::BIGINT AS decoy, count(*) AS library_size, round(sum(label) / count(*), 6) AS active_ratio FROM d GROUP BY target")
 def _(s):
     out = s.d.groupBy("target").agg(F.sum("label").alias("active"), (F.count("*") - F.sum("label")).alias("decoy"), F.count("*").alias("library_size"), F.avg("label").alias("active_ratio"))

@@ -230,6 +230,30 @@ def _(s):
     return rounded(T.wilcoxon(_deltas(s), ["method"]).withColumn("p", T.normal_p(F.col("z"))), "z", "p")
 
 
+_STATS = ("mean_delta", "median_delta", "min_delta", "negative_count", "p")
+
+
+@query("decision_metrics", "r", f"""WITH l AS (SELECT target, seed, method, name, value FROM (UNPIVOT (SELECT target, seed, method, metric, n, top FROM r) ON metric, n, top INTO NAME name VALUE value)),
+d AS (SELECT l.method, name, l.value - b.value AS delta FROM l JOIN (SELECT target, seed, name, value FROM l WHERE method = 'view') b USING (target, seed, name) WHERE l.method <> 'view'),
+e AS (SELECT *, abs(delta) AS a FROM d WHERE abs(delta) > 1e-12), k AS (SELECT *, rank() OVER (PARTITION BY method, name ORDER BY a) + (count(*) OVER (PARTITION BY method, name, a) - 1) / 2.0e0 AS rk, count(*) OVER (PARTITION BY method, name, a) AS t FROM e),
+w AS (SELECT method, name, sum(CASE WHEN delta > 0 THEN rk ELSE 0 END) AS w_plus, count(*)::DOUBLE AS n, sum(t * t - 1) AS ties FROM k GROUP BY ALL),
+z AS (SELECT *, (w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM w), p AS (SELECT method, name, greatest(0, 1 - {_ERF}) AS p FROM z),
+s AS (SELECT method, name, avg(delta) AS mean_delta, median(delta) AS median_delta, min(delta) AS min_delta, count(*) FILTER (delta < -1e-12) AS negative_count FROM d GROUP BY ALL), j AS (SELECT s.*, p.p FROM s LEFT JOIN p ON p.method = s.method AND p.name = s.name)
+SELECT method, {', '.join(f"round(max({x}) FILTER (name = '{m}'), 6) + 0.0e0 AS {m}_{x}" for m in ("metric", "n", "top") for x in _STATS)} FROM j GROUP BY method""")
+def _(s):
+    """One row a method against the reference: five statistics of the deltas of each metric."""
+    metrics = ["metric", "n", "top"]
+    long = P.unpivot(s.r, ["target", "seed", "method"], metrics)
+    d = P.deltas_join(long, "view", "value", ["target", "seed", "metric_name"]).where("method <> 'view'")
+    by = ["method", "metric_name"]
+    p = T.wilcoxon(d, by).select(*by, T.normal_p(F.col("z")).alias("p"))
+    told = P.delta_summary(d, by).select(*by, F.col("mean").alias("mean_delta"), F.col("median").alias("median_delta"), F.col("low").alias("min_delta"), F.col("negative").alias("negative_count"))
+    both = R.joined(told, p, by)
+    names = [(m, x) for m in metrics for x in _STATS]
+    wide = both.groupBy("method").agg(*[F.max(F.when(F.col("metric_name") == m, F.col(x))).alias(f"{m}_{x}") for m, x in names])
+    return rounded(wide, *[f"{m}_{x}" for m, x in names])
+
+
 _SIGN = "c AS (SELECT method, grp, count(*) FILTER (delta > 1e-12) AS wins, count(*) FILTER (abs(delta) <= 1e-12) AS ties, count(*) FILTER (delta < -1e-12) AS losses FROM e GROUP BY ALL)"
 
 
