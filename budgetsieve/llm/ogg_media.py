@@ -139,13 +139,20 @@ def read_back(media: bytes) -> tuple[bytes, str]:
         raise BadMedia("no stream of samples")
     _, rate, _, _, total = struct.unpack("<8sIHHQ", sound[0][0])
     payload = b"".join([p for p, _ in sound[1:]])
+    if not rate or not payload:
+        raise BadMedia("no rate or no samples")
     stamps = [g / rate for _, g in sound[1:] if g is not None]
     if len(payload) != total or (sound[-1][1] or 0) != total:
         raise BadMedia("samples and granule positions differ")
     x = np.frombuffer(payload, np.uint8).astype(np.int16) - 128
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
     level = int(np.dot(x.astype(np.int64), x.astype(np.int64)))
-    about = next((p[0][0][8:].decode() for p in streams.values() if p and p[0][0][:8] == b"TEXT    "), "")
+    if not stamps:
+        raise BadMedia("no granule positions")
+    try:
+        about = next((p[0][0][8:].decode() for p in streams.values() if p and p[0][0][:8] == b"TEXT    "), "")
+    except UnicodeDecodeError as e:
+        raise BadMedia("a stream of text isn't UTF-8") from e
     return payload, f"seconds={total / rate:.6f};pages={len(stamps)};last_stamp={stamps[-1]:.6f};rms={(level / total) ** 0.5:.4f};crossings={crossings};peak={int(np.abs(x).max())};{about}"
 
 

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import struct
 import time
 import zlib
 
@@ -12,7 +13,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from budgetsieve.llm import conversation_repair, html_text, license_scan, periodic_runs, queries
+from budgetsieve.llm import conversation_repair, html_text, license_scan, ogg_media, periodic_runs, queries
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -287,3 +288,21 @@ def test_pages_in_linear_time():
     html_text.common_lines(["x"] * 30_000 + ["q"], ["y"] + ["x"] * 30_000)
     assert html_text.blocks_of("<script></script>x " * 60_000) == [("x", 0)] * 60_000
     assert time.time() - began < 10
+
+
+# media
+
+
+def test_hostile_media(spark):
+    """Well-formed pages with odd contents are errors of their file, not of the job."""
+    head = lambda rate, total: struct.pack("<8sIHHQ", b"PCM     ", rate, 8, 1, total)
+    of = lambda *packets, serial=7: b"".join(ogg_media.pages_of(list(packets), serial))
+    good = ogg_media.store("text")[0]
+    files = [
+        of((head(8000, 0), 0)), of((head(0, 4), 0), (b"abcd", 4)), of((head(8000, 0), 0), (b"", 0)), of((head(8000, 4), 0), (b"abcd", 3)), of((b"PCM     ", 0)),
+        of((head(8000, 4), 0), (b"abcd", 4)) + of((b"TEXT    \xff\xfe", 0), serial=8), good[:-1], b"", b"OggS", good,
+    ]
+    media = spark.createDataFrame([(i, 4, bytearray(m)) for i, m in enumerate(files)], "doc_id long, n_bytes long, media binary")
+    rows = {r["doc_id"]: r for r in ogg_media.media_features(media).collect()}
+    assert all(rows[i]["error"] and rows[i]["feature"] is None for i in range(len(files) - 1))
+    assert rows[len(files) - 1]["error"] is None and rows[len(files) - 1]["payload_bytes"] == 192
