@@ -8,8 +8,8 @@ Links are confirmed on the whole sets, in steps that together lose no link betwe
    signatures with; confirmed links give first components.
 2. What is left are pairs that share a bucket and lie in different components. A bucket is crowded where
    these are more than ``CROSS`` a member. Members of crowded buckets are compared with leaders drawn
-   anew from each of their buckets, which joins a group of near copies in a few rounds of as many pairs as
-   it has members.
+   anew from a few of their buckets (:func:`drawn_buckets`), which joins a group of near copies in a few
+   rounds of as many pairs as it has members.
 3. All cross pairs of buckets that aren't crowded are compared. Members of those that still are sign once
    more with finer parts, listed from the rarest (counted over these documents) to the most common, so
    that what a loose group has in common isn't what its members are compared by. Pairs whose profiles
@@ -36,7 +36,7 @@ from budgetsieve.llm.ngram_sets import PartEnum, jaccard_at_least, ngrams, word_
 
 #: Cross pairs a member up to which a bucket gives its pairs directly.
 CROSS = 3
-#: Rounds of drawn leaders, how many a bucket has in one, and how many a document is compared with.
+#: Rounds of drawn leaders, how many a bucket has in one, and in how many buckets and with how many a document is compared.
 ROUNDS, LEADERS, COMPARED = 2, 3, 8
 #: Ranges of hashes in a set's profile, as a power of two; counts fit a byte.
 PROFILE_BITS, MOST = 7, 127
@@ -182,12 +182,23 @@ def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return marked.join(kinds, "signature")
 
 
+def drawn_buckets(buckets: DataFrame, seed: int) -> DataFrame:
+    """Each member's COMPARED first buckets in one drawn order of all buckets.
+
+    Near copies share most of their buckets, so that they come first to the same ones; what isn't linked
+    in these stays in its other buckets and is compared there later.
+    """
+    first = Window.partitionBy("id").orderBy(F.xxhash64("signature", F.lit(seed)), "signature")
+    return buckets.select("signature", "id", "component").withColumn("place", F.row_number().over(first)).where(F.col("place") <= COMPARED).drop("place")
+
+
 def drawn_pairs(buckets: DataFrame, seed: int) -> DataFrame:
-    """Pairs (a, b) of a member and a leader of its buckets, in different components.
+    """Pairs (a, b) of a member and a leader of its drawn buckets, in different components.
 
     Leaders come first in one drawn order of all ids, so that a document meets some of them often; it is
     compared with those that it shares most signatures with.
     """
+    buckets = materialise(drawn_buckets(buckets, seed), "drawn-buckets")
     order = F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "component")
     # the first by aggregation, which keeps so many rows of a bucket in each task
     drawn = buckets.groupBy("signature").agg(*[F.min(F.when(F.pmod(F.xxhash64("id", F.lit(-1 - seed)), F.lit(LEADERS)) == k, order)).alias(f"l{k}") for k in range(LEADERS)])
