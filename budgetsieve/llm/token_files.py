@@ -23,6 +23,8 @@ from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,8 +85,10 @@ _BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b
 class WordTokens:
     """Ids of texts by a tokenizer that never joins across white space: each distinct word once.
 
+    Arrow splits a batch of texts and finds its distinct words, so that Python meets each of these once.
     A word gets the next row of a table of ids on first sight; a batch of texts is then an array of
-    rows, and its ids are gathered from the table at once.
+    rows, and its ids are gathered from the table at once. Words of letters with marks behind them are
+    two pieces, which share a table of their own.
     """
 
     def __init__(self, path: str, cache: int = CACHE_ENTRIES):
@@ -101,65 +105,71 @@ class WordTokens:
         self._forget()
 
     def _forget(self) -> None:
-        self.rows = _Rows()
-        self.pieces: dict[str, list[int]] = {"": []}
-        self.ids, self.first, self.size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        self.total = self.held = 0
+        self.rows, self.pieces = _Rows(), _Rows()
+        self.words, self.parts = _Table(), _Table()
+        self.held = 0
+
+    def _piece_rows(self, pieces: pa.Array) -> np.ndarray:
+        """Rows of pieces in their table; those not met before go to the model."""
+        coded = pieces.dictionary_encode()
+        known = len(self.pieces)
+        rows = np.fromiter(map(self.pieces.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
+        if len(self.pieces) > known:
+            model = self.tokenizer.model.tokenize
+            each = [[t.id for t in model(p)] if p else [] for p in islice(self.pieces, known, None)]
+            self.parts.add(*_joined(each))
+        return rows[coded.indices.to_numpy()]
 
     def _learn(self, words: list[str]) -> None:
-        """Appends the ids of words to the table: plain words straight from the model, others by the whole tokenizer."""
-        each: list[list[int]] = []
-        others, pieces, model = [], self.pieces, self.tokenizer.model.tokenize
-        normal, special = unicodedata.is_normalized, _SPECIAL_CASE.search
-        for word in words:
-            core = word.rstrip(_MARKS)
-            if not core.isalpha() or not self.plain or len(word) > LONGEST:
-                others.append(len(each))
-                each.append([])
-                continue
-            low = core.lower()
-            if not core.isascii():
-                if special(core) or not normal("NFC", core):
-                    others.append(len(each))
-                    each.append([])
-                    continue
-                low = low.encode().decode("latin-1").translate(_BYTE_CHARS)
-            ids = pieces.get(low)
-            if ids is None:
-                ids = pieces[low] = [t.id for t in model(low)]
-            if len(word) > len(core):
-                tail = word[len(core) :]
-                after = pieces.get(tail)
-                if after is None:
-                    after = pieces[tail] = [t.id for t in model(tail)]
-                ids = ids + after
-            each.append(ids)
-        for k, e in zip(others, self.tokenizer.encode_batch([words[k] for k in others], add_special_tokens=False)):
-            each[k] = e.ids
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        self.first.append(self.total + np.cumsum(size) - size)
-        self.size.append(size)
-        self.total += int(size.sum())
-        self.ids.append(np.fromiter(chain.from_iterable(each), np.uint32, int(size.sum())))
+        """Appends the ids of words to the table: plain words by their pieces, others by the whole tokenizer."""
+        column = pa.array(words, pa.large_string())
+        cores = pc.utf8_rtrim(column, characters=_MARKS)
+        short = pc.less_equal(pc.utf8_length(column), LONGEST)
+        plain = pc.and_(pc.ascii_is_alpha(cores), short).to_numpy(zero_copy_only=False) & self.plain
+        lower = pc.ascii_lower(cores)
+        accented, written = [], []  # words of letters that aren't all ASCII, and how the model writes them
+        if self.plain:
+            candidates = np.flatnonzero(pc.and_not(short, pc.string_is_ascii(cores)).to_numpy(zero_copy_only=False))
+            normal, special = unicodedata.is_normalized, _SPECIAL_CASE.search
+            for k, core in zip(candidates.tolist(), cores.take(pa.array(candidates)).to_numpy(zero_copy_only=False)):
+                if core.isalpha() and not special(core) and normal("NFC", core):
+                    accented.append(k)
+                    written.append(core.lower().encode().decode("latin-1").translate(_BYTE_CHARS))
+        by_model = np.concatenate((np.flatnonzero(plain), np.array(accented, np.int64)))
+        others = np.ones(len(words), bool)
+        others[by_model] = False
+        others = np.flatnonzero(others)
+        core_rows = self._piece_rows(pa.concat_arrays([lower.filter(pa.array(plain)), pa.array(written, pa.large_string())]))
+        bytes_of = pc.binary_length(column).to_numpy() - pc.binary_length(cores).to_numpy()
+        tailed = np.flatnonzero(bytes_of[by_model])
+        tails = [words[k][-n:] for k, n in zip(by_model[tailed].tolist(), bytes_of[by_model[tailed]].tolist())]  # marks are ASCII
+        tail_rows = np.full(len(by_model), self._piece_rows(pa.array([""], pa.large_string()))[0])
+        tail_rows[tailed] = self._piece_rows(pa.array(tails, pa.large_string()))
+        ids, size = self.parts.gather(np.stack((core_rows, tail_rows), axis=1).reshape(-1))
+        found = self.tokenizer.encode_batch([words[k] for k in others.tolist()], add_special_tokens=False)
+        other_ids, other_size = _joined([e.ids for e in found])
+        # the table has the words in their order, its ids lie in the order of by_model and others
+        sizes = np.concatenate((size.reshape(-1, 2).sum(axis=1), other_size))
+        first = np.cumsum(sizes) - sizes
+        place = np.empty(len(words), np.int64)
+        place[np.concatenate((by_model, others))] = np.arange(len(words))
+        self.words.add(np.concatenate((ids, other_ids)), sizes[place], first[place])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts together, and how many each has."""
         if len(self.rows) > self.cache or self.held > CACHE_BYTES:
             self._forget()
         known = len(self.rows)
-        rows = self.rows
-        each = [np.fromiter(map(rows.__getitem__, t.replace("\n", " ").split(" ")), np.int64) for t in texts]
-        if len(rows) > known:
-            new = list(islice(rows, known, None))
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        rows = np.fromiter(map(self.rows.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
+        if len(self.rows) > known:
+            new = list(islice(self.rows, known, None))
             self.held += sum(map(len, new))
             self._learn(new)
-            self.ids, self.first, self.size = [np.concatenate(self.ids)], [np.concatenate(self.first)], [np.concatenate(self.size)]
-        at = np.concatenate(each)
-        size = self.size[0][at]
-        ends = np.cumsum(size)
-        ids = self.ids[0][np.repeat(self.first[0][at] - (ends - size), size) + np.arange(int(ends[-1]))]
-        bounds = np.concatenate(([0], np.cumsum([len(e) for e in each])))
-        return ids, np.diff(np.concatenate(([0], ends))[bounds])
+        ids, size = self.words.gather(rows[coded.indices.to_numpy()])
+        ends = np.concatenate(([0], np.cumsum(size)))
+        return ids, np.diff(ends[np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))])
 
 
 class _Rows(dict):
@@ -170,6 +180,31 @@ class _Rows(dict):
         return row
 
 
+class _Table:
+    """Rows of ids, one behind the other."""
+
+    def __init__(self):
+        self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, size: np.ndarray, first: np.ndarray | None = None) -> None:
+        """Appends rows of these sizes, which begin at first in ids, or one behind the other."""
+        first = np.cumsum(size) - size if first is None else first
+        self.first = np.concatenate((self.first, len(self.ids) + first))
+        self.size = np.concatenate((self.size, size))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows together, and how many each has."""
+        size = self.size[rows]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.first[rows] - (ends - size), size) + np.arange(int(size.sum()))], size
+
+
+def _joined(each: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, each), np.int64, len(each))
+    return np.fromiter(chain.from_iterable(each), np.uint32, int(size.sum())), size
+
+
 _tokens: dict[str, WordTokens] = {}
 
 

@@ -163,6 +163,28 @@ def test_words_of_all_kinds():
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts[i : i + 40]]
 
 
+def test_words_meet_python_once_a_batch():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    class Counted(token_files._Rows):
+        looked = 0
+
+        def __getitem__(self, word):
+            Counted.looked += 1
+            return super().__getitem__(word)
+
+    path = P.path("word_bpe_49k.json")
+    own, t = token_files.WordTokens(path), Tokenizer.from_file(path)
+    own.rows = Counted()
+    texts = ["Der Été, the end.\nthe Été 7's " * 500] * 4 + [""]
+    for _ in range(2):
+        Counted.looked = 0
+        ids, counts = own.encode(texts)
+        assert Counted.looked == 7  # the distinct words (the empty one among them), not 14,000
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_control_bytes():
     codes = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], np.uint32)
     control, data = token_files.pack(codes)
