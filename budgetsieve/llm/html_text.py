@@ -1,17 +1,21 @@
 """HTML extraction with nearest-URL page differencing.
 
-A page is cut into text blocks with its markup's own statements about them: what stands in menus,
-headers, footers, asides, forms, scripts, adverts, notices or comments (by element, role, class or
-id) goes at once. Every other page is then paired with its nearest page by URL that has other lines:
-within a host, pages in order of path, the neighbour with the longer common path; copies are
-passed over. The two pages' text lines are aligned by a longest common subsequence and shared lines
-are deleted.
-
-A declared ``main`` or ``article`` settles the matter for its page: the blocks of both stay,
-whatever they share with a neighbour, since copies and quoted passages are text of the article;
-blocks outside go. Differencing decides pages without such an element. Where one of these shares
-more than half of its characters, the two may be near copies or short pages in a long template:
-then those shared lines go that more than half of the host's different pages hold.
+A page is cut into text lines, one a block, with its markup's statements about each: whether it stands in a
+menu, header, footer, aside, form, script, advert, notice or comment (by element, role, class or id), and
+whether in a declared ``main`` or ``article``. Every page is then paired with its nearest page by URL that has
+other text: within a host, pages in order of path, the neighbour with the longer common path; copies are
+passed over. All lines of the two, those in menus and footers too, are aligned by a longest common subsequence,
+and the shared ones are up for deletion.
+
+What the markup says is evidence beside that. Lines in menus and the like go, shared or not. A page that
+declares an article has its text there, and lines outside go; shared lines inside may be copied or quoted, and
+copies and quoted passages are text of the article. So these go only as the host's notices: where more than half
+of its different pages, of at least ARTICLE_PAGES, hold the line. If more than half of the article's
+characters were such lines, its pages would be near copies, and all stay.
+
+Of a page without a declared article all shared lines go, but for those that the neighbour declares to be its
+article. Where the page shares more than half of its characters, the two may be near copies or short pages in a
+long template: then those shared lines go that more than half of the host's different pages hold.
 
 Null html or no text gives an empty string. Pages without a URL share one host. Repeated rows get
 equal results where their neighbours do; ties in URL are broken by page_id. Empty tables give
@@ -26,8 +30,10 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from budgetsieve.llm.common import materialise, prepare
@@ -100,19 +106,21 @@ class Tags:
         return None if start < 0 else (start, len(page), False, "", "")
 
 
-def blocks_of(page: str) -> list[tuple[str, int]]:
-    """The page's text blocks, with 2 inside an article, 1 inside main, else 0."""
+def blocks_of(page: str, marked: bool = False) -> list[tuple[str, int]]:
+    """The page's text blocks, with 2 inside an article, 1 inside main, else 0; marked: those in menus and the like, with -1."""
     out: list[tuple[str, int]] = []
     pieces: list[str] = []
+    lost: list[str] = []  # pieces in menus and the like
     stack: list[tuple[str, bool, int]] = []  # element, whether its text goes, where it stands
     gone, place = False, 0
 
     def flush() -> None:
-        if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
-            if text:
-                out.append((text, place))
-            pieces.clear()
+        for found, where in ((pieces, place), (lost, -1)):
+            if found:
+                text = " ".join(html.unescape("".join(found)).split())
+                if text:
+                    out.append((text, where))
+                found.clear()
 
     at, n, tags = 0, len(page), Tags(page)
     opened: Counter[str] = Counter()  # open elements by name
@@ -130,12 +138,12 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
     while at < n:
         tag = tags.next(at)
         if tag is None:
-            if not gone:
-                pieces.append(page[at:])
+            if not gone or marked:
+                (lost if gone else pieces).append(page[at:])
             break
         start, end, closing, name, rest = tag
-        if start > at and not gone:
-            pieces.append(page[at:start])
+        if start > at and (not gone or marked):
+            (lost if gone else pieces).append(page[at:start])
         at = end
         if not name:
             continue
@@ -184,9 +192,9 @@ def _dropped(name: str) -> bool:
 ALIGNED_BITS = 1 << 29
 
 
-def _rows(a: list[str], b: list[str]) -> Iterator[int]:
+def _rows(a: list, b: list) -> Iterator[int]:
     """After each line of a, a number whose bit j is 0 where the longest common subsequence grows with line j of b."""
-    at: dict[str, int] = defaultdict(int)
+    at: dict = defaultdict(int)
     for j, line in enumerate(b):
         at[line] |= 1 << j
     full = (1 << len(b)) - 1
@@ -197,7 +205,7 @@ def _rows(a: list[str], b: list[str]) -> Iterator[int]:
         yield row
 
 
-def _lengths(a: list[str], b: list[str]) -> list[int]:
+def _lengths(a: list, b: list) -> list[int]:
     """Length of the longest common subsequence of a and each beginning of b."""
     row = (1 << len(b)) - 1
     for row in _rows(a, b):  # noqa: B007
@@ -205,7 +213,7 @@ def _lengths(a: list[str], b: list[str]) -> list[int]:
     return list(accumulate((1 - int(x) for x in reversed(bin(row)[2:].zfill(len(b)))), initial=0)) if b else [0]
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
+def common_lines(a: list, b: list) -> set[int]:
     """Positions in a of a longest common subsequence with b: whole rows are bits of a number.
 
     Lines that both begin or end with are common; the rest takes as many steps as it has lines, on numbers of as
@@ -252,32 +260,55 @@ def common_prefix(a: str, b: str | None) -> int:
     return n
 
 
-def difference(path: str, lines: list[str], before: tuple | None, after: tuple | None, template: frozenset[str] = frozenset()) -> list[str]:
-    """The lines that the nearer neighbour (path, lines) doesn't share; if most are shared, those of the template go."""
+#: A host needs so many different pages before a line inside a declared article may be one of its notices.
+ARTICLE_PAGES = 8
+#: The last two bits of a line's key: in a menu or the like, outside and inside a declared article. Without the
+#: last bit keys are compared, so that an advert is never aligned with a line of text.
+MARKED, OUTSIDE, INSIDE = 0, 2, 3
+
+
+def difference(path: str, keys: list[int], sizes: list[int], before: tuple | None, after: tuple | None, template: frozenset[int] = frozenset(), pages: int = 0) -> list[int]:
+    """Places, among the lines that the markup lets stay (of these sizes), of those that the alignment deletes.
+
+    The neighbours are (path, keys); template has the lines that more than half of the host's different pages hold.
+    """
     near = max((x for x in (before, after) if x), key=lambda x: common_prefix(path, x[0]), default=None)
     if near is None:
-        return lines
-    shared = common_lines(lines, near[1])
-    if 2 * sum(len(lines[k]) for k in shared) > sum(map(len, lines)):
-        shared = {k for k in shared if lines[k] in template}
-    return [x for k, x in enumerate(lines) if k not in shared]
+        return []
+    declared = any(k & 3 == INSIDE for k in keys)
+    lines = [k >> 1 for k in keys]
+    staying = [k for k, key in enumerate(keys) if key & 3 == (INSIDE if declared else OUTSIDE)]
+    shared = common_lines(lines, [k >> 1 for k in near[1] if declared or k & 3 != INSIDE])
+    found = [j for j, k in enumerate(staying) if k in shared]
+    if declared and pages < ARTICLE_PAGES:
+        return []
+    if declared or 2 * sum(sizes[j] for j in found) > sum(sizes):
+        found = [j for j in found if lines[staying[j]] in template]
+    return [] if declared and 2 * sum(sizes[j] for j in found) > sum(sizes) else found
 
 
-CUT = "page_id long, url string, host string, path string, article string, lines array<string>"
+CUT = "row long, page_id long, url string, host string, path string, keys array<long>, lines array<string>, sizes array<int>"
 
 
 def cut_pages(pages: DataFrame) -> DataFrame:
-    """Of each page the article's text if one is declared, else null, and the other lines. No shuffle."""
+    """Of each page the keys of all lines, and the lines that the markup lets stay. No shuffle.
+
+    Rows are numbered.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            articles, rest = [], []
-            for page in batch["html"]:
-                found = blocks_of(page)
-                best = max((p for _, p in found), default=0)
-                articles.append("\n".join(t for t, p in found if p) if best else None)
-                rest.append([t for t, p in found if not p])
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "host": batch["host"], "path": batch["path"], "article": articles, "lines": rest})
+            cut = [blocks_of(page, marked=True) for page in batch["html"]]
+            hashed = pd.util.hash_array(np.array([t for found in cut for t, _ in found], object), categorize=False) if any(cut) else np.zeros(0, np.uint64)
+            hashes = iter((hashed.view(np.int64) & ~3).tolist())
+            keys, lines = [], []
+            for found in cut:
+                declared = any(p > 0 for _, p in found)
+                keys.append([next(hashes) + (MARKED if p < 0 else INSIDE if p else OUTSIDE) for _, p in found])
+                lines.append([t for t, p in found if p >= 0 and (p > 0) == declared])
+            yield pd.DataFrame({"row": range(row, row + len(batch)), **{c: batch[c] for c in ("page_id", "url", "host", "path")}, "keys": keys, "lines": lines, "sizes": [list(map(len, x)) for x in lines]})
+            row += len(batch)
 
     address = F.coalesce(F.col("url"), F.lit(""))
     pattern = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^#]*)"
@@ -285,35 +316,39 @@ def cut_pages(pages: DataFrame) -> DataFrame:
     return picked.mapInPandas(run, CUT)
 
 
+def unmarked() -> Column:
+    """The keys of lines that aren't in menus and the like, wherever they stand."""
+    return F.transform(F.filter("keys", lambda k: k.bitwiseAND(F.lit(3)) != MARKED), lambda k: F.shiftright(k, 1))
+
+
 def templates(rest: DataFrame) -> DataFrame:
-    """Of each host with an undecided page the lines that more than half of its different pages hold.
+    """Of each host its number of different pages, and the lines that more than half of them hold.
 
     There are fewer of these than twice the lines of a mean page.
     """
-    undecided = rest.where("undecided").select("host").distinct()
-    different = rest.join(undecided, "host", "left_semi").groupBy("host", "me.sum").agg(F.first("lines").alias("lines")).where(F.size("lines") > 0)
+    different = rest.groupBy("host", "sum").agg(F.first(unmarked()).alias("keys")).where(F.size("keys") > 0)
     sizes = different.groupBy("host").agg(F.count("*").alias("n")).where("n >= 2")
-    lines = different.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("k"))
-    return lines.join(sizes, "host").where("2 * k > n").groupBy("host").agg(F.collect_list("line").alias("template"))
+    lines = different.select("host", F.explode(F.array_distinct("keys")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("k")).where("k >= 2")
+    return lines.join(sizes, "host").where("2 * k > n").groupBy("host").agg(F.collect_list("line").alias("template"), F.first("n").alias("pages"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    Pages with a declared article are done where they are read and cut. For the others all pages' remaining
-    lines (not their articles) are range-partitioned by URL, so that one host may fill many tasks; the
-    few rows at the parts' edges (two a part) find their neighbours in a small join.
+    Keys of all pages' lines (not their texts) are range-partitioned by URL, so that one host may fill many
+    tasks; the few rows at the parts' edges (two a part) find their neighbours in a small join. What the
+    alignments delete comes back to the texts by the rows' numbers.
     """
     spark = pages.sparkSession
     prepare(spark)
     cut = materialise(cut_pages(pages), "cut-pages")  # pages are cut once
     order = ["host", "path", "page_id"]
-    rest = cut.select("page_id", "url", "host", "path", "lines", F.col("article").isNull().alias("undecided"))
+    rest = cut.select("row", "page_id", "host", "path", "keys", "sizes", F.xxhash64("host", unmarked()).alias("sum"))
     rest = rest.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     rest = materialise(rest.withColumns({"part": F.spark_partition_id(), "pos": F.monotonically_increasing_id()}), "page-lines")
+    held = materialise(templates(rest), "templates")
     # rows of one sum are copies: a row's neighbours are the nearest rows of another sum
-    me = F.struct("host", "path", "lines", F.xxhash64("host", "lines").alias("sum"))
-    rest = rest.withColumn("me", me)
+    rest = rest.withColumn("me", F.struct("host", "path", "keys", "sum"))
     on, back = Window.partitionBy("part").orderBy("pos"), Window.partitionBy("part").orderBy(F.desc("pos"))
     found_in = lambda w: F.last("turn", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     turned = lambda df, w, name: df.withColumn("turn", F.when(F.lag("me").over(w)["sum"] != F.col("me")["sum"], F.lag("me").over(w))).withColumn(name, found_in(w)).drop("turn")
@@ -330,17 +365,21 @@ def extract(pages: DataFrame) -> DataFrame:
 
     edges = carried(carried(edges, by_part, "last", "before_last"), by_part_back, "first", "after_first")
     edges = edges.select("part", "last_outer", "last_beyond", "first_outer", "first_beyond")
-    near = near.where("undecided").join(edges, "part", "left")
+    near = near.join(edges, "part", "left")
     outside = lambda end: F.when(F.col(f"{end}_outer")["sum"] != F.col("me")["sum"], F.col(f"{end}_outer")).otherwise(F.col(f"{end}_beyond"))
     near = near.withColumns({"before": F.coalesce("before", outside("last")), "after": F.coalesce("after", outside("first"))})
     same = lambda c: F.when(F.col(c)["host"] == F.col("host"), F.col(c))
-    near = near.select("page_id", "url", "host", "path", "lines", same("before").alias("before"), same("after").alias("after"))
-    near = near.join(templates(rest), "host", "left").withColumn("template", F.coalesce("template", F.array().cast("array<string>")))
-
-    @F.pandas_udf("string")
-    def told_apart(paths: pd.Series, lines: pd.Series, p1: pd.Series, l1: pd.Series, p2: pd.Series, l2: pd.Series, held: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(difference(p, list(x), (a, list(b)) if a is not None else None, (c, list(d)) if c is not None else None, frozenset(t))) for p, x, a, b, c, d, t in zip(paths, lines, p1, l1, p2, l2, held)], dtype=object)
-
-    text = told_apart("path", "lines", F.col("before")["path"], F.col("before")["lines"], F.col("after")["path"], F.col("after")["lines"], "template")
-    found = near.select("page_id", "url", text.alias("text")).unionByName(cut.where(F.col("article").isNotNull()).select("page_id", "url", F.col("article").alias("text")))
-    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+    near = near.select("row", "host", "path", "keys", "sizes", same("before").alias("before"), same("after").alias("after"))
+    near = near.join(held, "host", "left").withColumns({"template": F.coalesce("template", F.array().cast("array<long>")), "pages": F.coalesce("pages", F.lit(0))})
+
+    @F.pandas_udf("array<int>")
+    def deleted(paths: pd.Series, keys: pd.Series, sizes: pd.Series, p1: pd.Series, k1: pd.Series, p2: pd.Series, k2: pd.Series, held: pd.Series, pages: pd.Series) -> pd.Series:
+        beside = lambda path, keys: (path, keys.tolist()) if path is not None else None
+        return pd.Series([difference(p, k.tolist(), s.tolist(), beside(a, x), beside(b, y), frozenset(t.tolist()), n) for p, k, s, a, x, b, y, t, n in zip(paths, keys, sizes, p1, k1, p2, k2, held, pages)], dtype=object)
+
+    # not deterministic, so that the filter below doesn't align its pages once more
+    found = near.select("row", deleted.asNondeterministic()("path", "keys", "sizes", F.col("before")["path"], F.col("before")["keys"], F.col("after")["path"], F.col("after")["keys"], "template", "pages").alias("deleted"))
+    found = materialise(found.where(F.size("deleted") > 0), "deleted-lines")
+    kept = F.when(F.col("deleted").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, k: ~F.array_contains("deleted", k)))
+    out = cut.select("row", "page_id", "url", "lines").join(found, "row", "left").select("page_id", "url", F.array_join(kept, "\n").alias("text"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))

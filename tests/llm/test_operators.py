@@ -529,6 +529,31 @@ def test_html_templates_and_copies(spark, parts):
     }
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_html_articles_are_differenced(spark, parts):
+    notice, quoted = "<p>Read more of our stories in the app</p>", "<p>A passage that neighbours quote</p>"
+    article = lambda k, more="": PAGE.format(f"<article><h1>Title {k}</h1><p>Own text of page number {k}, longer than the notice</p>{more}{notice}</article><div>Outside</div>")
+    rows = [(k, f"http://a.org/{k}", article(k, quoted * (k in (12, 13)))) for k in range(10, 18)]
+    rows += [(20 + k, "http://a.org/17", article(17)) for k in range(5)]  # copies of the last
+    rows += [(k, f"http://b.org/{k}", article(k)) for k in range(30, 37)]  # too few pages to tell
+    rows += [(k, f"http://c.org/{k}", PAGE.format(f"<article><p>One text, with changes in its last words</p><p>{k}</p></article>")) for k in range(40, 50)]  # near copies
+    rows += [(50, "http://d.org/a", PAGE.format("<article><p>A story</p></article>")), (51, "http://d.org/b", PAGE.format("<p>A story</p><p>More of it than the story itself</p>"))]
+    rows += [(60, "http://e.org/a", "<div class=ad>Buy it</div><p>A review</p>"), (61, "http://e.org/b", "<p>Buy it</p><p>is what they told us</p>")]  # text like an advert
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    own = lambda k: f"Title {k}\nOwn text of page number {k}, longer than the notice"
+    assert got == {
+        **{k: own(k) + f"\n{quoted[3:-4]}" * (k in (12, 13)) for k in range(10, 18)}, **{20 + k: own(17) for k in range(5)},
+        **{k: f"{own(k)}\n{notice[3:-4]}" for k in range(30, 37)}, **{k: f"One text, with changes in its last words\n{k}" for k in range(40, 50)},
+        50: "A story", 51: "A story\nMore of it than the story itself",
+        60: "A review", 61: "Buy it\nis what they told us",
+    }
+
+
 def test_html_of_any_kind_in_linear_time():
     bad = ["<b x " * 200_000, "<b x " * 200_000 + '"', "<div>" * 150_000 + "</x>" * 150_000, "<p><div>" + "<b>" * 80_000 + "<div></div>" * 80_000, "</script " * 90_000 + "<script>" + "</script " * 90_000, "<a \"' " * 100_000]
     for page in bad:
@@ -537,6 +562,7 @@ def test_html_of_any_kind_in_linear_time():
         assert time.process_time() - began < 5
     assert html_text.blocks_of('<a title="x > y">one</a> < two <b class=\'q">\'>three</b>') == [("one < two three", 0)]
     assert html_text.blocks_of('<div class="layout no-sidebar"><p>Text</p></div><div class="left-sidebar">gone</div>') == [("Text", 0)]
+    assert html_text.blocks_of("<nav>x<p>menu</nav>a<b class=ad>buy</b> b<p>c", marked=True) == [("x", -1), ("menu", -1), ("a b", 0), ("buy", -1), ("c", 0)]
     assert html_text.blocks_of("a<!-- gone <p>b") == [("a", 0)] and html_text.blocks_of("a <p title='b") == [("a <p title='b", 0)]
 
 
