@@ -19,6 +19,12 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
+def quotient(a: Column | str, b: Column | str) -> Column:
+    """a / b of doubles as IEEE 754 has it: infinite or NaN over zero, with the zero's sign, where Spark has an error or null."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
+
+
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 

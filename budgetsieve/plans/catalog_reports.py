@@ -34,7 +34,7 @@ def _(s):
 def _(s):
     base = F.max(F.when(F.col("method") == "error", F.col("metric"))).over(Window.partitionBy("target", "seed"))
     d = s.r.withColumn("base", base)
-    return rounded(d.select("target", "seed", "method", (F.col("metric") - F.col("base")).alias("delta"), (F.col("metric") / F.col("base")).alias("ratio")), "delta", "ratio")
+    return rounded(d.select("target", "seed", "method", (F.col("metric") - F.col("base")).alias("delta"), E.quotient("metric", "base").alias("ratio")), "delta", "ratio")
 
 
 @query("validated_join", "r", f"WITH {_PAIR} SELECT target, seed, round(a.n, 6) AS n_a, round(b.n, 6) AS n_b FROM a JOIN b USING (target, seed)")
