@@ -14,7 +14,9 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from budgetsieve.operators.ranking import joined
@@ -23,9 +25,9 @@ from budgetsieve.sources.workers import ship
 
 #: Labelled rows of a node that are split in one task; trees that a task grows together.
 IN_TASK, BUNDLE = 20_000, 8
-#: Bytes of trees that are sent to all tasks at a time; more targets take further passes over their own rows.
-MODEL_BYTES = 64 << 20
-#: Nodes from this depth on are leaves, so that their numbers fit.
+#: Bytes of trees that are sent to all tasks at a time, and of a node; more targets, or trees, take further passes.
+MODEL_BYTES, NODE_BYTES = 64 << 20, 28
+#: Depth down to which a node's children are 2 * node and 2 * node + 1; below it they are numbered by digests.
 DEEPEST = 58
 TREE = ["tree", "node"]
 SCHEMA = "tree int, node long, feature int, cut double, left long, right long, p double"
@@ -53,6 +55,22 @@ def _draws(seed: int, tree: int, node: int, dims: int) -> tuple[np.ndarray, np.n
     return np.lexsort((np.arange(dims), place.view(np.int64))), unit
 
 
+def _children(node: int) -> tuple[int, int]:
+    """The numbers of a node's children; those of deep nodes are digests from 1 << 62 on, of which 2 ** 62 differ."""
+    if node < 1 << DEEPEST:
+        return 2 * node, 2 * node + 1
+    h = _mix(np.array([node], np.uint64), np.full(1, 42, np.uint64))
+    left, right = (int(_mix(np.array([side], np.uint64), h)[0] >> np.uint64(2)) + (1 << 62) for side in (0, 1))
+    return left, right
+
+
+def _child(side: Column) -> Column:
+    """The number of a node's child, 0 on the left and 1 on the right, as _children has it."""
+    node, side = F.col("node"), side.cast("long")
+    deep = F.shiftrightunsigned(F.xxhash64(node, side), 2) + F.lit(1 << 62)
+    return F.when(node < 1 << DEEPEST, F.shiftleft(node, 1) + side).otherwise(deep)
+
+
 def _purity(w1, w0):
     return (w1 * w1 + w0 * w0) / (w1 + w0)
 
@@ -67,7 +85,7 @@ def grow_in_task(x: np.ndarray, y: np.ndarray, weights: tuple[float, float], tre
         own, n, n1 = x[rows], len(rows), int(y[rows].sum())
         p = c1 * n1 / (c1 * n1 + c0 * (n - n1))
         best = None
-        if 0 < n1 < n and node < 1 << DEEPEST:
+        if 0 < n1 < n:
             low, high = own.min(0), own.max(0)
             order, unit = _draws(seed, tree, node, x.shape[1])
             features = order[(high > low)[order]][:wanted]
@@ -83,8 +101,9 @@ def grow_in_task(x: np.ndarray, y: np.ndarray, weights: tuple[float, float], tre
         if best is None:
             yield tree, node, None, None, None, None, p
             continue
-        yield tree, node, int(features[best]), float(cuts[best]), 2 * node, 2 * node + 1, p
-        todo += [(2 * node, rows[left[:, best]]), (2 * node + 1, rows[~left[:, best]])]
+        at = _children(node)
+        yield tree, node, int(features[best]), float(cuts[best]), *at, p
+        todo += [(at[0], rows[left[:, best]]), (at[1], rows[~left[:, best]])]
 
 
 def _balanced(labeled: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -103,7 +122,9 @@ def _finish(rows: DataFrame, by: Sequence[str], keys: Sequence[str], seed: int)
         pdf = pdf.sort_values("item_id", kind="stable")
         x, y = np.array(pdf["x"].tolist(), np.float64), pdf["label"].to_numpy(np.int64)
         out = [r for t in sorted(pdf["trees"].iloc[0]) for r in grow_in_task(x, y, (pdf["c0"].iloc[0], pdf["c1"].iloc[0]), int(t), int(pdf["node"].iloc[0]), seed)]
-        made = pd.DataFrame(out, columns=["tree", "node", "feature", "cut", "left", "right", "p"]).astype({"feature": "Int32", "left": "Int64", "right": "Int64"})
+        made = dict(zip(["tree", "node", "feature", "cut", "left", "right", "p"], zip(*out)))
+        exact = {"feature": "Int32", "left": "Int64", "right": "Int64"}  # a double doesn't hold the numbers of deep nodes
+        made = pd.DataFrame({c: pd.array(v, exact[c]) if c in exact else v for c, v in made.items()})
         for k in reversed(keys):
             made.insert(0, k, pdf[k].iloc[0])
         return made
@@ -134,9 +155,9 @@ def _level(rows: DataFrame, keys: Sequence[str], dims: int, seed: int) -> tuple[
     best = written(best.select(*at, "b.feature", "b.cut"), "splits")
     p = c1 * n1 / (c1 * n1 + c0 * (n - n1))
     split = F.col("feature").isNotNull()
-    told = joined(nodes.select(*at, p.alias("p")), best, at).select(*at, "feature", "cut", F.when(split, 2 * F.col("node")).alias("left"), F.when(split, 2 * F.col("node") + 1).alias("right"), "p")
+    told = joined(nodes.select(*at, p.alias("p")), best, at).select(*at, "feature", "cut", F.when(split, _child(F.lit(0))).alias("left"), F.when(split, _child(F.lit(1))).alias("right"), "p")
     down = joined(rows, best, at, "inner")
-    down = down.withColumn("node", 2 * F.col("node") + (F.get("x", F.col("feature")) > F.col("cut")).cast("long")).drop("feature", "cut")
+    down = down.withColumn("node", _child(F.get("x", F.col("feature")) > F.col("cut"))).drop("feature", "cut")
     return told, down
 
 
@@ -161,7 +182,7 @@ def extra_trees(labeled: DataFrame, trees: int = 80, seed: int = 0, keys: Sequen
     while True:
         waiting = written(waiting, "nodes")
         sizes = waiting.groupBy(*at).agg(F.count("*").alias("__n"), F.sum("label").alias("__n1"))
-        large = written(sizes.where((F.col("__n") > in_task) & (F.col("__n1") > 0) & (F.col("__n1") < F.col("__n")) & (F.col("node") < 1 << DEEPEST)).select(*at, F.lit(True).alias("__large")), "large")
+        large = written(sizes.where((F.col("__n") > in_task) & (F.col("__n1") > 0) & (F.col("__n1") < F.col("__n"))).select(*at, F.lit(True).alias("__large")), "large")
         marked = joined(waiting, large, at)
         ready.append(marked.where("__large IS NULL").drop("__large"))
         if large.isEmpty():
@@ -197,16 +218,20 @@ def forest(labeled: DataFrame, trees: int = 80, seed: int = 0, depth: int = 12)
 class Packed:
     """Trees of one key in arrays: all nodes in a row, and where each tree starts."""
 
-    def __init__(self, pdf: pd.DataFrame):
-        pdf = pdf.sort_values(["tree", "node"], kind="stable").reset_index(drop=True)
-        tree, node = pdf["tree"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64)
-        at = {tn: i for i, tn in enumerate(zip(tree.tolist(), node.tolist()))}
-        leaf = pdf["feature"].isna().to_numpy()
-        self.feature = np.where(leaf, -1, pdf["feature"].fillna(0).to_numpy(np.int64)).astype(np.int32)
-        self.cut, self.p = pdf["cut"].fillna(0.0).to_numpy(np.float64), pdf["p"].to_numpy(np.float64)
-        child = lambda c: np.array([-1 if x is pd.NA or x != x else at[t, int(x)] for t, x in zip(tree.tolist(), pdf[c].tolist())], np.int32)
-        self.left, self.right = child("left"), child("right")
+    def __init__(self, table: pa.Table):
+        table = table.sort_by([("tree", "ascending"), ("node", "ascending")])
+        column = lambda c, none, kind: table[c].fill_null(none).to_numpy().astype(kind, copy=False)
+        tree, node = column("tree", -1, np.int64), column("node", -1, np.int64)
+        if ((tree[1:] == tree[:-1]) & (node[1:] == node[:-1])).any():
+            raise ValueError("two nodes of a tree have one number")
+        self.feature = column("feature", -1, np.int32)
+        self.cut, self.p = column("cut", 0.0, np.float64), column("p", 0.0, np.float64)
         self.root = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]]).astype(np.int32)
+        self.left, self.right = (np.full(len(node), -1, np.int32) for _ in range(2))
+        for side, child in ((self.left, column("left", -1, np.int64)), (self.right, column("right", -1, np.int64))):
+            for first, end in zip(self.root, [*self.root[1:], len(node)]):
+                inner = first + np.flatnonzero(self.feature[first:end] >= 0)
+                side[inner] = first + np.searchsorted(node[first:end], child[inner])
 
     def votes(self, x: np.ndarray) -> np.ndarray:
         """p of each row (down) in each tree (across)."""
@@ -219,43 +244,70 @@ class Packed:
 
 
 def score_trees(pool: DataFrame, trees: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds the mean (mu) and population variance (u_epi) of the trees' votes; rows aren't shuffled.
+    """Adds the mean (mu) and population variance (u_epi) of the trees' votes.
 
     Trees have at most two nodes a labelled row. They are sent to all tasks where those of a key or more fit
-    in ``MODEL_BYTES``; other keys take passes of their own. Rows of a key without trees are left out.
+    in ``MODEL_BYTES``; other keys take passes of their own, and no row is shuffled. The trees of a key that
+    doesn't fit are sent in several passes, of which counts and sums of votes are added up by row. Rows of a key
+    without trees are left out.
     """
     spark = pool.sparkSession
     ship(spark)
     trees = written(trees, "trees")
     key = F.to_json(F.struct(*keys)) if keys else F.lit("")
-    sizes = trees.groupBy(key.alias("key")).agg((F.count("*") * 28).alias("bytes")).orderBy("key").collect()  # one row a key
-    groups: list[list[str]] = []
-    room = 0
+    sizes = trees.groupBy(key.alias("key"), "tree").agg((F.count("*") * NODE_BYTES).alias("bytes")).orderBy("key", "tree").collect()  # one row a tree
+    whole: dict[str, int] = {}
     for r in sizes:
-        if not groups or r["bytes"] > room:
-            groups.append([])
+        whole[r["key"]] = whole.get(r["key"], 0) + r["bytes"]
+    groups, pieces = _filled([(k, n) for k, n in whole.items() if n <= MODEL_BYTES]), {}
+    for k in (k for k, n in whole.items() if n > MODEL_BYTES):
+        pieces[k] = _filled([(r["tree"], r["bytes"]) for r in sizes if r["key"] == k])
+
+    def sent(rows: DataFrame):
+        held = rows.withColumn("__key", key).drop(*keys).toArrow()
+        return _voting(spark.sparkContext.broadcast({k: Packed(held.filter(pc.equal(held["__key"], k))) for k in held["__key"].unique().to_pylist()}))
+
+    parts = []
+    for wanted in groups:
+        scored = pool.where(key.isin(wanted)).withColumn("__v", sent(trees.where(key.isin(wanted)))(key, "x"))
+        parts.append(scored.withColumns({"mu": F.col("__v.mean"), "u_epi": F.col("__v.spread")}).drop("__v"))
+    for k, bundles in pieces.items():
+        own, on = pool.where(key == k), [*keys, "item_id"]
+        votes = [own.select(*on, F.lit(i).alias("nth"), sent(trees.where((key == k) & F.col("tree").isin(bundle)))(key, "x").alias("v")).select(*on, F.struct("nth", "v.*").alias("v")) for i, bundle in enumerate(bundles)]
+        each = reduce(DataFrame.unionByName, votes).groupBy(*on).agg(F.array_sort(F.collect_list("v")).alias("v"))  # in order, so that sums are the same each time
+        total = lambda f: F.aggregate("v", F.lit(0.0), lambda sum_, v: sum_ + v["n"] * f(v))
+        n, mu = total(lambda v: F.lit(1.0)), total(lambda v: v["mean"])
+        sums = each.withColumn("mu", mu / n)
+        spread = total(lambda v: v["spread"] + (v["mean"] - F.col("mu")) * (v["mean"] - F.col("mu"))) / n
+        sums = sums.withColumn("u_epi", spread)
+        parts.append(joined(own, sums.select(*on, "mu", "u_epi"), on, "inner"))
+    if not parts:
+        return pool.where("false").withColumns({"mu": F.lit(0.0), "u_epi": F.lit(0.0)})
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _filled(sized: Sequence[tuple]) -> list[list]:
+    """Things in order, in groups of ``MODEL_BYTES`` at most where each of them has no more."""
+    out: list[list] = []
+    room = 0
+    for thing, n in sized:
+        if not out or n > room:
+            out.append([])
             room = MODEL_BYTES
-        groups[-1].append(r["key"])
-        room -= r["bytes"]
-    out = None
-    for wanted in groups or [[]]:
-        held = trees.where(key.isin(wanted)).withColumn("__key", key).drop(*keys).toPandas()
-        votes = _voting(spark.sparkContext.broadcast({k: Packed(g) for k, g in held.groupby("__key")}))
-        part = pool.where(key.isin(wanted)).withColumn("__score", votes(key, "x"))
-        part = part.withColumns({"mu": F.col("__score.mu"), "u_epi": F.col("__score.u_epi")}).drop("__score")
-        out = part if out is None else out.unionByName(part)
+        out[-1].append(thing)
+        room -= n
     return out
 
 
 def _voting(sent):
-    """Mean and variance of the votes of the trees of a row's key."""
+    """Number, mean and variance of the votes of the trees of a row's key."""
 
-    @F.pandas_udf("mu double, u_epi double")
+    @F.pandas_udf("n long, mean double, spread double")
     def score(key: pd.Series, x: pd.Series) -> pd.DataFrame:
-        mu, spread = np.full(len(x), np.nan), np.full(len(x), np.nan)
+        n, mean, spread = np.zeros(len(x), np.int64), np.full(len(x), np.nan), np.full(len(x), np.nan)
         for k, rows in key.groupby(key).indices.items():
             votes = np.concatenate([sent.value[k].votes(np.array(x.iloc[rows[i : i + 1024]].tolist(), np.float64)) for i in range(0, len(rows), 1024)])
-            mu[rows], spread[rows] = votes.mean(1), votes.var(1)
-        return pd.DataFrame({"mu": mu, "u_epi": spread})
+            n[rows], mean[rows], spread[rows] = votes.shape[1], votes.mean(1), votes.var(1)
+        return pd.DataFrame({"n": n, "mean": mean, "spread": spread})
 
     return score
