@@ -43,11 +43,16 @@ def bedroc(rows: DataFrame, alpha: float = 20.0, keys: Sequence[str] = KEYS) ->
     sized = small(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("label").alias("a")))
     each = joined(rows, sized, keys, "inner")
     s = each.groupBy(*keys).agg(F.sum(F.when(F.col("label") == 1, F.exp(-F.lit(alpha) * (F.col("rank") + 1) / F.col("n"))).otherwise(0.0)).alias("s"), F.first("n").alias("n"), F.first("a").alias("a"))
-    ratio = F.col("a") / F.col("n")
-    rie = F.col("s") / (ratio * (F.lit(1.0) - F.exp(F.lit(-alpha))) / (F.exp(F.lit(alpha) / F.col("n")) - F.lit(1.0)))
+    return s.select(*keys, bedroc_of(F.col("s"), F.col("n"), F.col("a"), alpha).alias("bedroc"))
+
+
+def bedroc_of(s: Column, n: Column, a: Column, alpha: float = 20.0) -> Column:
+    """BEDROC from s, the sum of exp(-alpha * place / n) over the a labels of n rows, places from 1."""
+    ratio = a / n
+    rie = s / (ratio * (F.lit(1.0) - F.exp(F.lit(-alpha))) / (F.exp(F.lit(alpha) / n) - F.lit(1.0)))
     low = (F.lit(1.0) - F.exp(F.lit(alpha) * ratio)) / (ratio * (F.lit(1.0) - F.exp(F.lit(alpha))))
     high = (F.lit(1.0) - F.exp(F.lit(-alpha) * ratio)) / (ratio * (F.lit(1.0) - F.exp(F.lit(-alpha))))
-    return s.select(*keys, F.when(F.col("a") > 0, F.when(F.col("a") == F.col("n"), F.lit(1.0)).otherwise(clip((rie - low) / (high - low), 0.0, 1.0))).alias("bedroc"))
+    return F.when(a > 0, F.when(a == n, F.lit(1.0)).otherwise(clip((rie - low) / (high - low), 0.0, 1.0)))
 
 
 def trapezoid(points: DataFrame, x: str, y: str, keys: Sequence[str] = KEYS) -> DataFrame:

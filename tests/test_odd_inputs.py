@@ -33,3 +33,8 @@ def compared(spark, sf_dir, tmp_path):
 def test_baseline_of_zero(compared):
     found = compared("baseline_delta", events="SELECT * REPLACE (CASE WHEN event_type = 'error' THEN 0 WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 5 = 0 THEN -value ELSE value END AS value) FROM events")
     assert {float("inf"), float("-inf")} <= set(found["ratio"]) and found["ratio"].isna().any()
+
+
+def test_cells_of_unknown_priorities(compared):
+    """Alerts that aren't known come last, as in the SQL."""
+    compared("allocation_control", orders="SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority) FROM orders")
