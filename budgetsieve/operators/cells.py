@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from budgetsieve.operators.ranking import joined
-from budgetsieve.sources.sinks import written
+from budgetsieve.sources.sinks import in_passes, written
 from budgetsieve.sources.workers import ship
 
 #: Totals of ranges that are sent to all tasks at a time; more of them take passes over their own ranges.
@@ -169,14 +169,6 @@ def fused_entries(rows: DataFrame, first: DataFrame, second: DataFrame, score: C
     spark = rows.sparkSession
     mu = spark.sparkContext.broadcast(Before(first.toArrow(), "a", cells))
     sizes = sorted(second.groupBy("b").count().collect())  # one row a range
-    groups: list[list[int]] = []
-    room = 0
-    for b, n in sizes:
-        if not groups or n > room:
-            groups.append([])
-            room = SENT_ROWS
-        groups[-1].append(b)
-        room -= n
     body = rows.where("told IS NULL")
     schema = f"g bigint, {_kinds(body.select('item_id', 'label'))}, rrf double"
 
@@ -198,7 +190,7 @@ def fused_entries(rows: DataFrame, first: DataFrame, second: DataFrame, score: C
 
     columns = body.select("t", "a", "b", "item_id", "label", "levels", "upto", "mu_at", *dict.fromkeys([*[c for c in lists.values()], *lists]))
     out = None
-    for wanted in groups or [[]]:
+    for wanted in in_passes(sizes, SENT_ROWS) or [[]]:
         sent = spark.sparkContext.broadcast(Before(second.where(F.col("b").isin(wanted)).toArrow(), "b", cells))
         part = columns.where(F.col("b").isin(wanted)).mapInArrow(entries(sent), schema)
         out = part if out is None else out.unionByName(part)

@@ -1,15 +1,16 @@
 """Exact nearest neighbours: a small reference goes to all tasks, a large one into inverted lists.
 
-An inverted list holds the reference vectors nearest to a pivot and the radius that they span. A row visits
-lists in the order of the least distance that they could hold (its distance to the pivot less the radius),
-one, then two, then four and so on, and is done when no list left can hold anything nearer than what it
-has; so that rows are shuffled for the lists they need, never for all. Hot lists are cut into blocks, and
-the rows that visit one into groups.
+An inverted list holds the reference vectors nearest to a pivot and the radius that they span. Lists go to
+all tasks, as many at a time as fit; rows stay where they are, and only distances found in several such passes
+are shuffled. A row skips the lists that can't hold anything nearer than what it has: its distance to the pivot
+less the radius is the least that a list could hold, and pivots, which are reference vectors, bound its nearest
+from the start. Lists of near pivots make a block, and rows meet a block in groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,13 +18,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from budgetsieve.operators.ranking import joined
-from budgetsieve.sources.sinks import written
+from budgetsieve.sources.sinks import in_passes, written
 from budgetsieve.sources.workers import ship
 
 #: Bytes of reference vectors that are sent to every task; larger references are searched in lists.
 SENT_BYTES = 16 << 20
-#: Reference vectors of one block of a list, and rows of one group that meets it.
-BLOCK_ROWS, GROUP_ROWS = 4096, 8192
+#: Bytes of lists that are sent to every task at a time.
+PASS_BYTES = 48 << 20
+#: Reference vectors from which a block of lists is full, and rows of one group that meets it.
+BLOCK_ROWS, GROUP_ROWS = 4096, 1024
+#: Vectors of a block up to which a row's are compared one by one, as far as its bound lets them in.
+FEW = 32
 #: Pivots of a key at most; their number is the square root of the key's vectors.
 PIVOTS = 4096
 
@@ -75,25 +80,54 @@ def _sent(pool: DataFrame, reference: DataFrame, k: int, keys: Sequence[str], na
     return pool.select(*keys, "item_id", near(key_of(keys), "x").alias(name)).where(F.col(name).isNotNull())
 
 
-def in_blocks(rows: DataFrame, reference: DataFrame, k: int, keys: Sequence[str], name: str) -> DataFrame:
-    """The k nearest of each row among the vectors of its keys: blocks of these meet groups of rows in a task each."""
-    blocks = reference.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("__blocks"))
-    groups = rows.groupBy(*keys).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("__groups"))
-    sizes = joined(blocks, groups, keys, "inner")
-    mine, all_of = F.pmod(F.xxhash64("item_id"), F.lit(1 << 30)), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = joined(rows.select(*keys, "item_id", "x"), sizes, keys, "inner").select(*keys, (mine % F.col("__groups")).cast("int").alias("__group"), all_of("__blocks").alias("__block"), "item_id", "x")
-    right = joined(reference.select(*keys, "item_id", "x"), sizes, keys, "inner").select(*[F.col(c).alias(f"__ref_{c}") for c in keys], all_of("__groups").alias("__ref_group"), (mine % F.col("__blocks")).cast("int").alias("__ref_block"), F.col("item_id").alias("__ref"), F.col("x").alias("__y"))
-    cells, others = [*keys, "__group", "__block"], [*[f"__ref_{c}" for c in keys], "__ref_group", "__ref_block"]
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), f"item_id {kinds['item_id']}, {name} array<double>"])
-
-    def meet(rows: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(refs):
-            return pd.DataFrame([], columns=[*keys, "item_id", name], dtype=object)
-        found = k_nearest(matrix(rows["x"]), matrix(refs.sort_values("__ref")["__y"]), k)[0]
-        return pd.DataFrame({**{c: rows[c].to_numpy() for c in (*keys, "item_id")}, name: list(found)})
-
-    return left.groupBy(*cells).cogroup(right.groupBy(*others)).applyInPandas(meet, schema)
+def _merged(best: np.ndarray, row: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Each row's least distances, as many as it had, from these and further ones (row, d)."""
+    m, k = best.shape
+    rows, all_ = np.concatenate([np.repeat(np.arange(m), k), row]), np.concatenate([best.ravel(), d])
+    order = np.lexsort((all_, rows))
+    rows = rows[order]
+    first = np.searchsorted(rows, np.arange(m))
+    return all_[order][np.arange(len(rows)) - first[rows] < k].reshape(m, k)
+
+
+class Held:
+    """Lists of one key in a task: vectors by list, pivots and radii."""
+
+    def __init__(self, x: np.ndarray, at: np.ndarray, first: int, pivots: np.ndarray, radii: np.ndarray):
+        order = np.argsort(at, kind="stable")
+        self.x, self.squares, self.pivots, self.radii = x[order], (x[order] ** 2).sum(1), pivots, radii
+        starts = np.searchsorted(at[order] - first, np.arange(len(pivots) + 1))
+        self.blocks, low = [], 0
+        for i in range(len(pivots)):
+            if starts[i + 1] - starts[low] >= BLOCK_ROWS or i == len(pivots) - 1:
+                self.blocks.append((low, i + 1, starts[low], starts[i + 1]))
+                low = i + 1
+
+    def search(self, q: np.ndarray, k: int) -> np.ndarray:
+        """Distances of the k nearest of each row, in order; infinite where there are fewer or none within its bound."""
+        best, qq = np.full((len(q), k), np.inf), (q * q).sum(1)
+        rough = qq[:, None] + (self.pivots**2).sum(1) - 2 * q @ self.pivots.T
+        slack = 1e-12 * (qq + self.squares.max(initial=0.0))  # more than what expanded squares lose
+        bound = np.sqrt(np.partition(rough, k - 1, axis=1)[:, k - 1].clip(0) + slack) if len(self.pivots) >= k else np.full(len(q), np.inf)
+        least = np.where(self.radii < 0, np.inf, np.sqrt((rough - slack[:, None]).clip(0)) - self.radii)
+        for low, high, start, end in self.blocks:
+            rows = np.flatnonzero(least[:, low:high].min(axis=1) <= bound * (1 + 1e-9))
+            if end == start:
+                continue
+            b, squares = self.x[start:end], self.squares[start:end]
+            for i in range(0, len(rows), 256):
+                own = rows[i : i + 256]
+                inside = qq[own, None] + squares - 2 * q[own] @ b.T <= (bound[own] ** 2 * (1 + 1e-9) + slack[own])[:, None]
+                n = inside.sum(axis=1)
+                many = n > max(FEW, k + 8)
+                if many.any():  # bounds are loose, or many vectors are alike
+                    found = k_nearest(q[own[many]], b, k)[0]
+                    row, d = np.repeat(np.flatnonzero(many), found.shape[1]), found.ravel()
+                    best[own] = _merged(best[own], row, d)
+                row, at = np.nonzero(inside & ~many[:, None])
+                best[own] = _merged(best[own], row, np.sqrt(((q[own[row]] - b[at]) ** 2).sum(axis=1)))
+                bound[own] = np.minimum(bound[own], best[own, k - 1])
+        return best
 
 
 class Lists:
@@ -106,8 +140,8 @@ class Lists:
         unit = F.pmod(F.xxhash64("item_id", F.lit("pivot")), F.lit(1 << 30)) / F.lit(float(1 << 30))
         sizes = reference.groupBy(*keys).agg(F.try_divide(F.least(F.sqrt(F.count("*")), F.lit(float(PIVOTS))), F.count("*")).alias("__rate"), F.min(unit).alias("__least"))
         drawn = joined(reference.withColumn("__unit", unit), sizes, keys, "inner").where("__unit < __rate OR __unit = __least")
-        pivots = gathered(drawn, keys, "item_id")
-        sent = spark.sparkContext.broadcast(pivots)
+        self.pivots = {k: self._ordered(p) for k, p in gathered(drawn, keys, "item_id").items()}
+        sent = spark.sparkContext.broadcast(self.pivots)
 
         @F.pandas_udf("list int, far double")
         def place(key: pd.Series, x: pd.Series) -> pd.DataFrame:
@@ -119,54 +153,65 @@ class Lists:
 
         placed = reference.select(*keys, "item_id", "x", place(key_of(keys), "x").alias("__p"))
         self.rows = written(placed.select(*keys, "item_id", "x", "__p.list", "__p.far"), "lists")
-        spans = self.rows.groupBy(key_of(keys).alias("key"), "list").agg(F.max("far").alias("radius")).toPandas()  # one row a list
-        radii = {k: np.full(len(p), -np.inf) for k, p in pivots.items()}
-        for key, at, radius in zip(spans["key"], spans["list"], spans["radius"]):
-            radii[key][at] = radius
-        self.sent = spark.sparkContext.broadcast({k: (pivots[k], radii[k]) for k in pivots})
+        spans = self.rows.groupBy(key_of(keys).alias("key"), "list").agg(F.max("far").alias("radius"), F.sum(8 * F.size("x").cast("long")).alias("bytes")).orderBy("key", "list").toPandas()  # one row a list
+        self.radii = {k: np.full(len(p), -np.inf) for k, p in self.pivots.items()}
+        self.bytes: dict[str, list[tuple[int, int]]] = {}
+        for key, at, radius, n in zip(spans["key"], spans["list"], spans["radius"], spans["bytes"]):
+            self.radii[key][at] = radius
+            self.bytes.setdefault(key, []).append((int(at), int(n)))
+
+    @staticmethod
+    def _ordered(pivots: np.ndarray) -> np.ndarray:
+        """Pivots in an order in which near ones are close to each other."""
+        return pivots[np.argsort(k_nearest(pivots, pivots[:: max(1, int(np.sqrt(len(pivots))))], 1)[1][:, 0], kind="stable")]
+
+    def _sent(self, wanted: dict[str, tuple[int, int]]):
+        """A function that finds distances among some lists (first, end) of keys."""
+        key, ranges = key_of(self.keys), None
+        for k, (first, end) in wanted.items():
+            own = (key == k) & (F.col("list") >= first) & (F.col("list") < end)
+            ranges = own if ranges is None else ranges | own
+        table = self.rows.where(ranges).select(key.alias("key"), "list", "x").toArrow()
+        keys, at, dims = table["key"].to_numpy(), table["list"].to_numpy(), len(table["x"][0])
+        x = np.ascontiguousarray(table["x"].combine_chunks().flatten().to_numpy().reshape(-1, dims))
+        held = {k: Held(x[keys == k], at[keys == k], first, self.pivots[k][first:end], self.radii[k][first:end]) for k, (first, end) in wanted.items()}
+        del table, x
+        return self.rows.sparkSession.sparkContext.broadcast(held)
 
     def nearest(self, pool: DataFrame, k: int, name: str = "nearest") -> DataFrame:
         """(keys, item_id, name): the distances of each row's x to its k nearest vectors, in order."""
-        keys, sent = self.keys, self.sent
-
-        def ahead(most: int) -> Column:
-            @F.pandas_udf("array<int>")
-            def lists(key: pd.Series, x: pd.Series, best: pd.Series, seen: pd.Series) -> pd.Series:
-                out: list = [[]] * len(x)
-                for value, rows in key.groupby(key).indices.items():
-                    if value not in sent.value:
-                        continue
-                    pivots, radii = sent.value[value]
-                    d = np.sqrt(np.maximum((matrix(x.iloc[rows])[:, None, :] - pivots[None]) ** 2, 0).sum(2)) if len(rows) * pivots.size < 1 << 22 else np.vstack([np.sqrt(((r - pivots) ** 2).sum(1)) for r in matrix(x.iloc[rows])])
-                    least = np.where(radii < 0, np.inf, d - radii)  # no vector of the list is nearer
-                    order = np.argsort(least, axis=1, kind="stable")
-                    for i, at, bounds in zip(rows, order, least):
-                        held = best.iat[i]
-                        bound = held[k - 1] if len(held) >= k else np.inf
-                        follow = at[seen.iat[i] : seen.iat[i] + most]
-                        out[i] = [int(j) for j in follow if bounds[j] < np.inf and bounds[j] <= bound + 1e-9]
-                return pd.Series(out, dtype=object)
-
-            return lists(key_of(keys), "x", "best", "seen")
-
-        state = pool.select(*keys, "item_id", "x", F.array().cast("array<double>").alias("best"), F.lit(0).alias("seen"))
-        done, most = [], 1
-        while True:
-            state = written(state.withColumn("ahead", ahead(most)), "visits")
-            done.append(state.where(F.size("ahead") == 0).select(*keys, "item_id", F.col("best").alias(name)))
-            going = state.where(F.size("ahead") > 0)
-            if going.isEmpty():
-                break
-            visits = going.select(*keys, "item_id", "x", F.explode("ahead").alias("list"))
-            found = in_blocks(visits, self.rows, k, [*keys, "list"], "near").groupBy(*keys, "item_id").agg(F.flatten(F.collect_list("near")).alias("near"))
-            met = joined(going, found, [*keys, "item_id"])
-            merged = F.slice(F.array_sort(F.concat("best", F.coalesce("near", F.array().cast("array<double>")))), 1, k)
-            state = met.select(*keys, "item_id", "x", merged.alias("best"), (F.col("seen") + F.size("ahead")).alias("seen"))
-            most *= 2
-        out = done[0]
-        for part in done[1:]:
-            out = out.unionByName(part)
-        return out.where(F.size(name) > 0)
+        keys = self.keys
+        key, on = key_of(keys), [*keys, "item_id"]
+
+        def found(wanted: dict[str, tuple[int, int]]) -> DataFrame:
+            near = _searching(self._sent(wanted), k)
+            return pool.where(key.isin(list(wanted))).select(*on, near(key, "x").alias(name)).where(F.size(name) > 0)
+
+        whole = {v: sum(n for _, n in lists) for v, lists in self.bytes.items()}
+        parts = [found({v: (0, len(self.pivots[v])) for v in wanted}) for wanted in in_passes([x for x in whole.items() if x[1] <= PASS_BYTES], PASS_BYTES)]
+        split = [found({v: (lists[0], lists[-1] + 1)}) for v, n in whole.items() if n > PASS_BYTES for lists in in_passes(self.bytes[v], PASS_BYTES)]
+        if split:
+            both = reduce(DataFrame.unionByName, split).groupBy(*on).agg(F.flatten(F.collect_list(name)).alias(name))
+            parts.append(both.withColumn(name, F.slice(F.array_sort(name), 1, k)))
+        if not parts:
+            return pool.where("false").select(*on, F.array().cast("array<double>").alias(name))
+        return reduce(DataFrame.unionByName, parts)
+
+
+def _searching(sent, k: int):
+    """Distances to the k nearest vectors of a row's key, of which a task has lists."""
+
+    @F.pandas_udf("array<double>")
+    def near(key: pd.Series, x: pd.Series) -> pd.Series:
+        out: list = [[]] * len(x)
+        for value, rows in key.groupby(key).indices.items():
+            for i in range(0, len(rows), GROUP_ROWS):
+                own = rows[i : i + GROUP_ROWS]
+                for at, d in zip(own, sent.value[value].search(matrix(x.iloc[own]), k)):
+                    out[at] = d[d < np.inf]
+        return pd.Series(out, dtype=object)
+
+    return near
 
 
 def nearest(pool: DataFrame, reference: DataFrame, k: int, keys: Sequence[str] = (), name: str = "nearest", sent_bytes: int = SENT_BYTES) -> DataFrame:

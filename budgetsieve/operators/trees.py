@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from budgetsieve.operators.ranking import joined
-from budgetsieve.sources.sinks import shared_dir, written
+from budgetsieve.sources.sinks import in_passes, shared_dir, written
 from budgetsieve.sources.workers import ship
 
 #: Labelled rows of a node that are split in one task; trees that a task grows together.
@@ -259,9 +259,9 @@ def score_trees(pool: DataFrame, trees: DataFrame, keys: Sequence[str] = ()) ->
     whole: dict[str, int] = {}
     for r in sizes:
         whole[r["key"]] = whole.get(r["key"], 0) + r["bytes"]
-    groups, pieces = _filled([(k, n) for k, n in whole.items() if n <= MODEL_BYTES]), {}
+    groups, pieces = in_passes([(k, n) for k, n in whole.items() if n <= MODEL_BYTES], MODEL_BYTES), {}
     for k in (k for k, n in whole.items() if n > MODEL_BYTES):
-        pieces[k] = _filled([(r["tree"], r["bytes"]) for r in sizes if r["key"] == k])
+        pieces[k] = in_passes([(r["tree"], r["bytes"]) for r in sizes if r["key"] == k], MODEL_BYTES)
 
     def sent(rows: DataFrame):
         held = rows.withColumn("__key", key).drop(*keys).toArrow()
@@ -286,19 +286,6 @@ def score_trees(pool: DataFrame, trees: DataFrame, keys: Sequence[str] = ()) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def _filled(sized: Sequence[tuple]) -> list[list]:
-    """Things in order, in groups of ``MODEL_BYTES`` at most where each of them has no more."""
-    out: list[list] = []
-    room = 0
-    for thing, n in sized:
-        if not out or n > room:
-            out.append([])
-            room = MODEL_BYTES
-        out[-1].append(thing)
-        room -= n
-    return out
-
-
 def _voting(sent):
     """Number, mean and variance of the votes of the trees of a row's key."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,19 @@ def small(df: DataFrame, name: str = "small") -> DataFrame:
     return df.sparkSession.createDataFrame(table, df.schema)
 
 
+def in_passes(sized: Sequence[tuple], most: int) -> list[list]:
+    """Things (thing, size) in order, in groups of that size at most, or of one thing."""
+    out: list[list] = []
+    room = 0
+    for thing, n in sized:
+        if not out or n > room:
+            out.append([])
+            room = most
+        out[-1].append(thing)
+        room -= n
+    return out
+
+
 def write_json(path: str, value: dict) -> None:
     Path(path).write_text(json.dumps(value, indent=2, sort_keys=True) + "\n")
 

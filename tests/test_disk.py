@@ -3,12 +3,16 @@
 import glob
 import os
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from budgetsieve.operators import lists as N
 from budgetsieve.plans.catalog import QUERIES
 from budgetsieve.sources.pools import Pools
 from budgetsieve.sources.sinks import shared_dir
+from test_semantics import vector_pool
 
 
 @pytest.fixture
@@ -29,3 +33,23 @@ def test_budget_cells_keep_the_pool_once(wrote, spark, sf_dir):
     """No table has a row for each of the thirty cells of an order."""
     rows, _ = wrote("budget_cells")
     assert max(rows.values()) < 2 * Pools(spark, sf_dir).o.count()
+
+
+@pytest.mark.parametrize("keys", [[], ["target"]])
+def test_lists_in_passes(spark, monkeypatch, keys):
+    """Lists that don't fit at once give the same distances, and no row of the pool is written."""
+    pool = vector_pool(spark).withColumn("target", (F.col("item_id") % 2).cast("int"))
+    same = pool.where("item_id = 6").withColumn("item_id", F.explode(F.sequence(F.lit(1000).cast("long"), F.lit(1080).cast("long"))))
+    reference = pool.where("item_id % 3 = 0").unionByName(same)
+    monkeypatch.setattr(N, "PASS_BYTES", 600)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 5)
+    rows, held, sent = pool.collect(), reference.collect(), []
+    searching, made = N._searching, N.written
+    monkeypatch.setattr(N, "_searching", lambda b, k: sent.append(sum(h.x.nbytes for h in b.value.values())) or searching(b, k))
+    monkeypatch.setattr(N, "written", lambda df, name: sent.append(name) or made(df, name))
+    got = {r["item_id"]: r["nearest"] for r in N.nearest(pool, reference, 4, keys, sent_bytes=0).collect()}
+    assert [x for x in sent if isinstance(x, str)] == ["reference", "lists"] and len(sent) > 4
+    assert len(got) == 120
+    for r in rows:
+        want = sorted(np.linalg.norm(np.array(r["x"]) - np.array(h["x"])) for h in held if not keys or h["target"] == r["target"])[:4]
+        assert np.allclose(got[r["item_id"]], want, atol=1e-9)
