@@ -77,7 +77,7 @@ def _sent(pool: DataFrame, reference: DataFrame, k: int, keys: Sequence[str], na
                     out[i] = d
         return pd.Series(out, dtype=object)
 
-    return pool.select(*keys, "item_id", near(key_of(keys), "x").alias(name)).where(F.col(name).isNotNull())
+    return pool.withColumn(name, near(key_of(keys), "x"))
 
 
 def _merged(best: np.ndarray, row: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -180,22 +180,25 @@ class Lists:
 
     def nearest(self, pool: DataFrame, k: int, name: str = "nearest") -> DataFrame:
         """(keys, item_id, name): the distances of each row's x to its k nearest vectors, in order."""
-        keys = self.keys
-        key, on = key_of(keys), [*keys, "item_id"]
+        return self.added(pool, k, name).where(F.col(name).isNotNull()).select(*self.keys, "item_id", name)
 
-        def found(wanted: dict[str, tuple[int, int]]) -> DataFrame:
-            near = _searching(self._sent(wanted), k)
-            return pool.where(key.isin(list(wanted))).select(*on, near(key, "x").alias(name)).where(F.size(name) > 0)
+    def added(self, pool: DataFrame, k: int, name: str = "nearest") -> DataFrame:
+        """The pool with these distances; null where a row's key has no vectors."""
+        key, on = key_of(self.keys), [*self.keys, "item_id"]
+
+        def found(rows: DataFrame, wanted: dict[str, tuple[int, int]]) -> DataFrame:
+            return rows.where(key.isin(list(wanted))).withColumn(name, _searching(self._sent(wanted), k)(key, "x"))
 
         whole = {v: sum(n for _, n in lists) for v, lists in self.bytes.items()}
-        parts = [found({v: (0, len(self.pivots[v])) for v in wanted}) for wanted in in_passes([x for x in whole.items() if x[1] <= PASS_BYTES], PASS_BYTES)]
-        split = [found({v: (lists[0], lists[-1] + 1)}) for v, n in whole.items() if n > PASS_BYTES for lists in in_passes(self.bytes[v], PASS_BYTES)]
-        if split:
-            both = reduce(DataFrame.unionByName, split).groupBy(*on).agg(F.flatten(F.collect_list(name)).alias(name))
-            parts.append(both.withColumn(name, F.slice(F.array_sort(name), 1, k)))
-        if not parts:
-            return pool.where("false").select(*on, F.array().cast("array<double>").alias(name))
-        return reduce(DataFrame.unionByName, parts)
+        parts = [found(pool, {v: (0, len(self.pivots[v])) for v in wanted}) for wanted in in_passes([x for x in whole.items() if x[1] <= PASS_BYTES], PASS_BYTES)]
+        split = [v for v, n in whole.items() if n > PASS_BYTES]
+        if split:  # of each pass distances alone are shuffled
+            slim = pool.select(*on, "x")
+            each = [found(slim, {v: (lists[0], lists[-1] + 1)}).select(*on, name).where(F.size(name) > 0) for v in split for lists in in_passes(self.bytes[v], PASS_BYTES)]
+            both = reduce(DataFrame.unionByName, each).groupBy(*on).agg(F.flatten(F.collect_list(name)).alias(name))
+            parts.append(joined(pool.where(key.isin(split)), both.withColumn(name, F.slice(F.array_sort(name), 1, k)), on))
+        rest = pool.where(~key.isin(list(whole))) if whole else pool
+        return reduce(DataFrame.unionByName, parts, rest.withColumn(name, F.lit(None).cast("array<double>")))
 
 
 def _searching(sent, k: int):
@@ -214,18 +217,23 @@ def _searching(sent, k: int):
     return near
 
 
-def nearest(pool: DataFrame, reference: DataFrame, k: int, keys: Sequence[str] = (), name: str = "nearest", sent_bytes: int = SENT_BYTES) -> DataFrame:
-    """(keys, item_id, name): the distances of each row's x to its k nearest reference vectors, in order.
+def with_nearest(pool: DataFrame, reference: DataFrame, k: int, keys: Sequence[str] = (), name: str = "nearest", sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """The pool with the distances of each row's x to its k nearest reference vectors, in order; null for keys without any.
 
-    A reference of up to ``sent_bytes`` goes to all tasks and no row of the pool is shuffled; a larger one is
-    searched in inverted lists. Rows of a key without reference vectors are left out.
+    A reference of up to ``sent_bytes`` goes to all tasks at once; a larger one is searched in inverted lists.
     """
     ship(pool.sparkSession)
     reference = written(reference.select(*keys, "item_id", "x"), "reference")
     size = reference.agg(F.sum(8 * F.size("x").cast("long"))).first()[0] or 0
     if size <= sent_bytes:
         return _sent(pool, reference, k, keys, name)
-    return Lists(reference, keys).nearest(pool, k, name)
+    return Lists(reference, keys).added(pool, k, name)
+
+
+def nearest(pool: DataFrame, reference: DataFrame, k: int, keys: Sequence[str] = (), name: str = "nearest", sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """(keys, item_id, name): the distances of with_nearest. Rows of a key without reference vectors are left out."""
+    found = with_nearest(pool.select(*keys, "item_id", "x"), reference, k, keys, name, sent_bytes)
+    return found.where(F.col(name).isNotNull()).select(*keys, "item_id", name)
 
 
 # ---- clusters

@@ -32,7 +32,7 @@ def reservoir_fraction(pool: DataFrame, fraction: float, cap: int, seed: int = 0
 def initial_labels(pool: DataFrame, size: int, share: int = 32, seed: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
     """size // share positives (at least one), the rest negatives."""
     positives = max(1, size // share)
-    each = placed(pool, [*keys, "label"], seed, "initial")
+    each = placed(pool, [*keys, "label"], seed, "initial").where(F.col("place") <= max(positives, size - positives))  # so many leave a task
     return each.where(F.when(F.col("label") == 1, F.col("place") <= positives).otherwise(F.col("place") <= size - positives))
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from budgetsieve.functions.expr import dot, sigmoid, squared_distance
 from budgetsieve.operators.landmarks import gram_times, leading
-from budgetsieve.operators.lists import nearest
+from budgetsieve.operators.lists import nearest, with_nearest
 from budgetsieve.operators.trees import extra_trees, forest, score_trees
-from budgetsieve.sources.sinks import small
+from budgetsieve.sources.sinks import small, written
 
 def _mean(values: str):
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
@@ -108,21 +108,26 @@ def project(pool: DataFrame, basis: np.ndarray, name: str = "z") -> DataFrame:
 def logistic_ensemble(labeled: DataFrame, members: int = 5, seed: int = 0, penalty: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
     """Coefficients (keys..., member, w, b) of balanced logistic regressions on per-class resamples.
 
-    The labelled set is bounded by the query budget; each (keys, member) is fitted in one task by
+    The labelled set is bounded by the query budget; each member is fitted in one task by
     Newton steps on 1/2 |w|^2 + penalty * sum of weighted losses, intercept unpenalised. With one class
     only, a member has w = 0 and the log-odds of the (clipped) rate.
     """
-    spread = labeled.select(*keys, "item_id", "label", "x", F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"))
+    spread = labeled.select(*keys, "item_id", "label", "x")
+    if not keys:  # a task a member; of several keys a task fits all members, which reads their rows once
+        spread = spread.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item_id")
-        member = int(pdf["member"].iloc[0])
         y = pdf["label"].to_numpy(np.float64)
         x = np.array(pdf["x"].tolist(), np.float64)
-        head = {k: [pdf[k].iloc[0]] for k in keys}
+        wanted = range(members) if keys else [int(pdf["member"].iloc[0])]
+        made = [one(x, y, member) for member in wanted]
+        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(made) for k in keys} | {"member": list(wanted), "w": [w for w, _ in made], "b": [b for _, b in made]})
+
+    def one(x: np.ndarray, y: np.ndarray, member: int) -> tuple[np.ndarray, float]:
         if len(np.unique(y)) < 2:
             rate = min(max(y.mean(), 0.01), 0.99)
-            return pd.DataFrame(head | {"member": [member], "w": [np.zeros(x.shape[1])], "b": [np.log(rate / (1 - rate))]})
+            return np.zeros(x.shape[1]), np.log(rate / (1 - rate))
         rng = np.random.default_rng(seed + member)
         rows = np.concatenate([rng.choice(np.flatnonzero(y == c), int((y == c).sum())) for c in (0, 1)])
         x, y = x[rows], y[rows]
@@ -136,11 +141,11 @@ def logistic_ensemble(labeled: DataFrame, members: int = 5, seed: int = 0, penal
             w = w - step
             if np.abs(step).max() < 1e-8:
                 break
-        return pd.DataFrame(head | {"member": [member], "w": [w[:-1]], "b": [w[-1]]})
+        return w[:-1], w[-1]
 
     kinds = dict(labeled.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "member int, w array<double>, b double"])
-    return spread.groupBy(*keys, "member").applyInPandas(fit, schema)
+    return spread.groupBy(*(keys or ["member"])).applyInPandas(fit, schema)
 
 
 def score_linear(pool: DataFrame, coefficients: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -168,19 +173,22 @@ def score_neighbours(pool: DataFrame, labeled: DataFrame, k: int = 5, keys: Sequ
     return joined(pool, scores, [*keys, "item_id"], "inner")
 
 
-def blended(pool: DataFrame, labeled: DataFrame, blend: float, keys: Sequence[str] = ()) -> DataFrame:
+def blended(pool: DataFrame, labeled: DataFrame, blend: float, keys: Sequence[str] = (), kept: Sequence[str] | None = None) -> DataFrame:
     """mu blended with retrieval: the z-score of mu plus blend times that of nearness to a positive, less half that to a negative.
 
-    Keys that lack positives or negatives keep their mu.
+    Keys that lack positives or negatives keep their mu. kept: the columns wanted beside keys, item_id and mu; distances
+    are then written with these alone, and not computed again.
     """
-    from budgetsieve.operators.ranking import joined, zscored
-
-    first = lambda label, name: nearest(pool, labeled.where(F.col("label") == label), 1, keys, name)
-    near = joined(first(1, "__p"), first(0, "__n"), [*keys, "item_id"], "inner")
-    near = near.select(*keys, "item_id", (-F.get("__p", F.lit(0))).alias("__pos"), (-F.get("__n", F.lit(0))).alias("__neg"))
-    both = zscored(joined(pool.select(*keys, "item_id", "mu"), near, [*keys, "item_id"], "inner"), ["mu", "__pos", "__neg"], keys)
+    from budgetsieve.operators.ranking import zscored
+
+    near = with_nearest(with_nearest(pool, labeled.where("label = 1"), 1, keys, "__p"), labeled.where("label = 0"), 1, keys, "__n")
+    # of a key all rows have a distance to a label or none has
+    near = near.withColumns({"__pos": -F.get("__p", F.lit(0)), "__neg": -F.get("__n", F.lit(0))}).drop("__p", "__n")
+    if kept is not None:
+        near = written(near.select(*keys, "item_id", *kept, "mu", "__pos", "__neg"), "near")
+    both = zscored(near, ["mu", "__pos", "__neg"], keys)
     score = F.col("z_mu") + F.lit(float(blend)) * (F.col("z___pos") - F.lit(0.5) * F.col("z___neg"))
-    return joined(pool, both.select(*keys, "item_id", sigmoid(score).alias("__mu")), [*keys, "item_id"]).withColumn("mu", F.coalesce("__mu", "mu")).drop("__mu")
+    return both.withColumn("mu", F.coalesce(sigmoid(score), "mu")).drop("z_mu", "z___pos", "z___neg", "__pos", "__neg")
 
 
 def forest_scores(pool: DataFrame, labeled: DataFrame, trees: int = 80, seed: int = 0, depth: int = 12) -> DataFrame:

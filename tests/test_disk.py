@@ -9,6 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from budgetsieve.operators import lists as N
+from budgetsieve.operators import vectors as V
+from budgetsieve.plans import catalog_items, loops
+from budgetsieve.plans import protocols as PR
 from budgetsieve.plans.catalog import QUERIES
 from budgetsieve.sources.pools import Pools
 from budgetsieve.sources.sinks import shared_dir
@@ -53,3 +56,29 @@ def test_lists_in_passes(spark, monkeypatch, keys):
     for r in rows:
         want = sorted(np.linalg.norm(np.array(r["x"]) - np.array(h["x"])) for h in held if not keys or h["target"] == r["target"])[:4]
         assert np.allclose(got[r["item_id"]], want, atol=1e-9)
+
+
+def test_large_reference_writes_no_pool(wrote, spark, sf_dir, monkeypatch):
+    """knn_mean_distance with a reference too large to be sent at once writes that reference alone."""
+    search = V.nearest
+    monkeypatch.setattr(V, "nearest", lambda *a: search(*a, sent_bytes=0))
+    monkeypatch.setattr(N, "PASS_BYTES", 8192, raising=False)
+    rows, _ = wrote("knn_mean_distance")
+    assert sum(rows.values()) < Pools(spark, sf_dir).v.count()
+
+
+def test_matched_rounds_write_no_vectors(spark, sf_dir, monkeypatch):
+    """Of a round scores and the batch are written, not the vectors of the pool for each method."""
+    made, vectors = PR.written, []
+
+    def written(df, name):
+        out = made(df, name)
+        vectors.append(out.count() if "x" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(PR, "written", written)
+    pools = Pools(spark, sf_dir)
+    pool = catalog_items._vector_pool(pools).where("target < 2")
+    found, _ = PR.matched(pool, ("greedy_surrogate", "arm_ucb"), loops.Protocol(initial=32, rounds=2, query=16, members=1, final_blend=0.5), k=20)
+    assert {r["queried"] for r in found.collect()} == {64}
+    assert sum(vectors) == 2 * 2 * 64
