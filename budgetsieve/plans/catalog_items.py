@@ -18,7 +18,7 @@ from budgetsieve.operators import vectors as V
 from budgetsieve.plans import loops
 from budgetsieve.plans import protocols as PR
 from budgetsieve.plans.catalog import query, rounded
-from budgetsieve.plans.registry import METHODS, final_scores
+from budgetsieve.plans.registry import METHODS, final_scores, top_finals
 from budgetsieve.sources import readers
 from budgetsieve.sources.mixture import mixture_pool, mixture_sql
 from budgetsieve.sources.readers import vector_check
@@ -335,12 +335,11 @@ SELECT method, target, hits FROM h JOIN m USING (kind)"""
 
 @query("method_registry", "o", _FINALS)
 def _(s):
-    o = written(s.o.withColumn("u_epi", F.col("u_conf")), "pool")
-    out = None
-    for names in _kinds().values():  # methods with one final score share its plan
-        top = R.top_per(final_scores(o, names[0]), F.col("final").desc(), 20).groupBy("target").agg(F.sum("label").alias("hits"))
-        part = top.withColumn("method", F.explode(F.array(*[F.lit(n) for n in names])))
-        out = part if out is None else out.unionByName(part)
+    kinds = {names[0]: names for names in _kinds().values()}  # methods with one final score share it
+    top = top_finals(s.o.withColumn("u_epi", F.col("u_conf")), list(kinds), 20).withColumnRenamed("method", "kind")
+    hits = top.groupBy("kind", "target").agg(F.sum("label").alias("hits"))
+    named = s.spark.createDataFrame([(k, n) for k, names in kinds.items() for n in names], "kind string, method string")
+    out = hits.join(F.broadcast(named), "kind")
     return out.select("method", "target", "hits")
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from budgetsieve.functions.expr import hash_order
 from budgetsieve.operators import ranking as R
+from budgetsieve.operators import tops as T
+from budgetsieve.sources.sinks import small, written
 
 
 @dataclass(frozen=True)
@@ -106,3 +109,68 @@ def final_scores(pool: DataFrame, method: str, keys=R.KEYS, seed: int = 0) -> Da
     if m.final == "random":
         return pool.withColumn("final", F.conv(F.substring(hash_order("item_id", seed, "random"), 1, 12), 16, 10).cast("double"))
     return pool.withColumn("final", F.col("mu"))
+
+
+def top_finals(pool: DataFrame, methods: Sequence[str], k: int, keys: Sequence[str] = R.KEYS) -> DataFrame:
+    """(method, keys, item_id, label, score): the k best rows of each key under the final scores of methods.
+
+    What the scores are made of (novelty, z-scores, quantiles) is made once, and one pass takes the best under all of
+    them. For fusions it takes the first places of each list: an item behind these in all lists scores less than the
+    k first of the main list do. Their places in the whole lists are counted, so that nothing is ranked as a whole.
+    """
+    own = [*keys, "item_id", "label", "alert", "scaffold", "mu", "u_conf", "u_epi"]
+    base = written(R.with_novelty(pool.select(*own), "nov", keys), "novel")
+    z = R.zscored(base, ["nov", "u_conf", "u_epi"], keys)
+    c = F.col
+    z = z.withColumn("__both", c("z_u_conf") + c("z_u_epi"))
+    scores, fusions, cuts, repeated = {}, {}, {}, None
+
+    def cut(value: str, q: float):
+        cuts[name := f"__cut_{value.strip('_')}_{int(100 * q)}"] = (value, q)
+        return c(name)
+
+    for method in methods:
+        m = METHODS[method]
+        o = dict(m.options)
+        if m.final == "rrf":
+            fusions[method] = R.RRF_WEIGHTS[o["weights"]]
+        elif m.final == "risk":
+            q = o.get("q", 0.75)
+            if q == 1.0:
+                scores[method] = c("mu") + F.lit(0.05) * c("z_nov") - F.lit(0.1) * c("alert")
+            else:
+                score = c("mu") + F.lit(o.get("novel", 0.05)) * c("z_nov") - F.lit(o.get("alert", 0.1)) * c("alert")
+                scores[method] = F.when(c("u_conf") <= cut("u_conf", q), score).otherwise(score - 1.0)
+        elif m.final == "soft":
+            scores[method] = c("mu") + F.lit(0.02) * c("z_nov") - F.lit(0.05) * c("alert") - F.lit(0.03) * c("z_u_conf")
+        elif m.final == "guard":
+            rest = c("mu") + F.lit(0.03) * c("z_nov") - F.lit(0.08) * c("alert") - F.lit(0.02) * c("z_u_conf")
+            scores[method] = F.when(c("mu") >= cut("mu", 0.9), c("mu") - F.lit(0.01) * c("alert")).otherwise(rest)
+        elif m.final == "repeat":
+            repeated = method
+        elif m.final == "legacy":
+            scores[method] = c("mu") - F.lit(o["w"]) * c("z_u_conf") + F.lit(0.1) * c("z_nov") - F.lit(0.1) * c("alert")
+        elif m.final in ("cut", "combo"):
+            risk = "u_conf" if m.final == "cut" else "__both"
+            scores[method] = F.when(c(risk) <= cut(risk, o["q"]), c("mu")).otherwise(c("mu") - 1.0)
+        elif m.final == "random":
+            scores[method] = F.conv(F.substring(hash_order("item_id", 0, "random"), 1, 12), 16, 10).cast("double")
+        else:
+            scores[method] = c("mu")
+    for name, (value, q) in cuts.items():
+        z = R.joined(z, small(R.quantiles(z, value, q, keys, name), "quantiles"), keys)
+    orders = {"mu_rank": -c("mu"), "clean_rank": c("alert"), "conf_rank": c("u_conf"), "novel_rank": -c("nov")} if fusions else {}
+    # behind so many places in all lists, an item has less than the k-th of the main list
+    ahead = int(max((1 + sum(w) for w in fusions.values()), default=1.0) * (59 + k)) - 60 + 2
+    best = T.top_of(z, scores | {f"list {n}": -o.cast("double") for n, o in orders.items()}, max(k, ahead), keys, ["label"])
+    place = F.row_number().over(Window.partitionBy("method", *keys).orderBy(c("score").desc(), "item_id"))
+    out = best.withColumnRenamed("kind", "method").where(~c("method").startswith("list "))
+    if fusions:
+        first = best.where(c("kind").startswith("list ")).select(*keys, "item_id", "label").distinct()
+        ranks = R.joined(T.places(base, first, orders, keys), first, [*keys, "item_id"], "inner")
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("method"), R.rrf_score(*w).alias("score")) for n, w in fusions.items()])).alias("f")
+        out = out.unionByName(ranks.select(*keys, "item_id", "label", each).select(*keys, "item_id", "label", "f.*"))
+    if repeated:
+        rows = z.select(*keys, "item_id", "label", "scaffold", (c("mu") + F.lit(0.02) * c("z_nov") - F.lit(0.04) * c("alert")).alias("base"))
+        out = out.unionByName(T.top_of(R.scaffold_repeat(rows, "base", keys=keys), {repeated: c("final")}, k, keys, ["label"]).withColumnRenamed("kind", "method"))
+    return out.withColumn("__place", place).where(c("__place") <= k).drop("__place")
